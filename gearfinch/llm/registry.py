@@ -1,10 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontaminate
+from . import decontaminate, substring_dedup, token_counts
 
 QUERIES = {
+    "op10_token_counts": token_counts.op10_token_counts,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op1_decontaminate": decontaminate.op1_decontaminate,
 }
 ORACLE = {
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
 }
