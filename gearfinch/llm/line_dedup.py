@@ -292,8 +292,8 @@ w AS (SELECT doc_id, i, list_distinct(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]
 s AS (SELECT list_sort(w) w, min((doc_id, i)) f FROM w WHERE len(w) > 0 GROUP BY 1),
 n AS (SELECT row_number() OVER (ORDER BY f) k, f, w, len(w) c FROM s),
 t AS (SELECT k, c, unnest(w) x FROM n),
-o AS (SELECT a.k ka, b.k kb, any_value(a.c) ca, any_value(b.c) cb, count(*) both FROM t a JOIN t b ON a.x = b.x AND a.k < b.k AND 5 * least(a.c, b.c) >= 4 * greatest(a.c, b.c) GROUP BY a.k, b.k),
-g AS (SELECT DISTINCT kb k FROM o WHERE 5 * both >= 4 * (ca + cb - both)),
+o AS (SELECT a.k ka, b.k kb, any_value(a.c) ca, any_value(b.c) cb, count(*) c2 FROM t a JOIN t b ON a.x = b.x AND a.k < b.k AND 5 * least(a.c, b.c) >= 4 * greatest(a.c, b.c) GROUP BY a.k, b.k),
+g AS (SELECT DISTINCT kb k FROM o WHERE 5 * c2 >= 4 * (ca + cb - c2)),
 r AS (SELECT w.doc_id, w.i FROM w JOIN n ON list_sort(w.w) = n.w WHERE (w.doc_id, w.i) <> n.f OR n.k IN (SELECT k FROM g))
 SELECT l.doc_id, count(*) FILTER (WHERE regexp_matches(l.l, '[^\\x20\\x09-\\x0D]')) n_lines, count(r.i) n_removed,
   sha256(coalesce(string_agg(l.l, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL), '')) kept_sha256

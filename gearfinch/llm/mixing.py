@@ -68,29 +68,36 @@ def log_factorial(n: Column) -> Column:
     return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - F.log(down)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hypergeometric(left: Column, right: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` items, taken without replacement, come from the left: the quantile u of the exact law,
     summed over ten standard deviations to both sides."""
-    a, b, q = (x.cast("double") for x in (left, right, drawn))
-    n = a + b
-    mean = F.when(n > 0, q * a / n).otherwise(0.0)
-    sd = F.sqrt(F.when(n > 1, mean * b / n * (n - q) / (n - 1)).otherwise(0.0))
-    low = F.greatest(F.lit(0.0), q - b, F.floor(mean - 10 * sd - 2).cast("double")).cast("long")
-    high = F.least(q, a, F.ceil(mean + 10 * sd + 2).cast("double")).cast("long")
-
-    def walk(low: Column, high: Column) -> Column:
-        k0 = low.cast("double")
-        logp = log_factorial(a) - log_factorial(k0) - log_factorial(a - k0) + log_factorial(b) - log_factorial(q - k0) - log_factorial(b - q + k0) - log_factorial(n) + log_factorial(q) + log_factorial(n - q)
-
-        def step(s: Column, k: Column) -> Column:
-            p, x = s["p"], k.cast("double")
-            total = s["total"] + p
-            return F.struct((p * (a - x) * (q - x) / ((x + 1) * (b - q + x + 1))).alias("p"), total.alias("total"), F.when(total < u, k + 1).otherwise(s["at"]).alias("at"))
-
-        start = F.struct(F.exp(logp).alias("p"), F.lit(0.0).alias("total"), low.alias("at"))
-        return F.least(F.aggregate(F.sequence(low, high), start, step)["at"], high)
-
-    return F.when(high <= low, low).otherwise(walk(low, high))
+
+    def bounds(s: Column) -> Column:
+        a, b, q = s["a"], s["b"], s["q"]
+        n = a + b
+        mean = F.when(n > 0, q * a / n).otherwise(0.0)
+        spread = let(mean, lambda m: 10 * F.sqrt(F.when(n > 1, m * b / n * (n - q) / (n - 1)).otherwise(0.0)) + 2)
+        return let(F.struct(mean.alias("mean"), spread.alias("spread")), lambda m: F.struct(s["u"].alias("u"), a.alias("a"), b.alias("b"), q.alias("q"), F.greatest(F.lit(0.0), q - b, F.floor(m["mean"] - m["spread"]).cast("double")).alias("low"), F.least(q, a, F.ceil(m["mean"] + m["spread"]).cast("double")).alias("high")))
+
+    def walk(s: Column) -> Column:
+        a, b, q, k0 = s["a"], s["b"], s["q"], s["low"]
+        logs = F.transform(F.array(a, b, q, a + b - q, a + b, k0, a - k0, q - k0, b - q + k0), log_factorial)
+        first = let(logs, lambda x: F.exp(x[0] + x[1] + x[2] + x[3] - x[4] - x[5] - x[6] - x[7] - x[8]))
+
+        def step(t: Column, k: Column) -> Column:
+            x, total = k.cast("double"), t["total"] + t["p"]
+            return F.struct((t["p"] * (a - x) * (q - x) / ((x + 1) * (b - q + x + 1))).alias("p"), total.alias("total"), F.when(total < s["u"], x + 1).otherwise(t["at"]).alias("at"))
+
+        start = F.struct(first.alias("p"), F.lit(0.0).alias("total"), k0.alias("at"))
+        return F.least(F.aggregate(F.sequence(k0.cast("long"), s["high"].cast("long")), start, step)["at"], s["high"])
+
+    given = F.struct(left.cast("double").alias("a"), right.cast("double").alias("b"), drawn.cast("double").alias("q"), u.alias("u"))
+    return let(let(given, bounds), lambda s: F.when(s["high"] <= s["low"], s["low"]).otherwise(walk(s))).cast("long")
 
 
 def _pair_sum(below: Column):

@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, mixing, quality_rules, substring_dedup, token_counts, url_filters, warc
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
@@ -13,6 +15,7 @@ QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
 }
 ORACLE = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op6_warc": warc.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
