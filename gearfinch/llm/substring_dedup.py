@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .texts import Words, as_bytes, chunks, rolling, spans_of, ranges, table
+from .texts import Words, as_bytes, chunks, plain, ranges, rolling, spans_of, table
 
 REACH, SEED = 50, 20
 BUCKET_BYTES = 16 << 20
@@ -110,7 +110,7 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words that stay, joined by blanks) and repeats: maximal repeats as
     (start, n_words, source, source_start) in words."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = plain(docs, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
     runs = repeated_runs(known, reach, seed)
 

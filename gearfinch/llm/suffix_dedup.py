@@ -7,7 +7,8 @@ Bytes covered by a string of `reach` bytes that also starts in a document with a
    shard, are one: the least document keeps it.
 2. Each shard sorts the suffixes of its fragments by external induced sorting (`induced_sort`: disk-backed queues,
    recursion on names), walks the suffix array with the common prefixes of neighbours, cut at `reach`, and gives every
-   run of equal prefixes its least document.
+   run of equal prefixes its least document.  Neighbours' common prefixes are compared, up to `reach`, on the finished
+   array rather than carried through the queues: only whether they get to `reach` matters here.
 3. Windows with an earlier document go back to their documents as runs.
 
 Matches never cross documents.  Null counts as empty.  Documents without an id are neither compared nor changed.  Equal
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .induced_sort import suffix_array
-from .texts import as_bytes, chunks, mix, ranges, spans_of, table
+from .texts import as_bytes, chunks, mix, plain, ranges, spans_of, table
 
 REACH, SEED = 50, 24
 SHARD_BYTES = 8 << 20
 
-_FRAGMENTS = "bucket int, docs binary, starts binary, lengths binary, bytes binary, sources binary, source_starts binary"
+_FRAGMENTS = "bucket int, docs binary, starts binary, lengths binary, anchors binary, bytes binary, sources binary, source_starts binary"
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +81,9 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             doc, place = batch.column(0).to_numpy()[text], at - bounds[text]
             least, copy = _equal_fragments(buf, at, lengths, doc, place, reach)
             gone = np.flatnonzero(copy)
-            yield from _rows(np.full(len(gone), R.aside(n, serial)), doc[gone], place[gone], lengths[gone], None, None, doc[least[gone]], place[least[gone]], reach)
+            yield from _rows(np.full(len(gone), R.aside(n, serial)), doc[gone], place[gone], lengths[gone], None, None, None, doc[least[gone]], place[least[gone]], reach)
             sent = np.flatnonzero(~copy)
-            yield from _rows((anchor[sent] >> np.uint64(48)).astype(np.int64) % n, doc[sent], place[sent], lengths[sent], buf, at[sent], None, None, reach)
+            yield from _rows((anchor[sent] >> np.uint64(48)).astype(np.int64) % n, doc[sent], place[sent], lengths[sent], anchor[sent], buf, at[sent], None, None, reach)
 
     def sort(group: pa.Table) -> pa.Table:
         doc, place, lengths = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("docs", "starts", "lengths"))
@@ -95,7 +96,10 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         least, copy = _equal_fragments(buf, at, lengths, doc, place, reach)
         known = np.flatnonzero(copy)
         found = [(np.repeat(doc[known], lengths[known]), ranges(place[known], lengths[known]), np.repeat(doc[least[known]], lengths[known]), ranges(place[least[known]], lengths[known]))]
+        # an anchor with one distinct fragment left has nothing to be compared with
         own = np.flatnonzero(~copy)
+        _, which, many = np.unique(np.frombuffer(b"".join(group.column("anchors").to_pylist()), np.uint32)[own], return_inverse=True, return_counts=True)
+        own = own[many[which] > 1]
         text = buf[ranges(at[own], sizes[own])]
         starts = np.cumsum(sizes[own]) - sizes[own]
         valid = np.zeros(len(text), bool)
@@ -130,7 +134,7 @@ def _same_prefix(text: np.ndarray, order: np.ndarray, reach: int) -> np.ndarray:
     return equal
 
 
-def _rows(bucket, doc, place, lengths, buf, at, source, source_at, reach) -> Iterator[pa.RecordBatch]:
+def _rows(bucket, doc, place, lengths, anchor, buf, at, source, source_at, reach) -> Iterator[pa.RecordBatch]:
     if not len(doc):
         return
     order = np.argsort(bucket, kind="stable")
@@ -143,14 +147,14 @@ def _rows(bucket, doc, place, lengths, buf, at, source, source_at, reach) -> Ite
         content = buf[ranges(at[order], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         content = [content[ends[a] : ends[b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    columns = [cut(doc), cut(place), cut(lengths), content if buf is not None else none, none if source is None else cut(source[order].astype(np.int64)), none if source is None else cut(source_at[order].astype(np.int64))]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "docs", "starts", "lengths", "bytes", "sources", "source_starts"])
+    columns = [cut(doc), cut(place), cut(lengths), cut(anchor[order].astype(np.uint32)) if buf is not None else none, content if buf is not None else none, none if source is None else cut(source[order].astype(np.int64)), none if source is None else cut(source_at[order].astype(np.int64))]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "docs", "starts", "lengths", "anchors", "bytes", "sources", "source_starts"])
 
 
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs as start, end), kept (bytes that stay) and repeats (maximal
     repeats as start, n_bytes, source, source_start)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = plain(docs, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
     runs = repeated_runs(known, reach, seed)
     span, repeat = pa.struct([("start", pa.int64()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("n_bytes", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])

@@ -187,5 +187,15 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (long) and text (string) of docs.  Columns that have these names and types are taken as they are, so that
+    two uses in one plan look alike and share their shuffle of the texts."""
+    from pyspark.sql import functions as F
+
+    kinds = dict(docs.dtypes)
+    as_is = lambda c, name, kind: F.col(c) if (c, kinds.get(c)) == (name, kind) else F.col(c).cast("long" if kind == "bigint" else kind).alias(name)
+    return docs.select(as_is(id_col, "doc_id", "bigint"), as_is(text_col, "text", "string"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
