@@ -167,8 +167,15 @@ def constraints_v5(message: Column) -> Column:
     )
 
 
-def all_terms_v4(normalized: Column) -> Column:
-    return F.filter(F.split(normalized, " "), lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS_V4))
+def raw_words(message: Column, separators: str) -> Column:
+    """Non-empty pieces of the message as it is."""
+    wide = F.translate(F.coalesce(message, F.lit("")), WIDE_BLANKS, " " * len(WIDE_BLANKS))
+    return F.filter(F.split(wide, separators), lambda x: x != "")
+
+
+def all_terms_v4(message: Column) -> Column:
+    words = F.transform(raw_words(message, r"[\s\x0B,;:()/]+"), norm_v4)
+    return F.filter(words, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS_V4))
 
 
 def colors_v4(normalized: Column) -> Column:
@@ -185,13 +192,24 @@ def exact_tokens(message: Column, most: int) -> Column:
 
 def constraints_v4(message: Column) -> Column:
     n = norm_v4(message)
-    terms, colors = all_terms_v4(n), colors_v4(n)
-    holes = F.coalesce(number(F.regexp_extract(n, r"(?:^|[^a-z0-9])(\d+) ?(?:lo|hole|holes)(?:[^a-z0-9]|$)", 1)), F.lit(-1).cast("long"))
-    side = F.coalesce(F.when(n.rlike(bounded("trai|left|lhf")), "left"), F.when(n.rlike(bounded("phai|right|rhf")), "right"), F.lit("all"))
+    terms, colors = all_terms_v4(message), colors_v4(n)
+    holes = F.coalesce(number(F.regexp_extract(F.coalesce(message, F.lit("")), "(?iu)" + LOOSE_HOLE, 1)), F.lit(-1).cast("long"))
+    side = F.coalesce(first_of(n, {"left": "left|ben trai|trai", "right": "right|ben phai|phai", "both": "both|ca hai|hai ben"}), F.lit("all"))
     strong = (F.size(colors) > 0).cast("int") + (holes >= 0).cast("int") + (F.size(terms) >= 2).cast("int") + (side != "all").cast("int")
     return F.struct(n.alias("normalized"), F.slice(F.array_distinct(terms), 1, 12).alias("terms"), colors.alias("colors"), holes.alias("hole_count"), exact_tokens(message, 6).alias("tokens"), side.alias("side"), strong.alias("strong_count"))
 
 
+def intent_v1(message: Column) -> Column:
+    """action, side, whether the question is complex, and search terms with the longest code-like token first."""
+    n = norm_v1(message)
+    action = F.coalesce(first_of(n, {"count": "bao nhieu|dem|count", "compare": "so sanh|compare|khac nhau"}), F.lit("find"))
+    side = F.coalesce(first_of(n, {"left": "ben trai|left", "right": "ben phai|right", "both": "ca hai|both"}), F.lit("all"))
+    hard = (F.length(message) > 120) | (action == "compare") | n.rlike(bounded("tai sao|giai thich|phan tich|de xuat|thong ke"))
+    words = F.slice(F.filter(raw_words(message, r"[\s\x0B,;:()]+"), lambda x: F.length(x) >= 3), 1, 8)
+    token = exact_tokens(message, 1)
+    return F.struct(action.alias("action"), side.alias("side"), hard.alias("complex"), F.get(token, F.lit(0)).alias("token"), F.array_distinct(F.concat(token, words)).alias("terms"))
+
+
 def anchors(c: Column) -> Column:
     """Up to six search anchors of a V5 constraint struct."""
     holes = F.when(c["hole_count"].isNotNull(), F.array(F.concat(c["hole_count"].cast("string"), F.lit(" lỗ")), F.concat(c["hole_count"].cast("string"), F.lit(" lo")))).otherwise(F.array().cast("array<string>"))
