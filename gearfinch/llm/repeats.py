@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .texts import as_bytes, chunks, mix, partitions, ranges, rolling, sliding_min
 
 CHUNK_BYTES = 2 << 20
+#: Bytes of an anchor's hash that are sent beside its bucket.
+KEPT = 5
 
 
 class Units:
@@ -71,8 +73,8 @@ _SEEDS = "bucket int, ids binary, counts binary, hashes binary"
 def shared_anchors(docs: DataFrame, units, n_buckets: int) -> DataFrame:
     """doc_id, anchors (array of blocks of hashes) of documents with anchors that another document has too.
 
-    docs: doc_id, text.  units: texts -> Units.  Hashes of a bucket keep their low 48 bits: two that are confused only
-    cost work, as windows are compared anew."""
+    docs: doc_id, text.  units: texts -> Units.  Hashes of a bucket keep their low five bytes, and go back to a document as
+    four: two that are confused only cost work, as windows are compared anew."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for serial, batch in enumerate(chunks(batches, "text", CHUNK_BYTES)):
@@ -102,7 +104,7 @@ def shared_anchors(docs: DataFrame, units, n_buckets: int) -> DataFrame:
         runs = first_of_runs(bucket, doc)
         counts = np.diff(np.append(runs, len(doc))).astype(np.int32)
         blocks = first_of_runs(bucket)
-        low = anchor.view(np.uint8).reshape(-1, 8)[:, :6]
+        low = anchor.view(np.uint8).reshape(-1, 8)[:, :KEPT]
         edges, run_edges = np.append(blocks, len(doc)), np.append(np.searchsorted(runs, blocks), len(runs))
         out = [(int(bucket[a]), doc[runs[i:j]].tobytes(), counts[i:j].tobytes(), low[a:b].tobytes()) for a, b, i, j in zip(edges[:-1], edges[1:], run_edges[:-1], run_edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "counts", "hashes"])
@@ -131,29 +133,26 @@ def aside(n_buckets: int, serial: int) -> int:
 
 def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids, counts, hashes = (b"".join(group.column(c).to_pylist()) for c in ("ids", "counts", "hashes"))
-    low = np.zeros((len(hashes) // 6, 8), np.uint8)
-    low[:, :6] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
+    low = np.zeros((len(hashes) // KEPT, 8), np.uint8)
+    low[:, :KEPT] = np.frombuffer(hashes, np.uint8).reshape(-1, KEPT)
     return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), low.view(np.uint64).ravel()
 
 
 def per_doc(doc: np.ndarray, h: np.ndarray) -> pa.Table:
     order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
+    doc, h = doc[order], h[order].astype(np.uint32)
     begin = first_of_runs(doc)
     edges = np.append(begin, len(doc))
     return pa.table({"doc_id": pa.array(doc[begin], pa.int64()), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
 
-LOW48 = np.uint64((1 << 48) - 1)
-
-
 def candidate(units: Units, anchors: list) -> np.ndarray:
     """Which windows have an anchor that their document shares; anchors: per text, a list of blocks of hashes."""
-    sets = [np.frombuffer(b"".join(x or []), np.uint64) for x in anchors]
+    sets = [np.frombuffer(b"".join(x or []), np.uint32) for x in anchors]
     text = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint64)
     salt = lambda t: mix(t.astype(np.uint64) + np.uint64(1))
-    known = np.unique(np.concatenate(sets) ^ salt(text)) if len(text) else np.zeros(0, np.uint64)
-    own = (units.anchor & LOW48) ^ salt(units.text)
+    known = np.unique(np.concatenate(sets).astype(np.uint64) ^ salt(text)) if len(text) else np.zeros(0, np.uint64)
+    own = units.anchor.astype(np.uint32).astype(np.uint64) ^ salt(units.text)
     first = first_of_runs(own)
     hit = np.isin(own[first], known)
     return np.repeat(hit, np.diff(np.append(first, len(own))))
@@ -165,6 +164,7 @@ def n_buckets_for(docs: DataFrame, bytes_a_bucket: int) -> int:
     return int(min(1 << 16, max(partitions(docs.sparkSession), -(-text_bytes(docs) // bytes_a_bucket))))
 
 
+_RUN = {"starts": np.int32, "lengths": np.int32, "sources": np.int64, "source_starts": np.int32}
 _RUNS = "doc_id long, starts binary, lengths binary, sources binary, source_starts binary"
 
 
@@ -177,19 +177,19 @@ def run_rows(doc: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.
     lengths = np.diff(np.append(begin, len(at)))
     docs = first_of_runs(doc[begin])
     edges = np.append(docs, len(begin))
+    columns = dict(zip(_RUN, (at[begin], lengths, source[begin], source_at[begin]), strict=True))
     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-    return pa.table({"doc_id": pa.array(doc[begin][docs], pa.int64()), "starts": cut(at[begin].astype(np.int64)), "lengths": cut(lengths.astype(np.int64)), "sources": cut(source[begin].astype(np.int64)), "source_starts": cut(source_at[begin].astype(np.int64))})
+    return pa.table({"doc_id": pa.array(doc[begin][docs], pa.int64())} | {c: cut(v.astype(_RUN[c])) for c, v in columns.items()})
 
 
 def by_doc(runs: DataFrame) -> DataFrame:
     """All runs of a document in one row."""
-    names = ["starts", "lengths", "sources", "source_starts"]
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("runs"))
+    return runs.groupBy("doc_id").agg(F.collect_list(F.struct(*_RUN)).alias("runs"))
 
 
 def read_runs(runs: list | None) -> list[np.ndarray]:
     """starts, lengths, sources, source_starts of a document's runs, by start; touching runs of one source joined."""
-    out = [np.frombuffer(b"".join(r[c] for r in runs or []), np.int64) for c in ("starts", "lengths", "sources", "source_starts")]
+    out = [np.frombuffer(b"".join(r[c] for r in runs or []), kind).astype(np.int64) for c, kind in _RUN.items()]
     order = np.lexsort((out[3], out[2], out[0]))
     starts, lengths, sources, source_starts = (x[order] for x in out)
     if len(starts):

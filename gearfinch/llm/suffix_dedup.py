@@ -32,7 +32,7 @@ from .texts import as_bytes, chunks, mix, plain, ranges, spans_of, table
 REACH, SEED = 50, 24
 SHARD_BYTES = 8 << 20
 
-_FRAGMENTS = "bucket int, docs binary, starts binary, lengths binary, anchors binary, bytes binary, sources binary, source_starts binary"
+_FRAGMENTS = "bucket int, n int, size long, docs binary, starts binary, lengths binary, anchors binary, bytes binary, sources binary, source_starts binary"
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +86,11 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             yield from _rows((anchor[sent] >> np.uint64(48)).astype(np.int64) % n, doc[sent], place[sent], lengths[sent], anchor[sent], buf, at[sent], None, None, reach)
 
     def sort(group: pa.Table) -> pa.Table:
-        doc, place, lengths = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("docs", "starts", "lengths"))
+        doc, place, lengths = (_opened(group, c) for c in ("docs", "starts", "lengths"))
         if group.column("bucket")[0].as_py() >= n:
-            source, source_at = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("sources", "source_starts"))
+            source, source_at = _opened(group, "sources"), _opened(group, "source_starts")
             return R.run_rows(np.repeat(doc, lengths), ranges(place, lengths), np.repeat(source, lengths), ranges(source_at, lengths))
-        buf = np.frombuffer(b"".join(group.column("bytes").to_pylist()) + bytes(8), np.uint8)
+        buf = np.concatenate([_opened(group, "bytes"), np.zeros(8, np.uint8)])
         sizes = lengths + reach - 1
         at = np.cumsum(sizes) - sizes
         least, copy = _equal_fragments(buf, at, lengths, doc, place, reach)
@@ -98,7 +98,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         found = [(np.repeat(doc[known], lengths[known]), ranges(place[known], lengths[known]), np.repeat(doc[least[known]], lengths[known]), ranges(place[least[known]], lengths[known]))]
         # an anchor with one distinct fragment left has nothing to be compared with
         own = np.flatnonzero(~copy)
-        _, which, many = np.unique(np.frombuffer(b"".join(group.column("anchors").to_pylist()), np.uint32)[own], return_inverse=True, return_counts=True)
+        _, which, many = np.unique(_anchors(group)[own], return_inverse=True, return_counts=True)
         own = own[many[which] > 1]
         text = buf[ranges(at[own], sizes[own])]
         starts = np.cumsum(sizes[own]) - sizes[own]
@@ -134,21 +134,49 @@ def _same_prefix(text: np.ndarray, order: np.ndarray, reach: int) -> np.ndarray:
     return equal
 
 
+_KINDS = {"docs": np.int64, "starts": np.int32, "lengths": np.int32, "bytes": np.uint8, "sources": np.int64, "source_starts": np.int32}
+
+
+def _opened(group: pa.Table, column: str) -> np.ndarray:
+    """A compressed column of all rows of a shard, as one array."""
+    codec, kind = pa.Codec("zstd"), np.dtype(_KINDS[column])
+    sizes = group.column("size").to_pylist() if column == "bytes" else [kind.itemsize * k for k in group.column("n").to_pylist()]
+    parts = [np.frombuffer(codec.decompress(x, size), kind) for x, size in zip(group.column(column).to_pylist(), sizes, strict=True)]
+    return np.concatenate(parts) if column == "bytes" else np.concatenate(parts).astype(np.int64)
+
+
+def _anchors(group: pa.Table) -> np.ndarray:
+    three = np.frombuffer(b"".join(group.column("anchors").to_pylist()), np.uint8).reshape(-1, 3)
+    return three[:, 0].astype(np.uint32) | three[:, 1].astype(np.uint32) << 8 | three[:, 2].astype(np.uint32) << 16
+
+
 def _rows(bucket, doc, place, lengths, anchor, buf, at, source, source_at, reach) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket; columns compressed, three bytes of each anchor."""
     if not len(doc):
         return
+    codec = pa.Codec("zstd", 3)
     order = np.argsort(bucket, kind="stable")
-    bucket, doc, place, lengths = bucket[order], doc[order].astype(np.int64), place[order].astype(np.int64), lengths[order].astype(np.int64)
+    bucket, doc, place, lengths = bucket[order], doc[order], place[order], lengths[order]
     edges = np.append(R.first_of_runs(bucket), len(bucket)).tolist()
-    cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    none = [b""] * (len(edges) - 1)
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    pack = lambda x, name: [codec.compress(x[a:b].astype(_KINDS[name]).tobytes(), asbytes=True) for a, b in spans]
+    none, total = [b""] * len(spans), [0] * len(spans)
+    content = anchors = sources = source_starts = none
     if buf is not None:
         sizes = lengths + reach - 1
-        content = buf[ranges(at[order], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        content = [content[ends[a] : ends[b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    columns = [cut(doc), cut(place), cut(lengths), cut(anchor[order].astype(np.uint32)) if buf is not None else none, content if buf is not None else none, none if source is None else cut(source[order].astype(np.int64)), none if source is None else cut(source_at[order].astype(np.int64))]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "docs", "starts", "lengths", "anchors", "bytes", "sources", "source_starts"])
+        whole = buf[ranges(at[order], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        total = [ends[b] - ends[a] for a, b in spans]
+        content = [codec.compress(whole[ends[a] : ends[b]].tobytes(), asbytes=True) for a, b in spans]
+        low = np.ascontiguousarray(anchor[order]).view(np.uint8).reshape(-1, 8)[:, :3]
+        anchors = [low[a:b].tobytes() for a, b in spans]
+    else:
+        sources, source_starts = pack(source[order], "sources"), pack(source_at[order], "source_starts")
+    columns = [pack(doc, "docs"), pack(place, "starts"), pack(lengths, "lengths"), anchors, content, sources, source_starts]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array([b - a for a, b in spans], pa.int32()), pa.array(total, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
+        ["bucket", "n", "size", "docs", "starts", "lengths", "anchors", "bytes", "sources", "source_starts"],
+    )
 
 
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
