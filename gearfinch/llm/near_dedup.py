@@ -5,10 +5,11 @@ functions the SAMPLES least labelled k-mers are kept in text order; documents th
 candidates.  As the order is kept, the sketch follows edit similarity rather than set similarity.  Candidates are
 verified by aligning their words inside a band: the edit distance must be at most (1 - similarity) of the longer text.
 
-Equal texts are one node.  In each group of nodes with the same tuple all are linked to the group's least node first
-(no pairs within a group); only nodes that fail this are compared with the others of their groups, in blocks, after an
-exact lower bound on the edit distance (word histograms).  Classes are the connected components, found by
-label passing over stored tables.
+Equal texts are one node.  In each group of nodes with the same tuple all are held against the group's least node, its
+hub, and not against each other: first each node against the least of its hubs, then the pairs of node and hub that
+still lie in different classes.  Only nodes that are not in their hub's class then are compared with the members of
+their groups outside their class, in blocks, after an exact lower bound on the edit distance (word histograms).
+Classes are the connected components, found by label passing over stored tables.
 
 Null text counts as empty; texts without words are duplicates only of equal texts.  Ids may be null or repeated: a class
 is named by its least id, null if all are null.  A text shorter than a k-mer is one k-mer.  Equal texts are recognised by
@@ -233,22 +234,30 @@ def close_enough(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataF
 
 
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Stored nodes (node, n, hist, keys) and links (a, b).  texts: node, text."""
+    """Stored nodes (node, n, hist, keys) and roots (node, root) of the classes.  texts: node, text."""
     nodes = stored(sketches(texts).dropDuplicates(["node"]), "near-nodes")
     bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = bands.join(hubs, ["band", "key"])
-    star = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = stored(close_enough(star, nodes, similarity), "near-candidates")
-    found = stored(aligned(texts, near, similarity), "near-links")
-    # the rest: members that are not linked to their hub meet all others of their group, in blocks
-    failed = stored(member.where("node <> hub").join(found.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("band", "key", "node").distinct(), "near-failed")
+    member = bands.join(hubs, ["band", "key"]).where("node <> hub")
+    star = stored(member.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    # first every node with the least of its hubs, which joins most classes; then what still lies between two classes
+    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
+    roots = components(found)
+    between = apart(star, roots).join(first, ["a", "b"], "left_anti")
+    more = stored(aligned(texts, close_enough(between, nodes, similarity), similarity), "near-links")
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        roots = components(found)
+    # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
+    unlinked = apart(star, roots).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    failed = stored(member.join(unlinked, ["hub", "node"], "left_semi").select("band", "key", "node").distinct(), "near-failed")
     n = failed.groupBy("band", "key").agg(F.count("*").alias("n_failed"))
     queries = failed.join(n, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_failed") / BLOCK)))
-    others = member.where("node <> hub").join(n, ["band", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
+    others = member.join(n, ["band", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
     others = others.withColumn("slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (4 * BLOCK))))
     queries = queries.join(hubs.select("band", "key", "size"), ["band", "key"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (4 * BLOCK)) - 1)))
-    facts = nodes.select("node", "n", "hist")
+    facts = nodes.join(roots, "node", "left").select("node", "n", "hist", F.coalesce("root", "node").alias("root"))
     on = ["band", "key", "block", "slice"]
     both = others.select(*on, "node", F.lit(False).alias("query")).unionByName(queries.select(*on, "node", F.lit(True).alias("query"))).join(facts, "node")
 
@@ -256,20 +265,29 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         query = group.column("query").to_numpy()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         hist = np.frombuffer(b"".join(group.column("hist").to_pylist()), np.uint16).reshape(-1, BINS)
+        root = group.column("root").to_numpy()
         rest = np.flatnonzero(~query)
         a, b = [], []
         for i in np.flatnonzero(query):
-            hit = rest[may_be_similar(n[i], hist[i], n[rest], hist[rest], similarity) & (node[rest] != node[i])]
+            hit = rest[may_be_similar(n[i], hist[i], n[rest], hist[rest], similarity) & (root[rest] != root[i])]
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    rest = both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct()
-    rest = stored(rest.join(near, ["a", "b"], "left_anti"), "near-rest")
+    rest = stored(both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
-        found = found.unionByName(stored(aligned(texts, rest, similarity), "near-links"))
-    return nodes, found
+        last = stored(aligned(texts, rest, similarity), "near-links")
+        if not last.isEmpty():
+            roots = components(found.unionByName(last))
+    return nodes, roots
+
+
+def apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between different classes."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    joined = edges.join(a, "a", "left").join(b, "b", "left")
+    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,8 +311,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
-    _, found = links(texts, similarity)
-    root = components(found)
+    _, root = links(texts, similarity)
     labelled = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(per, "root").select("doc_id", "node", "class_id", "class_size")
@@ -307,9 +324,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns: of each class the one with the least id (null last)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    _, found = links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), similarity)
+    _, root = links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"))
-    root = components(found)
     per = rows.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "node")).alias("best"))
     keep = stored(per.select(F.col("best.id").alias("__id"), F.col("best.node").alias("__node")), "near-kept")
     joined = docs.withColumn("__key", F.xxhash64(text)).join(keep, (F.col("__key") == F.col("__node")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
