@@ -71,7 +71,7 @@ _SEEDS = "bucket int, ids binary, counts binary, hashes binary"
 
 
 def shared_anchors(docs: DataFrame, units, n_buckets: int) -> DataFrame:
-    """doc_id, anchors (array of blocks of hashes) of documents with anchors that another document has too.
+    """doc_id, anchors (hashes) of documents with anchors that another document has too.
 
     docs: doc_id, text.  units: texts -> Units.  Hashes of a bucket keep their low five bytes, and go back to a document as
     four: two that are confused only cost work, as windows are compared anew."""
@@ -112,18 +112,17 @@ def shared_anchors(docs: DataFrame, units, n_buckets: int) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         doc, h = unpacked(group)
         if group.column("bucket")[0].as_py() >= n_buckets:
-            return per_doc(doc, h)
+            return per_part(n_buckets, doc, {"anchors": h.astype(np.uint32)})
         order = np.lexsort((doc, h))
         doc, h = doc[order], h[order]
         begin = first_of_runs(h)
         sizes = np.diff(np.append(begin, len(h)))
         several = np.repeat(doc[begin] != doc[begin + sizes - 1], sizes) if len(h) else np.zeros(0, bool)
-        return per_doc(doc[several], h[several])
+        return per_part(n_buckets, doc[several], {"anchors": h[several].astype(np.uint32)})
 
     sent = docs.mapInArrow(seeds, _SEEDS)
-    layout = "doc_id long, anchors binary"
-    joined = sent.groupBy("bucket").applyInArrow(join, layout)
-    return joined.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    joined = sent.groupBy("bucket").applyInArrow(join, "part int, docs binary, anchors binary")
+    return of_each_doc(joined, {"anchors": np.uint32})
 
 
 def aside(n_buckets: int, serial: int) -> int:
@@ -138,17 +137,35 @@ def unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), low.view(np.uint64).ravel()
 
 
-def per_doc(doc: np.ndarray, h: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order].astype(np.uint32)
-    begin = first_of_runs(doc)
-    edges = np.append(begin, len(doc))
-    return pa.table({"doc_id": pa.array(doc[begin], pa.int64()), "anchors": pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+def per_part(n: int, doc: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """What a bucket knows of many documents, dealt to n parts by document: a row for each part, not for each document."""
+    part = (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    edges = np.append(first_of_runs(part[order]), len(order)).tolist()
+    cut = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+    return pa.table({"part": pa.array(part[order][edges[:-1]], pa.int32()), "docs": cut(doc.astype(np.int64))} | {c: cut(x) for c, x in columns.items()})
+
+
+def of_each_doc(parts: DataFrame, kinds: dict[str, type]) -> DataFrame:
+    """doc_id and the bytes of each column's values, a row for each document."""
+
+    def collect(group: pa.Table) -> pa.Table:
+        doc = np.frombuffer(b"".join(group.column("docs").to_pylist()), np.int64)
+        order = np.argsort(doc, kind="stable")
+        begin = first_of_runs(doc[order])
+        edges = np.append(begin, len(doc)).tolist()
+        out = {"doc_id": pa.array(doc[order][begin], pa.int64())}
+        for c, kind in kinds.items():
+            x = np.frombuffer(b"".join(group.column(c).to_pylist()), kind)[order]
+            out[c] = pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        return pa.table(out)
+
+    return parts.groupBy("part").applyInArrow(collect, "doc_id long, " + ", ".join(f"{c} binary" for c in kinds))
 
 
 def candidate(units: Units, anchors: list) -> np.ndarray:
-    """Which windows have an anchor that their document shares; anchors: per text, a list of blocks of hashes."""
-    sets = [np.frombuffer(b"".join(x or []), np.uint32) for x in anchors]
+    """Which windows have an anchor that their document shares; anchors: per text, the bytes of their hashes."""
+    sets = [np.frombuffer(x or b"", np.uint32) for x in anchors]
     text = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint64)
     salt = lambda t: mix(t.astype(np.uint64) + np.uint64(1))
     known = np.unique(np.concatenate(sets).astype(np.uint64) ^ salt(text)) if len(text) else np.zeros(0, np.uint64)
@@ -165,31 +182,28 @@ def n_buckets_for(docs: DataFrame, bytes_a_bucket: int) -> int:
 
 
 _RUN = {"starts": np.int32, "lengths": np.int32, "sources": np.int64, "source_starts": np.int32}
-_RUNS = "doc_id long, starts binary, lengths binary, sources binary, source_starts binary"
+_RUNS = "part int, docs binary, starts binary, lengths binary, sources binary, source_starts binary"
 
 
-def run_rows(doc: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> pa.Table:
+def run_rows(n: int, doc: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> pa.Table:
     """Windows that repeat one of an earlier document, as runs of consecutive windows with consecutive sources."""
     order = np.lexsort((at, doc))
     doc, at, source, source_at = doc[order], at[order], source[order], source_at[order]
     line = np.arange(len(at))
     begin = first_of_runs(doc, source, at - line, source_at - line)
     lengths = np.diff(np.append(begin, len(at)))
-    docs = first_of_runs(doc[begin])
-    edges = np.append(docs, len(begin))
-    columns = dict(zip(_RUN, (at[begin], lengths, source[begin], source_at[begin]), strict=True))
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-    return pa.table({"doc_id": pa.array(doc[begin][docs], pa.int64())} | {c: cut(v.astype(_RUN[c])) for c, v in columns.items()})
+    columns = zip(_RUN, (at[begin], lengths, source[begin], source_at[begin]), strict=True)
+    return per_part(n, doc[begin], {c: v.astype(_RUN[c]) for c, v in columns})
 
 
 def by_doc(runs: DataFrame) -> DataFrame:
     """All runs of a document in one row."""
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct(*_RUN)).alias("runs"))
+    return of_each_doc(runs, _RUN).select("doc_id", F.struct(*_RUN).alias("runs"))
 
 
-def read_runs(runs: list | None) -> list[np.ndarray]:
+def read_runs(runs: dict | None) -> list[np.ndarray]:
     """starts, lengths, sources, source_starts of a document's runs, by start; touching runs of one source joined."""
-    out = [np.frombuffer(b"".join(r[c] for r in runs or []), kind).astype(np.int64) for c, kind in _RUN.items()]
+    out = [np.frombuffer(runs[c] if runs else b"", kind).astype(np.int64) for c, kind in _RUN.items()]
     order = np.lexsort((out[3], out[2], out[0]))
     starts, lengths, sources, source_starts = (x[order] for x in out)
     if len(starts):

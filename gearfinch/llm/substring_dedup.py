@@ -60,13 +60,13 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         doc, at, window = _unpacked(group)
         if group.column("bucket")[0].as_py() >= n:
             source, source_at, lengths = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("sources", "source_starts", "lengths"))
-            return R.run_rows(doc, at, np.repeat(source, lengths), ranges(source_at, lengths))
+            return R.run_rows(n, doc, at, np.repeat(source, lengths), ranges(source_at, lengths))
         order = np.lexsort((at, doc, window))
         doc, at, window = doc[order], at[order], window[order]
         first = R.first_of_runs(window)
         least = np.repeat(first, np.diff(np.append(first, len(window))))
         later = doc != doc[least]
-        return R.run_rows(doc[later], at[later], doc[least[later]], at[least[later]])
+        return R.run_rows(n, doc[later], at[later], doc[least[later]], at[least[later]])
 
     layout = "bucket int, docs binary, starts binary, lengths binary, windows binary, sources binary, source_starts binary"
     found = docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(windows, layout)

@@ -89,7 +89,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         doc, place, lengths = (_opened(group, c) for c in ("docs", "starts", "lengths"))
         if group.column("bucket")[0].as_py() >= n:
             source, source_at = _opened(group, "sources"), _opened(group, "source_starts")
-            return R.run_rows(np.repeat(doc, lengths), ranges(place, lengths), np.repeat(source, lengths), ranges(source_at, lengths))
+            return R.run_rows(n, np.repeat(doc, lengths), ranges(place, lengths), np.repeat(source, lengths), ranges(source_at, lengths))
         buf = np.concatenate([_opened(group, "bytes"), np.zeros(8, np.uint8)])
         sizes = lengths + reach - 1
         at = np.cumsum(sizes) - sizes
@@ -117,7 +117,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             later = own_doc[rank] != own_doc[source]
             rank, source = rank[later], source[later]
             found.append((own_doc[rank], own_place[rank], own_doc[source], own_place[source]))
-        return R.run_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return R.run_rows(n, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     found = docs.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(cut, _FRAGMENTS)
     return R.by_doc(found.groupBy("bucket").applyInArrow(sort, R._RUNS))
