@@ -100,33 +100,31 @@ def hypergeometric(left: Column, right: Column, drawn: Column, u: Column) -> Col
     return let(let(given, bounds), lambda s: F.when(s["high"] <= s["low"], s["low"]).otherwise(walk(s))).cast("long")
 
 
-def _pair_sum(below: Column):
-    return lambda i: below[2 * i] + below[2 * i + 1]
+def _left_share(depth: int, level: int):
+    """The left share of node i of a level, from the sums of the leaves below its two children."""
+    width = 1 << (depth - level - 1)
+    name, leaves, quotas = F.coalesce(F.col("source"), F.lit("\u0000")), F.col("leaves"), F.col("quotas")
 
+    def below(child: Column) -> Column:
+        return F.aggregate(F.slice(leaves, child * width + 1, F.lit(width)), F.lit(0).cast("long"), lambda a, x: a + x)
 
-def _left_share(below: Column, quotas: Column, level: int):
-    name = F.coalesce(F.col("source"), F.lit("\u0000"))
-    return lambda i: hypergeometric(below[2 * i], below[2 * i + 1], quotas[i], uniform(F.lit("node"), name, F.lit(level), i))
+    return lambda i: hypergeometric(below(2 * i), below(2 * i + 1), quotas[i], uniform(F.lit("node"), name, F.lit(level), i))
 
 
-def _both_shares(quotas: Column):
-    return lambda left, i: F.array(left, quotas[i] - left)
+def _both_shares(left: Column, i: Column) -> Column:
+    return F.array(left, F.col("quotas")[i] - left)
 
 
 def split_quotas(counts: DataFrame, depth: int) -> DataFrame:
-    """source, quotas: the shard quotas of each source.  counts: source, quota, leaves (blocks in each shard)."""
-    sums, tree = {depth: "leaves"}, counts
-    nodes = lambda level: F.sequence(F.lit(0), F.lit((1 << level) - 1))
-    for level in range(depth - 1, -1, -1):
-        below = F.col(sums[level + 1])
-        tree = tree.withColumn(f"n{level}", F.transform(nodes(level), _pair_sum(below)))
-        sums[level] = f"n{level}"
-    tree = tree.withColumn("q", F.array("quota"))
+    """source, quotas: the shard quotas of each source.  counts: source, quota, leaves (blocks in each shard).
+
+    One small stored table for each level: nested in one plan, the levels would multiply each other's expressions."""
+    tree = counts.select("source", "leaves", F.array("quota").alias("quotas"))
     for level in range(depth):
-        below, q = F.col(sums[level + 1]), F.col("q")
-        tree = tree.withColumn("h", F.transform(nodes(level), _left_share(below, q, level)))
-        tree = tree.withColumn("q", F.flatten(F.transform("h", _both_shares(q))))
-    return tree.select("source", F.col("q").alias("quotas"))
+        nodes = F.sequence(F.lit(0), F.lit((1 << level) - 1))
+        tree = stored(tree.withColumn("left", F.transform(nodes, _left_share(depth, level))), "mix-level")
+        tree = tree.select("source", "leaves", F.flatten(F.transform("left", _both_shares)).alias("quotas"))
+    return tree.select("source", "quotas")
 
 
 def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
