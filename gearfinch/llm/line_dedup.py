@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .repeats import CHUNK_BYTES, aside, first_of_runs, n_buckets_for
-from .texts import Words, as_bytes, chunks, mix, stored, table
+from .texts import Words, as_bytes, chunks, mix, plain, stored, table
 
 THRESHOLD = 0.8
 SLOT_BITS, BLOCK_BITS = 24, 16
@@ -35,7 +36,7 @@ BUCKET_BYTES = 8 << 20
 #: Partners that a later line proposes for each word in the first round.
 PROPOSED = 2
 
-_ENTRY = [("token", np.uint64), ("digest", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32)]
+_ENTRY = [("token", np.uint64), ("digest", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("prev", np.uint32)]
 
 
 def at_least(share: float, n: np.ndarray) -> np.ndarray:
@@ -95,15 +96,18 @@ class Lines:
 def _entries(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if not len(bucket):
         return
+    codec = pa.Codec("zstd", 3)
     order = np.argsort(bucket, kind="stable")
-    edges = np.append(first_of_runs(bucket[order]), len(bucket))
+    edges = np.append(first_of_runs(bucket[order]), len(bucket)).tolist()
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
     parts = [c[order].astype(t) for c, (_, t) in zip(columns, _ENTRY, strict=True)]
-    cut = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for c in parts]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]].astype(np.int32)), *cut], ["bucket", *(n for n, _ in _ENTRY)])
+    cut = [pa.array([codec.compress(c[a:b].tobytes(), asbytes=True) for a, b in spans], pa.binary()) for c in parts]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]].astype(np.int32)), pa.array([b - a for a, b in spans], pa.int32()), *cut], ["bucket", "size", *(n for n, _ in _ENTRY)])
 
 
 def _read(group: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in _ENTRY]
+    codec, sizes = pa.Codec("zstd"), group.column("size").to_pylist()
+    return [np.concatenate([np.frombuffer(codec.decompress(x, n * np.dtype(t).itemsize), t) for x, n in zip(group.column(name).to_pylist(), sizes, strict=True)]) for name, t in _ENTRY]
 
 
 _PAIRS = "b_doc long, b_line int, a_doc long, a_line int, more boolean"
@@ -113,10 +117,9 @@ def _pairs(b_doc, b_line, a_doc, a_line, more) -> pa.Table:
     return pa.table({"b_doc": pa.array(b_doc, pa.int64()), "b_line": pa.array(b_line, pa.int32()), "a_doc": pa.array(a_doc, pa.int64()), "a_line": pa.array(a_line, pa.int32()), "more": pa.array(more, pa.bool_())})
 
 
-def partners(token, digest, bits, doc, line, n, pos, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def partners(token, bits, n, pos, prev, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later, earlier, whether there are more) of entries sorted by token, doc, line, that pass all filters; the
     `most` earliest for each later entry."""
-    count = bits_set(bits)
     begin = first_of_runs(token)
     sizes = np.diff(np.append(begin, len(token)))
     out = []
@@ -129,7 +132,7 @@ def partners(token, digest, bits, doc, line, n, pos, threshold: float, most: int
     d = 1
     while len(alive):
         i, j = alive, alive - d
-        keep = fits(i, j, bits, count, n, pos, threshold)
+        keep = fits(i, j, bits, n, pos, prev, threshold)
         later.append(i[keep])
         earlier.append(j[keep])
         d += 1
@@ -146,7 +149,7 @@ def partners(token, digest, bits, doc, line, n, pos, threshold: float, most: int
     for a, size in zip(begin[~small].tolist(), sizes[~small].tolist(), strict=True):
         for i in range(a + 1, a + size):
             j = np.arange(a, i)
-            j = j[fits(i, j, bits, count, n, pos, threshold)]
+            j = j[fits(i, j, bits, n, pos, prev, threshold)]
             if len(j):
                 k = min(most, len(j))
                 out.append((np.full(k, i), j[:k], np.full(k, len(j) > most)))
@@ -159,14 +162,15 @@ def bits_set(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def fits(i, j, bits, count, n, pos, threshold: float):
-    """Length, positional and bitmap filters: bounds on the overlap that no similar pair misses."""
+def fits(i, j, bits, n, pos, prev, threshold: float):
+    """Length, positional and bitmap filters: bounds on the overlap that no similar pair misses.  A pair whose words
+    before this one are equal too has been met there."""
     ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
     need = at_least(threshold / (1 + threshold), ni + nj)
     # words before a place are rarer: at most min(pos) of them are shared, and at most the lesser rest after it
     bound = np.minimum(pos[i], pos[j]) + 1 + np.minimum(ni - pos[i], nj - pos[j]) - 1
     apart = bits_set(bits[i] ^ bits[j])
-    return (np.minimum(ni, nj) >= at_least(threshold, np.maximum(ni, nj))) & (bound >= need) & (apart <= ni + nj - 2 * need)
+    return ((prev[i] == 0) | (prev[i] != prev[j])) & (np.minimum(ni, nj) >= at_least(threshold, np.maximum(ni, nj))) & (bound >= need) & (apart <= ni + nj - 2 * need)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,7 +191,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             stays = np.ones(len(doc), bool)
             stays[gone] = False
             zero = np.zeros(len(gone), np.uint64)
-            yield from _entries(np.full(len(gone), aside(n_buckets, serial)), [zero, zero, zero, doc[gone], lines.number[gone], zero, zero])
+            yield from _entries(np.full(len(gone), aside(n_buckets, serial)), [zero, zero, zero, doc[gone], lines.number[gone], zero, zero, zero])
             size = np.where(stays, lines.n - at_least(threshold, lines.n) + 1, 0)
             of = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
@@ -195,89 +199,141 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             some = lines.levels[at] > 1
             of, pos, at = of[some], pos[some], at[some]
             token = lines.tokens[at]
-            yield from _entries((token >> np.uint64(40)).astype(np.int64) % n_buckets, [token, lines.digest[of], lines.bits[of], doc[of], lines.number[of], lines.n[of], pos])
+            # four bytes of the line's word sent before this one; 0 for the first
+            prev = np.zeros(len(token), np.uint64)
+            prev[1:] = np.where(of[1:] == of[:-1], token[:-1] % np.uint64(0xFFFFFFFF) + np.uint64(1), np.uint64(0))
+            yield from _entries((token >> np.uint64(40)).astype(np.int64) % n_buckets, [token, lines.digest[of], lines.bits[of], doc[of], lines.number[of], lines.n[of], pos, prev])
 
     def propose(most: int):
         def run(group: pa.Table) -> pa.Table:
-            token, digest, bits, doc, line, n, pos = _read(group)
+            token, digest, bits, doc, line, n, pos, prev = _read(group)
             if group.column("bucket")[0].as_py() >= n_buckets:
                 return _pairs(doc, line, *[pa.nulls(len(doc), t) for t in (pa.int64(), pa.int32())], np.zeros(len(doc), bool))
             order = np.lexsort((line, doc, n, digest, token))
-            token, digest, n_, doc_, line_ = (x[order] for x in (token, digest, n, doc, line))
+            token, digest, n_, doc_, line_, prev_ = (x[order] for x in (token, digest, n, doc, line, prev))
             first = first_of_runs(token, digest, n_)
             least = np.repeat(first, np.diff(np.append(first, len(token))))
             copy = (doc_ != doc_[least]) | (line_ != line_[least])
+            # copies are told once, from the first word that they sent
+            copy &= prev_ == 0
             same = _pairs(doc_[copy], line_[copy], *[pa.nulls(int(copy.sum()), t) for t in (pa.int64(), pa.int32())], np.zeros(int(copy.sum()), bool))
             kept = order[first]
-            token, doc, line, n, pos, bits = token[first], doc[kept], line[kept], n[kept], pos[kept], bits[kept]
+            token, doc, line, n, pos, bits, prev = token[first], doc[kept], line[kept], n[kept], pos[kept], bits[kept], prev[kept]
             order = np.lexsort((line, doc, token))
-            token, doc, line, n, pos, bits = (x[order] for x in (token, doc, line, n, pos, bits))
-            i, j, more = partners(token, None, bits, doc, line, n, pos, threshold, most)
+            token, doc, line, n, pos, bits, prev = (x[order] for x in (token, doc, line, n, pos, bits, prev))
+            i, j, more = partners(token, bits, n, pos, prev, threshold, most)
             return pa.concat_tables([same, _pairs(doc[i], line[i], doc[j], line[j], more)])
 
         return run
 
-    layout = "bucket int, " + ", ".join(f"{n} binary" for n, _ in _ENTRY)
+    layout = "bucket int, size int, " + ", ".join(f"{n} binary" for n, _ in _ENTRY)
     sent = docs.mapInArrow(prefixes, layout)
     proposed = sent.groupBy("bucket").applyInArrow(propose(PROPOSED), _PAIRS)
     proposed = stored(proposed.groupBy("b_doc", "b_line", "a_doc", "a_line").agg(F.max("more").alias("more")), "line-pairs")
     sure = proposed.where("a_doc IS NULL").select("b_doc", "b_line").distinct()
-    open_ = proposed.where("a_doc IS NOT NULL").join(sure, ["b_doc", "b_line"], "left_anti")
-    verified = stored(verify(docs, open_.select("b_doc", "b_line", "a_doc", "a_line"), threshold), "line-verified")
+    open_ = stored(proposed.where("a_doc IS NOT NULL").join(sure, ["b_doc", "b_line"], "left_anti"), "line-open")
+    packed_ = packed(docs)
+    # the earliest partner of each line first, then what is left
+    first = open_.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("b_doc", "b_line", "a.a_doc", "a.a_line")
+    verified = stored(verify(packed_, first, threshold), "line-verified")
+    more = open_.join(verified, ["b_doc", "b_line"], "left_anti").join(first, ["b_doc", "b_line", "a_doc", "a_line"], "left_anti")
+    more = stored(more, "line-open")
+    if not more.isEmpty():
+        verified = verified.unionByName(stored(verify(packed_, more.drop("more"), threshold), "line-verified"))
     gone = sure.unionByName(verified)
-    left = stored(open_.groupBy("b_doc", "b_line").agg(F.max("more").alias("more")).where("more").join(verified, ["b_doc", "b_line"], "left_anti").select("b_doc", "b_line"), "line-open")
+    left = stored(open_.groupBy("b_doc", "b_line").agg(F.max("more").alias("more")).where("more").join(verified, ["b_doc", "b_line"], "left_anti").select("b_doc", "b_line"), "line-left")
     if not left.isEmpty():
         # the exact way for the rest: every partner of these lines, which alone are verified
         every = sent.groupBy("bucket").applyInArrow(propose(1 << 60), _PAIRS).where("a_doc IS NOT NULL").join(left, ["b_doc", "b_line"], "left_semi")
-        gone = gone.unionByName(stored(verify(docs, every.select("b_doc", "b_line", "a_doc", "a_line").distinct(), threshold), "line-rest"))
+        every = every.select("b_doc", "b_line", "a_doc", "a_line").distinct().join(open_, ["b_doc", "b_line", "a_doc", "a_line"], "left_anti")
+        gone = gone.unionByName(stored(verify(packed_, every, threshold), "line-rest"))
     return gone.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """b_doc, b_line of pairs whose word sets are similar."""
+def _pack(texts: pa.Array) -> pa.Array:
+    """Texts with their lengths in front, compressed: this is what is shuffled."""
+    codec = pa.Codec("zstd", 3)
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _unpack(column: pa.Array) -> list[bytes | None]:
+    codec = pa.Codec("zstd")
+    return [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with text replaced by its compressed bytes, z."""
+    pack = F.arrow_udf(_pack, T.BinaryType())
+    return docs.withColumn("z", pack(F.col("text"))).drop("text")
+
+
+def verify(packed_docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """b_doc, b_line of pairs whose word sets are similar.  The later line's set travels to the earlier line's document."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", CHUNK_BYTES):
-            wanted = batch.column(2).to_pylist()
-            lines = Lines(as_bytes(batch.column(1)), None)
-            ids = batch.column(0).to_pylist()
-            want = [set(x) for x in wanted]
-            edges = np.append(lines.first, len(lines.tokens))
-            take = [k for k in range(len(lines.n)) if lines.number[k] in want[lines.text[k]]]
-            if take:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lines.text[k]] for k in take], pa.int64()), pa.array([lines.number[k] for k in take], pa.int32()), pa.array([lines.tokens[edges[k] : edges[k + 1]].tobytes() for k in take], pa.binary())], ["doc", "line", "words"])
-
-    need = pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).union(pairs.select("a_doc", "a_line")).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    found = docs.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "lines").mapInArrow(sets, "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    a = found.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a"))
-    b = found.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [x or b"" for x in _unpack(part.column(1))]
+                lines = Lines(texts, None)
+                edges = np.append(lines.first, len(lines.tokens)).tolist()
+                where = {key: k for k, key in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
+                rows = []
+                for i, (doc, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    for w in wanted:
+                        k = where.get((i, w["b_line"]))
+                        if k is not None:
+                            rows.append((w["a_doc"], w["a_line"], doc, w["b_line"], np.sort(lines.tokens[edges[k] : edges[k + 1]]).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["a_doc", "a_line", "b_doc", "b_line", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, own = None, {}
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a_doc, a_line, z, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True):
+                if a_doc != doc:
+                    lines = Lines([_unpack(pa.array([z], pa.binary()))[0] or b""], None)
+                    edges = np.append(lines.first, len(lines.tokens)).tolist()
+                    doc, own = a_doc, {n: lines.tokens[edges[k] : edges[k + 1]] for k, n in enumerate(lines.number.tolist())}
+                x, y = own.get(a_line, np.zeros(0, np.uint64)), np.frombuffer(words, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).select("b_doc", "b_line", "a", "b")
+    need = pairs.groupBy(F.col("b_doc").alias("doc_id")).agg(F.collect_list(F.struct("b_line", "a_doc", "a_line")).alias("wanted"))
+    sent = packed_docs.join(need, "doc_id").select("doc_id", "z", "wanted").mapInArrow(sets, "a_doc long, a_line int, b_doc long, b_line int, words binary")
+    joined = sent.join(packed_docs.withColumnRenamed("doc_id", "a_doc"), "a_doc").select("a_doc", "a_line", "b_doc", "b_line", "z", "words")
     return joined.mapInArrow(compare, "b_doc long, b_line int").distinct()
 
 
+def _cut(z: pa.Array, gone: pa.Array) -> pa.Array:
+    """text, n_lines and n_removed of compressed texts and the numbers of lines that go."""
+    texts, n_lines, n_removed = [], [], []
+    for x, own in zip(_unpack(z), gone.to_pylist(), strict=True):
+        lines = (x or b"").split(b"\n")
+        n_lines.append(sum(1 for line in lines if line.strip()))
+        n_removed.append(len(own or ()))
+        if own:
+            drop = set(own)
+            x = b"\n".join(line for i, line in enumerate(lines) if i not in drop)
+        texts.append(x)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
+
+
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All columns of docs, text without the removed lines, and n_lines and n_removed (lines with words)."""
+    """All columns of docs, text without the removed lines, and __n_lines and __n_removed (lines with words)."""
     by_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    n = F.size(F.filter(parts, lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0))
-    return joined.withColumns({"__n_lines": n.cast("long"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: kept}).drop("__gone", "__id")
+    rows = docs.withColumn("__z", F.arrow_udf(_pack, T.BinaryType())(F.col(text_col).cast("string"))).drop(text_col)
+    joined = rows.join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    cut = joined.withColumn("__cut", F.arrow_udf(_cut, kind)(F.col("__z"), F.col("__gone")))
+    return cut.select(*(F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("__cut.n_lines").alias("__n_lines"), F.col("__cut.n_removed").alias("__n_removed"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that stays, and __n_lines and __n_removed."""
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    known = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
     return without_lines(docs, removed_lines(known, threshold), id_col, text_col)
 
 
