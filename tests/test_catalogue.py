@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import gearfinch.plans.legacy_queries  # noqa: F401
 import gearfinch.plans.lifecycle_queries  # noqa: F401
+import gearfinch.plans.rerank_queries  # noqa: F401
 from gearfinch.functions import text as T
 from gearfinch.operators import scoring as S
 from gearfinch.operators import vectors as V
