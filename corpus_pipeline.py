@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gearfinch.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from gearfinch.llm.texts import stored, table
+from gearfinch.llm.texts import small_batches, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier one go from the texts; all documents stay.  n_chars follows the new text."""
+    small_batches(spark)
     found = line_dedup.deduplicated(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -32,6 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the least id."""
+    small_batches(spark)
     return near_dedup.one_of_each(docs)
 
 

@@ -197,5 +197,14 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(as_is(id_col, "doc_id", "bigint"), as_is(text_col, "text", "string"))
 
 
+#: Rows in a batch that goes to Python: texts can be long, and a batch is held whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
