@@ -243,12 +243,11 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     # first every node with the least of its hubs, which joins most classes; then what still lies between two classes
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
-    roots = components(found)
+    roots = forest(found)
     between = apart(star, roots).join(first, ["a", "b"], "left_anti")
     more = stored(aligned(texts, close_enough(between, nodes, similarity), similarity), "near-links")
     if not more.isEmpty():
-        found = found.unionByName(more)
-        roots = components(found)
+        roots = merged(roots, more)
     # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
     unlinked = apart(star, roots).select(F.col("a").alias("hub"), F.col("b").alias("node"))
     failed = stored(member.join(unlinked, ["hub", "node"], "left_semi").select("band", "key", "node").distinct(), "near-failed")
@@ -279,7 +278,7 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     if not rest.isEmpty():
         last = stored(aligned(texts, rest, similarity), "near-links")
         if not last.isEmpty():
-            roots = components(found.unionByName(last))
+            roots = merged(roots, last)
     return nodes, roots
 
 
@@ -290,6 +289,27 @@ def apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """node, root for edges (a, b) in which every b stands once and is greater than its a: pointers are doubled."""
+    label = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "near-labels")
+    while True:
+        jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = stored(label.join(jump, "root", "left").select("node", F.col("root").alias("old"), F.coalesce("far", "root").alias("root")), "near-labels")
+        label = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
+            return label
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots after joining the classes of the ends of edges."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    ends = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    top = components(ends)
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    # ends are roots, or nodes of no class yet: neither has a row in roots
+    return stored(moved.unionByName(top.where("node <> root")), "near-labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component, for nodes with links."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
