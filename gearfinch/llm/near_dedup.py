@@ -2,12 +2,15 @@
 
 Every text is a sequence of k-mers of WORDS words, each labelled with its occurrence number.  For each of SKETCHES hash
 functions the SAMPLES least labelled k-mers are kept in text order; documents that agree in one such tuple are
-candidates.  As the order is kept, the sketch follows edit similarity rather than set similarity.  Candidates are
-verified by aligning their words inside a band: the edit distance must be at most (1 - similarity) of the longer text.
-
-Equal texts are one node.  In each group of nodes with the same tuple all are held against the group's least node, its
-hub, and not against each other: first each node against the least of its hubs, then the pairs of node and hub that
-still lie in different classes.  Only nodes that are not in their hub's class then are compared with the members of
+candidates.  As the order is kept, the sketch follows edit similarity rather than set similarity.  Short texts have few
+k-mers, so they are candidates by their words too: a text of at most SHORT words that may have at most EDITS edits also
+sends what is left of it without up to that many words.  Two such texts within the distance share one of these, so a
+pair of short texts is never missed.  Candidates are verified by aligning their words inside a band: the edit distance
+must be at most (1 - similarity) of the longer text.
+
+Equal texts are one node.  In each group of nodes with the same key all are held against the group's least node, its
+hub, and not against each other: first each node against the least of its hubs, then, twice, against one hub of each
+class that has hubs of it, then the pairs of node and hub that still lie in different classes.  Only nodes that are not in their hub's class then are compared with the members of
 their groups outside their class, in blocks, after an exact lower bound on the edit distance (word histograms).
 Classes are the connected components, found by label passing over stored tables.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 from .repeats import CHUNK_BYTES, first_of_runs
 from .texts import Words, as_bytes, chunks, mix, partitions, ranges, rolling, stored, table
 
-WORDS, SAMPLES, SKETCHES = 5, 2, 16
+WORDS, SAMPLES, SKETCHES = 5, 2, 64
 SIMILARITY = 0.8
+#: Texts of so many words, in which so many edits are allowed, are found surely.
+SHORT, EDITS = 14, 2
 BINS = 64
 BLOCK = 4096
 
@@ -64,8 +70,9 @@ def order_minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return out
     begin, lengths = starts[some], many[some]
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    multipliers = mix((np.arange(SKETCHES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for s in range(SKETCHES):
-        v = mix(labelled ^ np.uint64((s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        v = labelled * multipliers[s]  # odd, so distinct labels stay distinct
         places = []
         for _ in range(SAMPLES):
             least = np.repeat(np.minimum.reduceat(v, begin), lengths)
@@ -83,6 +90,32 @@ def order_minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def most_edits(n: int, similarity: float) -> int:
+    return int((1 - similarity) * n + 1e-9)
+
+
+def short_keys(hashes: np.ndarray, bounds: np.ndarray, similarity: float) -> dict[int, np.ndarray]:
+    """For each short text (by index) a key for every text that is left without up to most_edits of its words."""
+    out = {}
+    sizes = np.diff(bounds)
+    for n in range(1, SHORT + 1):
+        most = most_edits(n, similarity)
+        own = np.flatnonzero(sizes == n)
+        if most > EDITS or not len(own):
+            continue
+        words = hashes[bounds[own][:, None] + np.arange(n)]
+        parts = []
+        for gone in range(min(most, n - 1) + 1):
+            stay = np.array(list(combinations(range(n), n - gone)))
+            h = np.full((len(own), len(stay)), n - gone, np.uint64)
+            for j in range(n - gone):
+                h = mix(h * np.uint64(3) ^ words[:, stay[:, j]])
+            parts.append(h)
+        for i, keys in zip(own.tolist(), np.concatenate(parts, axis=1), strict=True):
+            out[i] = np.unique(keys)
+    return out
+
+
 def histograms(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     return np.minimum(np.bincount(text * BINS + (hashes >> np.uint64(58)).astype(np.int64), minlength=(len(bounds) - 1) * BINS), 65535).reshape(-1, BINS).astype(np.uint16)
@@ -178,8 +211,9 @@ def _band(a: list, b: list, most: int) -> int:
 _SKETCH = "n int, hist binary, keys array<long>"
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """All columns but text, and n (words), hist, keys (a key for each hash function; none without words)."""
+def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All columns but text, and n (words), hist, keys (a key for each hash function, and those of a short text; none
+    without words)."""
     others = [c for c in texts.columns if c != "text"]
     layout = ", ".join([*(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others), _SKETCH])
 
@@ -190,7 +224,8 @@ def sketches(texts: DataFrame) -> DataFrame:
             keys = order_minhash(hashes, words.bounds)
             n = np.diff(words.bounds)
             hist = histograms(hashes, words.bounds)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, SKETCHES, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel().view(np.int64)))
+            short = short_keys(hashes, words.bounds, similarity)
+            lists = pa.array([np.append(k, short.get(i, k[:0])).view(np.int64) if n[i] else [] for i, k in enumerate(keys)], pa.list_(pa.int64()))
             own = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int32)), pa.array([h.tobytes() for h in hist], pa.binary()), lists], [*others, "n", "hist", "keys"])
 
@@ -207,7 +242,7 @@ def aligned(texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
             keep = []
             for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
                 x, y = x.split(), y.split()
-                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+                most = most_edits(max(len(x), len(y)), similarity)
                 keep.append(banded_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -235,29 +270,36 @@ def close_enough(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataF
 
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Stored nodes (node, n, hist, keys) and roots (node, root) of the classes.  texts: node, text."""
-    nodes = stored(sketches(texts).dropDuplicates(["node"]), "near-nodes")
-    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = bands.join(hubs, ["band", "key"]).where("node <> hub")
+    nodes = stored(sketches(texts, similarity).dropDuplicates(["node"]), "near-nodes")
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    member = stored(bands.join(hubs, "key").where("node <> hub"), "near-members")
     star = stored(member.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
     # first every node with the least of its hubs, which joins most classes; then what still lies between two classes
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
     roots = forest(found)
-    between = apart(star, roots).join(first, ["a", "b"], "left_anti")
-    more = stored(aligned(texts, close_enough(between, nodes, similarity), similarity), "near-links")
-    if not more.isEmpty():
-        roots = merged(roots, more)
+    between = stored(apart(star, roots).join(first, ["a", "b"], "left_anti"), "near-between")
+    for whole in (False, False, True):
+        if between.isEmpty():
+            break
+        now = between if whole else between.groupBy("b", "ra").agg(F.min("a").alias("a"))
+        now = now.select("a", "b")
+        more = stored(aligned(texts, close_enough(now, nodes, similarity), similarity), "near-links")
+        if not more.isEmpty():
+            roots = merged(roots, more)
+        if not whole:
+            between = stored(apart(between.join(now, ["a", "b"], "left_anti").select("a", "b"), roots), "near-between")
     # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
     unlinked = apart(star, roots).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    failed = stored(member.join(unlinked, ["hub", "node"], "left_semi").select("band", "key", "node").distinct(), "near-failed")
-    n = failed.groupBy("band", "key").agg(F.count("*").alias("n_failed"))
-    queries = failed.join(n, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_failed") / BLOCK)))
-    others = member.join(n, ["band", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
+    failed = stored(member.join(unlinked, ["hub", "node"], "left_semi").select("key", "node").distinct(), "near-failed")
+    n = failed.groupBy("key").agg(F.count("*").alias("n_failed"))
+    queries = failed.join(n, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_failed") / BLOCK)))
+    others = member.join(n, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
     others = others.withColumn("slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (4 * BLOCK))))
-    queries = queries.join(hubs.select("band", "key", "size"), ["band", "key"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (4 * BLOCK)) - 1)))
+    queries = queries.join(member.select("key", "size").distinct(), "key").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (4 * BLOCK)) - 1)))
     facts = nodes.join(roots, "node", "left").select("node", "n", "hist", F.coalesce("root", "node").alias("root"))
-    on = ["band", "key", "block", "slice"]
+    on = ["key", "block", "slice"]
     both = others.select(*on, "node", F.lit(False).alias("query")).unionByName(queries.select(*on, "node", F.lit(True).alias("query"))).join(facts, "node")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -283,10 +325,10 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
 
 def apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges between different classes."""
+    """Edges between different classes, and the class of a."""
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     joined = edges.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", F.coalesce("ra", "a").alias("ra"))
 
 
 def forest(edges: DataFrame) -> DataFrame:

@@ -163,6 +163,42 @@ def test_near_duplicate_groups_meet_in_blocks(spark, monkeypatch):
     assert {found[i] for i in range(12)} == {0} and all(found[i] == i for i in range(12, 24))
 
 
+def test_short_near_duplicates_are_never_missed(spark):
+    """Texts of 5 to 14 words with all the edits that are allowed, spread so that no five words stay together."""
+    rows, r = [], random.Random(3)
+    for n in range(5, 15):
+        for kind in ("changed", "dropped", "added"):
+            words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            other = list(words)
+            for at in sorted(([n // 2], [n // 3, 2 * n // 3])[n >= 10], reverse=True):
+                other[at : at + (kind != "added")] = [] if kind == "dropped" else ["zz"]
+            if near_dedup.most_edits(max(n, len(other)), 0.8) >= distance(words, other) and len(other) <= near_dedup.SHORT:
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    assert len(rows) > 40
+    found = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+
+
+def test_recall_of_candidates_by_edit_similarity():
+    """Pairs of 100 words with random words changed: the share with a common key."""
+    import numpy as np
+
+    from gearfinch.llm.texts import Words
+
+    r = random.Random(5)
+    for similarity, least in ((0.8, 0.85), (0.85, 0.97), (0.9, 0.99)):
+        texts = []
+        for _ in range(200):
+            words = [str(r.randrange(10**9)) for _ in range(100)]
+            texts.append(" ".join(words).encode())
+            for i in r.sample(range(100), round((1 - similarity) * 100)):
+                words[i] = str(r.randrange(10**9))
+            texts.append(" ".join(words).encode())
+        words = Words(texts)
+        keys = near_dedup.order_minhash(words.hashes(), words.bounds)
+        assert np.mean((keys[::2] == keys[1::2]).any(axis=1)) >= least
+
+
 def test_mix(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = mixing.mixed(docs).collect()
