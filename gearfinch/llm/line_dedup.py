@@ -288,14 +288,14 @@ def verify(packed_docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["a_doc", "a_line", "b_doc", "b_line", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, own = None, {}
+        parsed, own = None, {}
         for batch in batches:
             keep = []
             for a_doc, a_line, z, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True):
-                if a_doc != doc:
+                if (a_doc, z) != parsed:  # rows of equal ids may have different texts
                     lines = Lines([_unpack(pa.array([z], pa.binary()))[0] or b""], None)
                     edges = np.append(lines.first, len(lines.tokens)).tolist()
-                    doc, own = a_doc, {n: lines.tokens[edges[k] : edges[k + 1]] for k, n in enumerate(lines.number.tolist())}
+                    parsed, own = (a_doc, z), {n: lines.tokens[edges[k] : edges[k + 1]] for k, n in enumerate(lines.number.tolist())}
                 x, y = own.get(a_line, np.zeros(0, np.uint64)), np.frombuffer(words, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)

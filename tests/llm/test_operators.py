@@ -321,6 +321,14 @@ def test_lines_with_many_partners(spark, monkeypatch):
     assert {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == expected
 
 
+def test_lines_of_all_texts_of_an_id(spark):
+    """Rows of one id with different texts: later lines are compared with the lines of each."""
+    lines = [[f"{c}{i}" for i in range(10)] for c in "abc"]
+    rows = [(1, " ".join(x)) for x in lines] + [(2 + k, " ".join(x[:9] + ["other"])) for k, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == {(2, 0), (3, 0), (4, 0)}
+
+
 def test_repeats_have_true_sources(spark, edge):
     docs = spark.read.parquet(f"{edge}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
