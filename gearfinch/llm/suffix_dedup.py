@@ -55,7 +55,7 @@ def _digest(buf: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
 
 def _equal_fragments(buf, at, lengths, doc, place, reach) -> tuple[np.ndarray, np.ndarray]:
     """For fragments (lengths: windows in each) the index of the least-document equal one, and whether that is of a
-    smaller document.  Windows of a fragment share an anchor, so its first and last window cover it."""
+    smaller document.  A fragment has at most `reach` windows, so its first and last window cover it."""
     digest = mix(_digest(buf, at, reach) * np.uint64(3) + mix(_digest(buf, at + lengths - 1, reach)) + lengths.astype(np.uint64))
     order = np.lexsort((place, doc, digest))
     first = R.first_of_runs(digest[order])
@@ -76,6 +76,9 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             keep = R.candidate(units, batch.column(2).to_pylist())
             at, text, anchor = units.at[keep], units.text[keep], units.anchor[keep]
             first = R.first_of_runs(anchor, text, at - np.arange(len(at)))
+            # an anchor that recurs makes longer runs: they are cut so that a fragment's first and last window cover it
+            nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            first = np.flatnonzero(nth % reach == 0)
             lengths = np.diff(np.append(first, len(at)))
             at, text, anchor = at[first], text[first], anchor[first]
             doc, place = batch.column(0).to_numpy()[text], at - bounds[text]

@@ -329,6 +329,17 @@ def test_lines_of_all_texts_of_an_id(spark):
     assert {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == {(2, 0), (3, 0), (4, 0)}
 
 
+@pytest.mark.parametrize("s", ["\n", " ", "|"])
+def test_fragments_with_a_recurring_anchor(spark, s):
+    """Equal ends and lengths, another middle: only what stands in the earlier text goes."""
+    texts = [s.join("x" * n for n in sizes) for sizes in ((58, 25, 25, 60), (60, 24, 24, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    starts = [i for i in range(len(texts[1]) - 49) if texts[1][i : i + 50] in texts[0]]
+    gone = {i + k for i in starts for k in range(50)}
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicated(docs).collect()}
+    assert found == {0: 0, 1: len(gone)} and len(gone) < len(texts[1])
+
+
 def test_repeats_have_true_sources(spark, edge):
     docs = spark.read.parquet(f"{edge}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
