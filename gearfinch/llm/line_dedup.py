@@ -5,16 +5,21 @@ A line is the set of its words.  It is removed if an earlier line, by (doc_id, l
 
 1. Words are counted into a fixed table of counters (a one-row count-min sketch, SLOTS bytes after scaling, so small
    enough to send to every task at any scale).  It gives one total order of words, rarest first.
-2. Every line sends its prefix, the n - ceil(t n) + 1 rarest words, dealt by word.  Words that occur once send nothing.
-   Equal sets inside a chunk send only their earliest line.
-3. Per word, equal sets keep the earliest line; others pass the length, positional and bitmap filters (all exact
-   bounds), and each later line proposes its earliest partners.
-4. Partners are verified on whole word sets.  A later line whose proposals all fail, though it had more partners than
-   it proposed, is compared with every partner in a second round.
+2. Every line sends its prefix, the n - ceil(t n) + 1 rarest words, dealt by word; words that occur once send nothing.
+   A very frequent word's entries are dealt by word and length band: each line also goes, as a guest, to the next band,
+   the only other one with lines that it may be similar to.  Equal lines meet by a 128-bit digest: all but the earliest
+   go, and send nothing more where they are equal within a chunk.
+3. Of the entries of a word only pairs that pass the length, positional and parity filters are proposed.  All three are
+   bounds that no similar pair misses: the parity bitmap of a set (one bit flipped by each word) differs from another
+   one's in at most as many bits as the sets differ in words.
+4. Proposed pairs are verified on the words of both lines: of each later line its likeliest partner first, then the
+   others.  Where a word has many partners for a line and the likeliest is very near, only PROPOSED are told; if all
+   of these fail, the line is compared with every partner.
 
 Lines without words are never removed.  Null and empty texts have none.  Documents without an id are neither compared
-nor changed.  Rows with equal ids are one document: their lines of equal number are judged together.  Words are
-compared by 64-bit digests.
+nor changed.  Rows of one id and different texts are different documents, ordered by the texts' digests; rows that
+repeat both are one document.  A text of any length is handled whole.  Words are compared by 64-bit digests before they
+are verified; digests only propose pairs, but for equal lines, where the digest has 128 bits.
 """
 
 from __future__ import annotations
@@ -23,20 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import CHUNK_BYTES, aside, first_of_runs, n_buckets_for
-from .texts import Words, as_bytes, chunks, mix, plain, stored, table
+from .repeats import CHUNK_BYTES, first_of_runs, n_buckets_for
+from .texts import Words, as_bytes, chunks, id_filter, in_filter, keyed, mix, pack, ranges, stored, table, unpack
 
 THRESHOLD = 0.8
 SLOT_BITS, BLOCK_BITS = 24, 16
 BUCKET_BYTES = 8 << 20
-#: Partners that a later line proposes for each word in the first round.
-PROPOSED = 2
+#: Partners that are told at least of each line and word; all are, unless the likeliest differs in few bits.
+PROPOSED = 8
+#: Level (see word_levels) of words whose entries are dealt by length too: 131,072 occurrences.
+FREQUENT = 167
+#: Pairs that are filtered at a time.
+PAIRS = 1 << 20
+GUEST = 1 << 14
 
-_ENTRY = [("token", np.uint64), ("digest", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("prev", np.uint32)]
+_ENTRY = [("token", np.uint32), ("prev", np.uint32), ("digest", np.uint32), ("bits", np.uint64), ("more_bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32)]
+_DIGEST = [("low", np.uint64), ("high", np.uint64), ("doc", np.int64), ("line", np.int32)]
+_FOUND = [("doc", np.int64), ("line", np.int32), ("a_doc", np.int64), ("a_line", np.int32), ("apart", np.int16), ("more", np.bool_)]
+_LAYOUT = "bucket int, size int, columns array<binary>"
 
 
 def at_least(share: float, n: np.ndarray) -> np.ndarray:
@@ -50,10 +64,12 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            slot, n = np.unique(Words(as_bytes(batch.column(0))).hashes() >> np.uint64(64 - SLOT_BITS), return_counts=True)
-            block = (slot >> np.uint64(BLOCK_BITS)).astype(np.int32)
+            slot = np.sort((Words(as_bytes(batch.column(0))).hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+            first = first_of_runs(slot)
+            n, slot = np.diff(np.append(first, len(slot))), slot[first]
+            block = (slot >> np.uint32(BLOCK_BITS)).astype(np.int32)
             edges = np.append(first_of_runs(block), len(block))
-            low = (slot & np.uint64(slots - 1)).astype(np.uint16)
+            low = (slot & np.uint32(slots - 1)).astype(np.uint16)
             out = [(int(block[a]), low[a:b].tobytes(), n[a:b].astype(np.int32).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "slots", "counts"])
@@ -74,272 +90,296 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 class Lines:
     """Word sets of the lines of several texts, words in order of rarity."""
 
-    def __init__(self, texts: list[bytes], levels: np.ndarray | None):
+    def __init__(self, texts: list[bytes], levels: np.ndarray):
         words = Words(texts)
         hashes = words.hashes()
         text = words.text_of_word()
         breaks = np.concatenate([[0], np.cumsum(words.buf == 10)])
-        number = breaks[words.starts] - breaks[words.text_starts[text]] if len(hashes) else np.zeros(0, np.int64)
-        level = levels[hashes >> np.uint64(64 - SLOT_BITS)] if levels is not None else np.zeros(len(hashes), np.uint8)
         line = breaks[words.starts] + text  # grows by one at each break and each text
-        order = np.lexsort((hashes, level, line))
-        line, hashes, level, text, number = line[order], hashes[order], level[order], text[order], number[order]
-        keep = first_of_runs(line, hashes)
-        line, self.tokens, self.levels = line[keep], hashes[keep], level[keep]
-        self.first = first_of_runs(line)
-        self.text, self.number = text[keep][self.first], number[keep][self.first]
-        self.n = np.diff(np.append(self.first, len(line)))
-        self.digest = np.add.reduceat(mix(self.tokens), self.first) if len(line) else self.tokens
-        self.bits = np.bitwise_or.reduceat(np.uint64(1) << (self.tokens >> np.uint64(20) & np.uint64(63)), self.first) if len(line) else self.tokens
-
-
-def _entries(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # words are numbered in order of rarity, so that one sort of numbers orders the words of all lines
+        known, number = np.unique(hashes, return_inverse=True)
+        level = levels[known >> np.uint64(64 - SLOT_BITS)]
+        order = np.argsort(level, kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        both = np.sort(line.astype(np.int64) << 32 | rank[number])
+        both = both[first_of_runs(both)]
+        of, which = both >> 32, order[both & 0xFFFFFFFF] if len(both) else both
+        self.tokens, self.levels = known[which], level[which]
+        self.first = first_of_runs(of)
+        place = words.starts[np.searchsorted(line, of[self.first])] if len(of) else of
+        self.text = np.searchsorted(words.text_starts, place, "right") - 1
+        self.number = (breaks[place] - breaks[words.text_starts[self.text]]).astype(np.int64)
+        self.n = np.diff(np.append(self.first, len(of)))
+        add = lambda x: np.add.reduceat(x, self.first) if len(x) else x
+        self.low, self.high = add(mix(self.tokens)), add(mix(self.tokens ^ np.uint64(0xA0761D6478BD642F)))
+        flip = lambda shift: np.bitwise_xor.reduceat(np.uint64(1) << (self.tokens >> np.uint64(shift) & np.uint64(63)), self.first) if len(of) else self.tokens
+        self.bits, self.more_bits = flip(20), np.zeros(len(self.n), np.uint64)
+        # sets of more than 64 words have 128 bits: half of the words flip bits of the second half
+        second = self.tokens >> np.uint64(26) & np.uint64(1) == 1
+        long_ = self.n > 64
+        if long_.any():
+            one = np.uint64(1) << (self.tokens >> np.uint64(20) & np.uint64(63))
+            self.bits = np.where(long_, np.bitwise_xor.reduceat(np.where(second, np.uint64(0), one), self.first), self.bits)
+            self.more_bits = np.where(long_, np.bitwise_xor.reduceat(np.where(second, one, np.uint64(0)), self.first), self.more_bits)
+
+
+def _rows(bucket: np.ndarray, columns: list[np.ndarray], kinds: list) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, columns compressed."""
     if not len(bucket):
         return
-    codec = pa.Codec("zstd", 3)
+    codec = pa.Codec("zstd", 1)
     order = np.argsort(bucket, kind="stable")
     edges = np.append(first_of_runs(bucket[order]), len(bucket)).tolist()
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    parts = [c[order].astype(t) for c, (_, t) in zip(columns, _ENTRY, strict=True)]
-    cut = [pa.array([codec.compress(c[a:b].tobytes(), asbytes=True) for a, b in spans], pa.binary()) for c in parts]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]].astype(np.int32)), pa.array([b - a for a, b in spans], pa.int32()), *cut], ["bucket", "size", *(n for n, _ in _ENTRY)])
-
-
-def _read(group: pa.Table) -> list[np.ndarray]:
-    codec, sizes = pa.Codec("zstd"), group.column("size").to_pylist()
-    return [np.concatenate([np.frombuffer(codec.decompress(x, n * np.dtype(t).itemsize), t) for x, n in zip(group.column(name).to_pylist(), sizes, strict=True)]) for name, t in _ENTRY]
-
-
-_PAIRS = "b_doc long, b_line int, a_doc long, a_line int, more boolean"
-
-
-def _pairs(b_doc, b_line, a_doc, a_line, more) -> pa.Table:
-    return pa.table({"b_doc": pa.array(b_doc, pa.int64()), "b_line": pa.array(b_line, pa.int32()), "a_doc": pa.array(a_doc, pa.int64()), "a_line": pa.array(a_line, pa.int32()), "more": pa.array(more, pa.bool_())})
-
-
-def partners(token, bits, n, pos, prev, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (later, earlier, whether there are more) of entries sorted by token, doc, line, that pass all filters; the
-    `most` earliest for each later entry."""
-    begin = first_of_runs(token)
-    sizes = np.diff(np.append(begin, len(token)))
-    out = []
-    small = sizes <= 64
-    # small groups: entry i with the one d places before it, for all groups at once
-    group_first = np.repeat(begin, sizes)
-    rank = np.arange(len(token)) - group_first
-    alive = np.flatnonzero(np.repeat(small, sizes) & (rank > 0))
-    later, earlier = [], []
-    d = 1
-    while len(alive):
-        i, j = alive, alive - d
-        keep = fits(i, j, bits, n, pos, prev, threshold)
-        later.append(i[keep])
-        earlier.append(j[keep])
-        d += 1
-        alive = alive[rank[alive] >= d]
-    if later:
-        i, j = np.concatenate(later), np.concatenate(earlier)
-        order = np.lexsort((j, i))
-        i, j = i[order], j[order]
-        first = first_of_runs(i)
-        many = np.diff(np.append(first, len(i)))
-        place = np.arange(len(i)) - np.repeat(first, many)
-        keep = place < most
-        out.append((i[keep], j[keep], np.repeat(many > most, many)[keep]))
-    for a, size in zip(begin[~small].tolist(), sizes[~small].tolist(), strict=True):
-        for i in range(a + 1, a + size):
-            j = np.arange(a, i)
-            j = j[fits(i, j, bits, n, pos, prev, threshold)]
-            if len(j):
-                k = min(most, len(j))
-                out.append((np.full(k, i), j[:k], np.full(k, len(j) > most)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def bits_set(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
-
-
-def fits(i, j, bits, n, pos, prev, threshold: float):
-    """Length, positional and bitmap filters: bounds on the overlap that no similar pair misses.  A pair whose words
-    before this one are equal too has been met there."""
-    ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
-    need = at_least(threshold / (1 + threshold), ni + nj)
-    # words before a place are rarer: at most min(pos) of them are shared, and at most the lesser rest after it
-    bound = np.minimum(pos[i], pos[j]) + 1 + np.minimum(ni - pos[i], nj - pos[j]) - 1
-    apart = bits_set(bits[i] ^ bits[j])
-    return ((prev[i] == 0) | (prev[i] != prev[j])) & (np.minimum(ni, nj) >= at_least(threshold, np.maximum(ni, nj))) & (bound >= need) & (apart <= ni + nj - 2 * need)
+    parts = [c[order].astype(t) for c, (_, t) in zip(columns, kinds, strict=True)]
+    cut = [[codec.compress(c[a:b].tobytes(), asbytes=True) for c in parts] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    sizes = np.diff(edges).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]].astype(np.int32)), pa.array(sizes), pa.array(cut, pa.list_(pa.binary()))], ["bucket", "size", "columns"])
+
+
+def _read(group: pa.Table, kinds: list) -> list[np.ndarray]:
+    codec, sizes, columns = pa.Codec("zstd"), group.column("size").to_pylist(), group.column("columns").to_pylist()
+    return [np.concatenate([np.frombuffer(codec.decompress(x[k], n * np.dtype(t).itemsize), t) for x, n in zip(columns, sizes, strict=True)]) for k, (_, t) in enumerate(kinds)]
+
+
+def _found(n_parts: int, doc, line, a_doc, a_line, apart, more) -> pa.Table:
+    """What is known of later lines, dealt to n_parts by document.  a_line is -1 for a line that surely goes."""
+    part = (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+    batches = list(_rows(part, [doc, line, a_doc, a_line, apart, more], _FOUND))
+    return pa.Table.from_batches(batches, pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("columns", pa.list_(pa.binary()))]))
+
+
+def _sure(n_parts: int, doc, line) -> pa.Table:
+    zero = np.zeros(len(doc), np.int64)
+    return _found(n_parts, doc, line, zero, zero - 1, zero, zero)
+
+
+def candidates(token, n, pos, guest, prev, bits, more_bits, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of entries, sorted by token and n, that pass all filters, with the number of bits in which they
+    differ and the number that they may differ in.  A similar pair passes at the rarest word that it shares: there all
+    shared words stand at or after both places."""
+    bits_set = lambda x: np.bitwise_count(x).astype(np.int16)
+    key = token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
+    low = np.searchsorted(key, token.astype(np.uint64) << np.uint64(32) | at_least(threshold, n).astype(np.uint64))
+    many = np.where(guest, 0, np.arange(len(key)) - low)
+    ends = np.cumsum(many)
+    out, first = [], 0
+    rest, share = (n - pos).astype(np.int32), threshold / (1 + threshold)
+    while first < len(key):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        j = ranges(low[first:last], many[first:last])
+        i = np.repeat(np.arange(first, last), many[first:last])
+        first = last
+        need = at_least(share, n[i] + n[j])
+        keep = np.flatnonzero((np.minimum(rest[i], rest[j]) >= need) & ((prev[i] == 0) | (prev[i] != prev[j])))
+        i, j, need = i[keep], j[keep], need[keep]
+        apart = bits_set(bits[i] ^ bits[j])
+        wide = (n[i] > 64) & (n[j] > 64)
+        apart = np.where(wide, apart + bits_set(more_bits[i] ^ more_bits[j]), apart)
+        mixed = (n[i] > 64) != (n[j] > 64)
+        # one set has a bitmap of 128 bits, the other of 64: both halves together are the short bitmap
+        apart = np.where(mixed, bits_set(bits[i] ^ more_bits[i] ^ bits[j] ^ more_bits[j]), apart)
+        most = n[i] + n[j] - 2 * need
+        keep = np.flatnonzero(apart <= most)
+        out.append((i[keep], j[keep], apart[keep], most[keep]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip((none, none, none, none), *out, strict=True))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (from 0) of lines to remove; a line may stand more than once.  docs: doc_id (not null), text."""
+    """key, line (from 0) of lines to remove, each once.  docs: key (not null), text."""
     spark = docs.sparkSession
     n_buckets = n_buckets_for(docs, BUCKET_BYTES)
     levels = spark.sparkContext.broadcast(word_levels(docs))
+    step = np.log(1 / threshold)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for serial, batch in enumerate(chunks(batches, "text", CHUNK_BYTES)):
             ids = batch.column(0).to_numpy()
             lines = Lines(as_bytes(batch.column(1)), levels.value)
-            doc = ids[lines.text] if len(lines.n) else np.zeros(0, np.int64)
-            order = np.lexsort((lines.number, doc, lines.n, lines.digest))
-            first = first_of_runs(lines.digest[order], lines.n[order])
+            if not len(lines.n):
+                continue
+            doc = ids[lines.text]
+            order = np.lexsort((lines.number, doc, lines.high, lines.low))
+            first = first_of_runs(lines.low[order], lines.high[order])
             least = np.repeat(order[first], np.diff(np.append(first, len(order))))
             gone = order[(doc[order] != doc[least]) | (lines.number[order] != lines.number[least])]
-            stays = np.ones(len(doc), bool)
-            stays[gone] = False
-            zero = np.zeros(len(gone), np.uint64)
-            yield from _entries(np.full(len(gone), aside(n_buckets, serial)), [zero, zero, zero, doc[gone], lines.number[gone], zero, zero, zero])
+            stays = np.zeros(len(doc), bool)
+            stays[order[first]] = True
+            # what a chunk knows by itself, dealt evenly
+            aside = 2 * n_buckets + (TaskContext.get().partitionId() * 31 + serial) % n_buckets
+            zero = np.zeros(len(gone), np.int64)
+            yield from _rows(np.full(len(gone), aside), [doc[gone], lines.number[gone], zero, zero - 1, zero, zero], _FOUND)
+            own = order[first]
+            yield from _rows(n_buckets + (lines.low[own] % np.uint64(n_buckets)).astype(np.int64), [lines.low[own], lines.high[own], doc[own], lines.number[own]], _DIGEST)
             size = np.where(stays, lines.n - at_least(threshold, lines.n) + 1, 0)
             of = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             at = lines.first[of] + pos
             some = lines.levels[at] > 1
             of, pos, at = of[some], pos[some], at[some]
-            token = lines.tokens[at]
+            token, level = lines.tokens[at], lines.levels[at]
             # four bytes of the line's word sent before this one; 0 for the first
-            prev = np.zeros(len(token), np.uint64)
+            prev = np.zeros(len(token), np.uint32)
             prev[1:] = np.where(of[1:] == of[:-1], token[:-1] % np.uint64(0xFFFFFFFF) + np.uint64(1), np.uint64(0))
-            yield from _entries((token >> np.uint64(40)).astype(np.int64) % n_buckets, [token, lines.digest[of], lines.bits[of], doc[of], lines.number[of], lines.n[of], pos, prev])
-
-    def propose(most: int):
+            often = np.flatnonzero(level >= FREQUENT)
+            band = np.floor(np.log(lines.n[of[often]]) / step + 1e-9).astype(np.uint64)
+            home, guest = token.copy(), mix(token[often] ^ (band + np.uint64(2)))
+            home[often] = mix(token[often] ^ (band + np.uint64(1)))
+            token = np.append(home, guest)
+            which = np.append(np.arange(len(of)), often)
+            of, pos, prev = of[which], pos[which] + np.where(np.arange(len(which)) < len(of), 0, GUEST), prev[which]
+            bucket = (token >> np.uint64(40)).astype(np.int64) % n_buckets
+            yield from _rows(bucket, [token & np.uint64(0xFFFFFFFF), prev, lines.low[of] & np.uint64(0xFFFFFFFF), lines.bits[of], lines.more_bits[of], doc[of], lines.number[of], lines.n[of], pos], _ENTRY)
+
+    def propose(every: bool):
         def run(group: pa.Table) -> pa.Table:
-            token, digest, bits, doc, line, n, pos, prev = _read(group)
-            if group.column("bucket")[0].as_py() >= n_buckets:
-                return _pairs(doc, line, *[pa.nulls(len(doc), t) for t in (pa.int64(), pa.int32())], np.zeros(len(doc), bool))
-            order = np.lexsort((line, doc, n, digest, token))
-            token, digest, n_, doc_, line_, prev_ = (x[order] for x in (token, digest, n, doc, line, prev))
-            first = first_of_runs(token, digest, n_)
-            least = np.repeat(first, np.diff(np.append(first, len(token))))
-            copy = (doc_ != doc_[least]) | (line_ != line_[least])
-            # copies are told once, from the first word that they sent
-            copy &= prev_ == 0
-            same = _pairs(doc_[copy], line_[copy], *[pa.nulls(int(copy.sum()), t) for t in (pa.int64(), pa.int32())], np.zeros(int(copy.sum()), bool))
-            kept = order[first]
-            token, doc, line, n, pos, bits, prev = token[first], doc[kept], line[kept], n[kept], pos[kept], bits[kept], prev[kept]
-            order = np.lexsort((line, doc, token))
-            token, doc, line, n, pos, bits, prev = (x[order] for x in (token, doc, line, n, pos, bits, prev))
-            i, j, more = partners(token, bits, n, pos, prev, threshold, most)
-            return pa.concat_tables([same, _pairs(doc[i], line[i], doc[j], line[j], more)])
+            bucket = group.column("bucket")[0].as_py()
+            if bucket >= 2 * n_buckets:
+                doc, line, *_ = _read(group, _FOUND)
+                return _sure(n_buckets, doc, line)
+            if bucket >= n_buckets:
+                low, high, doc, line = _read(group, _DIGEST)
+                order = np.lexsort((line, doc, high, low))
+                doc, line = doc[order], line[order]
+                first = first_of_runs(low[order], high[order])
+                least = np.repeat(first, np.diff(np.append(first, len(order))))
+                copy = (doc != doc[least]) | (line != line[least])  # a repeated row is not its own copy
+                return _sure(n_buckets, doc[copy], line[copy])
+            token, prev, digest, bits, more_bits, doc, line, n, pos = _read(group, _ENTRY)
+            # equal sets: the earliest stands for all, which go by their digests
+            order = np.lexsort((line, doc, digest, bits, n, token))
+            kept = order[first_of_runs(token[order], n[order], bits[order], more_bits[order], digest[order], pos[order])]
+            token, prev, bits, more_bits, doc, line, n, pos = (x[kept] for x in (token, prev, bits, more_bits, doc, line, n, pos))
+            i, j, apart, most = candidates(token, n, pos % GUEST, pos >= GUEST, prev, bits, more_bits, threshold)
+            other = (doc[i] != doc[j]) | (line[i] != line[j])
+            i, j, apart, most = i[other], j[other], apart[other], most[other]
+            swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+            later, earlier = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((earlier, apart, later))
+            later, earlier, apart, most = later[order], earlier[order], apart[order], most[order]
+            begin = first_of_runs(later)
+            size = np.diff(np.append(begin, len(later)))
+            near = np.repeat((apart[begin] * 4 <= most[begin]) & (size > PROPOSED), size) if len(later) and not every else np.zeros(len(later), bool)
+            told = ~near | (np.arange(len(later)) - np.repeat(begin, size) < PROPOSED)
+            later, earlier, apart, near = later[told], earlier[told], apart[told], near[told]
+            return _found(n_buckets, doc[later], line[later], doc[earlier], line[earlier], apart, near)
 
         return run
 
-    layout = "bucket int, size int, " + ", ".join(f"{n} binary" for n, _ in _ENTRY)
-    sent = docs.mapInArrow(prefixes, layout)
-    proposed = sent.groupBy("bucket").applyInArrow(propose(PROPOSED), _PAIRS)
-    proposed = stored(proposed.groupBy("b_doc", "b_line", "a_doc", "a_line").agg(F.max("more").alias("more")), "line-pairs")
-    sure = proposed.where("a_doc IS NULL").select("b_doc", "b_line").distinct()
-    open_ = stored(proposed.where("a_doc IS NOT NULL").join(sure, ["b_doc", "b_line"], "left_anti"), "line-open")
-    packed_ = packed(docs)
-    # the earliest partner of each line first, then what is left
-    first = open_.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("b_doc", "b_line", "a.a_doc", "a.a_line")
-    verified = stored(verify(packed_, first, threshold), "line-verified")
-    more = open_.join(verified, ["b_doc", "b_line"], "left_anti").join(first, ["b_doc", "b_line", "a_doc", "a_line"], "left_anti")
-    more = stored(more, "line-open")
-    if not more.isEmpty():
-        verified = verified.unionByName(stored(verify(packed_, more.drop("more"), threshold), "line-verified"))
-    gone = sure.unionByName(verified)
-    left = stored(open_.groupBy("b_doc", "b_line").agg(F.max("more").alias("more")).where("more").join(verified, ["b_doc", "b_line"], "left_anti").select("b_doc", "b_line"), "line-left")
+    def settle(group: pa.Table) -> pa.Table:
+        doc, line, a_doc, a_line, apart, more = _read(group, _FOUND)
+        order = np.lexsort((~more, a_line, a_doc, line, doc))
+        doc, line, a_doc, a_line, apart, more = (x[order] for x in (doc, line, a_doc, a_line, apart, more))
+        begin = first_of_runs(doc, line)
+        size = np.diff(np.append(begin, len(doc)))
+        sure = np.repeat(np.minimum.reduceat(a_line, begin) < 0, size)
+        more = np.repeat(np.logical_or.reduceat(more, begin), size)
+        keep = np.zeros(len(doc), bool)
+        keep[first_of_runs(doc, line, a_doc, a_line)] = True
+        keep &= ~sure | (a_line < 0)
+        return pa.table({c: x[keep] for c, x in zip(("b_doc", "b_line", "a_doc", "a_line", "apart", "more"), (doc, line, a_doc, a_line, apart, more), strict=True)})
+
+    sent = docs.select("key", "text").mapInArrow(prefixes, _LAYOUT)
+    proposals = lambda every: sent.groupBy("bucket").applyInArrow(propose(every), _LAYOUT).groupBy("bucket").applyInArrow(settle, "b_doc long, b_line int, a_doc long, a_line int, apart short, more boolean")
+    told = stored(proposals(False), "line-pairs")
+    line = [F.col("b_doc").alias("key"), F.col("b_line").alias("line")]
+    gone = told.where("a_line < 0").select(*line)
+    open_ = told.where("a_line >= 0")
+    # the likeliest partner of each line first, then the others
+    first = open_.groupBy("b_doc", "b_line").agg(F.min(F.struct("apart", "a_doc", "a_line")).alias("a")).select("b_doc", "b_line", "a.a_doc", "a.a_line")
+    failed = open_
+    pair = ["b_doc", "b_line", "a_doc", "a_line"]
+    for now in (first, None):
+        now = stored((failed.join(first, pair, "left_anti") if now is None else now).select(*pair), "line-open")
+        if now.isEmpty():
+            break
+        verified = stored(verify(docs, now, threshold), "line-verified")
+        gone = gone.unionByName(verified.select(*line))
+        failed = failed.join(verified, ["b_doc", "b_line"], "left_anti")
+    left = stored(failed.where("more").select("b_doc", "b_line").distinct(), "line-left")
     if not left.isEmpty():
         # the exact way for the rest: every partner of these lines, which alone are verified
-        every = sent.groupBy("bucket").applyInArrow(propose(1 << 60), _PAIRS).where("a_doc IS NOT NULL").join(left, ["b_doc", "b_line"], "left_semi")
-        every = every.select("b_doc", "b_line", "a_doc", "a_line").distinct().join(open_, ["b_doc", "b_line", "a_doc", "a_line"], "left_anti")
-        gone = gone.unionByName(stored(verify(packed_, every, threshold), "line-rest"))
-    return gone.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
-
-
-def _pack(texts: pa.Array) -> pa.Array:
-    """Texts with their lengths in front, compressed: this is what is shuffled."""
-    codec = pa.Codec("zstd", 3)
-    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
-
-
-def _unpack(column: pa.Array) -> list[bytes | None]:
-    codec = pa.Codec("zstd")
-    return [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
-
+        rest = proposals(True).where("a_line >= 0").join(left, ["b_doc", "b_line"], "left_semi").join(open_, pair, "left_anti")
+        gone = gone.unionByName(stored(verify(docs, stored(rest.select(*pair), "line-open"), threshold), "line-rest").select(*line))
+    return gone
 
-def packed(docs: DataFrame) -> DataFrame:
-    """docs with text replaced by its compressed bytes, z."""
-    pack = F.arrow_udf(_pack, T.BinaryType())
-    return docs.withColumn("z", pack(F.col("text"))).drop("text")
 
+def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """b_doc, b_line, each once, of pairs whose word sets are similar.  Only documents with such lines are sent, and
+    only these lines of them are compared.  pairs: a stored table."""
+    wanted = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
+    wanted = wanted.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    known = id_filter(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc")))
 
-def verify(packed_docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """b_doc, b_line of pairs whose word sets are similar.  The later line's set travels to the earlier line's document."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x or b"" for x in _unpack(part.column(1))]
-                lines = Lines(texts, None)
-                edges = np.append(lines.first, len(lines.tokens)).tolist()
-                where = {key: k for k, key in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
-                rows = []
-                for i, (doc, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    for w in wanted:
-                        k = where.get((i, w["b_line"]))
-                        if k is not None:
-                            rows.append((w["a_doc"], w["a_line"], doc, w["b_line"], np.sort(lines.tokens[edges[k] : edges[k + 1]]).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["a_doc", "a_line", "b_doc", "b_line", "words"])
+            out = []
+            for doc, text, lines in zip(batch.column(0).to_pylist(), unpack(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                own = (text or b"").split(b"\n")
+                out += [(doc, k, own[k]) for k in lines]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "line", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed, own = None, {}
         for batch in batches:
             keep = []
-            for a_doc, a_line, z, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True):
-                if (a_doc, z) != parsed:  # rows of equal ids may have different texts
-                    lines = Lines([_unpack(pa.array([z], pa.binary()))[0] or b""], None)
-                    edges = np.append(lines.first, len(lines.tokens)).tolist()
-                    parsed, own = (a_doc, z), {n: lines.tokens[edges[k] : edges[k + 1]] for k, n in enumerate(lines.number.tolist())}
-                x, y = own.get(a_line, np.zeros(0, np.uint64)), np.frombuffer(words, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = set(x.split()), set(y.split())
+                both = len(x & y)
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([2, 3]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    need = pairs.groupBy(F.col("b_doc").alias("doc_id")).agg(F.collect_list(F.struct("b_line", "a_doc", "a_line")).alias("wanted"))
-    sent = packed_docs.join(need, "doc_id").select("doc_id", "z", "wanted").mapInArrow(sets, "a_doc long, a_line int, b_doc long, b_line int, words binary")
-    joined = sent.join(packed_docs.withColumnRenamed("doc_id", "a_doc"), "a_doc").select("a_doc", "a_line", "b_doc", "b_line", "z", "words")
+    packed = docs.where(in_filter(known, F.col("key"))).select(F.col("key").alias("doc"), F.arrow_udf(pack, T.BinaryType())("text").alias("z"))
+    lines = packed.join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "lines").mapInArrow(cut, "doc long, line int, words binary")
+    lines = stored(lines, "line-words")
+    side = lambda c: lines.select(F.col("doc").alias(f"{c}_doc"), F.col("line").alias(f"{c}_line"), F.col("words").alias(f"{c}_words"))
+    joined = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"]).select("b_doc", "b_line", "a_words", "b_words")
     return joined.mapInArrow(compare, "b_doc long, b_line int").distinct()
 
 
-def _cut(z: pa.Array, gone: pa.Array) -> pa.Array:
-    """text, n_lines and n_removed of compressed texts and the numbers of lines that go."""
-    texts, n_lines, n_removed = [], [], []
-    for x, own in zip(_unpack(z), gone.to_pylist(), strict=True):
-        lines = (x or b"").split(b"\n")
-        n_lines.append(sum(1 for line in lines if line.strip()))
-        n_removed.append(len(own or ()))
-        if own:
-            drop = set(own)
-            x = b"\n".join(line for i, line in enumerate(lines) if i not in drop)
-        texts.append(x)
-    return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
-
-
-def without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All columns of docs, text without the removed lines, and __n_lines and __n_removed (lines with words)."""
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    rows = docs.withColumn("__z", F.arrow_udf(_pack, T.BinaryType())(F.col(text_col).cast("string"))).drop(text_col)
-    joined = rows.join(by_doc.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+def _counts(text: bytes | None) -> int:
+    return sum(1 for line in (text or b"").split(b"\n") if line.strip())
+
+
+def without_lines(rows: DataFrame, gone: DataFrame, text_col: str) -> DataFrame:
+    """row with the text that stays, n_lines and n_removed (lines with words).  rows: as `keyed` makes them."""
+    by_doc = gone.groupBy("key").agg(F.collect_set("line").alias("gone"))
+    known = id_filter(gone.select("key"))
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    cut = joined.withColumn("__cut", F.arrow_udf(_cut, kind)(F.col("__z"), F.col("__gone")))
-    return cut.select(*(F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col("__cut.n_lines").alias("__n_lines"), F.col("__cut.n_removed").alias("__n_removed"))
+
+    def cut(z: pa.Array, gone: pa.Array) -> pa.Array:
+        texts, n_lines, n_removed = [], [], []
+        for x, own in zip(unpack(z), gone.to_pylist(), strict=True):
+            n_lines.append(_counts(x))
+            n_removed.append(len(own or ()))
+            if own:
+                drop = set(own)
+                x = b"\n".join(line for i, line in enumerate((x or b"").split(b"\n")) if i not in drop)
+            texts.append(x)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([_counts(x) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
+    may = rows.withColumn("may", F.coalesce(in_filter(known, F.col("key")), F.lit(False)))
+    sent = may.where("may").select("key", F.col("row").dropFields(f"`{text_col}`").alias("others"), F.arrow_udf(pack, T.BinaryType())("text").alias("z"))
+    sent = sent.join(by_doc.hint("shuffle_hash"), "key", "left").withColumn("cut", F.arrow_udf(cut, kind)("z", "gone"))
+    fields = [F.col("cut.text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in rows.schema["row"].dataType.names]
+    sent = sent.select(F.struct(*fields).alias("row"), "cut.n_lines", "cut.n_removed")
+    whole = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names]
+    return sent.unionByName(may.where("NOT may").select(F.struct(*whole).alias("row"), F.arrow_udf(count, T.LongType())("text").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text that stays, and __n_lines and __n_removed."""
-    known = plain(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    return without_lines(docs, removed_lines(known, threshold), id_col, text_col)
+    """row (all columns of docs, with the text that stays), n_lines and n_removed (lines with words)."""
+    rows, _ = keyed(docs, id_col, text_col)
+    return without_lines(rows, removed_lines(rows.where("key IS NOT NULL").select("key", "text"), threshold), text_col)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP9_SQL = """

@@ -6,6 +6,7 @@ borders found on code points.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -155,9 +156,12 @@ def spans_of(positions: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  A local session has one process, so there alone
+    an own folder is made where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -197,6 +201,78 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(as_is(id_col, "doc_id", "bigint"), as_is(text_col, "text", "string"))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """key (long), text (string) and row (all columns of docs, as one struct, so that no name can clash), and the number
+    of low bits in which keys of one id differ.
+
+    A key stands for an id and a text, in the order of ids, and is null for a null id.  Where no id is repeated it is
+    the id itself and there are 0 such bits.  Else ids are numbered in their order and the texts of an id by digest."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    if rows.where("key IS NOT NULL").groupBy("key").count().where("count > 1").isEmpty():
+        return rows, 0
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    own = rows.where("key IS NOT NULL").select("key", digest.alias("digest")).distinct()
+    own = stored(own.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1), "row-keys")
+    ids = own.select("key").distinct().repartitionByRange(partitions(spark), "key").sortWithinPartitions("key")
+    place = F.monotonically_increasing_id()
+    ids = stored(ids.withColumn("part", F.shiftright(place, 33)).withColumn("at", place.bitwiseAND((1 << 33) - 1)), "row-ids")
+    most = ids.agg(F.max("at")).first()[0] + 1
+    bits = int(own.agg(F.max("nth")).first()[0]).bit_length()
+    number = own.join(ids, "key").select("key", "digest", F.shiftleft(F.col("part") * most + F.col("at"), bits).bitwiseOR(F.col("nth").cast("long")).alias("number"))
+    joined = rows.withColumn("digest", digest).join(stored(number, "row-numbers"), ["key", "digest"], "left")
+    return joined.select(F.col("number").alias("key"), "text", "row"), bits
+
+
+FILTER_BITS, FILTER_BLOCK = 26, 20
+
+
+def id_filter(ids: DataFrame) -> object:
+    """A broadcast bitmap of 8 MB, whatever the number of ids (one column of longs): `in_filter` tells ids that are
+    surely not among them.  It only saves shuffles; what passes it is still joined."""
+    from pyspark.sql import functions as F
+
+    spark = ids.sparkSession
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << FILTER_BITS)).cast("int")
+
+    def bits(group: pa.Table) -> pa.Table:
+        on = np.zeros(1 << FILTER_BLOCK, bool)
+        on[group.column("slot").to_numpy() & ((1 << FILTER_BLOCK) - 1)] = True
+        return pa.table({"block": group.column("block")[:1], "bits": [np.packbits(on).tobytes()]})
+
+    found = ids.select(slot.alias("slot")).distinct().withColumn("block", F.shiftright("slot", FILTER_BLOCK))
+    whole = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), (1 << FILTER_BLOCK) // 8), np.uint8)
+    for r in found.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():  # at most 64 rows of 128 KB
+        whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(whole.ravel())
+
+
+def in_filter(known: object, column) -> object:
+    """Whether an id may be among the filter's; false for null."""
+    from pyspark.sql import functions as F
+
+    def look(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((known.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
+    return column.isNotNull() & F.arrow_udf(look, "boolean")(slot)
+
+
+def pack(texts: pa.Array) -> pa.Array:
+    """Texts with their lengths in front, compressed: this is what is shuffled."""
+    codec = pa.Codec("zstd", 1)
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpack(column: pa.Array) -> list[bytes | None]:
+    codec = pa.Codec("zstd")
+    return [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+
+
 #: Rows in a batch that goes to Python: texts can be long, and a batch is held whole.
 BATCH_ROWS = 1000
 
