@@ -26,9 +26,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier one go from the texts; all documents stay.  n_chars follows the new text."""
     small_batches(spark)
     found = line_dedup.deduplicated(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    kinds = dict(docs.dtypes)
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("row.text")).otherwise(own["n_chars"]).cast(kinds["n_chars"])
+    return found.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
