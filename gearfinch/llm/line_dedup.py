@@ -12,9 +12,11 @@ A line is the set of its words.  It is removed if an earlier line, by (doc_id, l
 3. Of the entries of a word only pairs that pass the length, positional and parity filters are proposed.  All three are
    bounds that no similar pair misses: the parity bitmap of a set (one bit flipped by each word) differs from another
    one's in at most as many bits as the sets differ in words.
+   In a large group lines are first held against its earliest lines, so that a group of near copies makes a pair for
+   each line; of other lines the PROPOSED likeliest partners are told.
 4. Proposed pairs are verified on the words of both lines: of each later line its likeliest partner first, then the
-   others.  Where a word has many partners for a line and the likeliest is very near, only PROPOSED are told; if all
-   of these fail, the line is compared with every partner.
+   others.  A line whose partners all fail, though a word has more of them than were told, is compared with every
+   partner that it has by such words.
 
 Lines without words are never removed.  Null and empty texts have none.  Documents without an id are neither compared
 nor changed.  Rows of one id and different texts are different documents, ordered by the texts' digests; rows that
@@ -34,13 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .repeats import CHUNK_BYTES, first_of_runs, n_buckets_for
-from .texts import Words, as_bytes, chunks, id_filter, in_filter, keyed, mix, pack, ranges, stored, table, unpack
+from .texts import Words, as_bytes, chunks, id_filter, in_filter, keyed, may_hold, mix, pack, ranges, stored, table, unpack
 
 THRESHOLD = 0.8
 SLOT_BITS, BLOCK_BITS = 24, 16
 BUCKET_BYTES = 8 << 20
-#: Partners that are told at least of each line and word; all are, unless the likeliest differs in few bits.
+#: Partners that are told of each line and word.
 PROPOSED = 8
+#: In groups of more than LARGE entries lines are first held against the LEADERS earliest ones.
+LARGE, LEADERS = 64, 8
 #: Level (see word_levels) of words whose entries are dealt by length too: 131,072 occurrences.
 FREQUENT = 167
 #: Pairs that are filtered at a time.
@@ -49,7 +53,7 @@ GUEST = 1 << 14
 
 _ENTRY = [("token", np.uint32), ("prev", np.uint32), ("digest", np.uint32), ("bits", np.uint64), ("more_bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32)]
 _DIGEST = [("low", np.uint64), ("high", np.uint64), ("doc", np.int64), ("line", np.int32)]
-_FOUND = [("doc", np.int64), ("line", np.int32), ("a_doc", np.int64), ("a_line", np.int32), ("apart", np.int16), ("more", np.bool_)]
+_FOUND = [("doc", np.int64), ("line", np.int32), ("a_doc", np.int64), ("a_line", np.int32), ("apart", np.int16), ("more", np.uint32)]
 _LAYOUT = "bucket int, size int, columns array<binary>"
 
 
@@ -154,36 +158,79 @@ def _sure(n_parts: int, doc, line) -> pa.Table:
     return _found(n_parts, doc, line, zero, zero - 1, zero, zero)
 
 
-def candidates(token, n, pos, guest, prev, bits, more_bits, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of entries, sorted by token and n, that pass all filters, with the number of bits in which they
-    differ and the number that they may differ in.  A similar pair passes at the rarest word that it shares: there all
-    shared words stand at or after both places."""
-    bits_set = lambda x: np.bitwise_count(x).astype(np.int16)
-    key = token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
-    low = np.searchsorted(key, token.astype(np.uint64) << np.uint64(32) | at_least(threshold, n).astype(np.uint64))
-    many = np.where(guest, 0, np.arange(len(key)) - low)
-    ends = np.cumsum(many)
-    out, first = [], 0
-    rest, share = (n - pos).astype(np.int32), threshold / (1 + threshold)
-    while first < len(key):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
-        j = ranges(low[first:last], many[first:last])
-        i = np.repeat(np.arange(first, last), many[first:last])
-        first = last
-        need = at_least(share, n[i] + n[j])
-        keep = np.flatnonzero((np.minimum(rest[i], rest[j]) >= need) & ((prev[i] == 0) | (prev[i] != prev[j])))
-        i, j, need = i[keep], j[keep], need[keep]
-        apart = bits_set(bits[i] ^ bits[j])
-        wide = (n[i] > 64) & (n[j] > 64)
-        apart = np.where(wide, apart + bits_set(more_bits[i] ^ more_bits[j]), apart)
-        mixed = (n[i] > 64) != (n[j] > 64)
-        # one set has a bitmap of 128 bits, the other of 64: both halves together are the short bitmap
-        apart = np.where(mixed, bits_set(bits[i] ^ more_bits[i] ^ bits[j] ^ more_bits[j]), apart)
-        most = n[i] + n[j] - 2 * need
-        keep = np.flatnonzero(apart <= most)
-        out.append((i[keep], j[keep], apart[keep], most[keep]))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip((none, none, none, none), *out, strict=True))
+class Entries:
+    """Entries of words, sorted by word and length of line; no two of one word have equal sets."""
+
+    def __init__(self, token, prev, bits, more_bits, doc, line, n, pos, threshold: float):
+        self.token, self.prev, self.bits, self.more_bits, self.doc, self.line, self.n = token, prev, bits, more_bits, doc, line, n
+        self.guest, self.rest = pos >= GUEST, (n - pos % GUEST).astype(np.int32)
+        self.share, self.threshold = threshold / (1 + threshold), threshold
+        self.key = token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
+        self.low_key = token.astype(np.uint64) << np.uint64(32) | at_least(threshold, n).astype(np.uint64)
+
+    def need(self, i, j) -> np.ndarray:
+        """Words that similar lines share at least."""
+        return at_least(self.share, self.n[i] + self.n[j])
+
+    def later(self, i, j) -> np.ndarray:
+        """Whether i's line comes after j's."""
+        return (self.doc[i] > self.doc[j]) | ((self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j]))
+
+    def apart(self, i, j) -> np.ndarray:
+        """Bits in which the bitmaps differ; 1,000 where no pair of different sets can be similar."""
+        count = lambda x: np.bitwise_count(x).astype(np.int16)
+        low, high = self.bits[i] ^ self.bits[j], self.more_bits[i] ^ self.more_bits[j]
+        wide = (self.n[i] > 64) == (self.n[j] > 64)
+        # where one bitmap has 128 bits and the other 64, both halves together are the short one
+        found = np.where(wide, count(low) + count(high), count(low ^ high))
+        most = self.n[i] + self.n[j] - 2 * self.need(i, j)
+        same_size = self.n[i] == self.n[j]
+        # different sets differ in a word, those of equal size in two
+        return np.where((found > most) | (most < 1 + same_size) | ((self.doc[i] == self.doc[j]) & (self.line[i] == self.line[j])), 1000, found)
+
+    def near_leader(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of large groups that may be similar to one of the group's LEADERS earliest lines, with the likeliest of
+        these and the bits in which they differ."""
+        first = first_of_runs(self.token)
+        size = np.diff(np.append(first, len(self.token)))
+        large = np.flatnonzero(size > LARGE)
+        if not len(large):
+            return (np.zeros(0, np.int64),) * 3
+        member = ranges(first[large], size[large])
+        begin = np.cumsum(size[large]) - size[large]
+        order = member[np.lexsort((self.line[member], self.doc[member], np.repeat(large, size[large])))]
+        best, least = np.zeros(len(member), np.int64), np.full(len(member), 1000, np.int16)
+        for k in range(LEADERS):
+            leader = np.repeat(order[begin + k], size[large])
+            fit = np.minimum(self.n[member], self.n[leader]) >= at_least(self.threshold, np.maximum(self.n[member], self.n[leader]))
+            d = np.where(fit & self.later(member, leader), self.apart(member, leader), 1000)
+            best, least = np.where(d < least, leader, best), np.minimum(least, d)
+        near = least < 1000
+        return member[near], best[near], least[near]
+
+    def pairs(self, linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (later, earlier, bits apart) that pass all filters and whose later entry isn't linked.  A similar pair
+        passes at the rarest word that it shares: there all shared words stand at or after both places."""
+        every, free = np.arange(len(self.key)), np.flatnonzero(~linked)
+        host = ~self.guest
+        for i, others in ((free[host[free]], every), (np.flatnonzero(linked & host), free)):
+            # the shorter line of a pair stands in the window before the longer one
+            low, high = np.searchsorted(self.key[others], self.low_key[i]), np.searchsorted(others, i)
+            many = np.maximum(0, high - low)
+            ends, first = np.cumsum(many), 0
+            while first < len(i):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+                x, y = np.repeat(i[first:last], many[first:last]), others[ranges(low[first:last], many[first:last])]
+                first = last
+                keep = np.flatnonzero((np.minimum(self.rest[x], self.rest[y]) >= self.need(x, y)) & ((self.prev[x] == 0) | (self.prev[x] != self.prev[y])))
+                x, y = x[keep], y[keep]
+                d = self.apart(x, y)
+                keep = np.flatnonzero(d < 1000)
+                x, y, d = x[keep], y[keep], d[keep]
+                swap = self.later(y, x)
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                keep = ~linked[x]
+                yield x[keep], y[keep], d[keep]
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,7 +240,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     levels = spark.sparkContext.broadcast(word_levels(docs))
     step = np.log(1 / threshold)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch], only=None) -> Iterator[pa.RecordBatch]:
+        """Entries, digests and copies in a chunk; or entries alone, of words that may be in the filter `only`."""
         for serial, batch in enumerate(chunks(batches, "text", CHUNK_BYTES)):
             ids = batch.column(0).to_numpy()
             lines = Lines(as_bytes(batch.column(1)), levels.value)
@@ -209,9 +257,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             # what a chunk knows by itself, dealt evenly
             aside = 2 * n_buckets + (TaskContext.get().partitionId() * 31 + serial) % n_buckets
             zero = np.zeros(len(gone), np.int64)
-            yield from _rows(np.full(len(gone), aside), [doc[gone], lines.number[gone], zero, zero - 1, zero, zero], _FOUND)
             own = order[first]
-            yield from _rows(n_buckets + (lines.low[own] % np.uint64(n_buckets)).astype(np.int64), [lines.low[own], lines.high[own], doc[own], lines.number[own]], _DIGEST)
+            if only is None:
+                yield from _rows(np.full(len(gone), aside), [doc[gone], lines.number[gone], zero, zero - 1, zero, zero], _FOUND)
+                yield from _rows(n_buckets + (lines.low[own] % np.uint64(n_buckets)).astype(np.int64), [lines.low[own], lines.high[own], doc[own], lines.number[own]], _DIGEST)
             size = np.where(stays, lines.n - at_least(threshold, lines.n) + 1, 0)
             of = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
@@ -229,10 +278,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             token = np.append(home, guest)
             which = np.append(np.arange(len(of)), often)
             of, pos, prev = of[which], pos[which] + np.where(np.arange(len(which)) < len(of), 0, GUEST), prev[which]
+            if only is not None:
+                some = may_hold(only.value, token & np.uint64(0xFFFFFFFF))
+                token, of, pos, prev = token[some], of[some], pos[some], prev[some]
             bucket = (token >> np.uint64(40)).astype(np.int64) % n_buckets
             yield from _rows(bucket, [token & np.uint64(0xFFFFFFFF), prev, lines.low[of] & np.uint64(0xFFFFFFFF), lines.bits[of], lines.more_bits[of], doc[of], lines.number[of], lines.n[of], pos], _ENTRY)
 
-    def propose(every: bool):
+    def propose(later_docs=None):
+        """later_docs: a filter of the documents whose lines seek all their partners; else all lines seek some."""
+        every = later_docs is not None
+
         def run(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
             if bucket >= 2 * n_buckets:
@@ -250,58 +305,77 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             # equal sets: the earliest stands for all, which go by their digests
             order = np.lexsort((line, doc, digest, bits, n, token))
             kept = order[first_of_runs(token[order], n[order], bits[order], more_bits[order], digest[order], pos[order])]
-            token, prev, bits, more_bits, doc, line, n, pos = (x[kept] for x in (token, prev, bits, more_bits, doc, line, n, pos))
-            i, j, apart, most = candidates(token, n, pos % GUEST, pos >= GUEST, prev, bits, more_bits, threshold)
-            other = (doc[i] != doc[j]) | (line[i] != line[j])
-            i, j, apart, most = i[other], j[other], apart[other], most[other]
-            swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
-            later, earlier = np.where(swap, j, i), np.where(swap, i, j)
-            order = np.lexsort((earlier, apart, later))
-            later, earlier, apart, most = later[order], earlier[order], apart[order], most[order]
-            begin = first_of_runs(later)
-            size = np.diff(np.append(begin, len(later)))
-            near = np.repeat((apart[begin] * 4 <= most[begin]) & (size > PROPOSED), size) if len(later) and not every else np.zeros(len(later), bool)
-            told = ~near | (np.arange(len(later)) - np.repeat(begin, size) < PROPOSED)
-            later, earlier, apart, near = later[told], earlier[told], apart[told], near[told]
-            return _found(n_buckets, doc[later], line[later], doc[earlier], line[earlier], apart, near)
+            e = Entries(*(x[kept] for x in (token, prev, bits, more_bits, doc, line, n, pos)), threshold)
+            member, leader, d = (np.zeros(0, np.int64),) * 3 if every else e.near_leader()
+            linked = ~may_hold(later_docs.value, e.doc) if every else np.zeros(len(e.key), bool)
+            linked[member] = True
+            out = [(member, leader, d, e.token[member])]
+            parts = list(e.pairs(linked))
+            if parts:
+                later, earlier, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((earlier, d, later))
+                later, earlier, d = later[order], earlier[order], d[order]
+                begin = first_of_runs(later)
+                size = np.diff(np.append(begin, len(later)))
+                told = np.full(len(later), every) | (np.arange(len(later)) - np.repeat(begin, size) < PROPOSED)
+                more = np.where(np.repeat(size > PROPOSED, size) & (not every), e.token[later], 0)
+                out.append((later[told], earlier[told], d[told], more[told]))
+            later, earlier, d, more = (np.concatenate(x) for x in zip(*out, strict=True))
+            return _found(n_buckets, e.doc[later], e.line[later], e.doc[earlier], e.line[earlier], d, more)
 
         return run
 
     def settle(group: pa.Table) -> pa.Table:
+        """A row for each line: its likeliest partner (line -1: it surely goes), the others, and words with more."""
         doc, line, a_doc, a_line, apart, more = _read(group, _FOUND)
-        order = np.lexsort((~more, a_line, a_doc, line, doc))
-        doc, line, a_doc, a_line, apart, more = (x[order] for x in (doc, line, a_doc, a_line, apart, more))
+        order = np.lexsort((a_line, a_doc, apart, a_line >= 0, line, doc))
+        doc, line, a_doc, a_line, more = (x[order] for x in (doc, line, a_doc, a_line, more))
         begin = first_of_runs(doc, line)
-        size = np.diff(np.append(begin, len(doc)))
-        sure = np.repeat(np.minimum.reduceat(a_line, begin) < 0, size)
-        more = np.repeat(np.logical_or.reduceat(more, begin), size)
-        keep = np.zeros(len(doc), bool)
-        keep[first_of_runs(doc, line, a_doc, a_line)] = True
-        keep &= ~sure | (a_line < 0)
-        return pa.table({c: x[keep] for c, x in zip(("b_doc", "b_line", "a_doc", "a_line", "apart", "more"), (doc, line, a_doc, a_line, apart, more), strict=True)})
-
-    sent = docs.select("key", "text").mapInArrow(prefixes, _LAYOUT)
-    proposals = lambda every: sent.groupBy("bucket").applyInArrow(propose(every), _LAYOUT).groupBy("bucket").applyInArrow(settle, "b_doc long, b_line int, a_doc long, a_line int, apart short, more boolean")
-    told = stored(proposals(False), "line-pairs")
+        edges = np.append(begin, len(doc)).tolist()
+        others, words = [], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a_line[a] < 0 or b == a + 1:
+                others.append(None)
+            else:
+                rest = sorted(set(zip(a_doc[a:b].tolist(), a_line[a:b].tolist(), strict=True)) - {(int(a_doc[a]), int(a_line[a]))})
+                others.append([{"a_doc": x, "a_line": y} for x, y in rest])
+            words.append(np.unique(more[a:b][more[a:b] > 0]).tolist() if a_line[a] >= 0 else None)
+        kinds = (pa.list_(pa.struct([("a_doc", pa.int64()), ("a_line", pa.int32())])), pa.list_(pa.int64()))
+        return pa.table({"b_doc": doc[begin], "b_line": line[begin], "a_doc": a_doc[begin], "a_line": a_line[begin], "others": pa.array(others, kinds[0]), "words": pa.array(words, kinds[1])})
+
+    def proposals(only=None, later_docs=None) -> DataFrame:
+        sent = docs.select("key", "text").mapInArrow(lambda batches: prefixes(batches, only), _LAYOUT)
+        found = sent.groupBy("bucket").applyInArrow(propose(later_docs), _LAYOUT).groupBy("bucket")
+        return found.applyInArrow(settle, "b_doc long, b_line int, a_doc long, a_line int, others array<struct<a_doc:long,a_line:int>>, words array<long>")
+
+    told = stored(proposals(), "line-pairs")
     line = [F.col("b_doc").alias("key"), F.col("b_line").alias("line")]
     gone = told.where("a_line < 0").select(*line)
-    open_ = told.where("a_line >= 0")
-    # the likeliest partner of each line first, then the others
-    first = open_.groupBy("b_doc", "b_line").agg(F.min(F.struct("apart", "a_doc", "a_line")).alias("a")).select("b_doc", "b_line", "a.a_doc", "a.a_line")
-    failed = open_
+    failed = told.where("a_line >= 0")
     pair = ["b_doc", "b_line", "a_doc", "a_line"]
-    for now in (first, None):
-        now = stored((failed.join(first, pair, "left_anti") if now is None else now).select(*pair), "line-open")
-        if now.isEmpty():
-            break
-        verified = stored(verify(docs, now, threshold), "line-verified")
+
+    def tried(pairs: DataFrame) -> bool:
+        """Verify pairs; lines that have a similar one are gone and no longer failed."""
+        nonlocal gone, failed
+        pairs = stored(pairs, "line-open")
+        if pairs.isEmpty():
+            return False
+        verified = stored(verify(docs, pairs, threshold), "line-verified")
         gone = gone.unionByName(verified.select(*line))
         failed = failed.join(verified, ["b_doc", "b_line"], "left_anti")
-    left = stored(failed.where("more").select("b_doc", "b_line").distinct(), "line-left")
-    if not left.isEmpty():
-        # the exact way for the rest: every partner of these lines, which alone are verified
-        rest = proposals(True).where("a_line >= 0").join(left, ["b_doc", "b_line"], "left_semi").join(open_, pair, "left_anti")
-        gone = gone.unionByName(stored(verify(docs, stored(rest.select(*pair), "line-open"), threshold), "line-rest").select(*line))
+        return True
+
+    # the likeliest partner of each line first, then the others
+    exploded = lambda df: df.select("b_doc", "b_line", F.explode("others").alias("a")).select("b_doc", "b_line", "a.*")
+    if tried(failed.select(*pair)):
+        tried(exploded(failed))
+        left = stored(failed.where("size(words) > 0"), "line-left")
+        if not left.isEmpty():
+            # every partner that these lines have by words of which not all were told
+            words, own = id_filter(left.select(F.explode("words").alias("word"))), id_filter(left.select("b_doc"))
+            every = proposals(words, own).where("a_line >= 0").join(left.select("b_doc", "b_line"), ["b_doc", "b_line"], "left_semi")
+            every = stored(every, "line-every")
+            tried(every.select(*pair).unionByName(exploded(every)))
     return gone
 
 

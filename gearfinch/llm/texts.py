@@ -191,16 +191,6 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (long) and text (string) of docs.  Columns that have these names and types are taken as they are, so that
-    two uses in one plan look alike and share their shuffle of the texts."""
-    from pyspark.sql import functions as F
-
-    kinds = dict(docs.dtypes)
-    as_is = lambda c, name, kind: F.col(c) if (c, kinds.get(c)) == (name, kind) else F.col(c).cast("long" if kind == "bigint" else kind).alias(name)
-    return docs.select(as_is(id_col, "doc_id", "bigint"), as_is(text_col, "text", "string"))
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """key (long), text (string) and row (all columns of docs, as one struct, so that no name can clash), and the number
     of low bits in which keys of one id differ.
@@ -227,39 +217,58 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     return joined.select(F.col("number").alias("key"), "text", "row"), bits
 
 
+def with_ids(found: DataFrame, rows: DataFrame, bits: int, id_col: str) -> DataFrame:
+    """found with the id in doc_id instead of the key."""
+    from pyspark.sql import functions as F
+
+    if not bits:
+        return found
+    ids = rows.where("key IS NOT NULL").select(F.col("key").alias("__key"), F.col("row").getField(id_col).cast("long").alias("__id")).distinct()
+    return found.join(ids, F.col("doc_id") == F.col("__key"), "left").withColumn("doc_id", F.col("__id")).select(*found.columns)
+
+
 FILTER_BITS, FILTER_BLOCK = 26, 20
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
+
+
 def id_filter(ids: DataFrame) -> object:
-    """A broadcast bitmap of 8 MB, whatever the number of ids (one column of longs): `in_filter` tells ids that are
-    surely not among them.  It only saves shuffles; what passes it is still joined."""
+    """A broadcast bitmap of 8 MB, whatever the number of ids (one column of longs, not null): it tells ids that are
+    surely not among them.  It only saves work; what passes it is still joined."""
     from pyspark.sql import functions as F
 
-    spark = ids.sparkSession
-    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << FILTER_BITS)).cast("int")
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(zero_copy_only=False)))], ["slot"])
 
     def bits(group: pa.Table) -> pa.Table:
         on = np.zeros(1 << FILTER_BLOCK, bool)
         on[group.column("slot").to_numpy() & ((1 << FILTER_BLOCK) - 1)] = True
         return pa.table({"block": group.column("block")[:1], "bits": [np.packbits(on).tobytes()]})
 
-    found = ids.select(slot.alias("slot")).distinct().withColumn("block", F.shiftright("slot", FILTER_BLOCK))
+    found = ids.mapInArrow(slots, "slot int").distinct().withColumn("block", F.shiftright("slot", FILTER_BLOCK))
     whole = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), (1 << FILTER_BLOCK) // 8), np.uint8)
     for r in found.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():  # at most 64 rows of 128 KB
         whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(whole.ravel())
+    return ids.sparkSession.sparkContext.broadcast(whole.ravel())
+
+
+def may_hold(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of a filter's bitmap."""
+    at = _slots(ids)
+    return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
 
 def in_filter(known: object, column) -> object:
     """Whether an id may be among the filter's; false for null."""
     from pyspark.sql import functions as F
 
-    def look(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy(zero_copy_only=False)
-        return pa.array((known.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+    def look(ids: pa.Array) -> pa.Array:
+        return pa.array(may_hold(known.value, ids.to_numpy(zero_copy_only=False)), pa.bool_())
 
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
-    return column.isNotNull() & F.arrow_udf(look, "boolean")(slot)
+    return column.isNotNull() & F.arrow_udf(look, "boolean")(F.coalesce(column, F.lit(0)))
 
 
 def pack(texts: pa.Array) -> pa.Array:

@@ -277,6 +277,33 @@ def test_thresholds_certify_with_enough_labels(spark):
     assert all(kept[i] == (i % 2 == 0) for i in kept)
 
 
+def test_certified_cutoffs_against_duckdb(spark, tmp_path):
+    """Strata with different numbers of labels: one goes the whole path, one stops at lines, one at symbols, one has too
+    few labels."""
+    r, rows, labels = random.Random(11), [], []
+    words = [f"w{i}" for i in range(5000)]
+    for lang, n, noise in (("whole", 400, None), ("lines", 400, "lines"), ("symbols", 400, "symbols"), (None, 60, None)):
+        for i in range(n):
+            good = i % 3 > 0
+            text = "\n".join(" ".join(r.sample(words, 8)) for _ in range(10))
+            if not good:
+                text += " " + "#*" * r.randint(1, 80) if i % 2 else "\n" + "\n".join(["ab cd"] * r.randint(1, 3))
+            elif noise == "lines" and i % 5 == 0:
+                text += "\n" + "\n".join(["ab cd"] * 3)
+            elif noise == "symbols" and i % 5 == 0:
+                text += " " + "#" * 60
+            labels.append((len(rows), int(good), 0))
+            rows.append((len(rows), text, lang, "s", len(text)))
+    write = lambda name, names, x: pq.write_table(pa.table(dict(zip(names, map(list, zip(*x, strict=True)), strict=True))), f"{tmp_path}/{name}.parquet")
+    write("documents", ["doc_id", "text", "lang", "source", "n_chars"], rows)
+    write("labels", ["doc_id", "quality", "toxic"], labels)
+    same(registry.QUERIES["op8_quality_rules"](spark, str(tmp_path)), registry.ORACLE["op8_quality_rules"], str(tmp_path))
+    docs, known = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    cut = {x["stratum"]: (x["symbols"], x["lines"]) for x in quality_rules.judged(docs, known).select("stratum", "symbols", "lines").distinct().collect()}
+    assert cut["whole"] == (0.02, 0.02) and cut["lines"][0] == 0.02 and cut["lines"][1] > 0.02 and cut["symbols"][0] > 0.02 and cut["symbols"][1] is None
+    assert cut[quality_rules.NO_STRATUM] == (None, None)
+
+
 def test_token_cache(spark, edge, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -307,26 +334,47 @@ def test_rules_are_filed_under_the_rarest_token(spark):
     assert {r["rule"]: r["token"] for r in url_filters.rule_index(rules, tokens).collect()} == {"r": "rare", "any": ""}
 
 
-def test_lines_with_many_partners(spark, monkeypatch):
-    """Lines whose first partners fail are compared with all others."""
-    monkeypatch.setattr(line_dedup, "PROPOSED", 1)
+def line_rows():
     words = [f"w{i}" for i in range(300)]
     rows = []
     for i in range(40):
         line = rng.sample(words[:40], 12) + rng.sample(words, 4)
         rows.append((i, " ".join(line) + "\n" + " ".join(line[:-1] + ["other"])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(40 + i, " ".join(rng.sample(words, 100) if i % 2 else words[i : i + 90])) for i in range(12)]
+    return rows
+
+
+def removed_by_brute_force(rows):
+    """Ids and numbers of lines that are similar to an earlier one."""
     lines = [(d, k, set(x.split())) for d, t in rows for k, x in enumerate(t.split("\n"))]
-    expected = {(d, k) for n, (d, k, s) in enumerate(lines) if any(len(s & o) >= 0.8 * len(s | o) for _, _, o in lines[:n])}
-    assert {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == expected
+    return {(d, k) for n, (d, k, s) in enumerate(lines) if any(s and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:n])}
+
+
+@pytest.mark.parametrize("limits", [{}, {"PROPOSED": 1, "NEAR": 0}, {"FREQUENT": 2}, {"PAIRS": 3}])
+def test_lines_with_many_partners(spark, monkeypatch, limits):
+    """Lines whose first partners fail are compared with all others; frequent words are dealt by length too."""
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = line_rows()
+    docs = spark.createDataFrame(rows, "key long, text string")
+    assert {(r["key"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == removed_by_brute_force(rows)
 
 
 def test_lines_of_all_texts_of_an_id(spark):
-    """Rows of one id with different texts: later lines are compared with the lines of each."""
-    lines = [[f"{c}{i}" for i in range(10)] for c in "abc"]
-    rows = [(1, " ".join(x)) for x in lines] + [(2 + k, " ".join(x[:9] + ["other"])) for k, x in enumerate(lines)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == {(2, 0), (3, 0), (4, 0)}
+    """Rows of one id with different texts are different documents; repeated rows are one."""
+    lines = [" ".join(f"{c}{i}" for i in range(10)) for c in "abc"]
+    near = [x.replace("9", "x") for x in lines]
+    rows = [(1, lines[0]), (2, near[0] + "\n" + lines[1]), (2, lines[2]), (2, lines[2]), (3, near[2]), (None, lines[0]), (4, None)]
+    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*", "n_lines", "n_removed").collect()
+    expected = [(1, lines[0], 1, 0), (2, lines[1], 2, 1), (2, lines[2], 1, 0), (2, lines[2], 1, 0), (3, "", 1, 1), (None, lines[0], 1, 0), (4, None, 0, 0)]
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e", 1, 2, 3, 4, 5), (2, "a b c d e\nf", 6, 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, row int, gone int, n_lines int, z int")
+    found = line_dedup.deduplicated(docs).select("row.*").orderBy("doc_id").collect()
+    assert found[0].asDict() == docs.collect()[0].asDict() and found[1].asDict() == docs.collect()[1].asDict() | {"text": "f"}
 
 
 @pytest.mark.parametrize("s", ["\n", " ", "|"])
