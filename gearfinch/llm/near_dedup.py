@@ -8,10 +8,11 @@ sends what is left of it without up to that many words.  Two such texts within t
 pair of short texts is never missed.  Candidates are verified by aligning their words inside a band: the edit distance
 must be at most (1 - similarity) of the longer text.
 
-Equal texts are one node.  In each group of nodes with the same key all are held against the group's least node, its
-hub, and not against each other: first each node against the least of its hubs, then, twice, against one hub of each
-class that has hubs of it, then the pairs of node and hub that still lie in different classes.  Only nodes that are not in their hub's class then are compared with the members of
-their groups outside their class, in blocks, after an exact lower bound on the edit distance (word histograms).
+Equal texts are one node.  In each group of nodes with the same key the least node is the hub.  First each node is held
+against the least of its hubs.  Then, twice, a group is one row for each class that it has members of, and its hub is
+held against one node of each other class.  Only nodes that are not in their hub's class then are compared with the
+members of their groups outside their class, in blocks, after an exact lower bound on the edit distance (word
+histograms).
 Classes are the connected components, found by label passing over stored tables.
 
 Null text counts as empty; texts without words are duplicates only of equal texts.  Ids may be null or repeated: a class
@@ -272,32 +273,32 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     """Stored nodes (node, n, hist, keys) and roots (node, root) of the classes.  texts: node, text."""
     nodes = stored(sketches(texts, similarity).dropDuplicates(["node"]), "near-nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = stored(bands.join(hubs, "key").where("node <> hub"), "near-members")
-    star = stored(member.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    # first every node with the least of its hubs, which joins most classes; then what still lies between two classes
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    groups = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    member = stored(bands.join(groups, "key"), "near-members")
+    # first every node with the least of its hubs, which joins most classes
+    first = stored(member.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "near-tried")
     found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
-    roots = forest(found)
-    between = stored(apart(star, roots).join(first, ["a", "b"], "left_anti"), "near-between")
-    for whole in (False, False, True):
-        if between.isEmpty():
+    roots, tried = forest(found), first
+    # then a group is a row for each class in it: its hub is held against one node of each other class
+    for _ in range(2):
+        sides = member.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("hub").alias("a"), F.min("node").alias("b"))
+        now = stored(sides.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
+        if now.isEmpty():
             break
-        now = between if whole else between.groupBy("b", "ra").agg(F.min("a").alias("a"))
-        now = now.select("a", "b")
+        tried = tried.unionByName(now)
         more = stored(aligned(texts, close_enough(now, nodes, similarity), similarity), "near-links")
-        if not more.isEmpty():
-            roots = merged(roots, more)
-        if not whole:
-            between = stored(apart(between.join(now, ["a", "b"], "left_anti").select("a", "b"), roots), "near-between")
+        if more.isEmpty():
+            break
+        roots = merged(roots, more)
     # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
-    unlinked = apart(star, roots).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    failed = stored(member.join(unlinked, ["hub", "node"], "left_semi").select("key", "node").distinct(), "near-failed")
+    own = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    failed = stored(own.join(theirs, "hub", "left").where("root <> coalesce(hub_root, hub)").select("key", "node"), "near-failed")
     n = failed.groupBy("key").agg(F.count("*").alias("n_failed"))
     queries = failed.join(n, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_failed") / BLOCK)))
     others = member.join(n, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
     others = others.withColumn("slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (4 * BLOCK))))
-    queries = queries.join(member.select("key", "size").distinct(), "key").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (4 * BLOCK)) - 1)))
+    queries = queries.join(member.where("node = hub").select("key", "size"), "key").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (4 * BLOCK)) - 1)))
     facts = nodes.join(roots, "node", "left").select("node", "n", "hist", F.coalesce("root", "node").alias("root"))
     on = ["key", "block", "slice"]
     both = others.select(*on, "node", F.lit(False).alias("query")).unionByName(queries.select(*on, "node", F.lit(True).alias("query"))).join(facts, "node")
@@ -316,7 +317,7 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    rest = stored(both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
+    rest = stored(both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         last = stored(aligned(texts, rest, similarity), "near-links")
         if not last.isEmpty():
@@ -324,13 +325,6 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     return nodes, roots
 
 
-def apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges between different classes, and the class of a."""
-    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    joined = edges.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", F.coalesce("ra", "a").alias("ra"))
-
-
 def forest(edges: DataFrame) -> DataFrame:
     """node, root for edges (a, b) in which every b stands once and is greater than its a: pointers are doubled."""
     label = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "near-labels")
