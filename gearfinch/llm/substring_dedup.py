@@ -5,13 +5,12 @@ Documents are joined on winnowed anchors (`repeats`).  Around each shared anchor
 windows with neighbouring sources are chained into maximal repeats over the length threshold.  No pairs of documents
 are made: an anchor of n documents costs n rows at most, and copies within a chunk send one.
 
-Null and empty texts have no words.  Documents without an id are neither compared nor changed.  Equal ids are one
-document's: they never remove each other.  Words are compared by 64-bit digests.
+Null and empty texts have no words.  Documents without an id are neither compared nor changed.  Rows of one id never
+remove each other's words, but each is judged by its own text.  A text of any length is handled whole.  Words are compared by 64-bit digests.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .texts import Words, as_bytes, chunks, plain, ranges, rolling, spans_of, table
+from .texts import Words, as_bytes, chunks, keyed, ranges, rolling, spans_of, table, with_ids
 
 REACH, SEED = 50, 20
 BUCKET_BYTES = 16 << 20
@@ -31,9 +30,10 @@ def _units(texts: list[bytes], reach: int, seed: int) -> R.Units:
     return R.words_units(words.hashes(), words.bounds, seed, reach)
 
 
-def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> DataFrame:
+def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED, bits: int = 0) -> DataFrame:
     """doc_id, runs: windows of `reach` words that also start in a document with a smaller id, as runs of
-    (starts, lengths, sources, source_starts).  docs: doc_id, text, ids not null."""
+    (starts, lengths, sources, source_starts).  docs: doc_id, text, ids not null; ids that differ in their low bits
+    alone are equal."""
     n = R.n_buckets_for(docs, BUCKET_BYTES)
     shared = R.shared_anchors(docs, lambda texts: _units(texts, reach, seed), n)
 
@@ -49,7 +49,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             order = np.lexsort((at, doc, window))
             first = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]])) if len(order) else order
             least = np.repeat(order[first], np.diff(np.append(first, len(order))))
-            later = doc[order] != doc[least]
+            later = doc[order] >> bits != doc[least] >> bits
             again, source = order[later], least[later]
             if len(again):  # a copy in this chunk is earlier: surely removed
                 yield from _blocks(np.full(len(again), R.aside(n, serial)), doc[again], at[again], window[again], doc[source], at[source])
@@ -65,7 +65,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         doc, at, window = doc[order], at[order], window[order]
         first = R.first_of_runs(window)
         least = np.repeat(first, np.diff(np.append(first, len(window))))
-        later = doc != doc[least]
+        later = doc >> bits != doc[least] >> bits
         return R.run_rows(n, doc[later], at[later], doc[least[later]], at[least[later]])
 
     layout = "bucket int, docs binary, starts binary, lengths binary, windows binary, sources binary, source_starts binary"
@@ -109,10 +109,12 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words that stay, joined by blanks) and repeats: maximal repeats as
-    (start, n_words, source, source_start) in words."""
-    docs = plain(docs, id_col, text_col)
+    (start, n_words, source, source_start) in words.  A source is an id; where ids repeat, it is the number of an id and
+    text (see texts.keyed)."""
+    rows, bits = keyed(docs, id_col, text_col)
+    docs = rows.select(F.col("key").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    runs = repeated_runs(known, reach, seed)
+    runs = repeated_runs(known, reach, seed, bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +138,7 @@ def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col:
     layout = "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,n_words:long,source:long,source_start:long>>"
     joined = known.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "runs")
     nameless = docs.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
-    return joined.unionByName(nameless).mapInArrow(cut, layout)
+    return with_ids(joined.unionByName(nameless).mapInArrow(cut, layout), rows, bits, id_col)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

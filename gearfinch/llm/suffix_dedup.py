@@ -11,13 +11,12 @@ Bytes covered by a string of `reach` bytes that also starts in a document with a
    array rather than carried through the queues: only whether they get to `reach` matters here.
 3. Windows with an earlier document go back to their documents as runs.
 
-Matches never cross documents.  Null counts as empty.  Documents without an id are neither compared nor changed.  Equal
-ids are one document's: they never remove each other.
+Matches never cross documents.  Null counts as empty.  Documents without an id are neither compared nor changed.  Rows
+of one id never remove each other's bytes, but each is judged by its own text.  A text of any length is handled whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .induced_sort import suffix_array
-from .texts import as_bytes, chunks, mix, plain, ranges, spans_of, table
+from .texts import as_bytes, chunks, keyed, mix, ranges, spans_of, table, with_ids
 
 REACH, SEED = 50, 24
 SHARD_BYTES = 8 << 20
@@ -53,19 +52,27 @@ def _digest(buf: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     return h
 
 
-def _equal_fragments(buf, at, lengths, doc, place, reach) -> tuple[np.ndarray, np.ndarray]:
+def _equal_fragments(buf, at, lengths, doc, place, reach, bits) -> tuple[np.ndarray, np.ndarray]:
     """For fragments (lengths: windows in each) the index of the least-document equal one, and whether that is of a
-    smaller document.  A fragment has at most `reach` windows, so its first and last window cover it."""
+    smaller id.  Digests of the first and last window propose it, all bytes decide."""
     digest = mix(_digest(buf, at, reach) * np.uint64(3) + mix(_digest(buf, at + lengths - 1, reach)) + lengths.astype(np.uint64))
     order = np.lexsort((place, doc, digest))
     first = R.first_of_runs(digest[order])
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
-    return least, doc != doc[least]
-
-
-def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> DataFrame:
-    """doc_id, runs of windows of `reach` bytes that also start in a document with a smaller id."""
+    copy = doc >> bits != doc[least] >> bits
+    own = np.flatnonzero(copy)
+    for a in range(0, len(own), 1 << 14):
+        part = own[a : a + (1 << 14)]
+        sizes = lengths[part] + reach - 1
+        differ = (buf[ranges(at[part], sizes)] != buf[ranges(at[least[part]], sizes)]) | np.repeat(lengths[part] != lengths[least[part]], sizes)
+        copy[part] = ~np.logical_or.reduceat(differ, np.cumsum(sizes) - sizes)
+    return least, copy
+
+
+def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED, bits: int = 0) -> DataFrame:
+    """doc_id, runs of windows of `reach` bytes that also start in a document with a smaller id.  Ids that differ in
+    their low bits alone are equal."""
     n = R.n_buckets_for(docs, SHARD_BYTES)
     shared = R.shared_anchors(docs, lambda texts: _units(texts, reach, seed), n)
 
@@ -82,7 +89,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             lengths = np.diff(np.append(first, len(at)))
             at, text, anchor = at[first], text[first], anchor[first]
             doc, place = batch.column(0).to_numpy()[text], at - bounds[text]
-            least, copy = _equal_fragments(buf, at, lengths, doc, place, reach)
+            least, copy = _equal_fragments(buf, at, lengths, doc, place, reach, bits)
             gone = np.flatnonzero(copy)
             yield from _rows(np.full(len(gone), R.aside(n, serial)), doc[gone], place[gone], lengths[gone], None, None, None, doc[least[gone]], place[least[gone]], reach)
             sent = np.flatnonzero(~copy)
@@ -96,7 +103,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
         buf = np.concatenate([_opened(group, "bytes"), np.zeros(8, np.uint8)])
         sizes = lengths + reach - 1
         at = np.cumsum(sizes) - sizes
-        least, copy = _equal_fragments(buf, at, lengths, doc, place, reach)
+        least, copy = _equal_fragments(buf, at, lengths, doc, place, reach, bits)
         known = np.flatnonzero(copy)
         found = [(np.repeat(doc[known], lengths[known]), ranges(place[known], lengths[known]), np.repeat(doc[least[known]], lengths[known]), ranges(place[least[known]], lengths[known]))]
         # an anchor with one distinct fragment left has nothing to be compared with
@@ -117,7 +124,7 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED) -> Data
             rank = np.lexsort((own_place, own_doc, group_of))
             first = R.first_of_runs(group_of[rank])
             source = np.repeat(rank[first], np.diff(np.append(first, len(rank))))
-            later = own_doc[rank] != own_doc[source]
+            later = own_doc[rank] >> bits != own_doc[source] >> bits
             rank, source = rank[later], source[later]
             found.append((own_doc[rank], own_place[rank], own_doc[source], own_place[source]))
         return R.run_rows(n, *(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -184,10 +191,12 @@ def _rows(bucket, doc, place, lengths, anchor, buf, at, source, source_at, reach
 
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs as start, end), kept (bytes that stay) and repeats (maximal
-    repeats as start, n_bytes, source, source_start)."""
-    docs = plain(docs, id_col, text_col)
+    repeats as start, n_bytes, source, source_start).  A source is an id; where ids repeat, it is the number of an id
+    and text (see texts.keyed)."""
+    rows, bits = keyed(docs, id_col, text_col)
+    docs = rows.select(F.col("key").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    runs = repeated_runs(known, reach, seed)
+    runs = repeated_runs(known, reach, seed, bits)
     span, repeat = pa.struct([("start", pa.int64()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("n_bytes", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col:
     layout = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, repeats array<struct<start:long,n_bytes:long,source:long,source_start:long>>"
     joined = known.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "runs")
     nameless = docs.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
-    return joined.unionByName(nameless).mapInArrow(cut, layout)
+    return with_ids(joined.unionByName(nameless).mapInArrow(cut, layout), rows, bits, id_col)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
