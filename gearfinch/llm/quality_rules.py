@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Three ratios of a document (symbols per word character, repeated lines, repeated five-word windows) may reject it when
-they exceed a cutoff.  Cutoffs aren't set by hand: for every stratum (language) and rule, the lowest cutoff of a fixed
-grid is taken whose false rejection rate on the labelled good documents is at most ALPHA / rules, by the exact
-(Clopper-Pearson) upper bound at level DELTA / (rules x strata x grid).  By the union bound, with probability 1 - DELTA
-no stratum loses more than ALPHA of its good documents.  A stratum with too few labels certifies no cutoff: the rule
-is then off there.
+they exceed a cutoff.  Cutoffs aren't set by hand: in every stratum (language) they are tightened along one path that is
+fixed beforehand (PATH: first symbols alone, then lines and repeats together), as long as the share of labelled good
+documents that all three rules together reject is at most ALPHA by the exact (Clopper-Pearson) upper bound at level
+DELTA / strata.  The first step that fails ends the path.  Testing in a fixed sequence needs no correction for its
+steps, and the strata share DELTA by the union bound: with probability 1 - DELTA no stratum loses more than ALPHA of its
+good documents.  A stratum with too few labels (219 of four strata, with no false rejection) certifies no step: the
+rules are then off there.
 
 Null and empty texts have no words and fail the base rule.  A null language is a stratum of its own.  Labels are one
 per document id (any good label counts); documents without an id have none.  With no labels only the base rule rejects.
@@ -14,6 +16,8 @@ per document id (any good label counts); documents without an id have none.  Wit
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ ALPHA, DELTA = 0.02, 0.05
 WINDOW = 5
 RULES = {"symbols": "n_symbols / word_chars", "lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
 GRID = tuple(round(0.02 * i, 2) for i in range(1, 26))
+#: Cutoffs of symbols, and of lines and repeats (null: off), from the loosest pair to the tightest.
+PATH = tuple((c, None) for c in reversed(GRID)) + tuple((GRID[0], c) for c in reversed(GRID))
 NO_STRATUM = "\u0000"
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -105,12 +111,17 @@ def upper_bound_holds(n: int, k: int, rate: float, level: float) -> bool:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and a cutoff for each rule (null: off).  scored: doc_id, stratum, s (scores), bad (base rule fails).
+    """stratum and a cutoff for each rule (null: off): the last step of PATH that is certified.  scored: doc_id, stratum, s (scores), bad (base rule fails).
 
     Documents that the base rule fails don't count: the guarantee is for what the thresholds reject beyond it."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     held = scored.where(~F.col("bad")).join(good, "doc_id", "left_semi")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.array(*(F.count_if(F.col(f"s.{r}") > c) for c in GRID)).alias(r) for r in RULES))
+    first, *others = (F.col(f"s.{r}") for r in RULES)
+
+    def rejected(step: tuple) -> Column:
+        return reduce(lambda a, b: a | b, [first > step[0], *(x > step[1] for x in others if step[1] is not None)])
+
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*(F.count_if(rejected(step)) for step in PATH)).alias("rejected"))
     # one row for each stratum; all strata share the correction
     counts = counts.crossJoin(counts.agg(F.count("*").alias("strata")))
 
@@ -118,9 +129,11 @@ def thresholds(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
         for batch in batches:
             out = {"stratum": batch.column("stratum").to_pylist()} | {r: [] for r in RULES}
             for row in batch.to_pylist():
-                level = delta / (len(RULES) * row["strata"] * len(GRID))
-                for r in RULES:
-                    out[r].append(next((c for c, k in zip(GRID, row[r], strict=True) if upper_bound_holds(row["n"], k, alpha / len(RULES), level)), None))
+                steps = takewhile(lambda at: upper_bound_holds(row["n"], at[1], alpha, delta / row["strata"]), zip(PATH, row["rejected"], strict=True))
+                last = max((step for step, _ in enumerate(steps)), default=None)
+                first, others = (None, None) if last is None else PATH[last]
+                for r, c in zip(RULES, (first, others, others), strict=True):
+                    out[r].append(c)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("stratum", pa.string()), *((r, pa.float64()) for r in RULES)]))
 
     return counts.mapInArrow(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
@@ -166,7 +179,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The binomial tail is summed in logarithms, as above; cutoffs are the grid's.
-OP8_SQL = f"""
+OP8_SQL = """
 WITH w AS (SELECT doc_id, coalesce(lang, chr(0)) stratum, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1),
@@ -179,12 +192,12 @@ s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed,
   [CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END] r FROM c),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
 held AS (SELECT s.* FROM s SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
-grid AS (SELECT rule, unnest({list(GRID)!r}) cut FROM range(1, 4) q(rule)),
-k AS (SELECT stratum, rule, cut, count(*) n, count(*) FILTER (WHERE r[rule] > cut) k, (SELECT count(DISTINCT stratum) FROM held) strata FROM held, grid GROUP BY ALL),
-tail AS (SELECT stratum, rule, cut, any_value(n) n, any_value(k.k) k, any_value(strata) strata,
-  sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({ALPHA} / 3) + (n - i) * ln(1 - {ALPHA} / 3))) p FROM (SELECT *, unnest(range(0, k + 1)) i FROM k) k GROUP BY stratum, rule, cut),
-cutoff AS (SELECT stratum, rule, min(cut) cut FROM tail WHERE k < n AND p <= {DELTA} / (3 * strata * {len(GRID)}) GROUP BY ALL)
+path AS (SELECT i, CASE WHEN i <= 25 THEN round(0.02 * (26 - i), 2) ELSE 0.02 END c, CASE WHEN i > 25 THEN round(0.02 * (51 - i), 2) END t FROM range(1, 51) q(i)),
+k AS (SELECT stratum, i step, count(*) n, count(*) FILTER (WHERE r[1] > c OR coalesce(r[2] > t OR r[3] > t, false)) k, (SELECT count(DISTINCT stratum) FROM held) strata FROM held, path GROUP BY ALL),
+tail AS (SELECT stratum, step, any_value(n) n, any_value(k.k) k, any_value(strata) strata,
+  sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.02) + (n - i) * ln(0.98))) p FROM (SELECT *, unnest(range(0, k + 1)) i FROM k) k GROUP BY stratum, step),
+cutoff AS (SELECT stratum, coalesce(min(step) FILTER (WHERE NOT (k < n AND p <= 0.05 / strata)), 51) - 1 last FROM tail GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoff WHERE cutoff.stratum = s.stratum AND s.r[cutoff.rule] > cutoff.cut) kept
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoff JOIN path ON i = last WHERE cutoff.stratum = s.stratum AND (s.r[1] > c OR coalesce(s.r[2] > t OR s.r[3] > t, false))) kept
 FROM s
 """
