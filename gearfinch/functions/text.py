@@ -40,12 +40,12 @@ COLORS = {
     "yellow": "vang|yellow",
 }
 COLORS_V4 = {
-    "gray": ("xam", "ghi", "gray", "grey"),
+    "gray": ("xam", "gray", "grey"),
     "black": ("den", "black"),
     "white": ("trang", "white"),
-    "green": ("xanh la", "green"),
-    "blue": ("xanh duong", "blue"),
     "red": ("do", "red"),
+    "blue": ("xanh duong", "blue"),
+    "green": ("xanh la", "green"),
     "yellow": ("vang", "yellow"),
     "brown": ("nau", "brown"),
     "beige": ("beige", "kem", "cream"),
@@ -223,14 +223,16 @@ def hints(message: Column) -> Column:
 
 
 def intent(message: Column, has_image: Column) -> Column:
-    """kind and confidence of a message: image, unsupported (empty), code, catalogue, unknown."""
+    """kind (catalogue, unsupported, unknown), confidence and reason of a message; an image or five digits in a row,
+    blanks aside, always mean the catalogue."""
     n = norm_intent(message)
-    code_like = F.regexp_replace(F.coalesce(message, F.lit("")), r"\s+", "").rlike(r"(?i)^[a-z]*\d{5,}[a-z0-9_-]*$")
+    packed = F.regexp_replace(F.translate(F.coalesce(message, F.lit("")), WIDE_BLANKS, ""), r"[\s\x0B]+", "")
+    code_like = packed.rlike(r"\d{5}")
     folded = [_fold(t) for t in INTENT_TERMS]
     hits = reduce(lambda a, b: a + b, (F.contains(n, F.lit(t)).cast("int") for t in folded))
-    kind = F.when(has_image, "image").when(n == "", "unsupported").when(code_like, "code").when(hits > 0, "catalogue").otherwise("unknown")
-    confidence = F.when(has_image, 1.0).when(n == "", 1.0).when(code_like, 0.98).when(hits > 0, F.least(F.lit(1.0), 0.55 + 0.12 * hits)).otherwise(0.2)
-    return F.struct(kind.alias("kind"), hits.alias("hits"), F.round(confidence, 6).alias("confidence"))
+    cases = [(has_image, "catalogue", F.lit(1.0), "image_or_embedding"), (packed == "", "unsupported", F.lit(1.0), "empty"), (code_like, "catalogue", F.lit(0.95), "code_like"), (hits > 0, "catalogue", F.least(F.lit(1.0), 0.55 + 0.12 * hits), "catalogue_terms")]
+    first = lambda k, other: F.coalesce(*(F.when(c[0], c[k] if k == 2 else F.lit(c[k])) for c in cases), F.lit(other))
+    return F.struct(first(1, "unknown").alias("kind"), hits.alias("hits"), F.round(first(2, 0.55), 6).alias("confidence"), first(3, "no_catalogue_signal").alias("reason"))
 
 
 def _fold(text: str) -> str:

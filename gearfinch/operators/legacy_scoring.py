@@ -6,10 +6,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lifecycle import SEARCHED
+from .scoring import checked_broadcast
 
 ROW = ("code", "part_id", "identifying_features", "confusing_note", "usage_side", "view_mode")
 
@@ -80,6 +82,54 @@ def strong_matches_v4(scored: DataFrame) -> DataFrame:
     return flagged.join(per, "query_id").where(F.when(F.col("any_hole"), F.col("by_hole")).otherwise(F.col("by_color")))
 
 
+def strong_flags_v4() -> Column:
+    """Whether a row shows the asked hole count, or all asked colours given two strong constraints."""
+    k = F.col("k")
+    hole = (k["hole_count"] >= 0) & F.array_contains("matched", F.concat(k["hole_count"].cast("string"), F.lit(" holes")))
+    color = (F.size(k["colors"]) > 0) & (k["strong_count"] >= 2) & F.forall(k["colors"], lambda c: F.array_contains(F.col("matched"), F.concat(F.lit("color:"), c)))
+    return hole | color
+
+
+def text_queries_v4(message: Column, most: int = 6) -> Column:
+    """Search texts of a message: its tokens, its beginning, five terms; trimmed, not blank, distinct."""
+    k = T.constraints_v4(message)
+    every = F.concat(k["tokens"], F.array(F.coalesce(F.substring(message, 1, 140), F.lit(""))), F.slice(k["terms"], 1, 5))
+    return F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x != "")), 1, most)
+
+
+def routed_texts_v4(queries: DataFrame, rows: DataFrame, each: int = 50, scanned: int = 1500) -> DataFrame:
+    """query_id and mode of text queries: strong filter (a scan helps if few rows were found), exact code or part id, a
+    filter that leaves few rows, no match, or the best rows by metadata as no model is at hand.  Queries are a stated set."""
+    sought = queries.select("query_id", F.posexplode(text_queries_v4(F.col("message"))).alias("seq", "needle")).withColumn("needle", F.lower("needle"))
+    fields = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("needle")) for c in SEARCHED))
+    w = Window.partitionBy("query_id", "seq").orderBy("ordinal")
+    hits = rows.select("id", "ordinal", *SEARCHED).join(checked_broadcast(sought), fields).withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
+    found = hits.select("query_id", "id").distinct().withColumn("initial", F.lit(True))
+    scored = scored_v4(rows.crossJoin(checked_broadcast(queries))).withColumn("strong", strong_flags_v4())
+    flagged = scored.select("query_id", "id", "ordinal", "score", "strong", (F.array_contains("matched", "exact code") | F.array_contains("matched", "exact part_id")).alias("exact")).join(found, ["query_id", "id"], "left")
+    first, later = F.coalesce("initial", F.lit(False)), F.col("ordinal") <= scanned
+    per = flagged.groupBy("query_id").agg(
+        F.count_if(first).alias("n"),
+        *(F.count_if(where & flag).alias(name) for where, flag, name in ((first, F.col("strong"), "strong_n"), (later, F.col("strong"), "strong_scan"), (first, F.col("score") > 0, "positive_n"), (later, F.col("score") > 0, "positive_scan"), (first, F.col("exact"), "exact_n"))),
+    )
+    mode = (
+        F.when((F.col("strong_n") > 0) | ((F.col("n") < 6) & (F.col("strong_scan") > 0)), "EASY_STRONG_FILTER")
+        .when(F.col("exact_n") > 0, "EASY_EXACT")
+        .when(F.col("positive_n").between(1, 5), "EASY_FILTER")
+        .when((F.col("positive_n") < 6) & (F.col("positive_scan") == 0), "NO_MATCH")
+        .otherwise("TEXT_FILTER_FALLBACK")
+    )
+    return per.select("query_id", mode.alias("mode"))
+
+
+def gate_after_signature(scored: DataFrame, most: int = 5, gap: int = 12) -> DataFrame:
+    """Per query: whether a few rows of positive score are left, the best of them well ahead."""
+    best = F.slice(F.sort_array(F.collect_list(F.when(F.col("score") > 0, F.col("score"))), asc=False), 1, 2)
+    per = scored.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("n"), best.alias("best"))
+    ahead = F.get("best", F.lit(0)) - F.coalesce(F.get("best", F.lit(1)), F.lit(0)) >= gap
+    return per.select("query_id", F.when(F.col("n").between(1, most) & ahead, "signature_sufficient").otherwise("needs_resolver").alias("mode"))
+
+
 def pre_gate_v4(scored: DataFrame, has_image: bool = False, most: int = 5, gap: int = 10) -> DataFrame:
     """Per query: candidates of positive score, the gap of the two best, and whether the text alone decides."""
     per = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("best"), F.first("k.strong_count").alias("strong"))

@@ -33,7 +33,7 @@ def exact_lookup(queries: DataFrame, rows: DataFrame) -> DataFrame:
 def text_retrieval(queries: DataFrame, rows: DataFrame, most: int = 4) -> DataFrame:
     """query_id, id and how many of the query's first terms the row's text contains.  Queries are a stated set."""
     terms = queries.select("query_id", F.explode(F.slice(T.constraints_v5(F.col("message"))["terms"], 1, most)).alias("anchor"))
-    return S.with_row_text(rows).join(F.broadcast(terms), F.contains("row_text", F.col("anchor"))).groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    return S.with_row_text(rows).join(S.checked_broadcast(terms), F.contains("row_text", F.col("anchor"))).groupBy("query_id", "id").agg(F.count("*").alias("n"))
 
 
 def normalized_assets(assets: DataFrame) -> DataFrame:
@@ -66,15 +66,36 @@ def checked_requests(rows: DataFrame, profile: tuple[str, ...], dim: int, most:
 
 def request_totals(checked: DataFrame) -> DataFrame:
     refused, bad = F.col("request_error").isNotNull(), F.col("row_error").isNotNull()
-    per = checked.groupBy("request").agg(F.count("*").alias("accepted"), F.count_if(~refused & ~bad).alias("written"), F.coalesce(F.first("request_error"), F.min_by("row_error", F.when(bad, F.col("id")))).alias("error"))
-    status = F.when(F.col("written") == F.col("accepted"), "ok").when(F.col("written") > 0, "partial").otherwise("failed")
-    return per.withColumn("status", status)
+    per = checked.groupBy("request").agg(F.count("*").alias("n"), F.count_if(~refused & ~bad).alias("written"), F.first("request_error").alias("e"), F.min_by("row_error", F.when(bad, F.col("id"))).alias("r"))
+    status = F.when(F.col("written") == F.col("n"), "ok").when(F.col("written") > 0, "partial").otherwise("failed")
+    accepted = F.when(F.col("e") == "too_many_vectors", 0).otherwise(F.col("n"))
+    return per.select("request", accepted.alias("accepted"), "written", (F.col("n") - F.col("written")).alias("failed"), F.coalesce("e", "r").alias("first_error"), status.alias("status"))
 
 
-def chunk_totals(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Chunks by rank of id.  Ranks come from counts by id range, so that no task numbers all rows."""
-    n = rows.agg(F.count("*").alias("written"), F.count("id").alias("expected"))
-    return n.select(F.ceil(F.col("written") / size).alias("chunks"), "written", (F.col("written") == F.col("expected")).alias("integrity"))
+def chunk_totals(rows: DataFrame, by: str) -> DataFrame:
+    """Totals of uploads in chunks, sent in order until one fails.  rows: by, chunk, ok.  integrity: all is written."""
+    per = rows.groupBy(by, "chunk").agg(F.count("*").alias("n"), F.count_if("ok").alias("written"))
+    broken = per.where("written < n").groupBy(by).agg(F.min("chunk").alias("last"))
+    sent = F.coalesce(F.col("chunk") <= F.col("last"), F.lit(True))
+    own = lambda c: F.sum(F.when(sent, F.col(c)).otherwise(0))
+    totals = per.join(broken, by, "left").groupBy(by).agg(F.count("*").alias("chunks"), F.count_if(sent).alias("sent"), own("n").alias("accepted"), own("written").alias("written"), F.sum("n").alias("expected"))
+    return totals.select(by, "chunks", "sent", "accepted", "written", (F.col("accepted") - F.col("written")).alias("failed"), (F.col("written") == F.col("expected")).alias("integrity"))
+
+
+def stale_responses(pairs: DataFrame) -> DataFrame:
+    """Adds error: a response to another query, or to another image where both sides name one.  pairs: expected and
+    actual, structs of query_id and image_hash."""
+    named = lambda c: F.coalesce(F.col(c), F.lit(""))
+    other = (named("expected.image_hash") != "") & (named("actual.image_hash") != "") & (named("expected.image_hash") != named("actual.image_hash"))
+    return pairs.withColumn("error", F.when(named("expected.query_id") != named("actual.query_id"), "stale_query_id").when(other, "image_hash"))
+
+
+def retry_totals(attempts: DataFrame, job: str, order: list[str], most: int = 4) -> DataFrame:
+    """job, failures since the last success, and state (done, failed, retry).  attempts: job, order columns, ok."""
+    last = attempts.where("ok").groupBy(job).agg(F.max(F.struct(*order)).alias("last_ok"))
+    after = F.col("last_ok").isNull() | (F.struct(*order) > F.col("last_ok"))
+    per = attempts.join(last, job, "left").groupBy(job).agg(F.count_if(~F.col("ok") & after).alias("failures"))
+    return per.select(job, "failures", F.when(F.col("failures") == 0, "done").when(F.col("failures") >= most, "failed").otherwise("retry").alias("state"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -108,6 +129,21 @@ def reindex_report(assets: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(path == "", "missing_image_path").when(F.col("v_id").isNull(), "image_unavailable").otherwise("ok"))
 
 
+def data_urls(asked: DataFrame, objects: DataFrame, most_bytes: int) -> DataFrame:
+    """asked (path) with the object behind it as a data URL, or why it is skipped (missing, too_large).  objects:
+    object_key, mime (null: image/webp), content."""
+    joined = asked.withColumn("object_key", F.regexp_replace("path", "^/+", "")).join(objects, "object_key", "left")
+    skipped = F.when(F.col("content").isNull(), "missing").when(F.octet_length("content") > most_bytes, "too_large")
+    url = F.concat(F.lit("data:"), F.coalesce("mime", F.lit("image/webp")), F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", ""))
+    return joined.withColumn("skipped", skipped).withColumn("data_url", F.when(F.col("skipped").isNull(), url)).drop("content")
+
+
+def searchable(vectors: DataFrame, control: DataFrame, key: list[str]) -> DataFrame:
+    """Active vectors of the profiles that a control table (key, state) holds as active.  The table has a row for each
+    profile, so it is small by its nature; its size is checked all the same."""
+    return vectors.where("is_active").join(S.checked_broadcast(control.where("state = 'active'")), key)
+
+
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 

@@ -35,11 +35,17 @@ def reranked(rankings: DataFrame, pool: DataFrame, limit: int = 5) -> DataFrame:
     return joined.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def second_gate(rankings: DataFrame, gap: float = 0.05) -> DataFrame:
-    """Per query: the gap of the two best scores (1 if there is one only), and whether a judge is needed."""
+def second_gate(rankings: DataFrame, conflicts: DataFrame | None = None, gap: float = 0.05) -> DataFrame:
+    """Per query: the gap of the two best scores (1 if there is one only), and whether a judge is needed.
+    conflicts: query_id and hole_conflict, orientation_conflict, or one of these."""
     per = rankings.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("best"), F.max("ambiguous").alias("ambiguous"))
     d = F.when(F.size("best") < 2, 1.0).otherwise(F.round(F.get("best", F.lit(0)) - F.get("best", F.lit(1)), 6))
-    return per.select("query_id", d.alias("gap"), (F.col("ambiguous") | (d < gap)).alias("needs_judge"))
+    need = F.coalesce("ambiguous", F.lit(False)) | (d < gap)
+    if conflicts is not None:
+        per = per.join(conflicts, "query_id", "left")
+        for c in ("hole_conflict", "orientation_conflict"):
+            need = need | (F.coalesce(c, F.lit(False)) if c in conflicts.columns else F.lit(False))
+    return per.select("query_id", d.alias("gap"), need.alias("needs_judge"))
 
 
 def merged_assets(assets: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def multi_retrieval(queries: DataFrame, rows: DataFrame, each: int = 50) -> Data
     """Rows that contain an anchor of the query, `each` rows for an anchor, first anchor wins.  Queries are a stated set."""
     anchors = queries.select("query_id", F.posexplode(T.anchors(T.constraints_v5(F.col("message")))).alias("anchor_no", "anchor"))
     texts = S.with_row_text(rows)
-    hits = texts.join(F.broadcast(anchors), F.contains("row_text", F.col("anchor")))
+    hits = texts.join(S.checked_broadcast(anchors), F.contains("row_text", F.col("anchor")))
     w = Window.partitionBy("query_id", "anchor_no").orderBy("ordinal")
     kept = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
     return first_wins(kept, ["query_id", "id"], ["anchor_no"])
@@ -77,7 +83,7 @@ def multi_retrieval(queries: DataFrame, rows: DataFrame, each: int = 50) -> Data
 def broad_count(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """For count questions, how many rows contain any term of the message.  Queries are a stated set."""
     asked = queries.withColumns({"v": T.intent_v1(F.col("message")), "terms": T.constraints_v5(F.col("message"))["terms"]}).where("v.action = 'count'").select("query_id", "terms")
-    hits = S.with_row_text(rows).join(F.broadcast(asked), F.exists("terms", lambda t: F.contains(F.col("row_text"), t)))
+    hits = S.with_row_text(rows).join(S.checked_broadcast(asked), F.exists("terms", lambda t: F.contains(F.col("row_text"), t)))
     return asked.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -18,10 +18,10 @@ def hydrated(hits: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def fused(hydrated_hits: DataFrame) -> DataFrame:
-    """Adds metadata, structural and final scores.  Needs message."""
+    """Adds metadata, structural and final scores; differing hole counts are one conflict.  Needs message."""
     pairs = S.with_row_text(S.with_constraints(hydrated_hits))
     scored = S.structural(S.evidence(pairs).withColumn("metadata_score", S.metadata_score()).withColumn("metadata_available", S.metadata_available()))
-    final = S.fused_score(F.col("similarity"), F.col("probe_consensus"), F.col("metadata_score"), F.col("metadata_available"), F.col("structural_score"), F.lit(0))
+    final = S.fused_score(F.col("similarity"), F.col("probe_consensus"), F.col("metadata_score"), F.col("metadata_available"), F.col("structural_score"), F.coalesce(F.col("structural_score") == 0, F.lit(False)).cast("int"))
     return scored.withColumn("final_score", F.round(final, 6))
 
 
@@ -44,7 +44,7 @@ def hybrid(vectors: DataFrame, probes: DataFrame, rows: DataFrame, profile: tupl
 
 def first_gate(scored: DataFrame, has_image: bool = True, gap: float = 0.06, quality: float = 0.72, risk: float = 0.55, raw: float = 0.86, consensus: float = 0.5) -> DataFrame:
     """Per query: number of candidates, gap of the two best, raw similarity of the best, and whether a reranking is
-    needed.  Optional columns quality_score, angle_risk, lighting_risk are read if there."""
+    needed.  Optional columns query_quality, angle_risk, lighting_risk are read if there."""
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "ordinal")
     placed = scored.withColumn("place", F.row_number().over(w))
     first = lambda c, n: F.max(F.when(F.col("place") == n, F.col(c)))

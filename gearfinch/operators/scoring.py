@@ -15,6 +15,16 @@ SIDES_OF_ROWS = {"left": "trai|left|lhf", "right": "phai|right|rhf", "both": "ca
 FIRST_FEATURES = ("identifying_features", "confusing_note", "code", "part_id")
 
 
+#: Bytes of rows, written as JSON, up to which a side of a join is sent to every task.
+BROADCAST_BYTES = 8 << 20
+
+
+def checked_broadcast(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The side of a join, to be broadcast if it is small; else Spark picks a join by its own sizes."""
+    size = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(side) if size <= most else side
+
+
 def with_row_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_text", T.row_text(True, T.norm_v5, *CAT_TEXT)).withColumn("row_holes", T.hole_count(F.col("row_text")))
 
@@ -66,7 +76,7 @@ def metadata_score() -> Column:
 
 def scored_metadata(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Every query of a stated set against all rows.  queries: query_id, message; rows: the catalogue."""
-    pairs = with_row_text(rows).crossJoin(F.broadcast(with_constraints(queries)))
+    pairs = with_row_text(rows).crossJoin(checked_broadcast(with_constraints(queries)))
     return evidence(pairs).withColumn("metadata_score", metadata_score()).withColumn("metadata_available", metadata_available())
 
 
@@ -103,6 +113,12 @@ def structural(pairs: DataFrame, message: str = "message") -> DataFrame:
     return both.withColumn("structural_score", F.when(known, (F.col("requested_holes") == F.col("candidate_holes")).cast("double")))
 
 
+def structural_totals(scored: DataFrame) -> DataFrame:
+    """Per query: number of candidates, how many of them differ in hole counts, and whether any does."""
+    per = scored.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("structural_score") == 0).alias("conflicts"))
+    return per.withColumn("hole_conflict", F.col("conflicts") > 0)
+
+
 def fused_score(vector: Column, consensus: Column, metadata: Column, metadata_on: Column, structure: Column, n_conflicts: Column) -> Column:
     """The weighted mean of the signals that are there, less a penalty for conflicts."""
     signals = [(vector, 0.78, F.lit(True)), (consensus, 0.08, F.lit(True)), (metadata, 0.10, metadata_on), (structure, 0.12, F.lit(True))]

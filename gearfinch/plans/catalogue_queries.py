@@ -149,14 +149,17 @@ def t9_domain_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.text_messages(spark, sf_dir).select("query_id", joined(T.hints(F.col("message"))).alias("hints"))
 
 
-_HITS = " + ".join(f"CAST(contains(n, {D.q(T._fold(t))}) AS INT)" for t in T.INTENT_TERMS)
+# the terms as they look without marks, in lower case; some stand twice and count twice
+_TERMS = "catalogue|catalog|ma|ma hang|ma hang|linh kien|con hang|id|code|part|bushing|bracket|clip|hook|ngam|ngam|lo|lo|hole|oval|tron|tron|trai|trai|phai|phai|left|right|lhf|rhf|mau|mau|xam|xam|đen|den|hinh dang|hinh dang|đac điem|dac diem|vi tri|vi tri|giong|giong|tuong tu|tuong tu"
+_HITS = " + ".join(f"CAST(contains(n, {D.q(t)}) AS INT)" for t in _TERMS.split("|"))
 
 
-@query(f"""WITH {X.TEXTS_SQL}, n AS (SELECT query_id, message, trim(lower(strip_accents(message))) n FROM texts), h AS (SELECT *, {_HITS} hits FROM n)
-SELECT query_id, CASE WHEN n = '' THEN 'unsupported' WHEN regexp_matches(regexp_replace(message, '\\s+', '', 'g'), '(?i)^[a-z]*\\d{{5,}}[a-z0-9_-]*$') THEN 'code' WHEN hits > 0 THEN 'catalogue' ELSE 'unknown' END kind, hits,
-CASE WHEN n = '' THEN 1.0 WHEN regexp_matches(regexp_replace(message, '\\s+', '', 'g'), '(?i)^[a-z]*\\d{{5,}}[a-z0-9_-]*$') THEN 0.98 WHEN hits > 0 THEN round(least(1.0, CAST(0.55 AS DOUBLE) + CAST(0.12 AS DOUBLE) * hits), 6) ELSE 0.2 END confidence FROM h""")
+@query(f"""WITH {X.TEXTS_SQL}, n AS (SELECT query_id, coalesce(message, '') message, trim(lower(strip_accents(coalesce(message, '')))) n FROM texts), h AS (SELECT *, regexp_replace(message, '[\\s\\v\\x{{A0}}\\x{{3000}}]+', '', 'g') packed, {_HITS} hits FROM n)
+SELECT query_id, CASE WHEN packed = '' THEN 'unsupported' WHEN regexp_matches(packed, '\\d{{5}}') OR hits > 0 THEN 'catalogue' ELSE 'unknown' END kind, hits,
+CASE WHEN packed = '' THEN 1.0 WHEN regexp_matches(packed, '\\d{{5}}') THEN 0.95 WHEN hits > 0 THEN round(least(1.0, CAST(0.55 AS DOUBLE) + CAST(0.12 AS DOUBLE) * hits), 6) ELSE 0.55 END confidence,
+CASE WHEN packed = '' THEN 'empty' WHEN regexp_matches(packed, '\\d{{5}}') THEN 'code_like' WHEN hits > 0 THEN 'catalogue_terms' ELSE 'no_catalogue_signal' END reason FROM h""")
 def t10_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.text_messages(spark, sf_dir).select("query_id", T.intent(F.col("message"), F.lit(False)).alias("i")).select("query_id", "i.kind", "i.hits", "i.confidence")
+    return X.text_messages(spark, sf_dir).select("query_id", T.intent(F.col("message"), F.lit(False)).alias("i")).select("query_id", "i.*")
 
 
 @query(f"WITH {X.TEXTS_SQL} SELECT query_id, regexp_matches({D.norm_v1('message')}, {D.q(T.GREETING)}) greeting FROM texts")

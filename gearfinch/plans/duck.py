@@ -88,4 +88,4 @@ HYBRID = f"""{X.CAT_SQL}, {ROWS}, {FUSED}, hyd AS (SELECT f.* EXCLUDE (probe_con
 {constraints('hyd')}, {evidence('c')}, {structural('ev')},
 w AS (SELECT *, CAST(0.78 AS DOUBLE) * similarity + CAST(0.08 AS DOUBLE) * probe_consensus + CASE WHEN metadata_available THEN CAST(0.1 AS DOUBLE) * metadata_score ELSE 0 END + coalesce(CAST(0.12 AS DOUBLE) * structural_score, 0) total,
   CAST(0.78 AS DOUBLE) + CAST(0.08 AS DOUBLE) + CASE WHEN metadata_available THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN structural_score IS NOT NULL THEN CAST(0.12 AS DOUBLE) ELSE 0 END weight FROM st),
-scored AS (SELECT *, round(greatest(0, least(1, total / weight)), 6) final_score FROM w)"""
+scored AS (SELECT *, round(greatest(0, least(1, total / weight - CASE WHEN structural_score = 0 THEN CAST(0.08 AS DOUBLE) ELSE 0 END)), 6) final_score FROM w)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import legacy_scoring as L
-from ..operators.scoring import ranked
+from ..operators.scoring import checked_broadcast, ranked
 from ..sources import fixtures as X
 from . import duck as D
 from .catalogue_queries import joined, query
@@ -26,7 +26,12 @@ def _longest(array: str, most: int) -> str:
     return f"list_transform(list_sort(list_transform({array}, lambda x, i: {{'n': -length(x), 'i': i, 'x': x}}))[1:{most}], lambda s: s.x)"
 
 
-_COLORS = ", ".join("CASE WHEN " + " OR ".join(f"contains(n, {D.q(w)})" for w in words) + f" THEN '{c}' END" for c, words in T.COLORS_V4.items())
+# written out here: these names and aliases are the contract, in this order
+_COLOR_WORDS = {
+    "gray": ("xam", "gray", "grey"), "black": ("den", "black"), "white": ("trang", "white"), "red": ("do", "red"), "blue": ("xanh duong", "blue"), "green": ("xanh la", "green"),
+    "yellow": ("vang", "yellow"), "brown": ("nau", "brown"), "beige": ("beige", "kem", "cream"),
+}
+_COLORS = ", ".join("CASE WHEN " + " OR ".join(f"contains(n, {D.q(w)})" for w in words) + f" THEN '{c}' END" for c, words in _COLOR_WORDS.items())
 C4 = f"""k0 AS (SELECT *, {D.norm_v4('message')} n, list_filter(list_transform({_SPLIT4}, lambda x: {D.norm_v4('x')}), lambda x: length(x) >= 3 AND x NOT IN {D.in_list(T.STOP_WORDS_V4)}) t0 FROM texts),
 k AS (SELECT query_id, message, n, ({_first('t0')})[1:12] terms, list_filter([{_COLORS}], lambda x: x IS NOT NULL) colors,
   coalesce(CAST(nullif(regexp_extract(coalesce(message, ''), {D.q('(?i)' + T.LOOSE_HOLE)}, 1), '') AS BIGINT), -1) hole_count, {_longest(_TOKENS, 6)} tokens,
@@ -60,15 +65,15 @@ def t8_query_list_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.catalogue(spark, sf_dir).crossJoin(F.broadcast(X.messages(spark)))
+    return X.catalogue(spark, sf_dir).crossJoin(checked_broadcast(X.messages(spark)))
 
 
 def _has(words) -> str:
     return "(" + " OR ".join(f"contains(text4, {D.q(w)})" for w in words) + ")"
 
 
-_OWN = " OR ".join(f"(x = '{c}' AND {_has(w)})" for c, w in T.COLORS_V4.items())
-_OTHER = " OR ".join(f"(x <> '{c}' AND {_has(w)})" for c, w in T.COLORS_V4.items())
+_OWN = " OR ".join(f"(x = '{c}' AND {_has(w)})" for c, w in _COLOR_WORDS.items())
+_OTHER = " OR ".join(f"(x <> '{c}' AND {_has(w)})" for c, w in _COLOR_WORDS.items())
 F7 = f"""{X.CAT_SQL}, {X.MSGS_SQL}, texts AS (SELECT * FROM msgs), {C4}, p0 AS (SELECT k4.* EXCLUDE n, cat.*, {D.norm_v4(_ROW)} text4, {D.norm_v4('code')} code4, {D.norm_v4('part_id')} part4, {D.norm_v4('usage_side')} side4 FROM k4, cat),
 p1 AS (SELECT *, list_transform(regexp_extract_all(text4, '(\\d+) ?(?:lo|holes|hole)', 1), lambda x: CAST(x AS BIGINT)) counts,
   list_filter(list_transform(tokens, lambda x: CASE WHEN code4 = {D.norm_v4('x')} THEN {{'p': 120, 'tag': 'exact code'}} WHEN part4 = {D.norm_v4('x')} THEN {{'p': 110, 'tag': 'exact part_id'}} WHEN contains(text4, {D.norm_v4('x')}) THEN {{'p': 35, 'tag': 'token:' || x}} END), lambda s: s IS NOT NULL) tk,

@@ -78,20 +78,24 @@ def a2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.coverage(v).select("preprocess_version", "distinct_records", "active_vectors", F.unix_timestamp(F.col("latest_updated_at").cast("timestamp")).cast("double").alias("latest"))
 
 
-_REQ = f"WITH {X.VEC_SQL}, r AS (SELECT *, id // 21 request FROM vec), g AS (SELECT request, count(*) n, count(*) FILTER (WHERE preprocess_version <> 'canon_v2') bad FROM r GROUP BY request)"
+_REQ = f"WITH {X.VEC_SQL}, r AS (SELECT *, id // 60 * 3 + CASE WHEN id % 60 < 21 THEN 0 WHEN id % 60 < 41 THEN 1 ELSE 2 END request FROM vec), g AS (SELECT request, count(*) n, count(*) FILTER (WHERE preprocess_version <> 'canon_v2') bad FROM r GROUP BY request)"
 
 
-@query(f"{_REQ} SELECT request, n accepted, CASE WHEN n > 20 OR bad > 0 THEN 0 ELSE n END written, CASE WHEN n > 20 THEN 'too_many_vectors' WHEN bad > 0 THEN 'profile_mismatch' END error, CASE WHEN n > 20 OR bad > 0 THEN 'failed' ELSE 'ok' END status FROM g")
+@query(f"{_REQ} SELECT request, CASE WHEN n > 20 THEN 0 ELSE n END accepted, CASE WHEN n > 20 OR bad > 0 THEN 0 ELSE n END written, CASE WHEN n > 20 OR bad > 0 THEN n ELSE 0 END failed, CASE WHEN n > 20 THEN 'too_many_vectors' WHEN bad > 0 THEN 'profile_mismatch' END first_error, CASE WHEN n > 20 OR bad > 0 THEN 'failed' ELSE 'ok' END status FROM g")
 def l3_a4_upsert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors sent in requests of 21: whole requests are refused."""
-    rows = X.image_vectors(spark, sf_dir).withColumn("request", F.floor(F.col("id") / 21))
+    """Vectors sent in requests of 21, 20 and 19: whole requests are refused."""
+    rows = X.image_vectors(spark, sf_dir).withColumn("request", F.floor(F.col("id") / 60) * 3 + F.when(F.col("id") % 60 < 21, 0).when(F.col("id") % 60 < 41, 1).otherwise(2))
     return L.request_totals(L.checked_requests(rows, X.PROFILE, 64))
 
 
-@query(f"WITH {X.VEC_SQL}, k AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 20 chunk FROM vec WHERE preprocess_version = 'canon_v2') SELECT count(DISTINCT chunk) chunks, count(*) written, true integrity FROM k")
+@query(f"""WITH {X.VEC_SQL}, r AS (SELECT asset_type, id // 60 chunk, preprocess_version = 'canon_v2' ok FROM vec WHERE preprocess_version = 'canon_v2' OR (asset_type = 'back' AND id > 200)),
+k AS (SELECT asset_type, chunk, count(*) n, count(*) FILTER (WHERE ok) w FROM r GROUP BY ALL), l AS (SELECT *, min(CASE WHEN w < n THEN chunk END) OVER (PARTITION BY asset_type) last FROM k), s AS (SELECT *, chunk <= coalesce(last, chunk) sent FROM l)
+SELECT asset_type, count(*) chunks, count(*) FILTER (WHERE sent) sent, CAST(sum(n) FILTER (WHERE sent) AS BIGINT) accepted, CAST(sum(w) FILTER (WHERE sent) AS BIGINT) written, CAST(sum(n - w) FILTER (WHERE sent) AS BIGINT) failed, coalesce(sum(w) FILTER (WHERE sent), 0) = sum(n) integrity FROM s GROUP BY asset_type""")
 def a5_chunked_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.image_vectors(spark, sf_dir).where("preprocess_version = 'canon_v2'")
-    return L.chunk_totals(rows, 20)
+    """Vectors of each view in chunks of 20; the backs meet a foreign profile after the third chunk."""
+    own = F.col("preprocess_version") == "canon_v2"
+    rows = X.image_vectors(spark, sf_dir).where(own | ((F.col("asset_type") == "back") & (F.col("id") > 200)))
+    return L.chunk_totals(rows.select("asset_type", F.floor(F.col("id") / 60).alias("chunk"), own.alias("ok")), "asset_type")
 
 
 @query(f"WITH {X.VEC_SQL}, u AS (SELECT record_id, asset_type, id, quality_score, 1 seq FROM vec UNION ALL SELECT record_id, asset_type, id, quality_score + 1, 2 FROM vec WHERE id % 3 = 0) SELECT record_id, asset_type, arg_max(quality_score, seq) quality_score FROM u GROUP BY record_id, asset_type")
@@ -160,18 +164,26 @@ def a11_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("events"), (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).alias("duration_us"))
 
 
-@query("SELECT user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(event_type, (ts, event_id)) event_type FROM events GROUP BY user_id")
-def j10_latest_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.struct("ts", "event_id")
-    return X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", order).alias("event_id"), F.max_by("event_type", order).alias("event_type"))
+@query("""WITH t AS (SELECT conv_id, turn, text, lead(text) OVER w answer, lead(turn) OVER w next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT *, conv_id || ':' || turn eq, CASE WHEN turn % 3 <> 2 THEN sha256(coalesce(text, '')) END eh, conv_id || ':' || CASE WHEN next % 5 = 0 THEN turn - 1 ELSE turn END aq, CASE WHEN next % 4 = 1 THEN sha256(coalesce(answer, '')) WHEN next % 4 = 3 THEN sha256(coalesce(text, '')) END ah FROM t WHERE next IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN eq <> aq THEN 'stale_query_id' WHEN eh <> ah THEN 'image_hash' END error FROM p""")
+def j10_stale_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a request and the next one its answer; some answers name an older request or another image."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = X.table(spark, sf_dir, "conversations").withColumns({"answer": F.lead("text").over(w), "next": F.lead("turn").over(w)}).where("next IS NOT NULL")
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    expected = F.struct(name(F.col("turn")).alias("query_id"), F.when(F.col("turn") % 3 != 2, digest("text")).alias("image_hash"))
+    actual = F.struct(name(F.when(F.col("next") % 5 == 0, F.col("turn") - 1).otherwise(F.col("turn"))).alias("query_id"), F.when(F.col("next") % 4 == 1, digest("answer")).when(F.col("next") % 4 == 3, digest("text")).alias("image_hash"))
+    return L.stale_responses(t.select("conv_id", "turn", expected.alias("expected"), actual.alias("actual"))).select("conv_id", "turn", "error")
 
 
-@query("""WITH a AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') failures, arg_max(event_type, (ts, event_id)) last_type FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id)
-SELECT user_id, failures, CASE WHEN last_type = 'purchase' THEN 'done' WHEN failures >= 4 THEN 'failed' ELSE 'retry' END state FROM a""")
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events WHERE event_type IN ('error', 'purchase')), k AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN n END) OVER (PARTITION BY user_id) ok FROM e),
+f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error' AND n > coalesce(ok, 0)) failures FROM k GROUP BY user_id)
+SELECT user_id, failures, CASE WHEN failures = 0 THEN 'done' WHEN failures >= 4 THEN 'failed' ELSE 'retry' END state FROM f""")
 def l5_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
-    per = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-    return per.select("user_id", "failures", F.when(F.col("last_type") == "purchase", "done").when(F.col("failures") >= 4, "failed").otherwise("retry").alias("state"))
+    return L.retry_totals(e.select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("ok")), "user_id", ["ts", "event_id"])
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------

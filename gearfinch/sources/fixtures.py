@@ -120,7 +120,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(easy, _mixed((1.0, "e"))).otherwise(_mixed((0.8, "e"), (0.6, "e3")))
     second = F.when(easy, _mixed((0.95, "e"), (0.3, "e5"))).otherwise(_mixed((0.6, "e"), (0.8, "e5")))
     both = F.array(F.struct(F.lit(1).alias("probe_id"), F.lit("canon_rgb_v2").alias("view_variant"), first.alias("embedding")), F.struct(F.lit(2).alias("probe_id"), F.lit("canon_gray_v2").alias("view_variant"), second.alias("embedding")))
-    message = pick(F.col("vec_id") % 4, "", "round 4 holes", "red widget", "left oval")
+    message = pick(F.floor(F.col("vec_id") / 10) % 4, "", "round 4 holes", "red widget", "left oval")
     return joined.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), F.col("vec_id").cast("string").alias("truth"), message.alias("message"), F.explode(both).alias("p")).select("query_id", "truth", "message", "p.*")
 
 
@@ -156,7 +156,7 @@ VEC_SQL = f"""{_E}, vec AS (SELECT vec_id * 3 + k id, CAST(vec_id AS VARCHAR) re
   ((vec_id * 3 + k) % 100) / 100.0 quality_score, (vec_id * 3 + k) % 19 <> 0 is_active, TIMESTAMP '2024-01-01' created_at, TIMESTAMP '2024-01-01' + to_seconds(vec_id * 3 + k) updated_at
   FROM (SELECT a.vec_id, k, CASE k WHEN 0 THEN {_mix_sql((1.0, 'a'))} WHEN 1 THEN {_mix_sql((0.8, 'a'), (0.6, 'b'))} ELSE {_mix_sql((0.9, 'a'), (-0.45, 'c'))} END embedding
     FROM e a JOIN e b ON b.vec_id = (a.vec_id + 1) % a.n JOIN e c ON c.vec_id = (a.vec_id + 7) % a.n, range(0, 3) r(k)))"""
-PROBES_SQL = f"""probes AS (SELECT 'q' || a.vec_id query_id, CAST(a.vec_id AS VARCHAR) truth, ['', 'round 4 holes', 'red widget', 'left oval'][a.vec_id % 4 + 1] message, CAST(p AS INT) probe_id,
+PROBES_SQL = f"""probes AS (SELECT 'q' || a.vec_id query_id, CAST(a.vec_id AS VARCHAR) truth, ['', 'round 4 holes', 'red widget', 'left oval'][(a.vec_id // 10) % 4 + 1] message, CAST(p AS INT) probe_id,
   CASE p WHEN 1 THEN 'canon_rgb_v2' ELSE 'canon_gray_v2' END view_variant,
   CASE WHEN a.vec_id % 20 = 0 AND p = 1 THEN {_mix_sql((1.0, 'a'))} WHEN a.vec_id % 20 = 0 THEN {_mix_sql((0.95, 'a'), (0.3, 'c'))} WHEN p = 1 THEN {_mix_sql((0.8, 'a'), (0.6, 'b'))} ELSE {_mix_sql((0.6, 'a'), (0.8, 'c'))} END embedding
   FROM e a JOIN e b ON b.vec_id = (a.vec_id + 3) % a.n JOIN e c ON c.vec_id = (a.vec_id + 5) % a.n, range(1, 3) r(p) WHERE a.vec_id % 10 = 0)"""
