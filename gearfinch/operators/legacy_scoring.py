@@ -1,6 +1,7 @@
 """Scores of the earlier generations: tagged evidence (V4), chat ranking (V1) and search ranking (V1b).
 
-Pairs hold a message next to a catalogue row."""
+Messages are parsed and rows normalised before they meet: `pairs_v4`, `pairs_v1` and `pairs_v1b` make the pairs that the
+scorers take."""
 
 from __future__ import annotations
 
@@ -28,25 +29,32 @@ def _filled(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
-def scored_v4(pairs: DataFrame) -> DataFrame:
-    """Adds k (V4 constraints), score, matched, unknown and conflicts."""
-    base = pairs.withColumns({"k": T.constraints_v4(F.col("message")), "text4": T.row_text(False, T.norm_v4, *ROW), "code4": T.norm_v4(F.col("code")), "part4": T.norm_v4(F.col("part_id")), "side4": T.norm_v4(F.col("usage_side"))})
-    base = base.withColumn("counts4", T.all_hole_counts(F.col("text4")))
+def pairs_v4(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every query of a stated set beside every row, both parsed."""
+    asked = queries.withColumn("k", T.constraints_v4(F.col("message")))
+    asked = asked.withColumn("asked4", F.transform("k.tokens", lambda t: F.struct(t.alias("t"), T.norm_v4(t).alias("n"))))
+    own = rows.withColumns({"text4": T.row_text(False, T.norm_v4, *ROW), "code4": T.norm_v4(F.col("code")), "part4": T.norm_v4(F.col("part_id")), "side4": T.norm_v4(F.col("usage_side"))})
+    shown = F.array_compact(F.array(*(F.when(_any(F.col("text4"), words), F.lit(name)) for name, words in T.COLORS_V4.items())))
+    own = own.withColumns({"counts4": T.all_hole_counts(F.col("text4")), "shown4": shown})
+    return own.crossJoin(checked_broadcast(asked))
+
+
+def scored_v4(base: DataFrame) -> DataFrame:
+    """Adds score, matched, unknown and conflicts to pairs_v4."""
     k, text, counts = F.col("k"), F.col("text4"), F.col("counts4")
 
-    def token(t: Column) -> Column:
-        n = T.norm_v4(t)
+    def token(x: Column) -> Column:
+        t, n = x["t"], x["n"]
         return F.when(F.col("code4") == n, F.struct(F.lit(120).alias("p"), F.lit("exact code").alias("tag"))).when(F.col("part4") == n, F.struct(F.lit(110).alias("p"), F.lit("exact part_id").alias("tag"))).when(F.contains(text, n), F.struct(F.lit(35).alias("p"), F.concat(F.lit("token:"), t).alias("tag")))
 
-    tokens = F.array_compact(F.transform(k["tokens"], token))
+    tokens = F.array_compact(F.transform("asked4", token))
     terms = F.filter(k["terms"], lambda t: F.contains(text, t))
     asked = k["hole_count"] >= 0
     holes = F.when(asked & F.array_contains(counts, k["hole_count"]), 1).when(asked & (F.size(counts) > 0), -1).when(asked, 0)
 
     def color(c: Column) -> Column:
-        own = reduce(lambda a, b: a | b, ((c == name) & _any(text, words) for name, words in T.COLORS_V4.items()))
-        other = reduce(lambda a, b: a | b, ((c != name) & _any(text, words) for name, words in T.COLORS_V4.items()))
-        return F.struct(c.alias("c"), F.when(own, 1).when(other, -1).otherwise(0).alias("v"))
+        shown = F.col("shown4")
+        return F.struct(c.alias("c"), F.when(F.array_contains(shown, c), 1).when(F.size(shown) > 0, -1).otherwise(0).alias("v"))
 
     colors = F.transform(k["colors"], color)
     side = F.when(k["side"] == "all", None).when((F.col("side4") == k["side"]) | (F.col("side4") == "both"), 1).when((F.col("side4") != "") & (F.col("side4") != "unknown"), -1).otherwise(0)
@@ -105,7 +113,7 @@ def routed_texts_v4(queries: DataFrame, rows: DataFrame, each: int = 50, scanned
     w = Window.partitionBy("query_id", "seq").orderBy("ordinal")
     hits = rows.select("id", "ordinal", *SEARCHED).join(checked_broadcast(sought), fields).withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
     found = hits.select("query_id", "id").distinct().withColumn("initial", F.lit(True))
-    scored = scored_v4(rows.crossJoin(checked_broadcast(queries))).withColumn("strong", strong_flags_v4())
+    scored = scored_v4(pairs_v4(queries, rows)).withColumn("strong", strong_flags_v4())
     flagged = scored.select("query_id", "id", "ordinal", "score", "strong", (F.array_contains("matched", "exact code") | F.array_contains("matched", "exact part_id")).alias("exact")).join(found, ["query_id", "id"], "left")
     first, later = F.coalesce("initial", F.lit(False)), F.col("ordinal") <= scanned
     per = flagged.groupBy("query_id").agg(
@@ -140,10 +148,18 @@ def pre_gate_v4(scored: DataFrame, has_image: bool = False, most: int = 5, gap:
     return per.select("query_id", n.alias("n"), d.alias("gap"), F.when(easy, "easy_filter").otherwise("needs_analysis").alias("mode"))
 
 
-def scored_v1(pairs: DataFrame) -> DataFrame:
-    """Adds v1 (intent) and score."""
-    base = pairs.withColumns({"v1": T.intent_v1(F.col("message")), "text1": T.row_text(False, T.norm_v1, *ROW), "code1": T.norm_v1(F.col("code")), "part1": T.norm_v1(F.col("part_id")), "raw1": T.norm_v1(F.col("message"))})
-    base = base.withColumns({"exact1": T.norm_v1(F.col("v1.token")), "terms1": F.filter(F.transform("v1.terms", T.norm_v1), lambda x: F.length(x) >= 2)})
+def _rows_v1(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"text1": T.row_text(False, T.norm_v1, *ROW), "code1": T.norm_v1(F.col("code")), "part1": T.norm_v1(F.col("part_id"))})
+
+
+def pairs_v1(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    asked = queries.withColumns({"v1": T.intent_v1(F.col("message")), "raw1": T.norm_v1(F.col("message"))})
+    asked = asked.withColumns({"exact1": T.norm_v1(F.col("v1.token")), "terms1": F.filter(F.transform("v1.terms", T.norm_v1), lambda x: F.length(x) >= 2)})
+    return _rows_v1(rows).crossJoin(checked_broadcast(asked))
+
+
+def scored_v1(base: DataFrame) -> DataFrame:
+    """Adds score to pairs_v1."""
     e, text = F.col("exact1"), F.col("text1")
     exact = F.when(e == "", 0).when(F.col("code1") == e, 120).when(F.col("part1") == e, 110).when(F.contains("code1", e) | F.contains("part1", e), 70).otherwise(0)
     terms = _sum(F.transform("terms1", lambda t: F.when((F.col("code1") == t) | (F.col("part1") == t), 45).when(F.contains(text, t), 12).otherwise(0)))
@@ -153,11 +169,15 @@ def scored_v1(pairs: DataFrame) -> DataFrame:
     return base.withColumn("score", exact + terms + whole + sides)
 
 
-def scored_v1b(pairs: DataFrame) -> DataFrame:
+def pairs_v1b(queries: DataFrame, rows: DataFrame) -> DataFrame:
     words = F.filter(T.raw_words(F.col("message"), r"[\s\x0B,;:()]+"), lambda x: F.length(x) >= 3)
     terms = F.filter(F.transform(F.array_distinct(F.concat(T.hints(F.col("message")), words)), T.norm_v1), lambda x: F.length(x) >= 2)
-    base = pairs.withColumns({"text1": T.row_text(False, T.norm_v1, *ROW), "code1": T.norm_v1(F.col("code")), "part1": T.norm_v1(F.col("part_id")), "raw1": T.norm_v1(F.col("message")), "terms1": terms})
-    base = base.withColumn("asked1", F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit("(?iu)" + T.LOOSE_HOLE), 1))
+    asked = queries.withColumns({"raw1": T.norm_v1(F.col("message")), "terms1": terms, "asked1": F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit("(?iu)" + T.LOOSE_HOLE), 1)})
+    return _rows_v1(rows).crossJoin(checked_broadcast(asked))
+
+
+def scored_v1b(base: DataFrame) -> DataFrame:
+    """Adds score to pairs_v1b."""
     text = F.col("text1")
     by_term = _sum(F.transform("terms1", lambda t: F.when((F.col("code1") == t) | (F.col("part1") == t), 80).when(F.contains(text, t), 16).otherwise(0)))
     whole = F.when((F.col("raw1") != "") & F.contains(text, F.col("raw1")), 35).otherwise(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,46 +58,71 @@ def in_profile(vectors: DataFrame, profile: tuple[str, ...]) -> DataFrame:
     return vectors.where("is_active")
 
 
+HITS = pa.schema([("query_id", pa.string()), ("probe_id", pa.int32()), ("id", pa.int64()), ("record_id", pa.string()), ("asset_type", pa.string()), ("similarity", pa.float64())])
+
+
+class Probes(NamedTuple):
+    query_id: list[str]
+    probe_id: list[int]
+    matrix: np.ndarray
+
+
+def nearest(probes: Probes, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of all rows (id, record_id, asset_type, embedding) for each probe, ties by id, as HITS."""
+    q = probes.matrix
+    norms, best = (q * q).sum(1), None
+    for batch in batches:
+        flat = batch.column(3)
+        if not batch.num_rows or not len(q):
+            continue
+        m = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64, copy=False)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.round((q @ m.T) / np.sqrt(norms[:, None] * (m * m).sum(1)[None, :]), 6)
+        sim = np.where(np.isnan(sim), -np.inf, sim)
+        least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(q), -np.inf)
+        who, which = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        rows = pa.table({"who": who, "similarity": sim[who, which]} | {c: batch.column(i).take(pa.array(which)) for i, c in enumerate(("id", "record_id", "asset_type"))})
+        best = rows if best is None else pa.concat_tables([best, rows])
+        who, s, ids = (best.column(c).to_numpy() for c in ("who", "similarity", "id"))
+        order = np.lexsort((ids, -s, who))
+        first = np.searchsorted(who[order], who[order])
+        best = best.take(pa.array(order[np.arange(len(order)) - first < k])).combine_chunks()
+    if best is not None and best.num_rows:
+        who = best.column("who").to_pylist()
+        columns = [pa.array([probes.query_id[i] for i in who], pa.string()), pa.array([probes.probe_id[i] for i in who], pa.int32()), *(best.column(c).combine_chunks() for c in ("id", "record_id", "asset_type", "similarity"))]
+        yield pa.RecordBatch.from_arrays(columns, schema=HITS)
+
+
 def top_hits(vectors: DataFrame, probes: DataFrame, profile: tuple[str, ...], k: int | None = None) -> DataFrame:
     """query_id, probe_id, id, record_id, asset_type, similarity and rank of the k nearest vectors of each probe in one
     profile: exact, by cosine, ties by vector id.
 
-    Probes are a stated query set: they go in blocks to the vectors, each task multiplies matrices and keeps its own
-    top k, and a window merges these."""
+    Probes are a stated query set.  Up to BROADCAST_BYTES they are sent to every task once, beyond it in blocks to slices
+    of the vectors.  Each task multiplies matrices and keeps its own top k, and a window merges these."""
     k = clamped_top_k(k)
     own = in_profile(vectors, profile).select("id", "record_id", "asset_type", "embedding")
-    numbered = probes.select("query_id", "probe_id", "embedding").withColumn("block", F.xxhash64("query_id", "probe_id"))
-    n, dim = numbered.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-n // BLOCK))
-    packed = numbered.groupBy(F.pmod("block", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "probe_id", "embedding")).alias("probes"))
-    small = n * (dim or 0) * 8 <= BROADCAST_BYTES
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column(batch.schema.get_field_index("block")).to_numpy()
-            for b in np.unique(block):
-                at = np.flatnonzero(block == b)
-                part = batch.take(pa.array(at))
-                rows = part.column(part.schema.get_field_index("probes"))[0].as_py()
-                q = np.array([r["embedding"] for r in rows], np.float64)
-                flat = part.column(part.schema.get_field_index("embedding"))
-                m = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = np.round((q @ m.T) / np.sqrt((q * q).sum(1)[:, None] * (m * m).sum(1)[None, :]), 6)
-                ids = part.column(0).to_numpy()
-                keep = np.argsort(np.where(np.isnan(sim), 2.0, -sim) + 0.0, axis=1, kind="stable") if (np.diff(ids) > 0).all() else np.stack([np.lexsort((ids, -s)) for s in sim])
-                keep = keep[:, :k]
-                who = np.repeat(np.arange(len(rows)), keep.shape[1])
-                which = pa.array(keep.ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[i]["query_id"] for i in who]), pa.array([rows[i]["probe_id"] for i in who], pa.int32()), part.column(0).take(which), part.column(1).take(which), part.column(2).take(which), pa.array(sim[who, keep.ravel()])],
-                    ["query_id", "probe_id", "id", "record_id", "asset_type", "similarity"],
-                )
-
-    pairs = own.crossJoin(F.broadcast(packed) if small else packed)
-    scored = pairs.mapInArrow(score, "query_id string, probe_id int, id long, record_id string, asset_type string, similarity double")
+    asked = probes.select("query_id", "probe_id", "embedding")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    layout = "query_id string, probe_id int, id long, record_id string, asset_type string, similarity double"
+    if n * (dim or 0) * 8 <= BROADCAST_BYTES:
+        rows = asked.collect()  # within BROADCAST_BYTES
+        known = probes.sparkSession.sparkContext.broadcast(Probes([r["query_id"] for r in rows], [r["probe_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64).reshape(n, -1)))
+        scored = own.mapInArrow(lambda batches: nearest(known.value, batches, k), layout)
+    else:
+        # blocks of probes meet slices of the vectors; each pair of a block and a slice is one task's
+        blocks, slices = -(-n // BLOCK), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = own.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "probe_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+
+        def meet(vectors_: pa.Table, probes_: pa.Table) -> pa.Table:
+            flat = probes_.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            block = Probes(probes_.column("query_id").to_pylist(), probes_.column("probe_id").to_pylist(), flat.reshape(probes_.num_rows, -1) if probes_.num_rows else np.zeros((0, 0)))
+            found = list(nearest(block, vectors_.select(["id", "record_id", "asset_type", "embedding"]).to_batches(BLOCK), k))
+            return pa.Table.from_batches(found, HITS)
+
+        scored = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(meet, layout)
     w = Window.partitionBy("query_id", "probe_id").orderBy(F.desc("similarity"), "id")
-    return scored.where(~F.isnan("similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_hits_by_expressions(vectors: DataFrame, probes: DataFrame, profile: tuple[str, ...], k: int | None = None) -> DataFrame:

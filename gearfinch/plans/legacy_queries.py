@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import legacy_scoring as L
-from ..operators.scoring import checked_broadcast, ranked
+from ..operators.scoring import ranked
 from ..sources import fixtures as X
 from . import duck as D
 from .catalogue_queries import joined, query
@@ -64,8 +64,8 @@ def t8_query_list_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", joined(F.slice(F.array_distinct(every), 1, 8)).alias("queries"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.catalogue(spark, sf_dir).crossJoin(checked_broadcast(X.messages(spark)))
+def _pairs(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    return make(X.messages(spark), X.catalogue(spark, sf_dir))
 
 
 def _has(words) -> str:
@@ -89,19 +89,19 @@ v4 AS (SELECT *, {_first('m')}[1:10] matched FROM s4)"""
 
 @query(f"WITH {F7} SELECT query_id, id, CAST(score AS BIGINT) score, array_to_string(matched, '|') matched, array_to_string(cf[1:8], '|') conflicts FROM v4")
 def f7_metadata_score_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.scored_v4(_pairs(spark, sf_dir)).select("query_id", "id", F.col("score").cast("long").alias("score"), joined(F.col("matched")).alias("matched"), joined(F.col("conflicts")).alias("conflicts"))
+    return L.scored_v4(_pairs(spark, sf_dir, L.pairs_v4)).select("query_id", "id", F.col("score").cast("long").alias("score"), joined(F.col("matched")).alias("matched"), joined(F.col("conflicts")).alias("conflicts"))
 
 
 @query(f"""WITH {F7}, f AS (SELECT *, hole_count >= 0 AND list_contains(matched, hole_count || ' holes') bh, len(colors) > 0 AND strong_count >= 2 AND len(list_filter(colors, lambda x: NOT list_contains(matched, 'color:' || x))) = 0 bc FROM v4)
 SELECT query_id, id, CAST(score AS BIGINT) score FROM f WHERE CASE WHEN bool_or(bh) OVER (PARTITION BY query_id) THEN bh ELSE bc END""".replace("WHERE CASE", "QUALIFY CASE"))
 def p9_strong_filter_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.strong_matches_v4(L.scored_v4(_pairs(spark, sf_dir))).select("query_id", "id", F.col("score").cast("long").alias("score"))
+    return L.strong_matches_v4(L.scored_v4(_pairs(spark, sf_dir, L.pairs_v4))).select("query_id", "id", F.col("score").cast("long").alias("score"))
 
 
 @query(f"""WITH {F7}, g AS (SELECT query_id, count(*) FILTER (WHERE score > 0) n, list_sort(list(score) FILTER (WHERE score > 0), 'DESC') b FROM v4 GROUP BY query_id)
 SELECT query_id, n, CAST(coalesce(b[1], 0) - coalesce(b[2], 0) AS BIGINT) gap, CASE WHEN n BETWEEN 1 AND 5 THEN 'easy_filter' ELSE 'needs_analysis' END "mode" FROM g""")
 def d3_pre_gate_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.pre_gate_v4(L.scored_v4(_pairs(spark, sf_dir)))
+    found = L.pre_gate_v4(L.scored_v4(_pairs(spark, sf_dir, L.pairs_v4)))
     return found.select("query_id", "n", F.col("gap").cast("long").alias("gap"), "mode")
 
 
@@ -113,7 +113,7 @@ _V1P = f"""{X.CAT_SQL}, {X.MSGS_SQL}, texts AS (SELECT * FROM msgs), {V1}, p AS
   + CASE WHEN side = 'all' THEN 0 WHEN usage_side IN (side, 'both') THEN 18 WHEN usage_side <> 'unknown' THEN -35 ELSE 0 END score FROM p)
 SELECT query_id, id, CAST(score AS BIGINT) score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) <= 12""")
 def f8_k4_rank_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(L.scored_v1(_pairs(spark, sf_dir)), "score", 12).select("query_id", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranked(L.scored_v1(_pairs(spark, sf_dir, L.pairs_v1)), "score", 12).select("query_id", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _HINTS = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(n, {D.q(k)})" for k in keys) + f" THEN {D.q(label)} END" for label, keys in T.HINTS.items()) + "], lambda x: x IS NOT NULL)"
@@ -126,4 +126,4 @@ SELECT query_id, id, CAST(coalesce(list_sum(list_transform(terms, lambda x: CASE
   + CASE WHEN contains(t, 'lo') OR contains(t, 'hole') THEN 25 * len(list_filter(asked, lambda x: contains(' ' || t || ' ', ' ' || x || ' '))) ELSE 0 END
   + CASE WHEN trim(coalesce(identifying_features, '')) <> '' THEN 4 ELSE 0 END + CASE WHEN trim(coalesce(confusing_note, '')) <> '' THEN 3 ELSE 0 END AS BIGINT) score FROM p""")
 def f9_score_v1b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.scored_v1b(_pairs(spark, sf_dir)).select("query_id", "id", F.col("score").cast("long").alias("score"))
+    return L.scored_v1b(_pairs(spark, sf_dir, L.pairs_v1b)).select("query_id", "id", F.col("score").cast("long").alias("score"))

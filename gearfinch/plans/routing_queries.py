@@ -86,7 +86,7 @@ def p2_public_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {F7} SELECT query_id, id, CASE WHEN ordinal % 3 = 0 THEN 0.9 WHEN ordinal % 3 = 1 AND ordinal % 2 = 0 THEN 0.4 ELSE greatest(0, least(1, score / 100)) END score FROM v4 WHERE ordinal % 5 = 0""")
 def p3_public_scores_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence first, then the ranking's score, then the metadata score over 100."""
-    rows = V4.scored_v4(_pairs(spark, sf_dir)).where("ordinal % 5 = 0")
+    rows = V4.scored_v4(_pairs(spark, sf_dir, V4.pairs_v4)).where("ordinal % 5 = 0")
     ranked = rows.withColumns({"confidence": F.when(F.col("ordinal") % 3 == 0, 0.9), "ranking": F.when(F.col("ordinal") % 3 != 2, F.when(F.col("ordinal") % 2 == 0, 0.4))})
     return ranked.select("query_id", "id", Q.legacy_public_score(["confidence", "ranking"], "score", 100).alias("score"))
 
@@ -96,13 +96,13 @@ def p3_public_scores_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
   + CASE WHEN side = 'all' THEN 0 WHEN usage_side IN (side, 'both') THEN 18 WHEN usage_side <> 'unknown' THEN -35 ELSE 0 END score FROM p WHERE ordinal % 5 = 0)
 SELECT query_id, id, round(CASE WHEN ordinal % 2 = 0 THEN 0.7 ELSE greatest(0, least(1, score / 120)) END, 9) score FROM s""")
 def p3_public_scores_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V4.scored_v1(_pairs(spark, sf_dir).where("ordinal % 5 = 0")).withColumn("verified", F.when(F.col("ordinal") % 2 == 0, 0.7))
+    rows = V4.scored_v1(_pairs(spark, sf_dir, V4.pairs_v1).where("ordinal % 5 = 0")).withColumn("verified", F.when(F.col("ordinal") % 2 == 0, 0.7))
     return rows.select("query_id", "id", F.round(Q.legacy_public_score(["verified"], "score", 120), 9).alias("score"))
 
 
 @query(f"WITH {F7}, g AS (SELECT query_id, count(*) FILTER (WHERE score > 0) n, list_sort(list(score) FILTER (WHERE score > 0), 'DESC') b FROM v4 GROUP BY query_id) SELECT query_id, CASE WHEN n BETWEEN 1 AND 5 AND b[1] - coalesce(b[2], 0) >= 12 THEN 'signature_sufficient' ELSE 'needs_resolver' END \"mode\" FROM g")
 def d4_gate_after_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V4.gate_after_signature(V4.scored_v4(_pairs(spark, sf_dir)))
+    return V4.gate_after_signature(V4.scored_v4(_pairs(spark, sf_dir, V4.pairs_v4)))
 
 
 _ORDERS = "rk AS (SELECT l_orderkey query_id, CAST(l_linenumber AS INT) seq, CAST(l_discount AS DOUBLE) * 10 score, CAST(l_linenumber % 3 AS INT) n_conflicts, l_orderkey % 11 = 0 AND l_linenumber = 1 flag FROM lineitem)"
@@ -148,7 +148,7 @@ def s8_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {X.CAT_SQL}, {X.MSGS_SQL}, pairs AS (SELECT * FROM msgs, cat), {D.structural('pairs')} SELECT query_id, count(*) n, count(*) FILTER (WHERE structural_score = 0) conflicts, count(*) FILTER (WHERE structural_score = 0) > 0 hole_conflict FROM st GROUP BY query_id""")
 def a7_structural_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.structural_totals(S.structural(_pairs(spark, sf_dir)))
+    return S.structural_totals(S.structural(X.catalogue(spark, sf_dir).crossJoin(S.checked_broadcast(X.messages(spark)))))
 
 
 @query(f"""WITH {CANDIDATES}, k AS (SELECT query_id, message, cat.*, CASE WHEN ordinal % 20 <> 3 THEN usage_side END side FROM cand JOIN msgs USING (query_id) JOIN cat USING (id)),
