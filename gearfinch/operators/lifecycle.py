@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,12 +16,21 @@ SEARCHED = ("code", "part_id", "identifying_features", "usage_side", "view_mode"
 CHUNK = 20
 
 
-def search(rows: DataFrame, text: str = "", side: str = "all", view: str = "all") -> DataFrame:
-    """Rows with the text in any searched field, and the given side and view ('all': any)."""
+def search(rows: DataFrame, text: str = "", side: str = "all", view: str = "all", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows with the text in any searched field, and the given side and view ('all': any); with a limit, a page of them by
+    ordinal."""
     if text:
         rows = rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower())) for c in SEARCHED)))
     rows = rows if side == "all" else rows.where(F.col("usage_side") == side)
-    return rows if view == "all" else rows.where(F.col("view_mode") == view)
+    rows = rows if view == "all" else rows.where(F.col("view_mode") == view)
+    return rows if limit is None else rows.orderBy("ordinal").offset(offset).limit(limit)
+
+
+def page(rows: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of rows by `order`, with has_more: one row more than the page is read."""
+    read = rows.orderBy(order).offset(offset).limit(limit + 1)  # a page: a fixed number of rows
+    numbered = read.withColumns({"__n": F.row_number().over(Window.orderBy(order)), "__all": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    return numbered.where(F.col("__n") <= limit).withColumn("has_more", F.col("__all") > limit).drop("__n", "__all")
 
 
 def exact_lookup(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -47,8 +56,12 @@ def with_assets(rows: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def asset_batches(rows: DataFrame, assets: DataFrame, size: int) -> DataFrame:
-    per = with_assets(rows, assets).groupBy(F.floor(F.col("ordinal") / size).alias("batch"), "id").agg(F.count("object_key").alias("n"))
-    return per.groupBy("batch").agg(F.count("*").alias("row_count"), F.count_if(F.col("n") > 0).alias("rows_with_assets"), F.count_if(F.col("n") == 0).alias("rows_without_assets"), F.sum("n").alias("asset_count"))
+    """Diagnostics of batches of `size` rows: how many have assets, which have none (a list of at most `size` ids), how many
+    assets there are, where the next batch begins and whether there may be one."""
+    per = with_assets(rows, assets).groupBy(F.floor(F.col("ordinal") / size).alias("batch"), "id", "ordinal").agg(F.count("object_key").alias("n"))
+    bare = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.struct("ordinal", "id"))))
+    totals = per.groupBy("batch").agg(F.count("*").alias("row_count"), F.count_if(F.col("n") > 0).alias("rows_with_assets"), F.transform(bare, lambda x: x["id"]).alias("rows_without_assets"), F.sum("n").alias("asset_count"))
+    return totals.withColumns({"next_offset": F.col("batch") * size + F.col("row_count"), "has_more": F.col("row_count") == size})
 
 
 def coverage(vectors: DataFrame) -> DataFrame:
@@ -148,6 +161,12 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def row_key(*fallback: str) -> Column:
+    """The id; without one the code; without that the other columns, joined."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    return F.coalesce("id", some("code"), F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in fallback)))
+
+
 def last_rows(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

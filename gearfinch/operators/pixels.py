@@ -57,6 +57,19 @@ def mask_summary(mask: DataFrame, width: int, height: int) -> DataFrame:
     return per.select("vec_id", "alpha_aware", "coverage", confidence.alias("confidence"), *(F.when(whole, F.lit(a)).otherwise(F.col(b)).alias(n) for n, (a, b) in box.items()))
 
 
+def square_crop(boxes: DataFrame, width: int, height: int, padding: float = 0.14) -> DataFrame:
+    """boxes (min_x .. max_y) with crop_x, crop_y, crop_side: the box padded by a share of its longer side, as a square
+    around its centre, moved inside the frame."""
+    half_up = lambda x: F.floor(x + 0.5)
+    inside = lambda x, most: F.greatest(F.lit(0), F.least(F.lit(most), x))
+    pad = half_up(F.greatest(F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1) * padding)
+    padded = boxes.withColumns({"__x0": inside(F.col("min_x") - pad, width - 1), "__y0": inside(F.col("min_y") - pad, height - 1), "__x1": inside(F.col("max_x") + pad, width - 1), "__y1": inside(F.col("max_y") + pad, height - 1)})
+    padded = padded.withColumn("__side", F.greatest(F.col("__x1") - F.col("__x0") + 1, F.col("__y1") - F.col("__y0") + 1))
+    start = lambda a, b, size: F.greatest(F.lit(0), F.least(F.greatest(F.lit(0), size - F.col("__side")), half_up((F.col(a) + F.col(b)) / 2 - F.col("__side") / 2)))
+    placed = padded.withColumns({"crop_x": start("__x0", "__x1", F.lit(width)), "crop_y": start("__y0", "__y1", F.lit(height))})
+    return placed.withColumn("crop_side", F.least("__side", width - F.col("crop_x"), height - F.col("crop_y"))).drop("__x0", "__y0", "__x1", "__y1", "__side")
+
+
 def gray(r: Column, g: Column, b: Column) -> Column:
     luma = 0.2126 * r + 0.7152 * g + 0.0722 * b
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (luma - 128) * 1.12 + 128))).cast("int")

@@ -35,6 +35,13 @@ def reranked(rankings: DataFrame, pool: DataFrame, limit: int = 5) -> DataFrame:
     return joined.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
+def ranked_beside_pool(rankings: DataFrame, pool: DataFrame) -> DataFrame:
+    """All rankings with the pool's row where there is one; the model's score is the final one.  Ids outside the pool
+    stay, without a row."""
+    joined = rankings.withColumnRenamed("candidate_id", "id").join(pool.drop("final_score"), ["query_id", "id"], "left")
+    return joined.withColumns({"final_score": F.coalesce("score", F.lit(0.0)), "score_source": F.lit("agent_rerank")})
+
+
 def second_gate(rankings: DataFrame, conflicts: DataFrame | None = None, gap: float = 0.05) -> DataFrame:
     """Per query: the gap of the two best scores (1 if there is one only), and whether a judge is needed.
     conflicts: query_id and hole_conflict, orientation_conflict, or one of these."""

@@ -24,6 +24,20 @@ def s2_p4_catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search(X.catalogue(spark, sf_dir), "red", side="left").select("id", "code")
 
 
+_FOUND = "(contains(lower(code), t) OR contains(lower(coalesce(part_id, '')), t) OR contains(lower(coalesce(identifying_features, '')), t) OR contains(lower(usage_side), t) OR contains(lower(view_mode), t))"
+
+
+@query(f"""WITH {X.CAT_SQL}, a AS (SELECT 1 search, id, ordinal FROM (SELECT *, 'gear' t FROM cat) WHERE {_FOUND} ORDER BY ordinal LIMIT 20 OFFSET 5),
+b AS (SELECT 2 search, id, ordinal FROM (SELECT *, '3 HOLES' t0, '3 holes' t FROM cat) WHERE {_FOUND} AND usage_side = 'right' AND view_mode = 'dual_face' ORDER BY ordinal LIMIT 10), c AS (SELECT 3 search, id, ordinal FROM cat WHERE view_mode = 'detail_set' ORDER BY ordinal LIMIT 7 OFFSET 30)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def s2_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of searches by text, by text with side and view, and by view alone."""
+    rows = X.catalogue(spark, sf_dir)
+    pages = [L.search(rows, "gear", limit=20, offset=5), L.search(rows, "3 HOLES", "right", "dual_face", 10), L.search(rows, view="detail_set", limit=7, offset=30)]
+    own = [p.select(F.lit(i + 1).alias("search"), "id", "ordinal") for i, p in enumerate(pages)]
+    return own[0].unionByName(own[1]).unionByName(own[2])
+
+
 @query(f"WITH {X.CAT_SQL}, {X.ASSETS_SQL} SELECT record_id, CASE WHEN lower(asset_type) IN ('thumb', 'front', 'back', 'detail', 'compare') THEN lower(asset_type) ELSE 'detail' END asset_type, ltrim(image_path, '/') object_key, sort_order FROM assets WHERE ltrim(image_path, '/') <> ''")
 def s4_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.normalized_assets(X.raw_assets(spark, sf_dir)).select("record_id", "asset_type", "object_key", "sort_order")
@@ -66,10 +80,11 @@ def j9_catalogue_with_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_assets(X.catalogue(spark, sf_dir), X.raw_assets(spark, sf_dir)).select("id", "object_key")
 
 
-@query(f"""{_A}, j AS (SELECT c.ordinal // 100 batch, id, count(object_key) n FROM cat c LEFT JOIN na ON record_id = id GROUP BY ALL)
-SELECT batch, count(*) row_count, count(*) FILTER (WHERE n > 0) rows_with_assets, count(*) FILTER (WHERE n = 0) rows_without_assets, CAST(sum(n) AS BIGINT) asset_count FROM j GROUP BY batch""")
+@query(f"""{_A}, j AS (SELECT c.ordinal // 100 batch, id, ordinal, count(object_key) n FROM cat c LEFT JOIN na ON record_id = id GROUP BY ALL)
+SELECT batch, count(*) row_count, count(*) FILTER (WHERE n > 0) rows_with_assets, coalesce(string_agg(id, '|' ORDER BY ordinal) FILTER (WHERE n = 0), '') rows_without_assets, CAST(sum(n) AS BIGINT) asset_count, batch * 100 + count(*) next_offset, count(*) = 100 has_more FROM j GROUP BY batch""")
 def a3_l1_asset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.asset_batches(X.catalogue(spark, sf_dir), X.raw_assets(spark, sf_dir), 100)
+    found = L.asset_batches(X.catalogue(spark, sf_dir), X.raw_assets(spark, sf_dir), 100)
+    return found.withColumn("rows_without_assets", F.array_join("rows_without_assets", "|"))
 
 
 @query(f"WITH {X.VEC_SQL} SELECT preprocess_version, count(DISTINCT record_id) distinct_records, count(*) active_vectors, epoch(max(updated_at)) latest FROM vec WHERE is_active GROUP BY preprocess_version")
@@ -122,14 +137,20 @@ def l6_reindex_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reindex_report(X.raw_assets(spark, sf_dir), X.image_vectors(spark, sf_dir)).select("record_id", "sort_order", "status")
 
 
-@query(f"WITH {X.CAT_SQL} SELECT id, code FROM cat ORDER BY ordinal LIMIT 25 OFFSET 50")
+@query(f"WITH {X.CAT_SQL} SELECT id, code, (SELECT count(*) FROM cat) > 75 has_more FROM cat ORDER BY ordinal LIMIT 25 OFFSET 50")
 def k1_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.catalogue(spark, sf_dir).orderBy("ordinal").offset(50).limit(25).select("id", "code")
+    return L.page(X.catalogue(spark, sf_dir).select("id", "code", "ordinal"), "ordinal", 25, 50).select("id", "code", "has_more")
+
+
+_NAMELESS = "SELECT *, CASE WHEN ordinal % 3 <> 0 THEN CAST(ordinal // 2 AS VARCHAR) END i, CASE WHEN ordinal % 6 <> 0 THEN 'C' || ordinal // 4 END c FROM cat"
 
 
-@query(f"WITH {X.CAT_SQL} SELECT code, part_id, ordinal FROM cat QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY ordinal) = 1")
+@query(f"WITH {X.CAT_SQL}, n AS (SELECT *, coalesce(i, c, coalesce(part_id, '') || '|' || coalesce(usage_side, '')) k FROM ({_NAMELESS})) SELECT k, ordinal FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY ordinal) = 1")
 def w3_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.first_wins(X.catalogue(spark, sf_dir), ["part_id"], ["ordinal"]).select("code", "part_id", "ordinal")
+    """Rows with ids that stand twice, rows without an id, and rows without a code either: the first of each key stays."""
+    o = F.col("ordinal")
+    rows = X.catalogue(spark, sf_dir).withColumns({"id": F.when(o % 3 != 0, F.floor(o / 2).cast("string")), "code": F.when(o % 6 != 0, F.concat(F.lit("C"), F.floor(o / 4).cast("string")))})
+    return L.first_wins(rows.withColumn("k", L.row_key("part_id", "usage_side")), ["k"], ["ordinal"]).select("k", "ordinal")
 
 
 # ---- sessions ---------------------------------------------------------------------------------------------------
@@ -138,10 +159,18 @@ def w5_trace_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.last_rows(X.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 40).select("user_id", "event_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END role, left(text, 1800) text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END role, left(text, 1800) text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6 in_answer FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8")
 def w6_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = L.last_rows(X.table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 4)
-    return kept.select("conv_id", "turn", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.substring("text", 1, 1800).alias("text"))
+    """The last eight turns of each conversation; the last six go into the answer."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    kept = L.last_rows(X.table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 8).withColumn("in_answer", F.row_number().over(w) <= 6)
+    return kept.select("conv_id", "turn", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.substring("text", 1, 1800).alias("text"), "in_answer")
+
+
+@query("SELECT user_id, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 at_ms FROM events")
+def a11_trace_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return X.table(spark, sf_dir, "events").select("user_id", "event_id", F.floor((at - F.min(at).over(Window.partitionBy("user_id"))) / 1000).alias("at_ms"))
 
 
 @query("""WITH c AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'gemini' ELSE 'openrouter' END provider FROM events WHERE event_type IN ('click', 'view')),
@@ -255,6 +284,15 @@ def i3_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.mask_summary(m, 8, 8).select("vec_id", *(F.col(c).cast("long").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
 
 
+@query(f"""WITH {_MASK}, b AS (SELECT vec_id, CASE WHEN f THEN 0 ELSE x0 END ax, CASE WHEN f THEN 0 ELSE y0 END ay, CASE WHEN f THEN 7 ELSE x1 END bx, CASE WHEN f THEN 7 ELSE y1 END b2 FROM (SELECT *, x0 IS NULL OR coverage < 0.02 OR coverage > 0.96 f FROM mc)),
+p AS (SELECT *, CAST(floor(greatest(bx - ax + 1, b2 - ay + 1) * 0.14 + 0.5) AS BIGINT) pad FROM b), c AS (SELECT vec_id, greatest(0, ax - pad) x0, greatest(0, ay - pad) y0, least(7, bx + pad) x1, least(7, b2 + pad) y1 FROM p), s AS (SELECT *, greatest(x1 - x0 + 1, y1 - y0 + 1) side FROM c),
+q AS (SELECT *, CAST(greatest(0, least(greatest(0, 8 - side), floor((x0 + x1) / 2.0 - side / 2.0 + 0.5))) AS BIGINT) crop_x, CAST(greatest(0, least(greatest(0, 8 - side), floor((y0 + y1) / 2.0 - side / 2.0 + 0.5))) AS BIGINT) crop_y FROM s)
+SELECT vec_id, crop_x, crop_y, least(side, 8 - crop_x, 8 - crop_y) crop_side FROM q""")
+def i3_square_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = P.masks(P.fixture_pixels(X.table(spark, sf_dir, "embeddings")), 8, 8)
+    return P.square_crop(P.mask_summary(m, 8, 8), 8, 8).select("vec_id", *(F.col(c).cast("long").alias(c) for c in ("crop_x", "crop_y", "crop_side")))
+
+
 @query(f"WITH {_PIX} SELECT vec_id, pos, CAST(round_even(greatest(0, least(255, (0.2126 * r + 0.7152 * g + 0.0722 * b - 128) * 1.12 + 128)), 0) AS INT) gray FROM px")
 def i4_gray_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fixture_pixels(X.table(spark, sf_dir, "embeddings")).select("vec_id", "pos", P.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"))

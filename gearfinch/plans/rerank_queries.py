@@ -39,6 +39,12 @@ def j7_rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.reranked(*_tables(spark, sf_dir)).select("query_id", "candidate_id", "code", "score", "final_score", F.col("place").cast("long").alias("place"))
 
 
+@query(f"WITH {RANKINGS} SELECT r.query_id, candidate_id id, p.code, score final_score, seq FROM rankings r LEFT JOIN pool p ON p.query_id = r.query_id AND p.id = r.candidate_id")
+def j7_ranked_beside_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the later flow maps rankings: ids outside the pool stay."""
+    return K.ranked_beside_pool(*_tables(spark, sf_dir)).select("query_id", "id", "code", "final_score", "seq")
+
+
 @query(f"WITH {RANKINGS}, g AS (SELECT query_id, list_sort(list(score), 'DESC') b, coalesce(bool_or(ambiguous), false) a FROM rankings GROUP BY query_id), h AS (SELECT query_id, CASE WHEN len(b) < 2 THEN 1.0 ELSE round(b[1] - b[2], 6) END gap, a FROM g) SELECT query_id, gap, a OR gap < 0.05 needs_judge FROM h")
 def d2_second_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.second_gate(_tables(spark, sf_dir)[0])
