@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-Every text is a sequence of k-mers of WORDS words, each labelled with its occurrence number.  For each of SKETCHES hash
+Every text is a sequence of k-mers of WORDS words (FEW_WORDS in a short text), each labelled with its occurrence number.  For each of SKETCHES hash
 functions the SAMPLES least labelled k-mers are kept in text order; documents that agree in one such tuple are
 candidates.  As the order is kept, the sketch follows edit similarity rather than set similarity.  Short texts have few
 k-mers, so they are candidates by their words too: a text of at most SHORT words that may have at most EDITS edits also
@@ -8,11 +8,12 @@ sends what is left of it without up to that many words.  Two such texts within t
 pair of short texts is never missed.  Candidates are verified by aligning their words inside a band: the edit distance
 must be at most (1 - similarity) of the longer text.
 
-Equal texts are one node.  In each group of nodes with the same key the least node is the hub.  First each node is held
-against the least of its hubs.  Then, twice, a group is one row for each class that it has members of, and its hub is
-held against one node of each other class.  Only nodes that are not in their hub's class then are compared with the
-members of their groups outside their class, in blocks, after an exact lower bound on the edit distance (word
-histograms).
+Equal texts are one node.  In each group of nodes with the same key the most central node is the hub.  First each node
+is held against the most central of its hubs.  Then, in up to ROUNDS rounds, a group is one row for each class that it
+has members of, and each class is held against one beside it in one of its groups; so a group of near copies that are
+near to different ones of their kind makes about as many pairs as it has members.  Only nodes that are not in their
+hub's class then are compared with the members of their groups outside their class, in blocks, after an exact lower
+bound on the edit distance (word histograms); of these pairs, too, those go whose ends have been joined meanwhile.
 Classes are the connected components, found by label passing over stored tables.
 
 Null text counts as empty; texts without words are duplicates only of equal texts.  Ids may be null or repeated: a class
@@ -34,26 +35,34 @@ from pyspark.sql import functions as F
 from .repeats import CHUNK_BYTES, first_of_runs
 from .texts import Words, as_bytes, chunks, mix, partitions, ranges, rolling, stored, table
 
-WORDS, SAMPLES, SKETCHES = 5, 2, 64
+WORDS, SAMPLES, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
+#: Texts of so many words at most have k-mers of FEW_WORDS in FEW_SKETCHES too, as an edit breaks many of their k-mers; those of
+#: less than the similar share of it have these alone.
+FEW, FEW_WORDS, FEW_SKETCHES = 80, 3, 48
 #: Texts of so many words, in which so many edits are allowed, are found surely.
 SHORT, EDITS = 14, 2
-BINS = 64
+#: Rounds in which classes are joined by single pairs before what is left is compared in full.
+ROUNDS = 6
+#: A round of which fewer than one in so many pairs are links is the last.
+FEW_LINKS = 10
+#: Bins of word histograms, and those of a first, coarser look.
+BINS, COARSE = 1024, 64
 BLOCK = 4096
 
 
-def order_minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each text SKETCHES keys; 0 for a text without words."""
+def order_minhash(hashes: np.ndarray, bounds: np.ndarray, k: int = WORDS, sketches: int = SKETCHES) -> np.ndarray:
+    """For each text a key of each sketch, over k-mers of k words; 0 for a text without words."""
     sizes = np.diff(bounds)
-    many = np.where(sizes == 0, 0, np.maximum(1, sizes - WORDS + 1))
+    many = np.where(sizes == 0, 0, np.maximum(1, sizes - k + 1))
     starts = np.cumsum(many) - many
     text = np.repeat(np.arange(len(many)), many)
     grams = np.zeros(len(text), np.uint64)
-    whole = rolling(hashes, WORDS)
-    at = ranges(bounds[:-1], np.where(sizes >= WORDS, many, 0))
-    long_ = sizes[text] >= WORDS
+    whole = rolling(hashes, k)
+    at = ranges(bounds[:-1], np.where(sizes >= k, many, 0))
+    long_ = sizes[text] >= k
     grams[long_] = whole[at] if len(at) else 0
-    for i in np.flatnonzero((sizes > 0) & (sizes < WORDS)):
+    for i in np.flatnonzero((sizes > 0) & (sizes < k)):
         h = sizes[i : i + 1].astype(np.uint64)
         for w in hashes[bounds[i] : bounds[i + 1]]:
             h = mix(h * np.uint64(3) ^ w)
@@ -65,14 +74,14 @@ def order_minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     nth = np.empty(len(key), np.int64)
     nth[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
     labelled = mix(grams + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    out = np.zeros((len(sizes), SKETCHES), np.uint64)
+    out = np.zeros((len(sizes), sketches), np.uint64)
     some = np.flatnonzero(many)
     if not len(some):
         return out
     begin, lengths = starts[some], many[some]
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    multipliers = mix((np.arange(SKETCHES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for s in range(SKETCHES):
+    multipliers = mix((np.arange(sketches, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for s in range(sketches):
         v = labelled * multipliers[s]  # odd, so distinct labels stay distinct
         places = []
         for _ in range(SAMPLES):
@@ -84,13 +93,28 @@ def order_minhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             v[hit] = top
             places.append(place[some])
         places = np.sort(np.stack(places), axis=0)  # text order
-        h = np.full(len(some), s + 1, np.uint64)
+        h = np.full(len(some), 1000 * k + s, np.uint64)
         for p in places:
             h = mix(h * np.uint64(31) + np.where(p >= 0, labelled[p], np.uint64(7)))
         out[some, s] = np.maximum(h, np.uint64(1))
     return out
 
 
+def candidate_keys(hashes: np.ndarray, bounds: np.ndarray, similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """The keys of each text: two similar texts have sketches over the same k-mers, whatever their lengths."""
+    n = np.diff(bounds)
+    out = [[] for _ in n]
+    for chosen, k, sketches_ in ((n >= np.floor(similarity * FEW), WORDS, SKETCHES), ((n > 0) & (n <= FEW), FEW_WORDS, FEW_SKETCHES)):
+        own = np.flatnonzero(chosen)
+        if len(own):
+            keys = order_minhash(hashes[ranges(bounds[:-1][own], n[own])], np.concatenate([[0], np.cumsum(n[own])]), k, sketches_)
+            for i, x in zip(own.tolist(), keys, strict=True):
+                out[i].append(x)
+    for i, x in short_keys(hashes, bounds, similarity).items():
+        out[i].append(x)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
 def most_edits(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
@@ -119,14 +143,21 @@ def short_keys(hashes: np.ndarray, bounds: np.ndarray, similarity: float) -> dic
 
 def histograms(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.minimum(np.bincount(text * BINS + (hashes >> np.uint64(58)).astype(np.int64), minlength=(len(bounds) - 1) * BINS), 65535).reshape(-1, BINS).astype(np.uint16)
+    return np.minimum(np.bincount(text * BINS + (hashes >> np.uint64(54)).astype(np.int64), minlength=(len(bounds) - 1) * BINS), 255).reshape(-1, BINS).astype(np.uint8)
+
+
+def read_histograms(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def may_be_similar(n: int, hist: np.ndarray, ns: np.ndarray, hists: np.ndarray, similarity: float) -> np.ndarray:
-    """False only where the edit distance is surely too large: surplus words on either side are edits."""
-    apart = hists.astype(np.int32) - hist.astype(np.int32)
-    surplus = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-    return surplus <= (1 - similarity) * np.maximum(ns, n) + 1e-9
+def coarse(hists: np.ndarray) -> np.ndarray:
+    return hists.reshape(-1, COARSE, BINS // COARSE).sum(axis=2, dtype=np.int16)
+
+
+def surplus(hist: np.ndarray, hists: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance: words that either side has too many are edits."""
+    apart = hists.astype(np.int16) - hist.astype(np.int16)
+    return np.maximum(np.maximum(apart, 0).sum(axis=1, dtype=np.int64), np.maximum(-apart, 0).sum(axis=1, dtype=np.int64))
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -222,11 +253,9 @@ def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for batch in chunks(batches, "text", CHUNK_BYTES):
             words = Words(as_bytes(batch.column(batch.schema.get_field_index("text"))))
             hashes = words.hashes()
-            keys = order_minhash(hashes, words.bounds)
             n = np.diff(words.bounds)
             hist = histograms(hashes, words.bounds)
-            short = short_keys(hashes, words.bounds, similarity)
-            lists = pa.array([np.append(k, short.get(i, k[:0])).view(np.int64) if n[i] else [] for i, k in enumerate(keys)], pa.list_(pa.int64()))
+            lists = pa.array([k.view(np.int64) for k in candidate_keys(hashes, words.bounds, similarity)], pa.list_(pa.int64()))
             own = [batch.column(batch.schema.get_field_index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int32)), pa.array([h.tobytes() for h in hist], pa.binary()), lists], [*others, "n", "hist", "keys"])
 
@@ -261,10 +290,8 @@ def close_enough(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ha, hb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32) for c in (3, 5))
                 n = np.maximum(batch.column(2).to_numpy(), batch.column(4).to_numpy())
-                surplus = np.maximum(np.maximum(ha - hb, 0).sum(axis=1), np.maximum(hb - ha, 0).sum(axis=1))
-                yield batch.select([0, 1]).filter(pa.array(surplus <= (1 - similarity) * n + 1e-9))
+                yield batch.select([0, 1]).filter(pa.array(surplus(read_histograms(batch.column(3)), read_histograms(batch.column(5))) <= (1 - similarity) * n + 1e-9))
 
     return edges.join(a, "a").join(b, "b").select("a", "b", "na", "ha", "nb", "hb").mapInArrow(run, "a long, b long")
 
@@ -273,16 +300,31 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     """Stored nodes (node, n, hist, keys) and roots (node, root) of the classes.  texts: node, text."""
     nodes = stored(sketches(texts, similarity).dropDuplicates(["node"]), "near-nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    groups = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = stored(bands.join(groups, "key"), "near-members")
-    # first every node with the least of its hubs, which joins most classes
-    first = stored(member.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "near-tried")
+    groups = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    grouped = stored(bands.join(groups, "key"), "near-grouped")
+    # the hub of a group is its most central node: the one that stands in the most and largest groups, such as the text
+    # that others are edits of
+    weight = grouped.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
+    weighed = grouped.join(weight, "node")
+    hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("order"), "node")).alias("hub"))
+    member = stored(weighed.join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.order").alias("hub_order")), "near-members")
+    # first every node with the most central of its hubs, which joins most classes
+    best = member.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min(F.struct("hub_order", "hub")).alias("best"))
+    first = stored(best.select(F.col("best.hub").alias("a"), "b"), "near-tried")
     found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
-    roots, tried = forest(found), first
-    # then a group is a row for each class in it: its hub is held against one node of each other class
-    for _ in range(2):
-        sides = member.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("hub").alias("a"), F.min("node").alias("b"))
-        now = stored(sides.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
+    roots, tried = forest(found), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # then groups that are in several classes: in each round, a class is a row of each such group and is held against one
+    # class beside it, in an order that changes with the round
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted(member).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    member = stored(member.join(several, "key"), "near-members")
+    for salt in range(ROUNDS):
+        sides = rooted(member).groupBy("key", "root").agg(F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("b"))
+        beside = F.lag("b").over(Window.partitionBy("key").orderBy(F.xxhash64("root", F.lit(salt)), "root"))
+        pairs = sides.withColumn("a", beside).where("a IS NOT NULL")
+        one = pairs.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.xxhash64("key", F.lit(salt))).alias("p"))
+        now = one.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        now = stored(now, "near-tried")
         if now.isEmpty():
             break
         tried = tried.unionByName(now)
@@ -290,8 +332,10 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         if more.isEmpty():
             break
         roots = merged(roots, more)
+        if more.count() * FEW_LINKS < now.count():
+            break
     # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
-    own = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = rooted(member)
     theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     failed = stored(own.join(theirs, "hub", "left").where("root <> coalesce(hub_root, hub)").select("key", "node"), "near-failed")
     n = failed.groupBy("key").agg(F.count("*").alias("n_failed"))
@@ -306,22 +350,36 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     def compare(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        hist = np.frombuffer(b"".join(group.column("hist").to_pylist()), np.uint16).reshape(-1, BINS)
+        hist = read_histograms(group.column("hist"))
+        rough = coarse(hist)
         root = group.column("root").to_numpy()
         rest = np.flatnonzero(~query)
         a, b = [], []
         for i in np.flatnonzero(query):
-            hit = rest[may_be_similar(n[i], hist[i], n[rest], hist[rest], similarity) & (root[rest] != root[i])]
+            most = (1 - similarity) * np.maximum(n[rest], n[i]) + 1e-9
+            fits = np.flatnonzero((np.abs(n[rest] - n[i]) <= most) & (root[rest] != root[i]))
+            for look in (rough, hist):
+                fits = fits[surplus(look[i], look[rest[fits]]) <= most[fits]]
+            hit = rest[fits]
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     rest = stored(both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        last = stored(aligned(texts, rest, similarity), "near-links")
-        if not last.isEmpty():
-            roots = merged(roots, last)
+    few = False
+    while not rest.isEmpty():
+        # one partner of each node at a time, as long as that joins many classes; then all that still lie in two
+        now = rest if few else stored(rest.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "near-tried")
+        more = stored(aligned(texts, now, similarity), "near-links")
+        if not more.isEmpty():
+            roots = merged(roots, more)
+        if few:
+            break
+        few = more.count() * FEW_LINKS < now.count()
+        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+        left = rest.join(now, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = stored(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "near-rest")
     return nodes, roots
 
 
