@@ -29,9 +29,27 @@ def _filled(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
+SIGNATURE = "struct<object_family:string,dominant_colors:array<string>,hole_layout:array<string>,material_appearance:array<string>,silhouette:array<string>,mounting_features:array<string>,distinctive_features:array<string>,hole_count:bigint>"
+_SEEN = ("dominant_colors", "hole_layout", "material_appearance", "silhouette", "mounting_features", "distinctive_features")
+_SOUGHT = ("dominant_colors", "silhouette", "mounting_features", "distinctive_features")
+
+
+def _fields(names: tuple[str, ...]) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.col("signature.object_family")), *(F.coalesce(F.col(f"signature.{c}"), none) for c in names))
+
+
+def signature_queries(most: int = 8) -> Column:
+    """What is searched for a visual signature: its family and the first of its features."""
+    return F.slice(F.filter(_fields(_SOUGHT), lambda x: F.coalesce(x, F.lit("")) != ""), 1, most)
+
+
 def pairs_v4(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query of a stated set beside every row, both parsed."""
-    asked = queries.withColumn("k", T.constraints_v4(F.col("message")))
+    """Every query of a stated set beside every row, both parsed.  queries may have a column signature (SIGNATURE)."""
+    if "signature" not in queries.columns:
+        queries = queries.withColumn("signature", F.lit(None).cast(SIGNATURE))
+    asked = queries.withColumns({"k": T.constraints_v4(F.col("message")), "seen4": F.filter(F.transform(_fields(_SEEN), T.norm_v4), lambda x: F.length(x) >= 3), "family4": T.norm_v4(F.col("signature.object_family"))})
+    asked = asked.withColumn("holes_asked4", F.when(F.col("signature.hole_count") >= 0, F.col("signature.hole_count")).otherwise(F.col("k.hole_count")))
     asked = asked.withColumn("asked4", F.transform("k.tokens", lambda t: F.struct(t.alias("t"), T.norm_v4(t).alias("n"))))
     own = rows.withColumns({"text4": T.row_text(False, T.norm_v4, *ROW), "code4": T.norm_v4(F.col("code")), "part4": T.norm_v4(F.col("part_id")), "side4": T.norm_v4(F.col("usage_side"))})
     shown = F.array_compact(F.array(*(F.when(_any(F.col("text4"), words), F.lit(name)) for name, words in T.COLORS_V4.items())))
@@ -49,8 +67,10 @@ def scored_v4(base: DataFrame) -> DataFrame:
 
     tokens = F.array_compact(F.transform("asked4", token))
     terms = F.filter(k["terms"], lambda t: F.contains(text, t))
-    asked = k["hole_count"] >= 0
-    holes = F.when(asked & F.array_contains(counts, k["hole_count"]), 1).when(asked & (F.size(counts) > 0), -1).when(asked, 0)
+    asked = F.col("holes_asked4") >= 0
+    seen = F.filter("seen4", lambda t: F.contains(text, t))
+    family = (F.col("family4") != "") & F.contains(text, F.col("family4"))
+    holes = F.when(asked & F.array_contains(counts, F.col("holes_asked4")), 1).when(asked & (F.size(counts) > 0), -1).when(asked, 0)
 
     def color(c: Column) -> Column:
         shown = F.col("shown4")
@@ -58,21 +78,23 @@ def scored_v4(base: DataFrame) -> DataFrame:
 
     colors = F.transform(k["colors"], color)
     side = F.when(k["side"] == "all", None).when((F.col("side4") == k["side"]) | (F.col("side4") == "both"), 1).when((F.col("side4") != "") & (F.col("side4") != "unknown"), -1).otherwise(0)
-    base = base.withColumns({"tokens4": tokens, "terms4": terms, "holes4": holes, "colors4": colors, "sideok4": side})
+    base = base.withColumns({"tokens4": tokens, "terms4": terms, "holes4": holes, "colors4": colors, "sideok4": side, "terms_seen4": seen, "family_seen4": family})
     v = F.col("colors4")
     tagged = lambda value, prefix: F.transform(F.filter(v, lambda x: x["v"] == value), lambda x: F.concat(F.lit(prefix), x["c"]))
     one = lambda cond, tag: F.when(cond, F.array(tag)).otherwise(F.array().cast("array<string>"))
-    number = k["hole_count"].cast("string")
+    number = F.col("holes_asked4").cast("string")
     score = (
         _sum(F.transform("tokens4", lambda x: x["p"]))
         + 12 * F.size("terms4")
+        + 10 * F.size("terms_seen4")
+        + F.when(F.col("family_seen4"), 22).otherwise(0)
         + F.when(F.col("holes4") == 1, 32).when(F.col("holes4") == -1, -28).otherwise(0)
         + 10 * _sum(F.transform(v, lambda x: x["v"]))
         + F.when(F.col("sideok4") == 1, 18).when(F.col("sideok4") == -1, -25).otherwise(0)
         + F.when(_filled("identifying_features"), 3).otherwise(0)
         + F.when(_filled("confusing_note"), 2).otherwise(0)
     )
-    matched = F.concat(F.transform("tokens4", lambda x: x["tag"]), F.transform("terms4", lambda t: F.concat(F.lit("metadata:"), t)), one(F.col("holes4") == 1, F.concat(number, F.lit(" holes"))), tagged(1, "color:"), one(F.col("sideok4") == 1, F.concat(F.lit("side:"), k["side"])))
+    matched = F.concat(F.transform("tokens4", lambda x: x["tag"]), F.transform("terms4", lambda t: F.concat(F.lit("metadata:"), t)), F.transform("terms_seen4", lambda t: F.concat(F.lit("visual-term:"), t)), one(F.col("holes4") == 1, F.concat(number, F.lit(" holes"))), tagged(1, "color:"), one(F.col("sideok4") == 1, F.concat(F.lit("side:"), k["side"])), one(F.col("family_seen4"), F.concat(F.lit("family:"), F.col("signature.object_family"))))
     unknown = F.concat(one(F.col("holes4") == 0, F.concat(F.lit("hole count "), number)), tagged(0, "color:"), one(F.col("sideok4") == 0, F.concat(F.lit("side:"), k["side"])))
     conflicts = F.concat(one(F.col("holes4") == -1, F.concat(F.lit("hole count metadata="), F.array_join(F.transform("counts4", lambda x: x.cast("string")), "/"), F.lit(" vs query="), number)), tagged(-1, "color conflict:"), one(F.col("sideok4") == -1, F.concat(F.lit("side:"), F.col("side4"))))
     return base.withColumns({"score": score, "matched": F.slice(F.array_distinct(matched), 1, 10), "unknown": F.slice(F.array_distinct(unknown), 1, 8), "conflicts": F.slice(F.array_distinct(conflicts), 1, 8)})

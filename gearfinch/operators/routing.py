@@ -164,3 +164,51 @@ def verified_order(candidates: DataFrame) -> DataFrame:
     """candidates with place: verified ones first, by verified score, the others by retrieval score, then by ordinal."""
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("verified"), F.when(F.col("verified").isNull(), -F.col("score")), "ordinal")
     return candidates.withColumn("place", F.row_number().over(w))
+
+
+def retrieved_v1(queries: DataFrame, rows: DataFrame, most: int = 5, each: int = 30) -> DataFrame:
+    """query_id, id: rows found by the token, the terms or the beginning of a message, the first `most` of these, `each` rows
+    for one, on the side that is asked for.  A message without any searches everything.  Queries are a stated set."""
+    v = T.intent_v1(F.col("message"))
+    texts = F.filter(F.concat(F.array_compact(F.array(v["token"])), v["terms"], F.array(F.trim(F.substring(F.coalesce("message", F.lit("")), 1, 120)))), lambda x: F.trim(x) != "")
+    first = F.slice(F.array_distinct(texts), 1, most)
+    asked = queries.select("query_id", v["side"].alias("side"), F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(""))).alias("needles"))
+    sought = asked.select("query_id", "side", F.posexplode("needles").alias("seq", "needle")).withColumn("needle", F.lower("needle"))
+    fields = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("needle")) for f in L.SEARCHED))
+    hits = rows.select("id", "ordinal", *L.SEARCHED).join(S.checked_broadcast(sought), fields & ((F.col("side") == "all") | (F.col("usage_side") == F.col("side"))))
+    w = Window.partitionBy("query_id", "seq").orderBy("ordinal")
+    return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("query_id", "id").distinct()
+
+
+def routed_texts_v1(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, mode (GREETING, EXACT, COUNT, RANKED) and n_rows (rows found) of text queries in the first flow."""
+    found = retrieved_v1(queries, rows)
+    asked = queries.withColumns({"v": T.intent_v1(F.col("message")), "greeting": T.is_greeting(F.col("message"))})
+    asked = asked.withColumn("token", T.norm_v1(F.col("v.token")))
+    keys = rows.select("id", T.norm_v1(F.col("code")).alias("code1"), T.norm_v1(F.col("part_id")).alias("part1"))
+    same = (F.col("token") != "") & ((F.col("code1") == F.col("token")) | (F.col("part1") == F.col("token")))
+    per = found.join(asked.select("query_id", "token"), "query_id").join(keys, "id").groupBy("query_id").agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_exact"))
+    state = asked.join(per, "query_id", "left").na.fill(0, ["n_rows", "n_exact"])
+    exact = ~F.coalesce("v.complex", F.lit(False)) & (F.col("v.action") != "count") & (F.col("n_exact") > 0)
+    mode = F.when(F.col("greeting"), "GREETING").when(exact, "EXACT").when(F.col("v.action") == "count", "COUNT").otherwise("RANKED")
+    return state.select("query_id", mode.alias("mode"), "n_rows")
+
+
+REQUEST = "struct<query_id:string,message:string,image_data_url:string,query_embedding:array<double>,query_embeddings:array<struct<probe_id:string,embedding:array<double>,embedding_profile:string>>,embedding_profile:string,filters:struct<usage_side:string,view_mode:string>>"
+
+
+def checked_queries(requests: DataFrame, dim: int, most_image: int = 4_000_000, most_probes: int = 3) -> DataFrame:
+    """requests (body: JSON) with reject_reason (empty, image_too_large, embedding) and the query: id (null where one is to
+    be made), message, probes (three at most, named), side and view.  Text that is no JSON object is an empty request."""
+    r = F.from_json("body", REQUEST)
+    read = requests.withColumn("r", r).withColumn("message", F.trim(F.coalesce("r.message", F.lit(""))))
+    probes = F.slice(F.coalesce("r.query_embeddings", F.array().cast("array<struct<probe_id:string,embedding:array<double>,embedding_profile:string>>")), 1, most_probes)
+    read = read.withColumns({"given": probes, "image": F.coalesce("r.image_data_url", F.lit(""))})
+    broken = lambda v: F.coalesce((F.size(v) != dim) | F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
+    empty = (F.col("message") == "") & (F.col("image") == "") & F.col("r.query_embedding").isNull() & (F.size("given") == 0)
+    bad = (F.col("r.query_embedding").isNotNull() & broken(F.col("r.query_embedding"))) | F.exists("given", lambda p: broken(p["embedding"]))
+    reason = F.when(empty, "empty").when(F.length("image") > most_image, "image_too_large").when(bad, "embedding")
+    named = F.transform("given", lambda p, i: F.substring(F.coalesce(F.when(p["probe_id"] != "", p["probe_id"]), F.concat(F.lit("probe_"), (i + 1).cast("string"))), 1, 40))
+    own_id = F.when(F.coalesce("r.query_id", F.lit("")).rlike("^[A-Za-z0-9_-]{8,128}$"), F.col("r.query_id"))
+    every = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("all"))
+    return read.withColumns({"reject_reason": reason, "query_id": own_id, "probes": named, "usage_side": every("r.filters.usage_side"), "view_mode": every("r.filters.view_mode")}).drop("r", "given", "image")

@@ -12,7 +12,7 @@ from ..operators import routing as Q
 from ..operators import scoring as S
 from ..sources import fixtures as X
 from . import duck as D
-from .catalogue_queries import _ANCHORS, _POOL, _STRICT, _hybrid, query
+from .catalogue_queries import _ANCHORS, _POOL, _STRICT, ORACLE, _hybrid, query
 from .legacy_queries import F7, L as V4, _pairs, _V1P
 from .rerank_queries import RANKINGS, _tables
 
@@ -195,3 +195,82 @@ fl AS (SELECT query_id, count(*) FILTER (WHERE initial) ni, count(*) FILTER (WHE
 def d7_routed_texts_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode of each text query in the earlier flow, where no model is at hand."""
     return V4.routed_texts_v4(X.messages(spark), X.catalogue(spark, sf_dir))
+
+
+@query(f"""WITH {_V1P}, w0 AS (SELECT query_id, side, list_filter(list_concat(token, list_filter(terms, lambda x: true), [trim(left(message, 120))]), lambda x: trim(x) <> '') l FROM i1),
+w1 AS (SELECT query_id, side, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:5] l FROM w0), w2 AS (SELECT query_id, side, CASE WHEN len(l) > 0 THEN l ELSE [''] END l FROM w1), w3 AS (SELECT query_id, side, unnest(l) needle, unnest(range(0, len(l))) seq FROM w2),
+hit AS (SELECT query_id, seq, id FROM w3 JOIN cat ON (contains(lower(code), lower(needle)) OR contains(lower(coalesce(part_id, '')), lower(needle)) OR contains(lower(coalesce(identifying_features, '')), lower(needle)) OR contains(lower(coalesce(usage_side, '')), lower(needle)) OR contains(lower(coalesce(view_mode, '')), lower(needle))) AND (side = 'all' OR usage_side = side)
+  QUALIFY row_number() OVER (PARTITION BY query_id, seq ORDER BY ordinal) <= 30) SELECT DISTINCT query_id, id FROM hit""")
+def u3_v1_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.retrieved_v1(X.messages(spark), X.catalogue(spark, sf_dir))
+
+
+_U3 = ORACLE["u3_v1_retrieval"].replace(" SELECT DISTINCT query_id, id FROM hit", "")
+
+
+@query(f"""{_U3}, f AS (SELECT DISTINCT query_id, id FROM hit), n AS (SELECT query_id, count(*) n_rows, count(*) FILTER (WHERE ex <> '' AND (c1 = ex OR p1 = ex)) ne FROM f JOIN p USING (query_id, id) GROUP BY query_id)
+SELECT i1.query_id, CASE WHEN regexp_matches({D.norm_v1('message')}, '^(hello|hi|hey|xin chao|chao|chao em|hello em|alo|good (morning|afternoon|evening))( (em|denis|anh|ban))?$') THEN 'GREETING'
+  WHEN NOT (length(message) > 120 OR act = 'compare' OR regexp_matches(i1.n, '\\b(?:tai sao|giai thich|phan tich|de xuat|thong ke)\\b')) AND act <> 'count' AND coalesce(ne, 0) > 0 THEN 'EXACT' WHEN act = 'count' THEN 'COUNT' ELSE 'RANKED' END "mode", coalesce(n_rows, 0) n_rows FROM i1 LEFT JOIN n ON n.query_id = i1.query_id""")
+def d8_routed_texts_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.routed_texts_v1(X.messages(spark), X.catalogue(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 9 k, CAST(embedding AS DOUBLE[]) v FROM embeddings)
+SELECT vec_id, CASE WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'image_too_large' WHEN k IN (2, 3, 4) THEN 'embedding' END reject_reason, CASE WHEN vec_id % 2 = 0 THEN 'query_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') END query_id,
+CASE WHEN k = 5 THEN 'probe_1|' || repeat('x', 40) || '|probe_3' WHEN k = 4 THEN 'probe_1' ELSE '' END probes, CASE WHEN k = 6 THEN 'left' ELSE 'all' END usage_side, 'all' view_mode, CASE WHEN k IN (6, 7) THEN 'red gear' ELSE '' END message FROM e""")
+def s7_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as JSON: empty ones, images too large, vectors of a wrong size or with gaps, and good ones."""
+    e, v = X.table(spark, sf_dir, "embeddings"), F.col("embedding").cast("array<double>")
+    k = F.col("vec_id") % 9
+    probe = lambda name, x: F.struct(F.lit(name).cast("string").alias("probe_id"), x.alias("embedding"))
+    fields = {
+        "query_id": F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("query_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))).otherwise(F.lit("no id!")),
+        "message": F.when(k.isin(6, 7), "  red gear ").when(k == 0, "  "),
+        "image_data_url": F.when(k == 1, F.repeat(F.lit("A"), 101)).when(k == 8, "data:x"),
+        "query_embedding": F.when(k == 2, F.slice(v, 1, 63)).when(k == 3, F.concat(F.slice(v, 1, 63), F.array(F.lit(None).cast("double")))),
+        "query_embeddings": F.when(k == 5, F.array(probe(None, v), probe("x" * 50, v), probe("", v), probe("fourth", v))).when(k == 4, F.array(probe(None, F.slice(v, 1, 10)))),
+        "filters": F.when(k == 6, F.struct(F.lit("left").alias("usage_side"), F.lit("").alias("view_mode"))),
+    }
+    requests = e.select("vec_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}).alias("body"))
+    checked = Q.checked_queries(requests, 64, most_image=100)
+    return checked.select("vec_id", "reject_reason", "query_id", F.array_join("probes", "|").alias("probes"), "usage_side", "view_mode", "message")
+
+
+#: Signatures as a vision model might give them, one for each of three messages.
+SIGNATURES = (("m02", "gear", ["xám"], ["4 lỗ"], ["go"], ["round"], 4), ("m03", "Widget!", ["red", "black"], [], ["oval"], ["left", "steel"], -1), ("m05", "", None, None, ["square"], None, 2))
+
+
+def _signed(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(SIGNATURES, "query_id string, f string, c array<string>, h array<string>, s array<string>, d array<string>, n long")
+    none = F.lit(None).cast("array<string>")
+    signature = F.struct(F.col("f").alias("object_family"), F.col("c").alias("dominant_colors"), F.col("h").alias("hole_layout"), none.alias("material_appearance"), F.col("s").alias("silhouette"), none.alias("mounting_features"), F.col("d").alias("distinctive_features"), F.col("n").alias("hole_count"))
+    return X.messages(spark).join(rows, "query_id").select("query_id", "message", signature.cast(V4.SIGNATURE).alias("signature"))
+
+
+@query("""WITH s AS (SELECT p_partkey, list_filter(list_concat([CASE WHEN p_partkey % 4 <> 0 THEN p_brand END], [p_mfgr, ''], string_split(p_name, ' '), CASE WHEN p_partkey % 3 = 0 THEN [] ELSE string_split(p_type, ' ') END, [p_container]), lambda x: coalesce(x, '') <> '')[1:8] l FROM part)
+SELECT p_partkey, array_to_string(l, '|') queries FROM s""")
+def t8_signature_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's fields as a visual signature: some without a family, some without mounting features."""
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("array<string>")
+    signature = F.struct(F.when(k % 4 != 0, F.col("p_brand")).alias("object_family"), F.array("p_mfgr", F.lit("")).alias("dominant_colors"), none.alias("hole_layout"), none.alias("material_appearance"), F.split("p_name", " ").alias("silhouette"), F.when(k % 3 != 0, F.split("p_type", " ")).alias("mounting_features"), F.array("p_container").alias("distinctive_features"), F.lit(-1).cast("long").alias("hole_count"))
+    return X.table(spark, sf_dir, "part").select("p_partkey", signature.cast(V4.SIGNATURE).alias("signature")).select("p_partkey", F.array_join(V4.signature_queries(), "|").alias("queries"))
+
+
+_SIGNED = f"""{F7}, sg AS (SELECT * FROM (VALUES ('m02', ['gear', 'xam', '4 lo', 'round'], 'gear', 'gear', 4), ('m03', ['widget', 'red', 'black', 'oval', 'left', 'steel'], 'widget', 'Widget!', -1), ('m05', ['square'], '', '', 2)) t(query_id, seen, family, family_as_is, n)),
+g0 AS (SELECT p1.*, CASE WHEN sg.n >= 0 THEN sg.n ELSE hole_count END asked, list_filter(seen, lambda x: contains(text4, x)) vt, family <> '' AND contains(text4, family) fam, family_as_is FROM p1 JOIN sg USING (query_id)),
+g1 AS (SELECT *, CASE WHEN asked < 0 THEN NULL WHEN list_contains(counts, asked) THEN 1 WHEN len(counts) > 0 THEN -1 ELSE 0 END hv FROM g0),
+g2 AS (SELECT *, coalesce(list_sum(list_transform(tk, lambda s: s.p)), 0) + 12 * len(tm) + 10 * len(vt) + CASE WHEN fam THEN 22 ELSE 0 END + CASE hv WHEN 1 THEN 32 WHEN -1 THEN -28 ELSE 0 END + 10 * coalesce(list_sum(list_transform(cv, lambda s: s.v)), 0) + CASE sv WHEN 1 THEN 18 WHEN -1 THEN -25 ELSE 0 END
+  + CASE WHEN trim(coalesce(identifying_features, '')) <> '' THEN 3 ELSE 0 END + CASE WHEN trim(coalesce(confusing_note, '')) <> '' THEN 2 ELSE 0 END score,
+  list_concat(list_transform(tk, lambda s: s.tag), list_transform(tm, lambda x: 'metadata:' || x), list_transform(vt, lambda x: 'visual-term:' || x), CASE WHEN hv = 1 THEN [asked || ' holes'] ELSE [] END, list_transform(list_filter(cv, lambda s: s.v = 1), lambda s: 'color:' || s.c), CASE WHEN sv = 1 THEN ['side:' || side] ELSE [] END, CASE WHEN fam THEN ['family:' || family_as_is] ELSE [] END) m FROM g1)"""
+
+
+@query(f"WITH {_SIGNED} SELECT query_id, id, CAST(score AS BIGINT) score, array_to_string((list_filter(m, lambda x, i: list_position(m, x) = i))[1:10], '|') matched FROM g2")
+def f7_scores_with_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = V4.scored_v4(V4.pairs_v4(_signed(spark), X.catalogue(spark, sf_dir)))
+    return scored.select("query_id", "id", F.col("score").cast("long").alias("score"), F.array_join("matched", "|").alias("matched"))
+
+
+@query(f"WITH {F7} SELECT query_id, id, CAST(score AS BIGINT) score FROM v4 WHERE score > 0")
+def p6_positive_scores_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V4.scored_v4(_pairs(spark, sf_dir, V4.pairs_v4)).where("score > 0").select("query_id", "id", F.col("score").cast("long").alias("score"))
