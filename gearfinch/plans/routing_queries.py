@@ -247,13 +247,13 @@ def _signed(spark: SparkSession) -> DataFrame:
     return X.messages(spark).join(rows, "query_id").select("query_id", "message", signature.cast(V4.SIGNATURE).alias("signature"))
 
 
-@query("""WITH s AS (SELECT p_partkey, list_filter(list_concat([CASE WHEN p_partkey % 4 <> 0 THEN p_brand END], [p_mfgr, ''], string_split(p_name, ' '), CASE WHEN p_partkey % 3 = 0 THEN [] ELSE string_split(p_type, ' ') END, [p_container]), lambda x: coalesce(x, '') <> '')[1:8] l FROM part)
+@query("""WITH s AS (SELECT p_partkey, list_filter(list_concat([CASE WHEN p_partkey % 4 <> 0 THEN p_brand END], ['size ' || p_size, ''], string_split(p_name, ' '), CASE WHEN p_partkey % 3 = 0 THEN [] ELSE string_split(p_type, ' ') END, ['last']), lambda x: coalesce(x, '') <> '')[1:8] l FROM part)
 SELECT p_partkey, array_to_string(l, '|') queries FROM s""")
 def t8_signature_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's fields as a visual signature: some without a family, some without mounting features."""
     k = F.col("p_partkey")
     none = F.lit(None).cast("array<string>")
-    signature = F.struct(F.when(k % 4 != 0, F.col("p_brand")).alias("object_family"), F.array("p_mfgr", F.lit("")).alias("dominant_colors"), none.alias("hole_layout"), none.alias("material_appearance"), F.split("p_name", " ").alias("silhouette"), F.when(k % 3 != 0, F.split("p_type", " ")).alias("mounting_features"), F.array("p_container").alias("distinctive_features"), F.lit(-1).cast("long").alias("hole_count"))
+    signature = F.struct(F.when(k % 4 != 0, F.col("p_brand")).alias("object_family"), F.array(F.concat(F.lit("size "), F.col("p_size").cast("string")), F.lit("")).alias("dominant_colors"), none.alias("hole_layout"), none.alias("material_appearance"), F.split("p_name", " ").alias("silhouette"), F.when(k % 3 != 0, F.split("p_type", " ")).alias("mounting_features"), F.array(F.lit("last")).alias("distinctive_features"), F.lit(-1).cast("long").alias("hole_count"))
     return X.table(spark, sf_dir, "part").select("p_partkey", signature.cast(V4.SIGNATURE).alias("signature")).select("p_partkey", F.array_join(V4.signature_queries(), "|").alias("queries"))
 
 
