@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,35 +21,43 @@ class IntegrityError(RuntimeError):
 
 
 class VectorTable:
-    """A vector table as versioned folders: a write makes a new version and then moves the pointer, so a batch that
-    runs twice, or dies half way, changes nothing that readers see.  The pointer file is a one-row table."""
+    """A vector table in buckets of its key.  A write makes new versions of the buckets that it touches, and no others, in
+    a folder of its own, and then adds one row to the log that says which buckets lie there.  So a batch that runs twice,
+    or dies half way, changes nothing that readers see, and costs what it touches."""
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path, key
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
 
-    def version(self) -> str | None:
+    def versions(self) -> dict[int, str]:
+        """The folder of each bucket that was ever written: at most `buckets` entries."""
         from pyspark.errors import AnalysisException
 
         try:
-            rows = self.spark.read.json(f"{self.path}/pointer").orderBy("seq", ascending=False).limit(1).collect()
+            log = self.spark.read.schema("seq long, version string, buckets array<int>").json(f"{self.path}/log")
+            rows = log.select("seq", "version", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("seq", "version")).alias("last")).collect()
         except AnalysisException:
-            return None
-        return rows[0]["version"] if rows else None
+            return {}
+        return {r["bucket"]: r["last"]["version"] for r in rows}
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets."""
+        paths = [f"{self.path}/{v}/bucket={b}" for b, v in self.versions().items() if only is None or b in only]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def merge(self, new: DataFrame, seq: int) -> None:
-        old = self.read()
-        old = new.limit(0) if old is None else old
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        old = self.read(touched)
         name = f"v{seq:012d}-{uuid.uuid4().hex[:8]}"
-        L.upserted(old, new, self.key).write.parquet(f"{self.path}/{name}")
+        merged = L.upserted(new.limit(0) if old is None else old, new, self.key).withColumn("bucket", bucket)
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         expected = new.select(*self.key).distinct()
         written = self.spark.read.parquet(f"{self.path}/{name}").join(expected, self.key, "left_semi").count()
         if written != expected.count():
             raise IntegrityError(f"batch {seq}: {written} keys written")
-        self.spark.createDataFrame([(seq, name)], "seq long, version string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+        self.spark.createDataFrame([(seq, name, touched)], "seq long, version string, buckets array<int>").coalesce(1).write.mode("append").json(f"{self.path}/log")
 
 
 def upsert_stream(source: DataFrame, target: VectorTable, checkpoint: str) -> StreamingQuery:

@@ -1,5 +1,6 @@
 """Streams end in the state of the batch."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gearfinch.operators import vectors as V
@@ -22,6 +23,30 @@ def test_upsert_stream_is_idempotent(spark, small, tmp_path):
     assert target.read().count() == 90 and target.read().where("quality_score = 9.0").count() == 90
 
 
+def test_a_write_touches_its_buckets_only(spark, small, tmp_path):
+    rows = X.image_vectors(spark, small).where("id < 200")
+    target = U.VectorTable(spark, f"{tmp_path}/table", KEY, 16)
+    target.merge(rows, 1)
+    before = target.versions()
+    one = rows.where("id = 5").withColumn("quality_score", F.lit(7.0))
+    target.merge(one, 2)
+    after = target.versions()
+    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
+    target.merge(one.limit(0), 3)
+    assert target.versions() == after
+    assert target.read().count() == 200 and [r["id"] for r in target.read().where("quality_score = 7.0").collect()] == [5]
+
+
+def test_a_failed_write_changes_nothing(spark, small, tmp_path, monkeypatch):
+    rows = X.image_vectors(spark, small).where("id < 50")
+    target = U.VectorTable(spark, f"{tmp_path}/table", KEY, 4)
+    target.merge(rows.where("id < 20"), 1)
+    monkeypatch.setattr(U.L, "upserted", lambda old, new, key: old.unionByName(new).where("id <> 30"))
+    with pytest.raises(U.IntegrityError):
+        target.merge(rows.where("id >= 20"), 2)
+    assert target.read().count() == 20
+
+
 def test_retry_stream(spark, tmp_path):
     attempts = [(1, 1, False), (1, 2, False), (2, 1, False), (2, 2, True)] + [(3, i, False) for i in range(4)]
     spark.createDataFrame(attempts, "job long, seq long, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
