@@ -135,11 +135,13 @@ def applied_changes(changes: DataFrame, key: str, version: list[str]) -> DataFra
     return changes.withColumn("__n", F.row_number().over(w)).where("__n = 1 AND op = 'upsert'").drop("__n")
 
 
-def reindex_report(assets: DataFrame, vectors: DataFrame) -> DataFrame:
-    there = vectors.select(F.col("record_id").alias("v_id")).distinct()
+def reindex_report(assets: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """assets with status: ok, no path, no vector, or only vectors that break the contract."""
+    broken = V.contract_error(F.col("embedding"), dim).isNotNull()
+    there = vectors.groupBy(F.col("record_id").alias("v_id")).agg(F.min(broken).alias("v_broken"))
     path = F.regexp_replace(F.coalesce("image_path", F.lit("")), "^/+", "")
     joined = assets.join(there, F.col("record_id") == F.col("v_id"), "left")
-    return joined.withColumn("status", F.when(path == "", "missing_image_path").when(F.col("v_id").isNull(), "image_unavailable").otherwise("ok"))
+    return joined.withColumn("status", F.when(path == "", "missing_image_path").when(F.col("v_id").isNull(), "image_unavailable").when(F.col("v_broken"), "encode_error").otherwise("ok"))
 
 
 def data_urls(asked: DataFrame, objects: DataFrame, most_bytes: int) -> DataFrame:

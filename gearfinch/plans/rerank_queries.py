@@ -50,14 +50,17 @@ def d2_second_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.second_gate(_tables(spark, sf_dir)[0])
 
 
-@query(f"WITH {RANKINGS}, f AS (SELECT r.query_id, candidate_id, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, seq) place FROM (SELECT r.* FROM rankings r SEMI JOIN pool p ON p.query_id = r.query_id AND p.id = r.candidate_id QUALIFY row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY seq) = 1) r), t AS (SELECT c.query_id, min(place) place FROM counts c LEFT JOIN f ON f.query_id = c.query_id AND f.candidate_id = c.truth GROUP BY c.query_id) SELECT count(*) queries, round(avg(CAST(coalesce(place <= 1, false) AS INT)), 6) top1, round(avg(CAST(coalesce(place <= 5, false) AS INT)), 6) top5 FROM t")
+@query(f"WITH {RANKINGS}, f AS (SELECT r.query_id, candidate_id, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, seq) place FROM (SELECT r.* FROM rankings r SEMI JOIN pool p ON p.query_id = r.query_id AND p.id = r.candidate_id QUALIFY row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY seq) = 1) r), t AS (SELECT c.query_id, min(place) place FROM counts c LEFT JOIN f ON f.query_id = c.query_id AND f.candidate_id = c.truth GROUP BY c.query_id), g AS (SELECT query_id, list_sort(list(score), 'DESC') b, coalesce(bool_or(ambiguous), false) a FROM rankings GROUP BY query_id), h AS (SELECT query_id, a OR (len(b) >= 2 AND round(b[1] - b[2], 6) < 0.05) abstained FROM g), u AS (SELECT t.*, coalesce(abstained, false) abstained FROM t LEFT JOIN h USING (query_id)) SELECT count(*) queries, round(avg(CAST(coalesce(place <= 1, false) AS INT)), 6) top1, round(avg(CAST(coalesce(place <= 5, false) AS INT)), 6) top5, round(avg(CAST(abstained AS INT)), 6) ambiguity_rate, round(avg(CAST(NOT coalesce(place <= 1, false) AS INT)) FILTER (WHERE abstained), 6) abstain_quality FROM u")
 def e2_rerank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the first and of the five best, share of queries left to a judge, and how many of those were wrong."""
     rankings, pool = _tables(spark, sf_dir)
     ranks = K.reranked(rankings, pool, 1 << 30).select("query_id", F.col("candidate_id").alias("truth"), "place")
     truth = X.probes(spark, sf_dir).select("query_id", "truth").distinct()
-    per = truth.join(ranks, ["query_id", "truth"], "left")
+    gate = K.second_gate(rankings).select("query_id", F.col("needs_judge").alias("abstained"))
+    per = truth.join(ranks, ["query_id", "truth"], "left").join(gate, "query_id", "left").na.fill(False, ["abstained"])
     share = lambda k: F.round(F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("int")), 6)
-    return per.agg(F.count("*").alias("queries"), share(1).alias("top1"), share(5).alias("top5"))
+    wrong = (~F.coalesce(F.col("place") <= 1, F.lit(False))).cast("int")
+    return per.agg(F.count("*").alias("queries"), share(1).alias("top1"), share(5).alias("top5"), F.round(F.avg(F.col("abstained").cast("int")), 6).alias("ambiguity_rate"), F.round(F.avg(F.when(F.col("abstained"), wrong)), 6).alias("abstain_quality"))
 
 
 @query(f"""WITH {D.HYBRID}{_POOL}, d AS (SELECT query_id, id, CASE WHEN CAST(query_id[2:] AS BIGINT) // 10 % 3 <> 1 OR pool_rank <> 2 THEN code END code FROM pool WHERE pool_rank <= 5 OR (pool_rank = 6 AND CAST(query_id[2:] AS BIGINT) // 10 % 3 = 0))
