@@ -46,8 +46,8 @@ SHORT, EDITS = 14, 2
 ROUNDS = 6
 #: A round of which fewer than one in so many pairs are links is the last.
 FEW_LINKS = 10
-#: Bins of word histograms, and those of a first, coarser look.
-BINS, COARSE = 1024, 64
+#: Bins of word histograms, and those of coarser looks before.
+BINS, COARSE = 4096, (64, 512)
 BLOCK = 4096
 
 
@@ -143,21 +143,22 @@ def short_keys(hashes: np.ndarray, bounds: np.ndarray, similarity: float) -> dic
 
 def histograms(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.minimum(np.bincount(text * BINS + (hashes >> np.uint64(54)).astype(np.int64), minlength=(len(bounds) - 1) * BINS), 255).reshape(-1, BINS).astype(np.uint8)
+    return np.minimum(np.bincount(text * BINS + (hashes >> np.uint64(52)).astype(np.int64), minlength=(len(bounds) - 1) * BINS), 255).reshape(-1, BINS).astype(np.uint8)
 
 
 def read_histograms(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def coarse(hists: np.ndarray) -> np.ndarray:
-    return hists.reshape(-1, COARSE, BINS // COARSE).sum(axis=2, dtype=np.int16)
+def coarse(hists: np.ndarray, bins: int) -> np.ndarray:
+    return np.minimum(hists.reshape(-1, bins, BINS // bins).sum(axis=2, dtype=np.uint16), 255).astype(np.uint8)
 
 
 def surplus(hist: np.ndarray, hists: np.ndarray) -> np.ndarray:
     """A lower bound of the edit distance: words that either side has too many are edits."""
-    apart = hists.astype(np.int16) - hist.astype(np.int16)
-    return np.maximum(np.maximum(apart, 0).sum(axis=1, dtype=np.int64), np.maximum(-apart, 0).sum(axis=1, dtype=np.int64))
+    less = np.minimum(hists, hist)  # what both have
+    both = less.sum(axis=-1, dtype=np.int64)
+    return np.maximum(hists.sum(axis=-1, dtype=np.int64), hist.sum(axis=-1, dtype=np.int64)) - both
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -351,35 +352,34 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         query = group.column("query").to_numpy()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         hist = read_histograms(group.column("hist"))
-        rough = coarse(hist)
+        looks = [*(coarse(hist, bins) for bins in COARSE), hist]
         root = group.column("root").to_numpy()
         rest = np.flatnonzero(~query)
         a, b = [], []
         for i in np.flatnonzero(query):
             most = (1 - similarity) * np.maximum(n[rest], n[i]) + 1e-9
             fits = np.flatnonzero((np.abs(n[rest] - n[i]) <= most) & (root[rest] != root[i]))
-            for look in (rough, hist):
-                fits = fits[surplus(look[i], look[rest[fits]]) <= most[fits]]
+            for look in looks:
+                parts = [fits[c : c + 512] for c in range(0, len(fits), 512)]
+                fits = np.concatenate([part[surplus(look[i], look[rest[part]]) <= most[part]] for part in parts] or [fits])
             hit = rest[fits]
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    rest = stored(both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
-    few = False
-    while not rest.isEmpty():
-        # one partner of each node at a time, as long as that joins many classes; then all that still lie in two
-        now = rest if few else stored(rest.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "near-tried")
-        more = stored(aligned(texts, now, similarity), "near-links")
-        if not more.isEmpty():
-            roots = merged(roots, more)
-        if few:
-            break
-        few = more.count() * FEW_LINKS < now.count()
+    rest = both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
+    rest = stored(rest.withColumn("nth", nth), "near-rest")
+    # one partner of each node first; then all that still lie in two classes
+    for now in ("nth = 1", "nth > 1"):
         ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-        left = rest.join(now, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        rest = stored(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "near-rest")
+        apart = rest.where(now).join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+        pairs = stored(apart.select("a", "b"), "near-tried")
+        if not pairs.isEmpty():
+            more = stored(aligned(texts, pairs, similarity), "near-links")
+            if not more.isEmpty():
+                roots = merged(roots, more)
     return nodes, roots
 
 

@@ -80,6 +80,8 @@ def shared_anchors(docs: DataFrame, units, n_buckets: int) -> DataFrame:
         for serial, batch in enumerate(chunks(batches, "text", CHUNK_BYTES)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             u = units(as_bytes(batch.column(1)))
+            if not len(u.anchor):
+                continue
             first = first_of_runs(u.anchor, u.text)
             anchor, doc = u.anchor[first], ids[u.text[first]]
             order = np.lexsort((doc, anchor))

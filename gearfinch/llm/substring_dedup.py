@@ -1,12 +1,13 @@
 """Substring dedup by seed and extend, on words.
 
-Documents are joined on winnowed anchors (`repeats`).  Around each shared anchor a document keeps the windows of
-`reach` words to both sides; inside the anchor's bucket equal windows find their least document, and neighbouring
-windows with neighbouring sources are chained into maximal repeats over the length threshold.  No pairs of documents
-are made: an anchor of n documents costs n rows at most, and copies within a chunk send one.
+Documents are joined on winnowed anchors (`repeats`).  Matches are extended both ways from each shared anchor by the
+128-bit digests of all windows of `reach` words around it: inside the anchor's bucket equal windows find their least
+document, and neighbouring windows with neighbouring sources are chained into maximal repeats over the length threshold.
+No pairs of documents are made: an anchor of n documents costs n rows at most, and copies within a chunk send one.
 
 Null and empty texts have no words.  Documents without an id are neither compared nor changed.  Rows of one id never
-remove each other's words, but each is judged by its own text.  A text of any length is handled whole.  Words are compared by 64-bit digests.
+remove each other's words, but each is judged by its own text.  A text of any length is handled whole.  Words
+are compared by digests.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .texts import Words, as_bytes, chunks, keyed, ranges, rolling, spans_of, table, with_ids
+from .texts import Words, as_bytes, chunks, keyed, mix, ranges, rolling, spans_of, table, with_ids
 
 REACH, SEED = 50, 20
 BUCKET_BYTES = 16 << 20
@@ -44,10 +45,10 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED, bits: i
             units = R.words_units(hashes, words.bounds, seed, reach)
             keep = R.candidate(units, batch.column(2).to_pylist())
             at, text, anchor = units.at[keep], units.text[keep], units.anchor[keep]
-            window = rolling(hashes, reach)[at] if len(at) else np.zeros(0, np.uint64)
+            window = _digests(hashes, reach, at)
             doc, at = batch.column(0).to_numpy()[text], at - words.bounds[text]
-            order = np.lexsort((at, doc, window))
-            first = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]])) if len(order) else order
+            order = np.lexsort((at, doc, window[:, 1], window[:, 0]))
+            first = R.first_of_runs(window[order, 0], window[order, 1])
             least = np.repeat(order[first], np.diff(np.append(first, len(order))))
             later = doc[order] >> bits != doc[least] >> bits
             again, source = order[later], least[later]
@@ -61,9 +62,9 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED, bits: i
         if group.column("bucket")[0].as_py() >= n:
             source, source_at, lengths = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("sources", "source_starts", "lengths"))
             return R.run_rows(n, doc, at, np.repeat(source, lengths), ranges(source_at, lengths))
-        order = np.lexsort((at, doc, window))
+        order = np.lexsort((at, doc, window[:, 1], window[:, 0]))
         doc, at, window = doc[order], at[order], window[order]
-        first = R.first_of_runs(window)
+        first = R.first_of_runs(window[:, 0], window[:, 1])
         least = np.repeat(first, np.diff(np.append(first, len(window))))
         later = doc >> bits != doc[least] >> bits
         return R.run_rows(n, doc[later], at[later], doc[least[later]], at[least[later]])
@@ -73,6 +74,13 @@ def repeated_runs(docs: DataFrame, reach: int = REACH, seed: int = SEED, bits: i
     return R.by_doc(found.groupBy("bucket").applyInArrow(earliest, R._RUNS))
 
 
+def _digests(hashes: np.ndarray, reach: int, at: np.ndarray) -> np.ndarray:
+    """Two digests of the `reach` words from each place on, of 64 bits each: equal windows are told by both."""
+    if not len(at):
+        return np.zeros((0, 2), np.uint64)
+    return np.stack([rolling(hashes, reach)[at], rolling(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), reach)[at]], axis=1)
+
+
 def _blocks(bucket, doc, at, window, source, source_at) -> Iterator[pa.RecordBatch]:
     """Windows in runs of consecutive ones, a row for each bucket."""
     if not len(doc):
@@ -104,7 +112,7 @@ def _blocks(bucket, doc, at, window, source, source_at) -> Iterator[pa.RecordBat
 
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc, at, lengths = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("docs", "starts", "lengths"))
-    return np.repeat(doc, lengths), ranges(at, lengths), np.frombuffer(b"".join(group.column("windows").to_pylist()), np.uint64)
+    return np.repeat(doc, lengths), ranges(at, lengths), np.frombuffer(b"".join(group.column("windows").to_pylist()), np.uint64).reshape(-1, 2)
 
 
 def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

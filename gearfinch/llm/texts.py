@@ -196,7 +196,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     of low bits in which keys of one id differ.
 
     A key stands for an id and a text, in the order of ids, and is null for a null id.  Where no id is repeated it is
-    the id itself and there are 0 such bits.  Else ids are numbered in their order and the texts of an id by digest."""
+    the id itself and there are 0 such bits; so it is where only whole rows are repeated.  Else ids are numbered in their order and the texts of an id by digest."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -207,11 +207,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     own = rows.where("key IS NOT NULL").select("key", digest.alias("digest")).distinct()
     own = stored(own.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1), "row-keys")
+    bits = int(own.agg(F.max("nth")).first()[0]).bit_length()
+    if not bits:  # whole rows are repeated, but no id has two texts
+        return rows, 0
     ids = own.select("key").distinct().repartitionByRange(partitions(spark), "key").sortWithinPartitions("key")
     place = F.monotonically_increasing_id()
     ids = stored(ids.withColumn("part", F.shiftright(place, 33)).withColumn("at", place.bitwiseAND((1 << 33) - 1)), "row-ids")
     most = ids.agg(F.max("at")).first()[0] + 1
-    bits = int(own.agg(F.max("nth")).first()[0]).bit_length()
     number = own.join(ids, "key").select("key", "digest", F.shiftleft(F.col("part") * most + F.col("at"), bits).bitwiseOR(F.col("nth").cast("long")).alias("number"))
     joined = rows.withColumn("digest", digest).join(stored(number, "row-numbers"), ["key", "digest"], "left")
     return joined.select(F.col("number").alias("key"), "text", "row"), bits

@@ -86,8 +86,9 @@ def test_repeated_rows_null_ids_and_further_columns(spark, edge, tmp_path, name)
     if name.startswith(("op1_", "op2", "op3", "op7", "op8", "op9", "op10")):
         # rows with an id have the values that they have alone: a repeated row is no other document, and rows without an
         # id are no one's source
-        alone = {tuple(r) for r in registry.QUERIES[name](spark, edge).collect()}
-        assert {tuple(r) for r in found if r[0] is not None} == alone
+        own = lambda r: tuple(v for c, v in r.asDict().items() if c not in ("n_items", "items_sha256"))  # noqa: E731  (items are repeated too)
+        alone = {own(r) for r in registry.QUERIES[name](spark, edge).collect()}
+        assert {own(r) for r in found if r[0] is not None} == alone
         assert name[:4] not in ("op2_", "op3_", "op9_") or all(r["n_removed"] == 0 for r in found if r[0] is None)
 
 
