@@ -135,6 +135,18 @@ def applied_changes(changes: DataFrame, key: str, version: list[str]) -> DataFra
     return changes.withColumn("__n", F.row_number().over(w)).where("__n = 1 AND op = 'upsert'").drop("__n")
 
 
+def replaced_sets(assets: DataFrame, key: str, version: str) -> DataFrame:
+    """The assets of each key's latest version: a save replaces the whole set."""
+    last = assets.groupBy(F.col(key).alias("__key")).agg(F.max(version).alias("__last"))
+    return assets.join(last, (F.col(key) == F.col("__key")) & (F.col(version) == F.col("__last"))).drop("__key", "__last")
+
+
+def primary_assets(assets: DataFrame, key: str, order: str) -> DataFrame:
+    """key, assets (how many) and primary (the order of the first thumb, else of the first front, else of the first)."""
+    rank = F.when(F.col("asset_type") == "thumb", 0).when(F.col("asset_type") == "front", 1).otherwise(2)
+    return assets.groupBy(key).agg(F.count("*").alias("assets"), F.min(F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("p")).select(key, "assets", F.col("p.o").alias("primary"))
+
+
 def reindex_report(assets: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """assets with status: ok, no path, no vector, or only vectors that break the contract."""
     broken = V.contract_error(F.col("embedding"), dim).isNotNull()

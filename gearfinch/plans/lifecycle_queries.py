@@ -132,6 +132,15 @@ def l7_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.applied_changes(o, "part", ["o_orderdate", "o_orderkey"]).select("part", "price")
 
 
+@query("""WITH a AS (SELECT l_partkey part, l_orderkey version, l_linenumber seq, ['thumb', 'front', 'back', 'detail'][l_linenumber % 4 + 1] kind FROM lineitem), m AS (SELECT *, max(version) OVER (PARTITION BY part) latest FROM a)
+SELECT part, count(*) assets, CAST(min({'r': CASE kind WHEN 'thumb' THEN 0 WHEN 'front' THEN 1 ELSE 2 END, 'o': seq}).o AS INT) "primary" FROM m WHERE version = latest GROUP BY part""")
+def l7_asset_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as saves of their parts' assets: the latest order of a part has its set."""
+    l = X.table(spark, sf_dir, "lineitem")
+    rows = l.select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("version"), F.col("l_linenumber").cast("int").alias("seq"), X.pick(F.col("l_linenumber") % 4, "thumb", "front", "back", "detail").alias("asset_type"))
+    return L.primary_assets(L.replaced_sets(rows, "part", "version"), "part", "seq")
+
+
 @query(f"WITH {X.CAT_SQL}, {X.ASSETS_SQL}, v AS (SELECT record_id, count(*) n FROM ({'WITH ' + X.VEC_SQL + ' SELECT * FROM vec'}) GROUP BY record_id) SELECT a.record_id, a.sort_order, CASE WHEN ltrim(image_path, '/') = '' THEN 'missing_image_path' WHEN v.n IS NULL THEN 'image_unavailable' WHEN CAST(a.record_id AS BIGINT) % 5 = 0 THEN 'encode_error' ELSE 'ok' END status FROM assets a LEFT JOIN v USING (record_id)")
 def l6_reindex_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of every fifth part are too short; of every fifth of the others, one of three is."""
