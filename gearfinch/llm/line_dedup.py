@@ -375,7 +375,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             words, own = id_filter(left.select(F.explode("words").alias("word"))), id_filter(left.select("b_doc"))
             every = proposals(words, own).where("a_line >= 0").join(left.select("b_doc", "b_line"), ["b_doc", "b_line"], "left_semi")
             every = stored(every, "line-every")
+            words.destroy()
+            own.destroy()
             tried(every.select(*pair).unionByName(exploded(every)))
+    levels.destroy()
     return gone
 
 
@@ -407,6 +410,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     packed = docs.where(in_filter(known, F.col("key"))).select(F.col("key").alias("doc"), F.arrow_udf(pack, T.BinaryType())("text").alias("z"))
     lines = packed.join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "lines").mapInArrow(cut, "doc long, line int, words binary")
     lines = stored(lines, "line-words")
+    known.destroy()  # no later step needs it
     side = lambda c: lines.select(F.col("doc").alias(f"{c}_doc"), F.col("line").alias(f"{c}_line"), F.col("words").alias(f"{c}_words"))
     joined = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"]).select("b_doc", "b_line", "a_words", "b_words")
     return joined.mapInArrow(compare, "b_doc long, b_line int").distinct()

@@ -10,7 +10,7 @@ must be at most (1 - similarity) of the longer text.
 
 Equal texts are one node.  In each group of nodes with the same key the most central node is the hub.  First each node
 is held against the most central of its hubs.  Then, in up to ROUNDS rounds, a group is one row for each class that it
-has members of, and each class is held against one beside it in one of its groups; so a group of near copies that are
+has members of, and each class is held against the first of one of its groups; so a group of near copies that are
 near to different ones of their kind makes about as many pairs as it has members.  Only nodes that are not in their
 hub's class then are compared with the members of their groups outside their class, in blocks, after an exact lower
 bound on the edit distance (word histograms); of these pairs, too, those go whose ends have been joined meanwhile.
@@ -314,15 +314,15 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     first = stored(best.select(F.col("best.hub").alias("a"), "b"), "near-tried")
     found = stored(aligned(texts, close_enough(first, nodes, similarity), similarity), "near-links")
     roots, tried = forest(found), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # then groups that are in several classes: in each round, a class is a row of each such group and is held against one
-    # class beside it, in an order that changes with the round
+    # then groups that are in several classes: in each round, a class is a row of each such group and is held against the
+    # first class of one of them, in an order that changes with the round
     rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted(member).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     member = stored(member.join(several, "key"), "near-members")
     for salt in range(ROUNDS):
         sides = rooted(member).groupBy("key", "root").agg(F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("b"))
-        beside = F.lag("b").over(Window.partitionBy("key").orderBy(F.xxhash64("root", F.lit(salt)), "root"))
-        pairs = sides.withColumn("a", beside).where("a IS NOT NULL")
+        leader = F.first("b").over(Window.partitionBy("key").orderBy(F.xxhash64("root", F.lit(salt)), "root"))
+        pairs = sides.withColumn("a", leader).where("a <> b")
         one = pairs.groupBy("root").agg(F.min_by(F.struct("a", "b"), F.xxhash64("key", F.lit(salt))).alias("p"))
         now = one.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         now = stored(now, "near-tried")

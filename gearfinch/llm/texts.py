@@ -229,7 +229,7 @@ def with_ids(found: DataFrame, rows: DataFrame, bits: int, id_col: str) -> DataF
     return found.join(ids, F.col("doc_id") == F.col("__key"), "left").withColumn("doc_id", F.col("__id")).select(*found.columns)
 
 
-FILTER_BITS, FILTER_BLOCK = 26, 20
+FILTER_BITS, FILTER_BLOCK = 24, 18
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ def _slots(ids: np.ndarray) -> np.ndarray:
 
 
 def id_filter(ids: DataFrame) -> object:
-    """A broadcast bitmap of 8 MB, whatever the number of ids (one column of longs, not null): it tells ids that are
+    """A broadcast bitmap of 2 MB, whatever the number of ids (one column of longs, not null): it tells ids that are
     surely not among them.  It only saves work; what passes it is still joined."""
     from pyspark.sql import functions as F
 
@@ -252,7 +252,7 @@ def id_filter(ids: DataFrame) -> object:
 
     found = ids.mapInArrow(slots, "slot int").distinct().withColumn("block", F.shiftright("slot", FILTER_BLOCK))
     whole = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), (1 << FILTER_BLOCK) // 8), np.uint8)
-    for r in found.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():  # at most 64 rows of 128 KB
+    for r in found.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():  # at most 64 rows of 32 KB
         whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return ids.sparkSession.sparkContext.broadcast(whole.ravel())
 
