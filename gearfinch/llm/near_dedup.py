@@ -46,6 +46,8 @@ SHORT, EDITS = 14, 2
 ROUNDS = 6
 #: A round of which fewer than one in so many pairs are links is the last.
 FEW_LINKS = 10
+#: Failed members for each part into which the pairs of all groups are dealt.
+FAILED_A_PART = 20_000
 #: Bins of word histograms, and those of coarser looks before.
 BINS, COARSE = 4096, (64, 512)
 BLOCK = 4096
@@ -348,6 +350,8 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     on = ["key", "block", "slice"]
     both = others.select(*on, "node", F.lit(False).alias("query")).unionByName(queries.select(*on, "node", F.lit(True).alias("query"))).join(facts, "node")
 
+    n_parts = max(16, failed.count() // FAILED_A_PART)
+
     def compare(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
@@ -365,10 +369,19 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
             hit = rest[fits]
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
+        # a group's pairs in a few rows: the same pair comes from many groups
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])], axis=1), axis=0)
+        part = (mix(pairs[:, 0].view(np.uint64) ^ mix(pairs[:, 1].view(np.uint64))) % np.uint64(n_parts)).astype(np.int64)
+        own = np.unique(part)
+        return pa.table({"part": own, "pairs": pa.array([pairs[part == k].tobytes() for k in own], pa.binary())})
+
+    def once(group: pa.Table) -> pa.Table:
+        pairs = np.unique(np.frombuffer(b"".join(group.column("pairs").to_pylist()), np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-    rest = both.groupBy(*on).applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    packed = both.groupBy(*on).applyInArrow(compare, "part long, pairs binary")
+    rest = packed.groupBy("part").applyInArrow(once, "a long, b long").join(tried, ["a", "b"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
     rest = stored(rest.withColumn("nth", nth), "near-rest")
     # one partner of each node first; then all that still lie in two classes

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .texts import Words, as_bytes, chunks, keyed, mix, ranges, rolling, spans_of, table, with_ids
+from .texts import Words, as_bytes, chunks, keyed, mix, plain, ranges, rolling, spans_of, table, with_ids
 
 REACH, SEED = 50, 20
 BUCKET_BYTES = 16 << 20
@@ -120,7 +120,7 @@ def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col:
     (start, n_words, source, source_start) in words.  A source is an id; where ids repeat, it is the number of an id and
     text (see texts.keyed)."""
     rows, bits = keyed(docs, id_col, text_col)
-    docs = rows.select(F.col("key").alias("doc_id"), "text")
+    docs = rows.select(F.col("key").alias("doc_id"), "text") if bits else plain(docs, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
     runs = repeated_runs(known, reach, seed, bits)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .induced_sort import suffix_array
-from .texts import as_bytes, chunks, keyed, mix, ranges, spans_of, table, with_ids
+from .texts import as_bytes, chunks, keyed, mix, plain, ranges, spans_of, table, with_ids
 
 REACH, SEED = 50, 24
 SHARD_BYTES = 8 << 20
@@ -194,7 +194,7 @@ def deduplicated(docs: DataFrame, reach: int = REACH, seed: int = SEED, id_col:
     repeats as start, n_bytes, source, source_start).  A source is an id; where ids repeat, it is the number of an id
     and text (see texts.keyed)."""
     rows, bits = keyed(docs, id_col, text_col)
-    docs = rows.select(F.col("key").alias("doc_id"), "text")
+    docs = rows.select(F.col("key").alias("doc_id"), "text") if bits else plain(docs, id_col, text_col)
     known = docs.where("doc_id IS NOT NULL")
     runs = repeated_runs(known, reach, seed, bits)
     span, repeat = pa.struct([("start", pa.int64()), ("end", pa.int64())]), pa.struct([("start", pa.int64()), ("n_bytes", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])
