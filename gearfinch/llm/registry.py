@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
+from . import decontaminate, line_dedup, merkle, mixing, near_dedup, quality_rules, resampling, secrets, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 ORACLE = {
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
