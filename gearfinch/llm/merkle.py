@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .texts import partitions, stored, table
+from .texts import CRC_SQL, CRC_TABLE_SQL, partitions, stored, table
 
 FAN, DEPTH = 3, 6
 BLOCK = FAN**DEPTH
@@ -332,3 +332,33 @@ def without_line_feeds(id_col: str = "doc_id", text_col: str = "text") -> Column
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return verified(build(docs, changes={"text": without_line_feeds()}))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = (text if c == "text" else f"CAST({c} AS VARCHAR)" for c in FIELDS)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in parts) + ")"
+
+
+#: Levels of every source's tree, and of the tree of subroots; then each leaf climbs through both.
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT row_number() OVER () rn, coalesce('s' || source, 'n') tree, doc_id, {_leaf_sql("text")} leaf,
+  CASE WHEN {CRC_SQL.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END other FROM documents, crc),
+e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rn) - 1 i FROM d),
+v AS (SELECT tree, 0 l, i, leaf h FROM e
+  UNION ALL SELECT tree, l + 1, i // {FAN}, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) n FROM v) WHERE n > 1 GROUP BY tree, l, i // {FAN}),
+tops AS (SELECT tree, max(l) l, arg_max(h, l) h, row_number() OVER (ORDER BY tree) - 1 i FROM v GROUP BY tree),
+u AS (SELECT 0 l, i, h FROM tops
+  UNION ALL SELECT l + 1, i // {FAN}, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () n FROM u) WHERE n > 1 GROUP BY l, i // {FAN}),
+f AS (SELECT rn, tree, 0 l, i, other h, '' proof FROM e
+  UNION ALL SELECT f.rn, f.tree, f.l + 1, f.i // {FAN}, sha256(string_agg(CASE WHEN v.i = f.i THEN f.h ELSE v.h END, '' ORDER BY v.i)),
+    f.proof || coalesce(string_agg(v.h, '' ORDER BY v.i) FILTER (WHERE v.i <> f.i), '')
+  FROM f JOIN tops USING (tree) JOIN v ON v.tree = f.tree AND v.l = f.l AND v.i // {FAN} = f.i // {FAN} WHERE f.l < tops.l GROUP BY f.rn, f.tree, f.l, f.i, f.h, f.proof),
+g AS (SELECT rn, 0 l, tops.i, f.h, proof FROM f JOIN tops USING (tree) WHERE f.l = tops.l
+  UNION ALL SELECT g.rn, g.l + 1, g.i // {FAN}, sha256(string_agg(CASE WHEN u.i = g.i THEN g.h ELSE u.h END, '' ORDER BY u.i)),
+    g.proof || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i <> g.i), '')
+  FROM g JOIN u ON u.l = g.l AND u.i // {FAN} = g.i // {FAN} WHERE g.l < (SELECT max(l) FROM u) GROUP BY g.rn, g.l, g.i, g.h, g.proof),
+r AS (SELECT max(l) l, arg_max(h, l) h FROM u)
+SELECT doc_id, leaf, tops.h subroot, r.h root, sha256(proof) proof_sha256, g.h folded_root, g.h = r.h verified
+FROM e JOIN g USING (rn) JOIN tops USING (tree), r WHERE g.l = r.l
+"""

@@ -25,4 +25,7 @@ ORACLE = {
     "op7_url_filters": url_filters.OP7_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_secret_scan": secrets.OP13_SQL,
 }

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .texts import partitions, stored, table
+from .texts import CRC_SQL, CRC_TABLE_SQL, partitions, stored, table
 
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -204,3 +204,22 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Buckets are computed once for each distinct feature.
+OP11_SQL = f"""
+WITH {CRC_TABLE_SQL},
+w AS (SELECT 1 corpus, row_number() OVER () rn, doc_id, text FROM documents UNION ALL SELECT 0, row_number() OVER (), NULL, text FROM benchmark),
+l AS (SELECT corpus, rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM w),
+f AS (SELECT corpus, rn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f FROM l),
+b AS (SELECT f, {CRC_SQL.format("f")} % {BUCKETS} b FROM (SELECT DISTINCT f FROM f), crc),
+c AS (SELECT b, count(*) FILTER (WHERE corpus = 1) s, count(*) FILTER (WHERE corpus = 0) t FROM f JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * ((SELECT sum(s) FROM c) + {BUCKETS}) / (CAST(s + 1 AS DOUBLE) * ((SELECT sum(t) FROM c) + {BUCKETS})))) gain FROM c),
+x AS (SELECT rn, count(*) n, floor(sum(gain) / count(*)) weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE corpus = 1 GROUP BY rn),
+y AS (SELECT rn, doc_id, len(w) n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) score
+  FROM l LEFT JOIN x USING (rn) WHERE corpus = 1),
+z AS (SELECT rn, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) r, count(*) OVER () n FROM y WHERE n_words >= {LEAST_WORDS})
+SELECT doc_id, CAST(n_features AS BIGINT) n_features, CAST(weight AS BIGINT) weight, CAST(score AS BIGINT) score, CAST(CASE WHEN r <= {PERCENT} * n // 100 THEN r END AS BIGINT) rank
+FROM y LEFT JOIN z USING (rn)
+"""

@@ -305,3 +305,10 @@ def small_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: DuckDB has no crc32: a table of its 256 steps, and the sum over the bytes of a text {0} with that table, t.
+CRC_TABLE_SQL = """crc AS (SELECT list(c ORDER BY i) t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) c FROM range(256) r(i)))"""
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen({0}) + 1), lambda k: CAST('0x' || substr(hex({0}), 2 * k - 1, 2) AS BIGINT))),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
