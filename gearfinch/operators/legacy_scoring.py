@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ngrams as G
 from .lifecycle import SEARCHED
 from .scoring import checked_broadcast
 
@@ -130,10 +131,8 @@ def text_queries_v4(message: Column, most: int = 6) -> Column:
 def routed_texts_v4(queries: DataFrame, rows: DataFrame, each: int = 50, scanned: int = 1500) -> DataFrame:
     """query_id and mode of text queries: strong filter (a scan helps if few rows were found), exact code or part id, a
     filter that leaves few rows, no match, or the best rows by metadata as no model is at hand.  Queries are a stated set."""
-    sought = queries.select("query_id", F.posexplode(text_queries_v4(F.col("message"))).alias("seq", "needle")).withColumn("needle", F.lower("needle"))
-    fields = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("needle")) for c in SEARCHED))
-    w = Window.partitionBy("query_id", "seq").orderBy("ordinal")
-    hits = rows.select("id", "ordinal", *SEARCHED).join(checked_broadcast(sought), fields).withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
+    sought = queries.select("query_id", F.lit("all").alias("side"), F.lit("all").alias("view"), F.explode(text_queries_v4(F.col("message"))).alias("needle"))
+    hits = G.searched(G.built(rows, G.fields_of(SEARCHED)), sought.withColumn("needle", F.lower("needle")), each)
     found = hits.select("query_id", "id").distinct().withColumn("initial", F.lit(True))
     scored = scored_v4(pairs_v4(queries, rows)).withColumn("strong", strong_flags_v4())
     flagged = scored.select("query_id", "id", "ordinal", "score", "strong", (F.array_contains("matched", "exact code") | F.array_contains("matched", "exact part_id")).alias("exact")).join(found, ["query_id", "id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ngrams as G
 from . import scoring as S
 from . import vectors as V
 
@@ -34,15 +35,23 @@ def page(rows: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
 
 
 def exact_lookup(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Queries whose whole message is a code, part id or id: an equi-join over the unpivoted keys."""
-    keys = rows.select("id", F.explode(F.array_distinct(F.array(*(F.lower(c) for c in ("code", "part_id", "id"))))).alias("key"))
-    return queries.withColumn("key", F.trim(F.lower("message"))).join(keys, "key").drop("key").dropDuplicates(["query_id", "id"])
+    """Queries whose whole message is a code, part id or id: an equi-join over the unpivoted keys.  A query's usage_side and
+    view_mode, where there and not 'all', must be the row's."""
+    asked = queries.withColumn("key", F.trim(F.lower("message")))
+    keys = rows.select("id", F.col("usage_side").alias("__side"), F.col("view_mode").alias("__view"), F.explode(F.array_distinct(F.array(*(F.lower(c) for c in ("code", "part_id", "id"))))).alias("key"))
+    found = asked.join(keys, "key")
+    for asks, has in (("usage_side", "__side"), ("view_mode", "__view")):
+        if asks in queries.columns:
+            found = found.where(F.coalesce(F.col(asks), F.lit("")).isin("", "all") | (F.col(asks) == F.col(has)))
+    return found.drop("key", "__side", "__view").dropDuplicates(["query_id", "id"])
 
 
 def text_retrieval(queries: DataFrame, rows: DataFrame, most: int = 4) -> DataFrame:
-    """query_id, id and how many of the query's first terms the row's text contains.  Queries are a stated set."""
-    terms = queries.select("query_id", F.explode(F.slice(T.constraints_v5(F.col("message"))["terms"], 1, most)).alias("anchor"))
-    return S.with_row_text(rows).join(S.checked_broadcast(terms), F.contains("row_text", F.col("anchor"))).groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    """query_id, id and how many of the query's first terms the row's text contains: by the n-gram index."""
+    terms = queries.select("query_id", F.explode(F.slice(T.constraints_v5(F.col("message"))["terms"], 1, most)).alias("needle"))
+    index = G.built(S.with_row_text(rows), [F.col("row_text")])
+    found = index.find(terms.select("needle").distinct()).select("needle", "id")
+    return terms.join(found, "needle").groupBy("query_id", "id").agg(F.count("*").alias("n"))
 
 
 def normalized_assets(assets: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ngrams as G
 from . import scoring as S
 from .lifecycle import ASSET_TYPES, first_wins
+from .routing import retrieved_v1
 
 IMAGE_TYPES = ("image/webp", "image/jpeg", "image/png")
 MAX_IMAGE_BYTES = 10 << 20
@@ -78,23 +80,23 @@ def intake(rows: DataFrame) -> DataFrame:
 
 
 def multi_retrieval(queries: DataFrame, rows: DataFrame, each: int = 50) -> DataFrame:
-    """Rows that contain an anchor of the query, `each` rows for an anchor, first anchor wins.  Queries are a stated set."""
-    anchors = queries.select("query_id", F.posexplode(T.anchors(T.constraints_v5(F.col("message")))).alias("anchor_no", "anchor"))
-    texts = S.with_row_text(rows)
-    hits = texts.join(S.checked_broadcast(anchors), F.contains("row_text", F.col("anchor")))
-    w = Window.partitionBy("query_id", "anchor_no").orderBy("ordinal")
-    kept = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
+    """Rows that contain an anchor of the query, `each` rows for an anchor, first anchor wins."""
+    anchors = F.posexplode(T.anchors(T.constraints_v5(F.col("message")))).alias("anchor_no", "needle")
+    asked = queries.select("query_id", F.lit("all").alias("side"), F.lit("all").alias("view"), anchors)
+    kept = G.searched(G.built(S.with_row_text(rows), [F.col("row_text")]), asked, each)
     return first_wins(kept, ["query_id", "id"], ["anchor_no"])
 
 
 def broad_count(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """For count questions, how many rows contain any term of the message.  Queries are a stated set."""
-    asked = queries.withColumns({"v": T.intent_v1(F.col("message")), "terms": T.constraints_v5(F.col("message"))["terms"]}).where("v.action = 'count'").select("query_id", "terms")
-    hits = S.with_row_text(rows).join(S.checked_broadcast(asked), F.exists("terms", lambda t: F.contains(F.col("row_text"), t)))
-    return asked.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
+    """For count questions, how many rows their scan finds: the rows of `retrieved_v1`."""
+    asked = queries.where(T.intent_v1(F.col("message"))["action"] == "count")
+    found = retrieved_v1(asked, rows).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def shape_violations(results: DataFrame, most: int = 5) -> DataFrame:
-    """Queries whose result breaks the display contract: more than `most` rows, or a row without id or code."""
-    per = results.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull() | F.col("code").isNull()).alias("incomplete"))
-    return per.where((F.col("n") > most) | (F.col("incomplete") > 0))
+    """Results that break the display contract: more than `most` rows, a row without id or code, or no query id.  A null and
+    an empty string are no value."""
+    lacks = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    per = results.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(lacks("id") | lacks("code")).alias("incomplete"))
+    return per.where((F.col("n") > most) | (F.col("incomplete") > 0) | lacks("query_id"))

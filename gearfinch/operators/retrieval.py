@@ -5,30 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..sources.store import stored
 from . import scoring as S
 from . import vectors as V
 
 
 def hydrated(hits: DataFrame, rows: DataFrame) -> DataFrame:
-    """Hits with their catalogue row; hits without one stay, their record id is their id.  A single probe counts as no
-    consensus."""
+    """Hits with their catalogue row; hits without one stay, their record id is their id.  The hit's similarity is the
+    row's vector_similarity.  A single probe counts as no consensus."""
     joined = hits.join(rows.withColumnRenamed("id", "row_id"), F.col("record_id") == F.col("row_id"), "left")
     multi = F.col("n_probes") > 1
-    return joined.withColumns({"id": F.coalesce("row_id", "record_id"), "probe_consensus": F.when(multi, F.col("probe_consensus")).otherwise(0.0), "ordinal": F.coalesce("ordinal", F.col("record_id").cast("long"))}).drop("row_id")
+    return joined.withColumns({"id": F.coalesce("row_id", "record_id"), "vector_similarity": F.col("similarity"), "probe_consensus": F.when(multi, F.col("probe_consensus")).otherwise(0.0), "ordinal": F.coalesce("ordinal", F.col("record_id").cast("long"))}).drop("row_id")
+
+
+def parsed_messages(queries: DataFrame) -> DataFrame:
+    return S.with_constraints(queries).withColumn("requested_holes", T.loose_hole_count(F.col("message")))
+
+
+def parsed_rows(rows: DataFrame) -> DataFrame:
+    features = F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in S.FIRST_FEATURES))
+    return S.with_row_text(rows).withColumn("candidate_holes", T.loose_hole_count(features))
 
 
 def fused(hydrated_hits: DataFrame) -> DataFrame:
-    """Adds metadata, structural and final scores; differing hole counts are one conflict.  Needs message."""
-    pairs = S.with_row_text(S.with_constraints(hydrated_hits))
-    scored = S.structural(S.evidence(pairs).withColumn("metadata_score", S.metadata_score()).withColumn("metadata_available", S.metadata_available()))
+    """Adds metadata, structural and final scores; differing hole counts are one conflict, the only one that fusion knows
+    (those of the metadata are in metadata_conflicts).  Needs message."""
+    pairs = hydrated_hits if "c" in hydrated_hits.columns else parsed_messages(hydrated_hits)
+    pairs = pairs.withColumn("row_text", F.coalesce("row_text", F.lit(""))) if "row_text" in pairs.columns else parsed_rows(pairs)
+    evident = S.evidence(pairs).withColumn("metadata_score", S.metadata_score()).withColumn("metadata_available", S.metadata_available())
+    known = F.col("requested_holes").isNotNull() & F.col("candidate_holes").isNotNull()
+    scored = evident.withColumn("structural_score", F.when(known, (F.col("requested_holes") == F.col("candidate_holes")).cast("double")))
     final = S.fused_score(F.col("similarity"), F.col("probe_consensus"), F.col("metadata_score"), F.col("metadata_available"), F.col("structural_score"), F.coalesce(F.col("structural_score") == 0, F.lit(False)).cast("int"))
-    return scored.withColumn("final_score", F.round(final, 6))
+    own = F.when(F.col("structural_score") == 0, F.array(F.lit("structural_conflict"))).otherwise(F.array().cast("array<string>"))
+    return scored.withColumns({"final_score": F.round(final, 6), "metadata_conflicts": F.col("conflicts"), "conflicts": own})
 
 
 def pooled(scored: DataFrame, limit: int = 10) -> DataFrame:
     """The pool of each query: first wins among equal ids, by final score, with its rank and the pool's hash."""
     first = Window.partitionBy("query_id", "id").orderBy("rank")
-    kept = scored.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    kept = scored.repartition("query_id").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "ordinal")
     kept = kept.withColumn("pool_rank", F.row_number().over(w)).where(F.col("pool_rank") <= limit)
     item = F.concat("id", F.lit(":"), F.format_string("%.6f", F.round("final_score", 6)))
@@ -39,7 +55,10 @@ def hybrid(vectors: DataFrame, probes: DataFrame, rows: DataFrame, profile: tupl
     """The whole chain down to fused candidates above the similarity floor.  probes: query_id, message, probe_id, embedding."""
     counts = probes.groupBy("query_id").agg(F.count("*").alias("n_probes"), F.first("message").alias("message"))
     hits = V.fused_probes(V.top_hits(vectors, probes, profile, k), counts.select("query_id", "n_probes"), k)
-    return fused(hydrated(hits.where(F.col("similarity") >= floor).join(counts, "query_id"), rows))
+    # each message is parsed once, and each row that was found once; hits are few beside the catalogue
+    hits = stored(hits.where(F.col("similarity") >= floor), "fused-hits").join(parsed_messages(counts), "query_id")
+    found = rows.join(hits.select(F.col("record_id").alias("id")).distinct(), "id", "left_semi")
+    return fused(hydrated(hits, parsed_rows(found)))
 
 
 def first_gate(scored: DataFrame, has_image: bool = True, gap: float = 0.06, quality: float = 0.72, risk: float = 0.55, raw: float = 0.86, consensus: float = 0.5) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import lifecycle as L
+from . import ngrams as G
 from . import scoring as S
+from . import vectors as V
 
 # ---- fixed values -----------------------------------------------------------------------------------------------
 NO_MATCH = "Xin lỗi anh, em không tìm thấy kết quả phù hợp với yêu cầu này trong catalogue."
@@ -23,17 +26,22 @@ EACH, ENOUGH, LEAST, SCANNED = 80, 80, 8, 1500
 # -----------------------------------------------------------------------------------------------------------------
 
 
+def _filters(queries: DataFrame) -> list[Column]:
+    """The side and view of a request: 'all' where it asks for none."""
+    own = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("all")) if c in queries.columns else F.lit("all")
+    return [own("usage_side").alias("side"), own("view_mode").alias("view")]
+
+
 def text_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """query_id, id, source: rows found by the message itself (source 0) or by one of its first four anchors (1 to 4),
-    EACH at most for a source.  No further anchor is searched once ENOUGH different rows are there; the message and the
-    first anchor always are.  Queries are a stated set."""
+    EACH at most for a source, on the side and in the view that the query asks for (columns usage_side and view_mode,
+    where there).  No further anchor is searched once ENOUGH different rows are there; the message and the first anchor
+    always are."""
     c = T.constraints_v5(F.col("message"))
     needles = F.concat(F.array(F.coalesce("message", F.lit(""))), F.slice(T.anchors(c), 1, 4))
-    sought = queries.select("query_id", F.posexplode(needles).alias("source", "needle")).withColumn("needle", F.lower("needle"))
-    fields = [F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("needle")) for f in L.SEARCHED]
-    hits = rows.select("id", "ordinal", *(f for f in L.SEARCHED)).join(S.checked_broadcast(sought), reduce(lambda a, b: a | b, fields))
-    w = Window.partitionBy("query_id", "source").orderBy("ordinal")
-    found = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= EACH).groupBy("query_id", "id").agg(F.min("source").alias("source"))
+    sought = queries.select("query_id", *_filters(queries), F.posexplode(needles).alias("source", "needle")).withColumn("needle", F.lower("needle"))
+    hits = G.searched(G.built(rows, G.fields_of(L.SEARCHED)), sought, EACH)
+    found = hits.groupBy("query_id", "id").agg(F.min("source").alias("source"))
     many = found.groupBy("query_id", "source").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("query_id").orderBy("source")) - F.col("n")
     searched = many.select("query_id", "source", before.alias("before")).where((F.col("source") <= 1) | (F.col("before") < ENOUGH))
@@ -46,33 +54,51 @@ def scored_pool(pool: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFra
     return S.evidence(pairs).withColumn("metadata_score", S.metadata_score()).withColumn("strict", S.is_strict())
 
 
-def with_fallback_scan(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """text_candidates and, for queries with fewer than LEAST of them, or that ask for holes or a shape and have no strict
-    match among them, the first SCANNED rows of the catalogue (source 5)."""
-    pool = text_candidates(queries, rows)
-    per = scored_pool(pool, queries, rows).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("strict").alias("n_strict"))
+def _weak(queries: DataFrame, scored: DataFrame) -> DataFrame:
+    """query_id of queries with fewer than LEAST candidates, or that ask for holes or a shape and have no strict match."""
+    per = scored.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("strict").alias("n_strict"))
     state = S.with_constraints(queries).join(per, "query_id", "left")
     asked = F.col("c.hole_count").isNotNull() | F.col("c.shape").isNotNull()
-    weak = state.where((F.coalesce("n", F.lit(0)) < LEAST) | (asked & (F.coalesce("n_strict", F.lit(0)) == 0))).select("query_id")
+    return state.where((F.coalesce("n", F.lit(0)) < LEAST) | (asked & (F.coalesce("n_strict", F.lit(0)) == 0))).select("query_id")
+
+
+def scored_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """text_candidates, scored, and for weak queries also the first SCANNED rows of the catalogue (source 5): query_id, id,
+    source, ordinal, code, part_id, metadata_score, strict.  Stored in two steps: only weak queries meet the scan."""
+    own = ["query_id", "id", "source", "ordinal", "code", "part_id", "metadata_score", "strict"]
+    first = stored(scored_pool(stored(text_candidates(queries, rows), "text-candidates"), queries, rows).select(*own), "scored-candidates")
+    weak = stored(_weak(queries, first), "weak-queries")
     scanned = rows.select("id", "ordinal").orderBy("ordinal").limit(SCANNED).select("id")  # a fixed number of rows
-    both = pool.unionByName(weak.crossJoin(F.broadcast(scanned)).withColumn("source", F.lit(5)))
-    return both.groupBy("query_id", "id").agg(F.min("source").alias("source"))
+    more = weak.crossJoin(F.broadcast(scanned)).withColumn("source", F.lit(5)).join(first, ["query_id", "id"], "left_anti")
+    return first.unionByName(stored(scored_pool(more, queries, rows).select(*own), "scanned-candidates"))
+
+
+def with_fallback_scan(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, id, source of scored_candidates."""
+    return scored_candidates(queries, rows).select("query_id", "id", "source")
 
 
 def routed_texts(queries: DataFrame, rows: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """query_id and mode (EXACT, TEXT_STRICT, TEXT_NO_MATCH, TEXT_STRONG, TEXT_METADATA) of every text query, and its
-    candidates: query_id, place, id, code, part_id, metadata_score."""
-    exact = L.exact_lookup(queries, rows).select("query_id", "id")
-    scored = scored_pool(with_fallback_scan(queries, rows), queries, rows)
-    joined = scored.select("query_id", "id", "source", "ordinal", "code", "part_id", "metadata_score", "strict")
+    candidates: query_id, place, id, code, part_id, metadata_score.  Queries that an exact code decides leave before the
+    others are searched; usage_side and view_mode of a query, where there, hold for both."""
+    exact = stored(L.exact_lookup(queries, rows).select("query_id", "id"), "exact-rows")
+    rest = stored(queries.join(exact, "query_id", "left_anti"), "undecided")
+    joined = scored_candidates(rest, rows)
     per = joined.groupBy("query_id").agg(F.count_if("strict").alias("n_strict"), F.count_if(F.col("metadata_score") >= 0.2).alias("n_ranked"), F.count_if(F.col("metadata_score") >= 0.45).alias("n_strong"))
-    state = queries.select("query_id").join(exact.groupBy("query_id").agg(F.count("*").alias("n_exact")), "query_id", "left").join(per, "query_id", "left").na.fill(0)
-    mode = F.when(F.col("n_exact") > 0, "EXACT").when(F.col("n_strict") > 0, "TEXT_STRICT").when(F.col("n_ranked") == 0, "TEXT_NO_MATCH").when(F.col("n_strong").between(1, most), "TEXT_STRONG").otherwise("TEXT_METADATA")
-    modes = state.select("query_id", mode.alias("mode"))
-    own = joined.join(modes, "query_id").where(((F.col("mode") == "TEXT_STRICT") & F.col("strict")) | (F.col("mode").isin("TEXT_STRONG", "TEXT_METADATA") & (F.col("metadata_score") >= 0.2)))
+    state = rest.select("query_id").join(per, "query_id", "left").na.fill(0)
+    mode = F.when(F.col("n_strict") > 0, "TEXT_STRICT").when(F.col("n_ranked") == 0, "TEXT_NO_MATCH").when(F.col("n_strong").between(1, most), "TEXT_STRONG").otherwise("TEXT_METADATA")
+    modes = state.select("query_id", mode.alias("mode")).unionByName(exact.select("query_id", F.lit("EXACT").alias("mode")).distinct())
+    modes = stored(modes, "modes")
+    # a mode shows its own rows only
+    shown = (
+        ((F.col("mode") == "TEXT_STRICT") & F.col("strict"))
+        | ((F.col("mode") == "TEXT_STRONG") & (F.col("metadata_score") >= 0.45))
+        | ((F.col("mode") == "TEXT_METADATA") & (F.col("metadata_score") >= 0.2))
+    )
     named = exact.join(rows.select("id", "ordinal", "code", "part_id"), "id").withColumns({"source": F.lit(0), "metadata_score": F.lit(None).cast("double")})
     columns = ["query_id", "id", "source", "ordinal", "code", "part_id", "metadata_score"]
-    both = own.select(*columns).unionByName(named.select(*columns))
+    both = joined.join(modes, "query_id").where(shown).select(*columns).unionByName(named.select(*columns))
     w = Window.partitionBy("query_id").orderBy(F.desc("metadata_score"), "source", "ordinal")
     kept = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
     return modes, kept.select("query_id", "place", "id", "code", "part_id", "metadata_score")
@@ -166,18 +192,17 @@ def verified_order(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(w))
 
 
-def retrieved_v1(queries: DataFrame, rows: DataFrame, most: int = 5, each: int = 30) -> DataFrame:
+def retrieved_v1(queries: DataFrame, rows: DataFrame, most: int = 5, each: int = 30, scanned: int = SCANNED) -> DataFrame:
     """query_id, id: rows found by the token, the terms or the beginning of a message, the first `most` of these, `each` rows
-    for one, on the side that is asked for.  A message without any searches everything.  Queries are a stated set."""
+    for one, on the side that is asked for.  A message without any searches everything.  A count question is one scan
+    instead: its first three terms, joined by blanks, up to `scanned` rows."""
     v = T.intent_v1(F.col("message"))
     texts = F.filter(F.concat(F.array_compact(F.array(v["token"])), v["terms"], F.array(F.trim(F.substring(F.coalesce("message", F.lit("")), 1, 120)))), lambda x: F.trim(x) != "")
     first = F.slice(F.array_distinct(texts), 1, most)
-    asked = queries.select("query_id", v["side"].alias("side"), F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(""))).alias("needles"))
-    sought = asked.select("query_id", "side", F.posexplode("needles").alias("seq", "needle")).withColumn("needle", F.lower("needle"))
-    fields = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(f, F.lit(""))), F.col("needle")) for f in L.SEARCHED))
-    hits = rows.select("id", "ordinal", *L.SEARCHED).join(S.checked_broadcast(sought), fields & ((F.col("side") == "all") | (F.col("usage_side") == F.col("side"))))
-    w = Window.partitionBy("query_id", "seq").orderBy("ordinal")
-    return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("query_id", "id").distinct()
+    needles = F.when(v["action"] == "count", F.array(F.array_join(F.slice(v["terms"], 1, 3), " "))).when(F.size(first) > 0, first).otherwise(F.array(F.lit("")))
+    asked = queries.select("query_id", F.lit("all").alias("view"), v["side"].alias("side"), (v["action"] == "count").alias("count"), F.explode(needles).alias("needle"))
+    hits = G.searched(G.built(rows, G.fields_of(L.SEARCHED)), asked.withColumn("needle", F.lower("needle")), scanned)
+    return hits.where(F.col("count") | (F.col("n") <= each)).select("query_id", "id").distinct()
 
 
 def routed_texts_v1(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -194,21 +219,39 @@ def routed_texts_v1(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return state.select("query_id", mode.alias("mode"), "n_rows")
 
 
-REQUEST = "struct<query_id:string,message:string,image_data_url:string,query_embedding:array<double>,query_embeddings:array<struct<probe_id:string,embedding:array<double>,embedding_profile:string>>,embedding_profile:string,filters:struct<usage_side:string,view_mode:string>>"
+REQUEST = (
+    "struct<query_id:string,message:string,image_data_url:string,query_embedding:array<string>,"
+    "query_embeddings:array<struct<probe_id:string,embedding:array<string>,embedding_profile:string>>,"
+    "embedding_profile:string,filters:struct<usage_side:string,view_mode:string>>"
+)
+PROBES = "array<struct<probe_id:string,embedding:array<double>,embedding_profile:string>>"
+
+
+def _numbers(v: Column) -> Column:
+    """Elements as numbers: null and an empty text are 0, what is no number is null."""
+    return F.transform(v, lambda x: F.when(F.trim(F.coalesce(x, F.lit(""))) == "", 0.0).otherwise(x.try_cast("double")))
 
 
 def checked_queries(requests: DataFrame, dim: int, most_image: int = 4_000_000, most_probes: int = 3) -> DataFrame:
     """requests (body: JSON) with reject_reason (empty, image_too_large, embedding) and the query: id (null where one is to
-    be made), message, probes (three at most, named), side and view.  Text that is no JSON object is an empty request."""
+    be made), message, side and view, query_embedding, and probes: three at most, named, each with its vector and the
+    profile of its own or of the request.  A vector must have `dim` finite numbers; a null among them is read as 0, and
+    1e999 is no finite number.  Text that is no JSON object is an empty request."""
     r = F.from_json("body", REQUEST)
     read = requests.withColumn("r", r).withColumn("message", F.trim(F.coalesce("r.message", F.lit(""))))
-    probes = F.slice(F.coalesce("r.query_embeddings", F.array().cast("array<struct<probe_id:string,embedding:array<double>,embedding_profile:string>>")), 1, most_probes)
-    read = read.withColumns({"given": probes, "image": F.coalesce("r.image_data_url", F.lit(""))})
-    broken = lambda v: F.coalesce((F.size(v) != dim) | F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
-    empty = (F.col("message") == "") & (F.col("image") == "") & F.col("r.query_embedding").isNull() & (F.size("given") == 0)
-    bad = (F.col("r.query_embedding").isNotNull() & broken(F.col("r.query_embedding"))) | F.exists("given", lambda p: broken(p["embedding"]))
+    given = F.coalesce("r.query_embeddings", F.array().cast("array<struct<probe_id:string,embedding:array<string>,embedding_profile:string>>"))
+
+    def probe(p: Column, i: Column) -> Column:
+        name = F.coalesce(F.when(p["probe_id"] != "", p["probe_id"]), F.concat(F.lit("probe_"), (i + 1).cast("string")))
+        profile = F.coalesce(F.when(p["embedding_profile"] != "", p["embedding_profile"]), F.when(F.col("r.embedding_profile") != "", F.col("r.embedding_profile")))
+        return F.struct(F.substring(name, 1, 40).alias("probe_id"), _numbers(p["embedding"]).alias("embedding"), profile.alias("embedding_profile"))
+
+    read = read.withColumns({"probes": F.transform(F.slice(given, 1, most_probes), probe).cast(PROBES), "query_embedding": _numbers(F.col("r.query_embedding")), "image": F.coalesce("r.image_data_url", F.lit(""))})
+    broken = lambda v: V.contract_error(v, dim).isNotNull()
+    empty = (F.col("message") == "") & (F.col("image") == "") & F.col("query_embedding").isNull() & (F.size("probes") == 0)
+    bad = (F.col("query_embedding").isNotNull() & broken(F.col("query_embedding"))) | F.exists("probes", lambda p: broken(p["embedding"]))
     reason = F.when(empty, "empty").when(F.length("image") > most_image, "image_too_large").when(bad, "embedding")
-    named = F.transform("given", lambda p, i: F.substring(F.coalesce(F.when(p["probe_id"] != "", p["probe_id"]), F.concat(F.lit("probe_"), (i + 1).cast("string"))), 1, 40))
     own_id = F.when(F.coalesce("r.query_id", F.lit("")).rlike("^[A-Za-z0-9_-]{8,128}$"), F.col("r.query_id"))
     every = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("all"))
-    return read.withColumns({"reject_reason": reason, "query_id": own_id, "probes": named, "usage_side": every("r.filters.usage_side"), "view_mode": every("r.filters.view_mode")}).drop("r", "given", "image")
+    profile = F.when(F.col("r.embedding_profile") != "", F.col("r.embedding_profile"))
+    return read.withColumns({"reject_reason": reason, "query_id": own_id, "embedding_profile": profile, "usage_side": every("r.filters.usage_side"), "view_mode": every("r.filters.view_mode")}).drop("r", "image")

@@ -121,8 +121,9 @@ def top_hits(vectors: DataFrame, probes: DataFrame, profile: tuple[str, ...], k:
             return pa.Table.from_batches(found, HITS)
 
         scored = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(meet, layout)
+    # one exchange, by query: the windows and sums by query, probe and record that follow need no other
     w = Window.partitionBy("query_id", "probe_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.repartition("query_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_hits_by_expressions(vectors: DataFrame, probes: DataFrame, profile: tuple[str, ...], k: int | None = None) -> DataFrame:

@@ -30,16 +30,34 @@ ROUTED = f"""{FALLBACK}, fp AS (SELECT c.*, r.*, fb.source FROM fb JOIN c USING
 ex AS (SELECT DISTINCT query_id, id FROM msgs t JOIN cat c ON trim(lower(t.message)) IN (lower(c.code), lower(c.part_id), lower(c.id))),
 st AS (SELECT m.query_id, (SELECT count(*) FROM ex WHERE ex.query_id = m.query_id) ne, count(*) FILTER (WHERE strict) ns, count(*) FILTER (WHERE metadata_score >= 0.2) nr, count(*) FILTER (WHERE metadata_score >= 0.45) ng FROM msgs m LEFT JOIN fs ON fs.query_id = m.query_id GROUP BY m.query_id),
 md AS (SELECT query_id, CASE WHEN ne > 0 THEN 'EXACT' WHEN ns > 0 THEN 'TEXT_STRICT' WHEN nr = 0 THEN 'TEXT_NO_MATCH' WHEN ng BETWEEN 1 AND 5 THEN 'TEXT_STRONG' ELSE 'TEXT_METADATA' END "mode" FROM st),
-rt AS (SELECT query_id, id, source, ordinal, code, part_id, metadata_score FROM fs JOIN md USING (query_id) WHERE ("mode" = 'TEXT_STRICT' AND strict) OR ("mode" IN ('TEXT_STRONG', 'TEXT_METADATA') AND metadata_score >= 0.2)
+rt AS (SELECT query_id, id, source, ordinal, code, part_id, metadata_score FROM fs JOIN md USING (query_id) WHERE ("mode" = 'TEXT_STRICT' AND strict) OR ("mode" = 'TEXT_STRONG' AND metadata_score >= 0.45) OR ("mode" = 'TEXT_METADATA' AND metadata_score >= 0.2)
   UNION ALL SELECT query_id, id, 0, ordinal, code, part_id, NULL FROM ex JOIN cat USING (id)),
 routed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY metadata_score DESC NULLS LAST, source, ordinal) place FROM rt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY metadata_score DESC NULLS LAST, source, ordinal) <= 5)"""
 
+ROUTED = ROUTED.replace(X.MSGS_SQL, X.ROUTED_SQL)
+
 
 @query(f"WITH {CANDIDATES} SELECT query_id, id, CAST(source AS INT) source FROM cand")
 def u1_text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.text_candidates(X.messages(spark), X.catalogue(spark, sf_dir))
 
 
+_SIDE = "['all', 'left', 'right'][CAST(substr(query_id, 2) AS INT) % 3 + 1]"
+_VIEW = "['all', 'single_face'][CAST(substr(query_id, 2) AS INT) % 2 + 1]"
+_FILTERED = CANDIDATES.replace(
+    "contains(lower(coalesce(view_mode, '')), lower(needle)) QUALIFY",
+    f"contains(lower(coalesce(view_mode, '')), lower(needle)) WHERE ({_SIDE} = 'all' OR usage_side = {_SIDE}) AND ({_VIEW} = 'all' OR view_mode = {_VIEW}) QUALIFY",
+)
+
+
+@query(f"WITH {_FILTERED} SELECT query_id, id, CAST(source AS INT) source FROM cand")
+def u1_filtered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of requests that ask for a side or a view."""
+    number = F.substring("query_id", 2, 9).cast("int")
+    asked = X.messages(spark).withColumns({"usage_side": X.pick(number % 3, "all", "left", "right"), "view_mode": X.pick(number % 2, "all", "single_face")})
+    return Q.text_candidates(asked, X.catalogue(spark, sf_dir))
+
+
 @query(f"WITH {FALLBACK} SELECT query_id, id, CAST(source AS INT) source FROM fb")
 def u2_fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.with_fallback_scan(X.messages(spark), X.catalogue(spark, sf_dir))
@@ -48,14 +66,14 @@ def u2_fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ROUTED} SELECT md.query_id, \"mode\", id, CAST(place AS INT) place, metadata_score FROM md LEFT JOIN routed USING (query_id)")
 def d6_routed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode of each text query, with its five best candidates."""
-    modes, found = Q.routed_texts(X.messages(spark), X.catalogue(spark, sf_dir))
+    modes, found = Q.routed_texts(X.routed_messages(spark), X.catalogue(spark, sf_dir))
     return modes.join(found, "query_id", "left").select("query_id", "mode", "id", "place", "metadata_score")
 
 
 @query(f"""WITH {ROUTED}, l AS (SELECT query_id, count(*) n, string_agg(place || '. ' || code, chr(10) ORDER BY place) l FROM routed GROUP BY query_id)
 SELECT query_id, "mode", coalesce(n, 0) n, CASE WHEN n > 0 THEN 'Em tìm thấy ' || n || ' mã phù hợp:' || chr(10) || l ELSE 'Xin lỗi anh, em không tìm thấy kết quả phù hợp với yêu cầu này trong catalogue.' END user_message FROM md LEFT JOIN l USING (query_id)""")
 def p8_user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.user_messages(*Q.routed_texts(X.messages(spark), X.catalogue(spark, sf_dir)))
+    return Q.user_messages(*Q.routed_texts(X.routed_messages(spark), X.catalogue(spark, sf_dir)))
 
 
 @query(f"""WITH {RANKINGS}, safe AS (SELECT r.* FROM rankings r SEMI JOIN pool p ON p.query_id = r.query_id AND p.id = r.candidate_id QUALIFY row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY seq) = 1),
@@ -74,12 +92,11 @@ def d6_routed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("query_id", mode.alias("mode"))
 
 
-@query(f"""WITH {D.HYBRID}{_POOL} SELECT query_id, id, code, part_id, usage_side, CAST(0 AS DOUBLE) vector_similarity, raw_vector_similarity, CAST(probe_consensus AS DOUBLE) probe_consensus, metadata_score, structural_score, final_score,
-CASE WHEN pool_rank % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE final_score END match_score, 0 n_matched, len(conflicts) n_conflicts FROM pool""")
+@query(f"""WITH {D.HYBRID}{_POOL} SELECT query_id, id, code, part_id, usage_side, similarity vector_similarity, raw_vector_similarity, CAST(probe_consensus AS DOUBLE) probe_consensus, metadata_score, structural_score, final_score,
+final_score match_score, 0 n_matched, CASE WHEN structural_score = 0 THEN 1 ELSE 0 END n_conflicts FROM pool""")
 def p2_public_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pool rows without a plain vector score, every second one with a match score of its own."""
-    rows = R.pooled(_hybrid(spark, sf_dir)).withColumn("match_score", F.when(F.col("pool_rank") % 2 == 0, F.lit(0.5)))
-    public = Q.public_candidates(rows)
+    """Pool rows as the asker sees them: the hit's similarity, the fused score, and the structural conflict."""
+    public = Q.public_candidates(R.pooled(_hybrid(spark, sf_dir)))
     return public.select("query_id", "id", "code", "part_id", "usage_side", "vector_similarity", "raw_vector_similarity", "probe_consensus", "metadata_score", "structural_score", "final_score", "match_score", F.size("matched").alias("n_matched"), F.size("conflicts").alias("n_conflicts"))
 
 
@@ -197,10 +214,12 @@ def d7_routed_texts_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V4.routed_texts_v4(X.messages(spark), X.catalogue(spark, sf_dir))
 
 
-@query(f"""WITH {_V1P}, w0 AS (SELECT query_id, side, list_filter(list_concat(token, list_filter(terms, lambda x: true), [trim(left(message, 120))]), lambda x: trim(x) <> '') l FROM i1),
-w1 AS (SELECT query_id, side, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:5] l FROM w0), w2 AS (SELECT query_id, side, CASE WHEN len(l) > 0 THEN l ELSE [''] END l FROM w1), w3 AS (SELECT query_id, side, unnest(l) needle, unnest(range(0, len(l))) seq FROM w2),
-hit AS (SELECT query_id, seq, id FROM w3 JOIN cat ON (contains(lower(code), lower(needle)) OR contains(lower(coalesce(part_id, '')), lower(needle)) OR contains(lower(coalesce(identifying_features, '')), lower(needle)) OR contains(lower(coalesce(usage_side, '')), lower(needle)) OR contains(lower(coalesce(view_mode, '')), lower(needle))) AND (side = 'all' OR usage_side = side)
-  QUALIFY row_number() OVER (PARTITION BY query_id, seq ORDER BY ordinal) <= 30) SELECT DISTINCT query_id, id FROM hit""")
+@query(f"""WITH {_V1P}, w0 AS (SELECT query_id, side, act, terms, list_filter(list_concat(token, list_filter(terms, lambda x: true), [trim(left(message, 120))]), lambda x: trim(x) <> '') l FROM i1),
+w1 AS (SELECT query_id, side, act, terms, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:5] l FROM w0),
+w2 AS (SELECT query_id, side, act, CASE WHEN act = 'count' THEN [array_to_string(terms[1:3], ' ')] WHEN len(l) > 0 THEN l ELSE [''] END l FROM w1),
+w3 AS (SELECT query_id, side, act, unnest(l) needle, unnest(range(0, len(l))) seq FROM w2),
+hit AS (SELECT query_id, seq, act, id FROM w3 JOIN cat ON (contains(lower(code), lower(needle)) OR contains(lower(coalesce(part_id, '')), lower(needle)) OR contains(lower(coalesce(identifying_features, '')), lower(needle)) OR contains(lower(coalesce(usage_side, '')), lower(needle)) OR contains(lower(coalesce(view_mode, '')), lower(needle))) AND (side = 'all' OR usage_side = side)
+  QUALIFY row_number() OVER (PARTITION BY query_id, seq ORDER BY ordinal) <= CASE WHEN act = 'count' THEN 1500 ELSE 30 END) SELECT DISTINCT query_id, id FROM hit""")
 def u3_v1_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.retrieved_v1(X.messages(spark), X.catalogue(spark, sf_dir))
 
@@ -216,24 +235,30 @@ def d8_routed_texts_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, vec_id % 9 k, CAST(embedding AS DOUBLE[]) v FROM embeddings)
-SELECT vec_id, CASE WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'image_too_large' WHEN k IN (2, 3, 4) THEN 'embedding' END reject_reason, CASE WHEN vec_id % 2 = 0 THEN 'query_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') END query_id,
-CASE WHEN k = 5 THEN 'probe_1|' || repeat('x', 40) || '|probe_3' WHEN k = 4 THEN 'probe_1' ELSE '' END probes, CASE WHEN k = 6 THEN 'left' ELSE 'all' END usage_side, 'all' view_mode, CASE WHEN k IN (6, 7) THEN 'red gear' ELSE '' END message FROM e""")
+SELECT vec_id, CASE WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'image_too_large' WHEN k IN (2, 4, 8) THEN 'embedding' END reject_reason, CASE WHEN vec_id % 2 = 0 THEN 'query_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') END query_id,
+CASE WHEN k = 5 THEN 'probe_1|' || repeat('x', 40) || '|probe_3' WHEN k = 4 THEN 'probe_1' ELSE '' END probes, CASE WHEN k = 6 THEN 'left' ELSE 'all' END usage_side, 'all' view_mode, CASE WHEN k IN (6, 7) THEN 'red gear' ELSE '' END message,
+CASE WHEN k = 3 THEN round(list_sum(v[1:63]), 5) WHEN k = 5 THEN round(3 * list_sum(v), 5) END total, CASE WHEN k = 5 THEN 'p0|own|p0' END profiles FROM e""")
 def s7_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as JSON: empty ones, images too large, vectors of a wrong size or with gaps, and good ones."""
+    """Requests as JSON: empty ones, images too large, vectors of a wrong size, with a gap, or with an infinite number."""
     e, v = X.table(spark, sf_dir, "embeddings"), F.col("embedding").cast("array<double>")
     k = F.col("vec_id") % 9
-    probe = lambda name, x: F.struct(F.lit(name).cast("string").alias("probe_id"), x.alias("embedding"))
+    probe = lambda name, x, own=None: F.struct(F.lit(name).cast("string").alias("probe_id"), x.alias("embedding"), F.lit(own).cast("string").alias("embedding_profile"))
     fields = {
         "query_id": F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("query_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))).otherwise(F.lit("no id!")),
         "message": F.when(k.isin(6, 7), "  red gear ").when(k == 0, "  "),
         "image_data_url": F.when(k == 1, F.repeat(F.lit("A"), 101)).when(k == 8, "data:x"),
-        "query_embedding": F.when(k == 2, F.slice(v, 1, 63)).when(k == 3, F.concat(F.slice(v, 1, 63), F.array(F.lit(None).cast("double")))),
-        "query_embeddings": F.when(k == 5, F.array(probe(None, v), probe("x" * 50, v), probe("", v), probe("fourth", v))).when(k == 4, F.array(probe(None, F.slice(v, 1, 10)))),
+        "query_embedding": F.when(k == 2, F.slice(v, 1, 63)).when(k == 3, F.concat(F.slice(v, 1, 63), F.array(F.lit(None).cast("double")))).when(k == 8, F.concat(F.slice(v, 1, 63), F.array(F.lit(999999.5)))),
+        "embedding_profile": F.lit("p0"),
+        "query_embeddings": F.when(k == 5, F.array(probe(None, v), probe("x" * 50, v, "own"), probe("", v), probe("fourth", v))).when(k == 4, F.array(probe(None, F.slice(v, 1, 10)))),
         "filters": F.when(k == 6, F.struct(F.lit("left").alias("usage_side"), F.lit("").alias("view_mode"))),
     }
-    requests = e.select("vec_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}).alias("body"))
+    requests = e.select("vec_id", F.replace(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}), F.lit("999999.5"), F.lit("1e999")).alias("body"))
     checked = Q.checked_queries(requests, 64, most_image=100)
-    return checked.select("vec_id", "reject_reason", "query_id", F.array_join("probes", "|").alias("probes"), "usage_side", "view_mode", "message")
+    sum_ = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    total = F.when(k == 3, sum_(F.col("query_embedding"))).when(k == 5, sum_(F.flatten(F.transform("probes", lambda p: p["embedding"]))))
+    profiles = F.when(k == 5, F.array_join(F.transform("probes", lambda p: p["embedding_profile"]), "|"))
+    names = F.array_join(F.transform("probes", lambda p: p["probe_id"]), "|")
+    return checked.select("vec_id", "reject_reason", "query_id", names.alias("probes"), "usage_side", "view_mode", "message", F.round(total, 5).alias("total"), profiles.alias("profiles"))
 
 
 #: Signatures as a vision model might give them, one for each of three messages.

@@ -128,6 +128,19 @@ def messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MESSAGES, "query_id string, message string")
 
 
+#: With one of the eight, part 12 alone has the holes and the code; its colour conflicts: few strong rows, none strict.
+STRONG = [(f"s{h}", f"PRT000012 {h} holes black") for h in range(8)]
+COUNTS = [("k0", "count red"), ("k1", "có bao nhiêu mã oval bên trái"), ("k2", "đếm round"), ("k3", "count"), ("k4", "count PRT0000"), ("k5", "how many red holes: count left"), ("k6", "zzz count"), ("k7", "red")]
+
+
+def routed_messages(spark: SparkSession) -> DataFrame:
+    return messages(spark).unionByName(spark.createDataFrame(STRONG, "query_id string, message string"))
+
+
+def count_messages(spark: SparkSession) -> DataFrame:
+    return messages(spark).unionByName(spark.createDataFrame(COUNTS, "query_id string, message string"))
+
+
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inline messages, and all conversation turns."""
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("message"))
@@ -160,5 +173,11 @@ PROBES_SQL = f"""probes AS (SELECT 'q' || a.vec_id query_id, CAST(a.vec_id AS VA
   CASE p WHEN 1 THEN 'canon_rgb_v2' ELSE 'canon_gray_v2' END view_variant,
   CASE WHEN a.vec_id % 20 = 0 AND p = 1 THEN {_mix_sql((1.0, 'a'))} WHEN a.vec_id % 20 = 0 THEN {_mix_sql((0.95, 'a'), (0.3, 'c'))} WHEN p = 1 THEN {_mix_sql((0.8, 'a'), (0.6, 'b'))} ELSE {_mix_sql((0.6, 'a'), (0.8, 'c'))} END embedding
   FROM e a JOIN e b ON b.vec_id = (a.vec_id + 3) % a.n JOIN e c ON c.vec_id = (a.vec_id + 5) % a.n, range(1, 3) r(p) WHERE a.vec_id % 10 = 0)"""
-MSGS_SQL = "msgs AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(q, m.replace("'", "''")) for q, m in MESSAGES) + ") t(query_id, message))"
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return "msgs AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(q, m.replace("'", "''")) for q, m in rows) + ") t(query_id, message))"
+
+
+MSGS_SQL, ROUTED_SQL, COUNTS_SQL = _values(MESSAGES), _values([*MESSAGES, *STRONG]), _values([*MESSAGES, *COUNTS])
 TEXTS_SQL = MSGS_SQL + ", texts AS (SELECT * FROM msgs UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)"
