@@ -74,7 +74,9 @@ def searched(index: NgramIndex, asked: DataFrame, each: int | None = None) -> Da
     # rows under the filters that they meet: an empty needle is an equi-join too
     sides = index.rows.select("id", "ordinal", F.explode(F.array(F.lit("all"), "usage_side")).alias("side"), "view_mode")
     open_rows = sides.select("id", "ordinal", "side", F.explode(F.array(F.lit("all"), "view_mode")).alias("view"))
-    everywhere = wanted.where("needle = ''").join(open_rows.dropDuplicates(["id", "side", "view"]), ["side", "view"])
+    open_rows = open_rows.dropDuplicates(["id", "side", "view"]).select("id", "ordinal", F.concat_ws("\u0001", F.lit(""), "side", "view").alias("key"))
+    # the needle is part of the key, so that filters that are constants still leave an equi-join
+    everywhere = wanted.where("needle = ''").withColumn("key", F.concat_ws("\u0001", "needle", "side", "view")).join(open_rows, "key")
     columns = ["needle", "side", "view", "id", "ordinal"]
     hits = found.select(*columns).unionByName(everywhere.select(*columns))
     hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("needle", "side", "view").orderBy("ordinal", "id")))
