@@ -120,6 +120,21 @@ def retry_totals(attempts: DataFrame, job: str, order: list[str], most: int = 4)
     return per.select(job, "failures", F.when(F.col("failures") == 0, "done").when(F.col("failures") >= most, "failed").otherwise("retry").alias("state"))
 
 
+def sent_chunks(rows: DataFrame, upload: str, order: str, dim: int, profile: tuple[str, ...] | None = None, size: int = CHUNK) -> DataFrame:
+    """rows with chunk (0, 1, .. of each upload, `size` rows each, by `order`) and reject_reason: null for what is written.
+    A chunk with a vector that breaks the contract (or is of another profile) fails whole: the bad row tells why, the
+    others say chunk_failed; later chunks of the upload are not sent."""
+    w = Window.partitionBy(upload).orderBy(order)
+    reason = V.contract_error(F.col("embedding"), dim, *(F.col(c) for c in V.PROFILE_COLUMNS))
+    if profile:
+        reason = F.coalesce(reason, *(F.when(F.col(c) != v, F.lit(f"profile_{c}")) for c, v in zip(V.PROFILE_COLUMNS, profile, strict=True)))
+    cut = rows.withColumns({"chunk": F.floor((F.row_number().over(w) - 1) / size).cast("int"), "__own": reason})
+    first = F.min(F.when(F.col("__own").isNotNull(), F.col("chunk"))).over(Window.partitionBy(upload))
+    cut = cut.withColumn("__first", first)
+    told = F.when(F.col("chunk") == F.col("__first"), F.coalesce("__own", F.lit("chunk_failed"))).when(F.col("chunk") > F.col("__first"), F.lit("not_sent"))
+    return cut.withColumn("reject_reason", told).drop("__own", "__first")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """The table after writing new over old: the last write of a key wins; running it again changes nothing."""
     rows = old.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)))

@@ -120,6 +120,19 @@ def l3_s9_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.upserted(old, new, ["record_id", "asset_type", "object_key", "view_variant", *V.PROFILE_COLUMNS]).select("record_id", "asset_type", "quality_score")
 
 
+@query(f"""WITH {X.VEC_SQL}, u AS (SELECT id, id // 107 upload, (row_number() OVER (PARTITION BY id // 107 ORDER BY id) - 1) // 20 chunk,
+  CASE WHEN id % 331 = 90 THEN 'dimension' WHEN id % 17 = 0 AND id % 5 = 0 AND id // 107 % 3 = 0 THEN 'profile_preprocess_version' END own FROM vec),
+f AS (SELECT *, min(CASE WHEN own IS NOT NULL THEN chunk END) OVER (PARTITION BY upload) broken FROM u)
+SELECT id, upload, CAST(chunk AS INT) chunk, CASE WHEN chunk = broken THEN coalesce(own, 'chunk_failed') WHEN chunk > broken THEN 'not_sent' END reject_reason FROM f""")
+def l4_chunked_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of 107 vectors in chunks of 20; some hold a vector that is too short or of another profile."""
+    upload = F.floor(F.col("id") / 107)
+    other = (F.col("id") % 17 == 0) & (F.col("id") % 5 == 0) & (upload % 3 == 0)
+    broken = F.when(F.col("id") % 331 == 90, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))
+    rows = X.image_vectors(spark, sf_dir).withColumns({"upload": upload, "embedding": broken, "preprocess_version": F.when(other, "canon_v1").otherwise("canon_v2")})
+    return L.sent_chunks(rows, "upload", "id", 64, X.PROFILE).select("id", "upload", "chunk", "reject_reason")
+
+
 @query(f"""WITH {X.CAT_SQL}, {X.VEC_SQL} SELECT 'vector_without_part' issue, count(*) n FROM vec WHERE record_id NOT IN (SELECT id FROM cat) UNION ALL SELECT 'part_without_vector', count(*) FROM cat WHERE id NOT IN (SELECT record_id FROM vec)
 UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT record_id, asset_type, object_key, view_variant, preprocess_version FROM vec GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'wrong_dimension', count(*) FROM vec WHERE len(embedding) <> 64""")
 def l9_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
