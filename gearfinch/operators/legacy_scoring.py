@@ -169,14 +169,14 @@ def pre_gate_v4(scored: DataFrame, has_image: bool = False, most: int = 5, gap:
     return per.select("query_id", n.alias("n"), d.alias("gap"), F.when(easy, "easy_filter").otherwise("needs_analysis").alias("mode"))
 
 
-def _rows_v1(rows: DataFrame) -> DataFrame:
+def rows_v1(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"text1": T.row_text(False, T.norm_v1, *ROW), "code1": T.norm_v1(F.col("code")), "part1": T.norm_v1(F.col("part_id"))})
 
 
 def pairs_v1(queries: DataFrame, rows: DataFrame) -> DataFrame:
     asked = queries.withColumns({"v1": T.intent_v1(F.col("message")), "raw1": T.norm_v1(F.col("message"))})
     asked = asked.withColumns({"exact1": T.norm_v1(F.col("v1.token")), "terms1": F.filter(F.transform("v1.terms", T.norm_v1), lambda x: F.length(x) >= 2)})
-    return _rows_v1(rows).crossJoin(checked_broadcast(asked))
+    return rows_v1(rows).crossJoin(checked_broadcast(asked))
 
 
 def scored_v1(base: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def pairs_v1b(queries: DataFrame, rows: DataFrame) -> DataFrame:
     words = F.filter(T.raw_words(F.col("message"), r"[\s\x0B,;:()]+"), lambda x: F.length(x) >= 3)
     terms = F.filter(F.transform(F.array_distinct(F.concat(T.hints(F.col("message")), words)), T.norm_v1), lambda x: F.length(x) >= 2)
     asked = queries.withColumns({"raw1": T.norm_v1(F.col("message")), "terms1": terms, "asked1": F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit("(?iu)" + T.LOOSE_HOLE), 1)})
-    return _rows_v1(rows).crossJoin(checked_broadcast(asked))
+    return rows_v1(rows).crossJoin(checked_broadcast(asked))
 
 
 def scored_v1b(base: DataFrame) -> DataFrame:
