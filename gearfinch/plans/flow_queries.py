@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import image_flow as I
 from ..operators import second_flow as W
 from ..sources import fixtures as X
 from . import duck as D
 from .catalogue_queries import query
 from .legacy_queries import _HINTS, _ROW, _SPLIT1, _first
+from .rerank_queries import RANKINGS, _tables
 
 #: What a vision model might see in the images beside three messages.
 SEEN = (("m02", ["gear", "xám"]), ("m03", ["Widget", "red", " "]), ("m15", ["bolt"]))
@@ -59,3 +61,38 @@ def d8_second_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = queries.select("query_id").join(shown, "query_id", "left")
     mode = F.when(F.col("id").isNull(), "NONE").otherwise("FOUND").alias("mode")
     return out.select("query_id", mode, "place", "id", "code", F.round("score", 6).alias("score"), "match_reason", F.array_join("unknown", "|").alias("unknown"), "retrieved")
+
+
+_NUMBER = "CAST(query_id[2:] AS BIGINT) // 10"
+
+
+@query(
+    f"""WITH {RANKINGS}, ask AS (SELECT query_id, CASE WHEN {_NUMBER} % 7 = 0 THEN ' prt000012' ELSE message END message FROM counts),
+ex AS (SELECT query_id, id, code, ordinal FROM ask JOIN cat ON trim(lower(message)) IN (lower(code), lower(part_id), lower(id))),
+judgements AS (SELECT query_id, ['accept', 'ambiguous', 'abstain'][{_NUMBER} % 3 + 1] decision, id candidate_id, CAST(0.9 AS DOUBLE) score, 10 - pool_rank seq FROM pool WHERE pool_rank <= 7 AND {_NUMBER} % 5 <> 0
+  UNION ALL SELECT DISTINCT query_id, ['accept', 'ambiguous', 'abstain'][{_NUMBER} % 3 + 1], 'outside', CAST(1 AS DOUBLE), 0 FROM pool WHERE {_NUMBER} % 5 <> 0),
+safe AS (SELECT r.*, code FROM rankings r JOIN pool p ON p.query_id = r.query_id AND p.id = r.candidate_id QUALIFY row_number() OVER (PARTITION BY r.query_id, candidate_id ORDER BY seq) = 1),
+g AS (SELECT query_id, count(*) n, max(final_score) top1, arg_max(raw_vector_similarity, (final_score, -ordinal)) raw, arg_max(probe_consensus, (final_score, -ordinal)) consensus,
+  coalesce(list_sort(list(final_score), 'DESC')[2], 0) top2, count(*) FILTER (WHERE structural_score = 0) conflicts FROM scored GROUP BY query_id),
+b AS (SELECT query_id, list_sort(list(score), 'DESC') b, bool_or(ambiguous) a FROM safe GROUP BY query_id),
+md AS (SELECT k.query_id, CASE WHEN k.query_id IN (SELECT query_id FROM ex) THEN 'EXACT' WHEN g.n IS NULL THEN 'VECTOR_NO_MATCH'
+  WHEN NOT (g.n >= 2 AND (round(top1 - top2, 6) < 0.06 OR conflicts > 0 OR raw < 0.86 OR consensus < 0.5)) THEN 'VECTOR_CLEAR'
+  WHEN a OR conflicts > 0 OR (len(b) >= 2 AND round(b[1] - b[2], 6) < 0.05) THEN 'VECTOR_RERANKED_JUDGED' ELSE 'VECTOR_RERANKED' END "mode" FROM ask k LEFT JOIN g USING (query_id) LEFT JOIN b USING (query_id)),
+every AS (SELECT query_id, 'EXACT' "mode", id, code, CAST(NULL AS DOUBLE) final_score, ordinal o FROM ex
+  UNION ALL SELECT query_id, 'VECTOR_CLEAR', id, code, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, ordinal) FROM scored
+  UNION ALL SELECT query_id, 'VECTOR_RERANKED', candidate_id, code, score, seq FROM safe
+  UNION ALL SELECT j.query_id, 'VECTOR_RERANKED_JUDGED', j.candidate_id, p.code, j.score, j.seq FROM judgements j JOIN pool p ON p.query_id = j.query_id AND p.id = j.candidate_id),
+shown AS (SELECT every.*, row_number() OVER (PARTITION BY every.query_id ORDER BY o) place FROM every JOIN md ON md.query_id = every.query_id AND md."mode" = every."mode" QUALIFY row_number() OVER (PARTITION BY every.query_id ORDER BY o) <= 5)
+SELECT md.query_id, md."mode", CASE WHEN md."mode" = 'VECTOR_RERANKED_JUDGED' THEN CASE WHEN CAST(md.query_id[2:] AS BIGINT) // 10 % 5 = 0 THEN 'ambiguous' ELSE ['accept', 'ambiguous', 'abstain'][CAST(md.query_id[2:] AS BIGINT) // 10 % 3 + 1] END END decision,
+  CAST(place AS INT) place, id, code, final_score FROM md LEFT JOIN shown ON shown.query_id = md.query_id"""
+)
+def d6_image_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image queries, every seventh with an exact code; the judge names an id outside the pool, and says nothing to some."""
+    number = F.floor(F.substring("query_id", 2, 20).cast("long") / 10)
+    rankings, pool = _tables(spark, sf_dir)
+    pool = W.stored(pool, "flow-given-pool").where(number % 5 != 0)
+    decision = X.pick(number % 3, "accept", "ambiguous", "abstain").alias("decision")
+    inside = pool.where("pool_rank <= 7").select("query_id", decision, F.col("id").alias("candidate_id"), F.lit(0.9).alias("score"), (10 - F.col("pool_rank")).alias("seq"))
+    outside = pool.select("query_id", decision).distinct().select("query_id", "decision", F.lit("outside").alias("candidate_id"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("seq"))
+    probes = X.probes(spark, sf_dir).withColumn("message", F.when(number % 7 == 0, " prt000012").otherwise(F.col("message")))
+    return I.routed(probes, X.image_vectors(spark, sf_dir), X.catalogue(spark, sf_dir), X.PROFILE, W.stored(rankings, "flow-given-rankings"), inside.unionByName(outside))
