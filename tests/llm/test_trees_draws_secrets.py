@@ -213,3 +213,26 @@ def test_odd_rows_have_the_values_of_their_sql(spark, tmp_path, name):
     pq.write_table(pa.table(columns | {c: pa.array([c] * len(rows)) for c in names}), f"{tmp_path}/documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([None, 1], pa.int64()), "text": pa.array([None, "word other end"])}), f"{tmp_path}/benchmark.parquet")
     same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLE[name], str(tmp_path))
+
+
+def test_a_varied_rule_table(spark):
+    """Hosts, sites, paths, tokens, expressions and exceptions; every rule against every URL by brute force."""
+    import itertools
+
+    from gearfinch.llm import url_filters as U
+
+    hosts = ("a.com", "ads.a.com", "xa.com", "b.org:8080", "shop.example.co.uk", "CASINO.net", "")
+    paths = ("", "/", "/ads/x", "/shop/casino/1", "/casino-museum/", "/casinos", "/wp/login.php", "/a/b/c?d=casino", "/É/casino#x", "/shopping")
+    urls = [None, "no scheme casino", *(f"http://{h}{p}" for h, p in itertools.product(hosts, paths))]
+    table = [("block", "host", "a.com", None), ("block", "site", "example.co.uk/shop", None), ("allow", "path", "/ads/", None), ("block", "token", "casino", "museum"), ("block", "regex", r"\.php$", None), ("block", "regex", "^$", "x")]
+    rules = spark.createDataFrame(table, "action string, kind string, value string, unless string")
+    made = U.compiled(rules)
+    found = {r["url"]: (r["host"], r["path"], r["verdict"]) for r in U.verdicts(spark.createDataFrame([(u,) for u in urls], "url string"), made).collect()}
+    assert len(found) == len(set(urls))
+    plain = [(r["action"], re.compile(r["pattern"]), r["unless"]) for r in made.collect()]
+    for url, (host, path, verdict) in found.items():
+        hits = [(action != "block", p.pattern) for action, p, unless in plain if p.search(host + path) and not (unless and re.search(unless, host + path))]
+        assert verdict == ("allow" if not hits or min(hits)[0] else "block"), url
+    with pytest.raises(ValueError):
+        U.general_rule("block", "colour", "x")
+    assert U.verdicts(spark.createDataFrame([("http://a.com/",)], "url string"), made.limit(0)).first()["verdict"] == "allow"
