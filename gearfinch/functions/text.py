@@ -6,6 +6,8 @@ All functions take null as the empty text.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import reduce
 
@@ -94,11 +96,32 @@ def _folds(form: str) -> tuple[str, str]:
 _NFD, _NFKD = _folds("NFD"), _folds("NFKD")
 
 
+def _several() -> dict[str, str]:
+    """Compatibility characters (ligatures, fractions, numbers in circles, units) of several base characters, with a
+    letter or digit among them; what has none is a blank to all normalisers anyway."""
+    found = {}
+    for code in range(0xA0, 0xFFFF):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(x) <= 0x36F)
+        if len(plain) > 1 and re.search("[A-Za-z0-9]", plain):
+            found[chr(code)] = plain
+    return found
+
+
+_SEVERAL = _several()
+
+
+def expanded(text: Column) -> Column:
+    """text with those characters written out; texts without one are left alone."""
+    known = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    each = F.transform(F.split(text, ""), lambda x: F.coalesce(known[x], x))
+    return F.when(text.rlike("[" + "".join(f"\\u{ord(c):04X}" for c in _SEVERAL) + "]"), F.array_join(each, "")).otherwise(text)
+
+
 def strip_marks(text: Column, compatible: bool = False) -> Column:
-    """Canonical (or compatible) decomposition without combining marks.  Characters that decompose to several base
-    characters stay as they are."""
+    """Canonical (or compatible) decomposition without combining marks."""
     source, target = _NFKD if compatible else _NFD
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), source, target), r"[\u0300-\u036F]", "")
+    text = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(F.translate(expanded(text) if compatible else text, source, target), r"[\u0300-\u036F]", "")
 
 
 def collapse(text: Column) -> Column:
