@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .repeats import CHUNK_BYTES, first_of_runs
-from .texts import Words, as_bytes, chunks, mix, partitions, ranges, rolling, stored, table
+from .texts import Words, as_bytes, chunks, mix, partitions, ranges, rolling, stored, table, text_key
 
 WORDS, SAMPLES, SKETCHES = 5, 2, 96
 SIMILARITY = 0.8
@@ -436,9 +436,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     """doc_id, node (digest of the text), class_id (least id of the class), class_size, first (whether this row's node
     is the one that stays), for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
-    _, root = links(texts, similarity)
+    node = text_key(docs, text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node.alias("node"))
+    _, root = links(docs.select(node.alias("node"), text.alias("text")), similarity)
     labelled = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(per, "root").select("doc_id", "node", "class_id", "class_size")
@@ -451,11 +451,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns: of each class the one with the least id (null last)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    _, root = links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), similarity)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"))
+    node = text_key(docs, text)
+    _, root = links(docs.select(node.alias("node"), text.alias("text")), similarity)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"))
     per = rows.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "node")).alias("best"))
     keep = stored(per.select(F.col("best.id").alias("__id"), F.col("best.node").alias("__node")), "near-kept")
-    joined = docs.withColumn("__key", F.xxhash64(text)).join(keep, (F.col("__key") == F.col("__node")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    joined = docs.withColumn("__key", node).join(keep, (F.col("__key") == F.col("__node")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
     # equal rows of one id: the first stays
     nth = F.row_number().over(Window.partitionBy("__node", "__id").orderBy("__node"))
     return joined.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)

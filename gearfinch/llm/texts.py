@@ -201,6 +201,20 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(as_is(id_col, "doc_id", "bigint"), as_is(text_col, "text", "string"))
 
 
+def text_key(docs: DataFrame, text) -> object:
+    """A digest of 64 bits of a text column (not null) by which different texts of docs surely differ: digests of another
+    64 bits tell whether any two collide, and then the next seed is taken."""
+    from pyspark.sql import functions as F
+
+    seed = 0
+    while True:
+        key = F.xxhash64(F.lit(seed), text) if seed else F.xxhash64(text)
+        other = docs.select(key.alias("key"), F.xxhash64(F.lit(-1), text).alias("other")).groupBy("key").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+        if other.where("least <> most").isEmpty():
+            return key
+        seed += 1
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """key (long), text (string) and row (all columns of docs, as one struct, so that no name can clash), and the number
     of low bits in which keys of one id differ.
