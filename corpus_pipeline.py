@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gearfinch.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from gearfinch.llm.texts import small_batches, stored, table
+from gearfinch.llm.texts import small_batches, stored, table, text_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up a twentieth or more go.  The verdict hangs on the text alone, so
     it is joined by the text's digest."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    digest = text_key(docs, F.coalesce("text", F.lit("")))
     verdict = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = stored(verdict.where("contaminated").select(F.col("doc_id").alias("__digest")).distinct(), "contaminated")
     return docs.withColumn("__key", digest).join(gone, F.col("__key") == F.col("__digest"), "left_anti").select(*docs.columns)
