@@ -75,6 +75,7 @@ GREETING = "^(hello|hi|hey|xin chao|chao|chao em|hello em|alo|good (morning|afte
 HOLE = r"(?:^|\s)(\d+)\s*(?:lo|hole|holes)(?:\s|$)"
 LOOSE_HOLE = r"(\d+)\s*(?:lỗ|lo|hole|holes)"
 EXACT_TOKEN = "[A-Za-z0-9][A-Za-z0-9._-]{3,}"
+EXTENSIONS = {"image/webp": "webp", "image/png": "png", "image/jpeg": "jpg"}
 PUNCTUATION = ".,;:!?()[]{}\"'`"
 #: Blanks of the query language beyond those of ASCII.
 WIDE_BLANKS = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
@@ -273,6 +274,25 @@ def safe_code(text: Column) -> Column:
     return F.when(cut == "", "UNKNOWN").otherwise(cut)
 
 
+def safe_upload_id(text: Column) -> Column:
+    """An upload id for object keys: letters, digits, _ and -, 100 at most; empty if nothing is left."""
+    return F.substring(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_-]+", ""), 1, 100)
+
+
+def code_from_file(name: Column) -> Column:
+    """The code that a file name suggests: without its extension, all but letters and digits to underscores, upper case."""
+    stem = F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]+$", "")
+    return F.upper(F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def object_key(asset_type: Column, code: Column, upload_id: Column, mime: Column) -> Column:
+    """type/CODE/id.extension.  Without an upload id a digest of the other parts stands for it, so that reruns agree."""
+    own = safe_upload_id(upload_id)
+    made = F.md5(F.concat_ws("|", asset_type, safe_code(code), F.coalesce(mime, F.lit(""))))
+    extension = F.coalesce(*(F.when(mime == m, F.lit(e)) for m, e in EXTENSIONS.items()), F.lit("bin"))
+    return F.concat(asset_type, F.lit("/"), safe_code(code), F.lit("/"), F.when(own != "", own).otherwise(made), F.lit("."), extension)
+
+
 def row_text(drop_empty: bool, norm, *columns: str) -> Column:
     """The searchable text of a catalogue row."""
     parts = [F.when(F.col(c) != "", F.col(c)) if drop_empty else F.coalesce(F.col(c), F.lit("")) for c in columns]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import ngrams as G
 from .lifecycle import SEARCHED
 from .scoring import checked_broadcast
@@ -45,17 +46,25 @@ def signature_queries(most: int = 8) -> Column:
     return F.slice(F.filter(_fields(_SOUGHT), lambda x: F.coalesce(x, F.lit("")) != ""), 1, most)
 
 
-def pairs_v4(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query of a stated set beside every row, both parsed.  queries may have a column signature (SIGNATURE)."""
+def asked_v4(queries: DataFrame) -> DataFrame:
+    """Parsed queries.  They may have a column signature (SIGNATURE)."""
     if "signature" not in queries.columns:
         queries = queries.withColumn("signature", F.lit(None).cast(SIGNATURE))
     asked = queries.withColumns({"k": T.constraints_v4(F.col("message")), "seen4": F.filter(F.transform(_fields(_SEEN), T.norm_v4), lambda x: F.length(x) >= 3), "family4": T.norm_v4(F.col("signature.object_family"))})
     asked = asked.withColumn("holes_asked4", F.when(F.col("signature.hole_count") >= 0, F.col("signature.hole_count")).otherwise(F.col("k.hole_count")))
-    asked = asked.withColumn("asked4", F.transform("k.tokens", lambda t: F.struct(t.alias("t"), T.norm_v4(t).alias("n"))))
+    return asked.withColumn("asked4", F.transform("k.tokens", lambda t: F.struct(t.alias("t"), T.norm_v4(t).alias("n"))))
+
+
+def rows_v4(rows: DataFrame) -> DataFrame:
+    """Normalised rows."""
     own = rows.withColumns({"text4": T.row_text(False, T.norm_v4, *ROW), "code4": T.norm_v4(F.col("code")), "part4": T.norm_v4(F.col("part_id")), "side4": T.norm_v4(F.col("usage_side"))})
     shown = F.array_compact(F.array(*(F.when(_any(F.col("text4"), words), F.lit(name)) for name, words in T.COLORS_V4.items())))
-    own = own.withColumns({"counts4": T.all_hole_counts(F.col("text4")), "shown4": shown})
-    return own.crossJoin(checked_broadcast(asked))
+    return own.withColumns({"counts4": T.all_hole_counts(F.col("text4")), "shown4": shown})
+
+
+def pairs_v4(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every query of a stated set beside every row, both parsed."""
+    return rows_v4(rows).crossJoin(checked_broadcast(asked_v4(queries)))
 
 
 def scored_v4(base: DataFrame) -> DataFrame:
@@ -122,20 +131,27 @@ def strong_flags_v4() -> Column:
 
 
 def text_queries_v4(message: Column, most: int = 6) -> Column:
-    """Search texts of a message: its tokens, its beginning, five terms; trimmed, not blank, distinct."""
+    """Search texts of a message: its tokens, its beginning, five terms; trimmed, not blank, distinct; an empty text, which
+    finds everything, if there is none."""
     k = T.constraints_v4(message)
     every = F.concat(k["tokens"], F.array(F.coalesce(F.substring(message, 1, 140), F.lit(""))), F.slice(k["terms"], 1, 5))
-    return F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x != "")), 1, most)
+    found = F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x != "")), 1, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
 
 def routed_texts_v4(queries: DataFrame, rows: DataFrame, each: int = 50, scanned: int = 1500) -> DataFrame:
     """query_id and mode of text queries: strong filter (a scan helps if few rows were found), exact code or part id, a
-    filter that leaves few rows, no match, or the best rows by metadata as no model is at hand.  Queries are a stated set."""
+    filter that leaves few rows, no match, or the best rows by metadata as no model is at hand.  Queries are a stated set:
+    each meets the rows that it finds and the first `scanned` of the catalogue, no others."""
     sought = queries.select("query_id", F.lit("all").alias("side"), F.lit("all").alias("view"), F.explode(text_queries_v4(F.col("message"))).alias("needle"))
     hits = G.searched(G.built(rows, G.fields_of(SEARCHED)), sought.withColumn("needle", F.lower("needle")), each)
     found = hits.select("query_id", "id").distinct().withColumn("initial", F.lit(True))
-    scored = scored_v4(pairs_v4(queries, rows)).withColumn("strong", strong_flags_v4())
-    flagged = scored.select("query_id", "id", "ordinal", "score", "strong", (F.array_contains("matched", "exact code") | F.array_contains("matched", "exact part_id")).alias("exact")).join(found, ["query_id", "id"], "left")
+    head = rows.select("id", "ordinal").where(F.col("ordinal") <= scanned).select("id")  # `scanned` rows at most
+    met = found.unionByName(queries.select("query_id").crossJoin(F.broadcast(head)).withColumn("initial", F.lit(False)))
+    met = stored(met.groupBy("query_id", "id").agg(F.max("initial").alias("initial")), "met-rows")
+    own = rows_v4(rows.join(met.select("id").distinct(), "id", "left_semi"))
+    scored = scored_v4(met.join(asked_v4(queries), "query_id").join(own, "id")).withColumn("strong", strong_flags_v4())
+    flagged = scored.select("query_id", "initial", "ordinal", "score", "strong", (F.array_contains("matched", "exact code") | F.array_contains("matched", "exact part_id")).alias("exact"))
     first, later = F.coalesce("initial", F.lit(False)), F.col("ordinal") <= scanned
     per = flagged.groupBy("query_id").agg(
         F.count_if(first).alias("n"),

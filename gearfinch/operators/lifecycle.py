@@ -77,6 +77,13 @@ def coverage(vectors: DataFrame) -> DataFrame:
     return vectors.where("is_active").groupBy(*V.PROFILE_COLUMNS).agg(F.count_distinct("record_id").alias("distinct_records"), F.count("*").alias("active_vectors"), F.max("updated_at").alias("latest_updated_at"))
 
 
+def vector_readiness(profiles: DataFrame, vectors: DataFrame) -> DataFrame:
+    """profiles (the four profile columns and search_enabled) with their coverage and vector_ready: search is on and the
+    profile has active vectors."""
+    joined = profiles.join(coverage(vectors), [*V.PROFILE_COLUMNS], "left").na.fill(0, ["distinct_records", "active_vectors"])
+    return joined.withColumn("vector_ready", F.coalesce("search_enabled", F.lit(False)) & (F.col("active_vectors") > 0))
+
+
 def checked_requests(rows: DataFrame, profile: tuple[str, ...], dim: int, most: int = CHUNK) -> DataFrame:
     """Rows with request_error (the whole request is refused) and row_error.  rows: request and vector columns."""
     foreign = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(V.PROFILE_COLUMNS, profile, strict=True)))
@@ -171,6 +178,15 @@ def primary_assets(assets: DataFrame, key: str, order: str) -> DataFrame:
     return assets.groupBy(key).agg(F.count("*").alias("assets"), F.min(F.struct(rank.alias("r"), F.col(order).alias("o"))).alias("p")).select(key, "assets", F.col("p.o").alias("primary"))
 
 
+def reindex_batch(rows: DataFrame, vectors: DataFrame, dim: int, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """A page of catalogue rows by ordinal, 10 unless a limit of 1 to 25 is given, with status as reindex_report tells it
+    of the row's preferred image: front, thumb, fallback."""
+    size, first = max(1, min(int(limit or 10), 25)), max(0, int(offset or 0))
+    path = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("front_path", "thumb_path", "fallback_path")))
+    batch = rows.orderBy("ordinal").offset(first).limit(size)  # 25 rows at most
+    return reindex_report(batch.select(F.col("id").alias("record_id"), "ordinal", path.alias("image_path")), vectors, dim)
+
+
 def reindex_report(assets: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """assets with status: ok, no path, no vector, or only vectors that break the contract."""
     broken = V.contract_error(F.col("embedding"), dim).isNotNull()

@@ -127,3 +127,13 @@ def fused_score(vector: Column, consensus: Column, metadata: Column, metadata_on
         there = on & score.isNotNull() & ~F.isnan(score)
         total, weight = total + F.when(there, clamp(score) * w).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
     return clamp(total / F.when(weight == 0, 1.0).otherwise(weight) - F.least(F.lit(0.24), 0.08 * n_conflicts))
+
+
+#: Weights of the fixed profile, without and with a masked vector: vector, masked, metadata, structural.
+FIXED, FIXED_MASKED = (0.75, 0.0, 0.15, 0.10), (0.65, 0.10, 0.15, 0.10)
+
+
+def fixed_score(vector: Column, masked: Column, metadata: Column, structure: Column, has_masked: Column) -> Column:
+    """The fixed profile: a plain weighted sum in which an absent signal counts as 0."""
+    total = lambda weights: sum((clamp(s) * w for s, w in zip((vector, masked, metadata, structure), weights, strict=True)), F.lit(0.0))
+    return clamp(F.when(F.coalesce(has_masked, F.lit(False)), total(FIXED_MASKED)).otherwise(total(FIXED)))

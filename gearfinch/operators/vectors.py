@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ RRF_K = 20
 TOP_K = (1, 60, 100)
 MIN_SIMILARITY = 0.55
 PROFILE_COLUMNS = ("embedding_model", "embedding_model_version", "preprocess_version", "embedding_profile")
-#: Probes in a block of the scoring join, and the bytes of blocks that are sent to every task.
+#: Probes that are multiplied at once, and the bytes of a block of probes that is sent to every task.
 BLOCK, BROADCAST_BYTES = 1024, 32 << 20
 
 
@@ -93,34 +94,31 @@ def nearest(probes: Probes, batches: Iterator[pa.RecordBatch], k: int) -> Iterat
         yield pa.RecordBatch.from_arrays(columns, schema=HITS)
 
 
+def _nearest_of(known: object, k: int):
+    return lambda batches: nearest(known.value, batches, k)
+
+
 def top_hits(vectors: DataFrame, probes: DataFrame, profile: tuple[str, ...], k: int | None = None) -> DataFrame:
     """query_id, probe_id, id, record_id, asset_type, similarity and rank of the k nearest vectors of each probe in one
     profile: exact, by cosine, ties by vector id.
 
-    Probes are a stated query set.  Up to BROADCAST_BYTES they are sent to every task once, beyond it in blocks to slices
-    of the vectors.  Each task multiplies matrices and keeps its own top k, and a window merges these."""
+    Probes are a stated query set, sent to every task in blocks.  Each task multiplies matrices and keeps its own top k,
+    and a window merges these."""
     k = clamped_top_k(k)
     own = in_profile(vectors, profile).select("id", "record_id", "asset_type", "embedding")
     asked = probes.select("query_id", "probe_id", "embedding")
     n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     layout = "query_id string, probe_id int, id long, record_id string, asset_type string, similarity double"
-    if n * (dim or 0) * 8 <= BROADCAST_BYTES:
-        rows = asked.collect()  # within BROADCAST_BYTES
-        known = probes.sparkSession.sparkContext.broadcast(Probes([r["query_id"] for r in rows], [r["probe_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64).reshape(n, -1)))
-        scored = own.mapInArrow(lambda batches: nearest(known.value, batches, k), layout)
-    else:
-        # blocks of probes meet slices of the vectors; each pair of a block and a slice is one task's
-        blocks, slices = -(-n // BLOCK), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = own.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "probe_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
-
-        def meet(vectors_: pa.Table, probes_: pa.Table) -> pa.Table:
-            flat = probes_.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            block = Probes(probes_.column("query_id").to_pylist(), probes_.column("probe_id").to_pylist(), flat.reshape(probes_.num_rows, -1) if probes_.num_rows else np.zeros((0, 0)))
-            found = list(nearest(block, vectors_.select(["id", "record_id", "asset_type", "embedding"]).to_batches(BLOCK), k))
-            return pa.Table.from_batches(found, HITS)
-
-        scored = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(meet, layout)
+    # probes are dealt to blocks of BROADCAST_BYTES; each block is sent to every task, so vectors never move
+    blocks = max(1, -(-n * (dim or 0) * 8 // BROADCAST_BYTES))
+    block = F.pmod(F.xxhash64("query_id", "probe_id"), F.lit(blocks))
+    parts = []
+    for i in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(block == i)).collect()  # about BROADCAST_BYTES
+        matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        known = probes.sparkSession.sparkContext.broadcast(Probes([r["query_id"] for r in rows], [r["probe_id"] for r in rows], matrix))
+        parts.append(own.mapInArrow(_nearest_of(known, k), layout))
+    scored = reduce(DataFrame.unionByName, parts)
     # one exchange, by query: the windows and sums by query, probe and record that follow need no other
     w = Window.partitionBy("query_id", "probe_id").orderBy(F.desc("similarity"), "id")
     return scored.repartition("query_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -200,7 +200,8 @@ def l8_profile_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TQ4 = "list_filter(list_concat(tokens, CASE WHEN left(message, 140) <> '' THEN [left(message, 140)] ELSE [] END, terms[1:5]), lambda x: trim(x) <> '')"
-_D7 = f"""{F7}, tq AS (SELECT query_id, {_TQ4} l FROM k4), tl AS (SELECT query_id, (list_filter(list_transform(l, lambda x: trim(x)), lambda x, i: list_position(list_transform(l, lambda y: trim(y)), x) = i))[1:6] l FROM tq), tn AS (SELECT query_id, unnest(l) needle, unnest(range(0, len(l))) seq FROM tl),
+_D7 = f"""{F7}, tq AS (SELECT query_id, {_TQ4} l FROM k4), tl AS (SELECT query_id, (list_filter(list_transform(l, lambda x: trim(x)), lambda x, i: list_position(list_transform(l, lambda y: trim(y)), x) = i))[1:6] l FROM tq),
+tn AS (SELECT query_id, unnest(CASE WHEN len(l) > 0 THEN l ELSE [''] END) needle, unnest(range(0, greatest(1, len(l)))) seq FROM tl),
 ti AS (SELECT DISTINCT query_id, id FROM (SELECT query_id, seq, id FROM tn JOIN cat ON contains(lower(code), lower(needle)) OR contains(lower(coalesce(part_id, '')), lower(needle)) OR contains(lower(coalesce(identifying_features, '')), lower(needle)) OR contains(lower(coalesce(usage_side, '')), lower(needle)) OR contains(lower(coalesce(view_mode, '')), lower(needle))
   QUALIFY row_number() OVER (PARTITION BY query_id, seq ORDER BY ordinal) <= 50)),
 sc AS (SELECT v4.*, ti.id IS NOT NULL initial, ordinal <= 1500 scanned, hole_count >= 0 AND list_contains(matched, hole_count || ' holes') bh, len(colors) > 0 AND strong_count >= 2 AND len(list_filter(colors, lambda x: NOT list_contains(matched, 'color:' || x))) = 0 bc FROM v4 LEFT JOIN ti ON ti.query_id = v4.query_id AND ti.id = v4.id),

@@ -58,7 +58,7 @@ def test_blocks_of_probes_give_the_same_hits(spark, small, monkeypatch):
     v, p = X.image_vectors(spark, small).where("id < 300"), X.probes(spark, small)
     key = lambda df: sorted(tuple(r) for r in df.select("query_id", "probe_id", "id", "record_id", "asset_type", "similarity", "rank").collect())
     expected = key(V.top_hits(v, p, X.PROFILE, 7))
-    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 16 << 10)
     monkeypatch.setattr(V, "BLOCK", 16)
     assert key(V.top_hits(v, p, X.PROFILE, 7)) == expected and len(expected) == 7 * p.count()
 
