@@ -6,7 +6,7 @@ of its terms, moved by their offsets, from the rarest term (by corpus-wide count
 number of test sets can be run against it; building it and matching are both narrow, only term counts are shuffled.
 
 Null and empty texts have no words and match nothing; null document ids are kept; repeated rows are separate documents.
-Words are compared by 64-bit digests.
+Words are compared by 64-bit digests.  A text of any length is indexed whole.
 """
 
 from __future__ import annotations

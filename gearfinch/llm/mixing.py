@@ -9,7 +9,8 @@ hypergeometric law (counts of a uniform draw without replacement), so no source
 shard then takes its quota from its own blocks in a permuted order, and plays its blocks in another.
 
 All draws are hashes of fixed keys and the seed: reruns agree.  Null text has no words; null source is a source, null
-ids are kept; repeated rows are separate documents.  An empty table gives no rows.
+ids are kept; repeated rows are separate documents.  An empty table gives no rows.  A text of
+any length is cut to blocks by its number of words; its bytes are never shuffled.
 """
 
 from __future__ import annotations

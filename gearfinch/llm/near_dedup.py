@@ -18,7 +18,8 @@ Classes are the connected components, found by label passing over stored tables.
 
 Null text counts as empty; texts without words are duplicates only of equal texts.  Ids may be null or repeated: a class
 is named by its least id, null if all are null.  A text shorter than a k-mer is one k-mer.  Equal texts are recognised by
-64-bit digests.
+digests that are checked for collisions.  Texts of any length are sketched and compared whole; a pair is compared only if
+its lengths allow the similarity.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ rules are then off there.
 
 Null and empty texts have no words and fail the base rule.  A null language is a stratum of its own.  Labels are one
 per document id (any good label counts); documents without an id have none.  With no labels only the base rule rejects.
+Repeated rows are judged each by its own text and all alike; a text of any length is counted whole.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ from the cache, a table of files; only distinct texts that miss are encoded, and
 library does the encoding.  For a tokenizer that treats white-space separated pieces one by one, a task encodes every
 distinct piece once and adds up.
 
-Null counts as empty, and empty has no tokens.  Repeated rows share one encoding.  An empty table appends nothing.
+Null counts as empty, and empty has no tokens.  Repeated rows share one encoding.  An empty table appends nothing.  A text of
+any length is encoded whole.
 """
 
 from __future__ import annotations

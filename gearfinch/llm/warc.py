@@ -10,6 +10,7 @@ Of rows with equal payloads of `least` bytes or more, the one with the largest i
 revisit records that refer to it.  Null html is an empty payload.  Equal rows with the largest id are all responses, as
 are rows without an id if no row with an id has their payload.  A null url leaves out the target URI; control characters
 and blanks in it are percent-encoded.  An empty table makes an empty manifest.
+A payload of any length is one record; it is held whole by the task that writes it.
 """
 
 from __future__ import annotations
