@@ -10,6 +10,7 @@ from ..operators import answers as A
 from ..operators import lifecycle as L
 from ..operators import scoring as S
 from ..sources import fixtures as X
+from ..sources import paged as P
 from ..sources.store import scratch
 from . import duck as D
 from .catalogue_queries import _hybrid, query
@@ -107,3 +108,13 @@ def l6_reindex_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.col("ordinal") % 10 == 0
     rows = X.catalogue(spark, sf_dir).withColumns({c: F.when(~none, F.col(c)) for c in ("thumb_path", "front_path", "fallback_path")})
     return L.reindex_batch(rows, X.image_vectors(spark, sf_dir), 64, 100, 7).select("record_id", "status")
+
+
+@query(f"""WITH {X.CAT_SQL}, f AS (SELECT id, ordinal, code, usage_side, view_mode FROM cat WHERE contains(lower(concat_ws(chr(1), code, coalesce(part_id, ''), coalesce(identifying_features, ''), usage_side, view_mode)), 'holes'))
+SELECT 1 request, id, code FROM f UNION ALL SELECT 2, id, code FROM f WHERE usage_side = 'left' AND view_mode = 'single_face' UNION ALL SELECT 3, id, code FROM (SELECT * FROM cat ORDER BY ordinal LIMIT 150)""")
+def s1_paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests to the paged source: a text, a text on one side in one view, and a capped scan."""
+    rows = P.paged(spark, P.stored_rows(X.catalogue(spark, sf_dir), scratch(spark, "catalogue-pages")))
+    found = (P.search(rows, "Holes"), P.search(rows, "holes", "left", "single_face"), P.search(rows, cap=150))
+    first, second, third = (f.select(F.lit(i).alias("request"), "id", "code") for i, f in enumerate(found, 1))
+    return first.unionByName(second).unionByName(third)
