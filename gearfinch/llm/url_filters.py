@@ -37,7 +37,9 @@ GENERAL_RULES = (
     ("block", "host", "doubleclick.net", None),
     ("block", "site", "ads.example.org/click/", None),
 )
-RULE_SCHEMA = "rule string, action string, pattern string, literals array<string>, rank int, unless string"
+RULE_SCHEMA = "rule string, action string, pattern string, literals array<string>, rank int"
+#: Rules may have exceptions.
+EXCEPTED = RULE_SCHEMA + ", unless string"
 #: Rules without literals that meet every URL, at most.
 OPEN_RULES = 10_000
 
@@ -79,16 +81,16 @@ def general_rule(action: str, kind: str, value: str, unless: str | None = None)
 
 
 def compiled(rules: DataFrame) -> DataFrame:
-    """A table of general rules (action, kind, value, unless) in the form of RULE_SCHEMA."""
+    """A table of general rules (action, kind, value, unless) in the form of EXCEPTED."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [dict(zip(names, general_rule(r["action"], r["kind"], r["value"], r["unless"]), strict=True)) for r in batch.to_pylist()]
             yield from pa.Table.from_pylist(made, schema=layout).to_batches()
 
-    names = [part.split()[0] for part in RULE_SCHEMA.split(", ")]
+    names = [part.split()[0] for part in EXCEPTED.split(", ")]
     layout = pa.schema([("rule", pa.string()), ("action", pa.string()), ("pattern", pa.string()), ("literals", pa.list_(pa.string())), ("rank", pa.int32()), ("unless", pa.string())])
-    return rules.select("action", "kind", "value", "unless").mapInArrow(rows, RULE_SCHEMA)
+    return rules.select("action", "kind", "value", "unless").mapInArrow(rows, EXCEPTED)
 
 
 def host_of(url: Column) -> Column:
@@ -104,22 +106,25 @@ def tokens_of(text: Column) -> Column:
 
 
 def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each rule with literals under the one of them that the fewest URLs have."""
-    each = rules.where(F.size("literals") > 0).withColumn("token", F.explode("literals"))
+    """Each rule under the token of it that the fewest URLs have; a rule without literals under the empty token."""
+    own = [c for c in ("rule", "action", "pattern", "rank", "unless") if c in rules.columns]
+    each = rules.withColumn("token", F.explode(F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))))
     counts = tokens.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     ranked = each.join(counts, "token", "left").withColumn("at", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))
-    return ranked.groupBy("pattern", "action", "rank", "rule", "unless").agg(F.min("at").alias("at")).select("rule", "action", "pattern", "rank", "unless", F.col("at.token").alias("token"))
+    return ranked.groupBy(*own).agg(F.min("at").alias("at")).select(*own, F.col("at.token").alias("token"))
 
 
 def verdicts(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """url, host, path, rule and verdict, one row for each distinct URL (null included).  Of the rules that match, the
-    one of the highest rank wins, then block, then the least pattern."""
+    one of the highest rank wins, then block, then the least pattern.  rules: RULE_SCHEMA, or EXCEPTED."""
+    rules = rules if "unless" in rules.columns else rules.withColumn("unless", F.lit(None).cast("string"))
     parts = urls.select(F.col(url_col).alias("url")).distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     parts = parts.withColumn("key", F.concat("host", "path"))
     tokens = parts.select("url", "key", F.explode(tokens_of(F.col("key"))).alias("token"))
     columns = ["url", "key", "rule", "action", "pattern", "rank", "unless"]
-    hits = tokens.join(rule_index(rules, tokens.select("token")), "token").select(*columns)
-    open_rules = rules.where(F.size("literals") == 0).drop("literals")
+    index = rule_index(rules, tokens.select("token"))
+    hits = tokens.join(index.where("token <> ''"), "token").select(*columns)
+    open_rules = index.where("token = ''").drop("token")
     n = open_rules.count()
     if n > OPEN_RULES:
         raise ValueError(f"{n} rules without a literal token; at most {OPEN_RULES} can meet every URL")
@@ -133,7 +138,7 @@ def verdicts(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: s
 
 
 def production_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*(site_rule(*r) for r in SITE_RULES), *(general_rule(*r) for r in GENERAL_RULES)], RULE_SCHEMA)
+    return spark.createDataFrame([*(site_rule(*r) for r in SITE_RULES), *(general_rule(*r) for r in GENERAL_RULES)], EXCEPTED)
 
 
 def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
