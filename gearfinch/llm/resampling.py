@@ -33,7 +33,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .texts import CRC_SQL, CRC_TABLE_SQL, partitions, stored, table
 
-BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
+BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK_BYTES = 1 << 20
 #: Rows of a sorted segment, about; samples of a run for each segment; samples that are sorted in one place at most.
@@ -133,7 +133,7 @@ def runs(rows: DataFrame, order: list[Column]) -> DataFrame:
     return stored(rows.sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "sorted-runs")
 
 
-def splitters(sorted_runs: DataFrame, key: Column, order: list[Column], segments: int) -> list[tuple]:
+def splitters(sorted_runs: DataFrame, key: Column, segments: int) -> list[tuple]:
     """segments - 1 keys, at regular places of the sorted samples.  Every run gives each `spacing`-th row."""
     run, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     n, n_runs = sorted_runs.agg(F.count("*"), F.count_distinct(run)).first()
@@ -160,7 +160,7 @@ def ranked(rows: DataFrame, keys: list[str], segment_rows: int = SEGMENT_ROWS) -
     chosen = every.where("eligible")
     n = chosen.count()
     segments = max(1, min(partitions(spark), n), -(-n // segment_rows))
-    cuts = splitters(chosen, key, order, segments)
+    cuts = splitters(chosen, key, segments)
     columns = np.array(cuts, np.int64).reshape(-1, len(order)).T
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

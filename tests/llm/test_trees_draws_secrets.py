@@ -143,7 +143,7 @@ def test_segments_are_even_though_keys_are_equal(spark):
 
     rows = spark.range(4000).repartition(8).select(F.lit(1).cast("long").alias("k"), F.lit(True).alias("eligible"))
     every = resampling.runs(rows, [F.col("k")])
-    cuts = resampling.splitters(every, F.struct("k", "place"), [], 10)
+    cuts = resampling.splitters(every, F.struct("k", "place"), 10)
     places = sorted(x["place"] for x in every.collect())
     sizes = np.diff([0, *(places.index(c[1]) for c in cuts), 4000])
     assert len(cuts) == 9 and max(sizes) <= 800
