@@ -1,5 +1,6 @@
 """Memory and work of single steps at sizes where they used to fail."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
+from gearfinch.functions import text as T
 from gearfinch.operators import ann as A
 from gearfinch.operators import lifecycle as L
 from gearfinch.operators import ngrams as G
@@ -92,3 +94,12 @@ def test_stated_needles_need_no_index(spark, small, monkeypatch, listed):
             m.setattr(G, "scratch", None)
             got = key(G.searched(G.scanned(rows, texts), asked, each))
         assert got and got == key(G.searched(G.built(rows, texts), asked, each))
+
+
+def test_characters_written_out_are_found_by_ranges(spark):
+    """All characters of several base characters, between plain and accented ones; the pattern is a few ranges."""
+    assert len(T._SEVERAL_CLASS) < 8 * len(T._SEVERAL) and set(re.findall(T._SEVERAL_CLASS, "".join(map(chr, range(0x20, 0xD800))))) == {c for c in T._SEVERAL if c < "\ud800"}
+    texts = [f"é{c}x{c}" for c in T._SEVERAL] + ["", "été", "".join(T._SEVERAL), "ﬁﬁ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r["i"]: r["e"] for r in df.select("i", T.expanded(F.col("t")).alias("e")).collect()}
+    assert found == {i: t and "".join(T._SEVERAL.get(c, c) for c in t) for i, t in enumerate(texts)}
