@@ -14,6 +14,7 @@ from gearfinch.operators import ann as A
 from gearfinch.operators import lifecycle as L
 from gearfinch.operators import ngrams as G
 from gearfinch.operators import rerank as K
+from gearfinch.operators import scoring as S
 from gearfinch.operators import vectors as V
 from gearfinch.plans.catalogue_queries import ORACLE, QUERIES
 from gearfinch.sources import fixtures as X
@@ -103,3 +104,15 @@ def test_characters_written_out_are_found_by_ranges(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = {r["i"]: r["e"] for r in df.select("i", T.expanded(F.col("t")).alias("e")).collect()}
     assert found == {i: t and "".join(T._SEVERAL.get(c, c) for c in t) for i, t in enumerate(texts)}
+
+
+def test_facts_of_rows_give_the_same_evidence(spark, small):
+    """Shapes, sides and colours told once for a row, not again for each pair; rows of one file are dealt to all tasks."""
+    rows, asked = X.catalogue(spark, small).where("ordinal < 40"), S.with_constraints(X.messages(spark))
+    plain = S.evidence(S.with_row_text(rows).crossJoin(asked))
+    told = S.evidence(S.paired(S.with_row_facts(S.with_row_text(rows)), asked))
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("query_id", "id", "evidence", "conflicts", "ok").collect())
+    assert key(told) == key(plain)
+    scored = S.scored_metadata(X.messages(spark), rows)
+    plan = scored._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and "RepartitionByExpression" in plan
