@@ -244,32 +244,35 @@ def _band(a: list, b: list, most: int) -> int:
     return score if score <= most else most + 1
 
 
-_SKETCH = "n int, hist binary, keys array<long>"
+def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node and keys (a key for each hash function, and those of a short text; none without words).  texts: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", CHUNK_BYTES):
+            words = Words(as_bytes(batch.column(1)))
+            lists = pa.array([k.view(np.int64) for k in candidate_keys(words.hashes(), words.bounds, similarity)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
 
+    return texts.select("node", "text").mapInArrow(run, "node long, keys array<long>")
 
-def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All columns but text, and n (words), hist, keys (a key for each hash function, and those of a short text; none
-    without words)."""
-    others = [c for c in texts.columns if c != "text"]
-    layout = ", ".join([*(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others), _SKETCH])
+
+def described(texts: DataFrame) -> DataFrame:
+    """node, n (words), hist, text.  texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            words = Words(as_bytes(batch.column(batch.schema.get_field_index("text"))))
-            hashes = words.hashes()
-            n = np.diff(words.bounds)
-            hist = histograms(hashes, words.bounds)
-            lists = pa.array([k.view(np.int64) for k in candidate_keys(hashes, words.bounds, similarity)], pa.list_(pa.int64()))
-            own = [batch.column(batch.schema.get_field_index(c)) for c in others]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int32)), pa.array([h.tobytes() for h in hist], pa.binary()), lists], [*others, "n", "hist", "keys"])
+            words = Words(as_bytes(batch.column(1)))
+            hist = histograms(words.hashes(), words.bounds)
+            n = np.diff(words.bounds).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([h.tobytes() for h in hist], pa.binary()), batch.column(1)], ["node", "n", "hist", "text"])
 
-    return texts.select(*others, "text").mapInArrow(run, layout)
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, hist binary, text string")
 
 
 def aligned(texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar.  texts: node, text (rows of a node are equal)."""
+    """The edges (a, b) whose texts are similar.  texts: node, text (a node stands once)."""
     need = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.join(need.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    own = texts.join(need.hint("shuffle_hash"), "node", "left_semi").select("node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,11 +304,16 @@ def close_enough(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataF
 
 
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Stored nodes (node, n, hist, keys) and roots (node, root) of the classes.  texts: node, text."""
-    nodes = stored(sketches(texts, similarity).dropDuplicates(["node"]), "near-nodes")
-    bands = nodes.select("node", F.explode("keys").alias("key"))
-    groups = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = stored(bands.join(groups, "key"), "near-grouped")
+    """Stored nodes (node, n, hist, text) that share a key with another, and roots (node, root) of the classes.
+    texts: node, text (rows of a node are equal)."""
+    bands = sketches(texts, similarity).dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    # most keys stand once: they are moved once, and a group is counted where its rows lie
+    grouped = stored(bands.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "near-grouped")
+    # only nodes of groups are ever compared: their texts are kept once for all rounds
+    shared = grouped.select("node").distinct()
+    whole = texts.join(shared.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    nodes = stored(described(whole), "near-nodes")
+    texts = nodes.select("node", "text")
     # the hub of a group is its most central node: the one that stands in the most and largest groups, such as the text
     # that others are edits of
     weight = grouped.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
@@ -338,10 +346,12 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         roots = merged(roots, more)
         if more.count() * FEW_LINKS < now.count():
             break
-    # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks
+    # the rest: members that are not in their hub's class meet the others of their group that aren't in theirs, in blocks;
+    # a group's hub is one of its rows, and groups that are in one class by now are done
     own = rooted(member)
-    theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    failed = stored(own.join(theirs, "hub", "left").where("root <> coalesce(hub_root, hub)").select("key", "node"), "near-failed")
+    theirs = F.max(F.when(F.col("node") == F.col("hub"), F.col("root")))
+    apart = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), theirs.alias("hub_root")).where("least <> most")
+    failed = stored(own.join(apart, "key").where("root <> hub_root").select("key", "node"), "near-failed")
     n = failed.groupBy("key").agg(F.count("*").alias("n_failed"))
     queries = failed.join(n, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_failed") / BLOCK)))
     others = member.join(n, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_failed") / BLOCK) - 1)))
