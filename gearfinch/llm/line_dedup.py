@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .repeats import CHUNK_BYTES, first_of_runs, n_buckets_for
-from .texts import Words, as_bytes, chunks, id_filter, in_filter, keyed, may_hold, mix, pack, ranges, stored, table, unpack
+from .texts import Words, as_bytes, chunks, held, id_filter, keyed, may_hold, mix, pack, ranges, stored, table, unpack
 
 THRESHOLD = 0.8
 SLOT_BITS, BLOCK_BITS = 24, 16
@@ -389,6 +390,12 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     wanted = wanted.groupBy("doc").agg(F.collect_list("line").alias("lines"))
     known = id_filter(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc")))
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(held(known, batch.column(0))))
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(0), pack(own.column(1))], ["doc", "z"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -407,7 +414,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    packed = docs.where(in_filter(known, F.col("key"))).select(F.col("key").alias("doc"), F.arrow_udf(pack, T.BinaryType())("text").alias("z"))
+    packed = docs.select("key", "text").mapInArrow(sent, "doc long, z binary")
     lines = packed.join(wanted.hint("shuffle_hash"), "doc").select("doc", "z", "lines").mapInArrow(cut, "doc long, line int, words binary")
     lines = stored(lines, "line-words")
     known.destroy()  # no later step needs it
@@ -437,16 +444,23 @@ def without_lines(rows: DataFrame, gone: DataFrame, text_col: str) -> DataFrame:
             texts.append(x)
         return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array([_counts(x) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+    def packed(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        """Null where surely no line goes."""
+        return pack(pc.if_else(pa.array(held(known, keys)), texts, None))
+
+    def count(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        """Null where `packed` is not."""
+        return pa.array([None if may and x is not None else _counts(x) for may, x in zip(held(known, keys).tolist(), texts.cast(pa.binary()).to_pylist(), strict=True)], pa.int64())
 
-    may = rows.withColumn("may", F.coalesce(in_filter(known, F.col("key")), F.lit(False)))
-    sent = may.where("may").select("key", F.col("row").dropFields(f"`{text_col}`").alias("others"), F.arrow_udf(pack, T.BinaryType())("text").alias("z"))
+    # not deterministic, as Spark knows it: else the filters on their results would run them once more, in further workers
+    once = lambda f, kind: F.arrow_udf(f, kind).asNondeterministic()("key", "text")
+    sent = rows.select("key", F.col("row").dropFields(f"`{text_col}`").alias("others"), once(packed, T.BinaryType()).alias("z")).where("z IS NOT NULL")
     sent = sent.join(by_doc.hint("shuffle_hash"), "key", "left").withColumn("cut", F.arrow_udf(cut, kind)("z", "gone"))
     fields = [F.col("cut.text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in rows.schema["row"].dataType.names]
     sent = sent.select(F.struct(*fields).alias("row"), "cut.n_lines", "cut.n_removed")
     whole = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rows.schema["row"].dataType.names]
-    return sent.unionByName(may.where("NOT may").select(F.struct(*whole).alias("row"), F.arrow_udf(count, T.LongType())("text").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
+    stay = rows.select("row", "text", once(count, T.LongType()).alias("n_lines")).where("n_lines IS NOT NULL")
+    return sent.unionByName(stay.select(F.struct(*whole).alias("row"), "n_lines", F.lit(0).cast("long").alias("n_removed")))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -89,6 +89,10 @@ def _counts(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out.values()], _COUNTS)
 
 
+#: Spark would run it once more, in a second worker, for a filter on its result if it took it for deterministic.
+_counts = _counts.asNondeterministic()
+
+
 def base_failed(c: str = "c") -> Column:
     return (F.col(f"{c}.n_words") < 10) | (100 * F.col(f"{c}.n_repeat_words") > 20 * F.col(f"{c}.n_words"))
 

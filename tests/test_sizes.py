@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
 from gearfinch.functions import text as T
+from gearfinch.llm import line_dedup, quality_rules
 from gearfinch.operators import ann as A
 from gearfinch.operators import lifecycle as L
 from gearfinch.operators import ngrams as G
@@ -116,3 +117,42 @@ def test_facts_of_rows_give_the_same_evidence(spark, small):
     scored = S.scored_metadata(X.messages(spark), rows)
     plan = scored._jdf.queryExecution().toString()
     assert "Python" not in plan and "ExistingRDD" not in plan and "RepartitionByExpression" in plan
+
+
+def most_python_steps(df):
+    """Python steps in one task, at most, of df's plan."""
+    most = 0
+
+    def below(node):
+        nonlocal most
+        name, own = node.nodeName(), [below(node.children().apply(i)) for i in range(node.children().size())]
+        # parts of a union are tasks of their own
+        found = (max(own) if name == "Union" else sum(own)) + bool(re.search("Python|InArrow", name))
+        most = max(most, found)
+        return 0 if "Exchange" in name else found
+
+    plan = df._jdf.queryExecution().executedPlan()
+    below(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return most
+
+
+def test_one_python_worker_for_each_task(spark, monkeypatch):
+    """Each further step in a task holds a worker of its own beside the first (pipeline: quality_rules and line_dedup)."""
+    draw = np.random.default_rng(8)
+    line = lambda: " ".join(f"w{i}" for i in draw.integers(0, 3000, 12))
+    shared = [line() for _ in range(5)]
+    rows = [(i, None if i == 7 else "\n".join([line(), shared[i % 5] + f" x{i % 3}", line()]), "en") for i in range(60)] + [(None, shared[0], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    plans = []
+    for module in (line_dedup, quality_rules):
+        monkeypatch.setattr(module, "stored", lambda df, name, keep=module.stored: plans.append((name, most_python_steps(df))) or keep(df, name))
+    kept = quality_rules.kept_documents(docs, labels)
+    found = line_dedup.deduplicated(docs)
+    plans += [("kept", most_python_steps(kept)), ("deduplicated", most_python_steps(found))]
+    assert {"quality-cutoffs", "line-pairs", "line-words", "line-verified"} <= {name for name, _ in plans}
+    assert all(n <= 1 for _, n in plans), plans
+    assert kept.count() == 59 + 1
+    own = {r["row"]["doc_id"]: r for r in found.collect()}
+    assert len(own) == 61 and sum(r["n_removed"] for r in own.values()) > 40
+    assert own[7]["row"]["text"] is None and own[7]["n_lines"] == 0 and own[None]["row"]["text"] == shared[0]
