@@ -16,7 +16,7 @@ A line is the set of its words.  It is removed if an earlier line, by (doc_id, l
    each line; of other lines the PROPOSED likeliest partners are told.
 4. Proposed pairs are verified on the words of both lines: of each later line its likeliest partner first, then the
    others.  A line whose partners all fail, though a word has more of them than were told, is compared with every
-   partner that it has by such words.
+   partner that it has by such words; only lines that hold one of these words are cut to sets once more.
 
 Lines without words are never removed.  Null and empty texts have none.  Documents without an id are neither compared
 nor changed.  Rows of one id and different texts are different documents, ordered by the texts' digests; rows that
@@ -26,7 +26,7 @@ are verified; digests only propose pairs, but for equal lines, where the digest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,15 @@ LARGE, LEADERS = 64, 8
 FREQUENT = 167
 #: Pairs that are filtered at a time.
 PAIRS = 1 << 20
-GUEST = 1 << 14
+#: Marks beside an entry's place in its line: a guest, and an entry of a frequent word.
+GUEST, OFTEN = 1 << 30, 1 << 29
+#: In the filter of open words: this and a token are the entries of a word (in a band, if frequent), a token alone is the word.
+BAND = np.uint64(1 << 32)
 
+LOW = np.uint64(0xFFFFFFFF)
 _ENTRY = [("token", np.uint32), ("prev", np.uint32), ("digest", np.uint32), ("bits", np.uint64), ("more_bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32)]
 _DIGEST = [("low", np.uint64), ("high", np.uint64), ("doc", np.int64), ("line", np.int32)]
-_FOUND = [("doc", np.int64), ("line", np.int32), ("a_doc", np.int64), ("a_line", np.int32), ("apart", np.int16), ("more", np.uint32)]
+_FOUND = [("doc", np.int64), ("line", np.int32), ("a_doc", np.int64), ("a_line", np.int32), ("apart", np.int16), ("more", np.uint64)]
 _LAYOUT = "bucket int, size int, columns array<binary>"
 
 
@@ -63,13 +67,18 @@ def at_least(share: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
+def band_key(n: np.ndarray, guest: np.ndarray, threshold: float) -> np.ndarray:
+    """A number of 64 bits for the band of a frequent word where lines of n words stand; guests stand in the next band."""
+    return mix(np.floor(np.log(n) / np.log(1 / threshold) + 1e-9).astype(np.uint64) + guest.astype(np.uint64) + np.uint64(1))
+
+
 def word_levels(docs: DataFrame) -> np.ndarray:
     """The scaled counters: exact to 127, then four steps an octave, to 255."""
     slots = 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            slot = np.sort((Words(as_bytes(batch.column(0))).hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+            slot = np.sort((Words(as_bytes(batch.column(0))).piece_hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
             first = first_of_runs(slot)
             n, slot = np.diff(np.append(first, len(slot))), slot[first]
             block = (slot >> np.uint32(BLOCK_BITS)).astype(np.int32)
@@ -95,12 +104,18 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 class Lines:
     """Word sets of the lines of several texts, words in order of rarity."""
 
-    def __init__(self, texts: list[bytes], levels: np.ndarray):
+    def __init__(self, texts: list[bytes], levels: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None):
+        """wanted tells of words whether lines that hold them are wanted; else all lines are."""
         words = Words(texts)
-        hashes = words.hashes()
-        text = words.text_of_word()
-        breaks = np.concatenate([[0], np.cumsum(words.buf == 10)])
-        line = breaks[words.starts] + text  # grows by one at each break and each text
+        hashes, starts = words.piece_hashes(), words.starts
+        breaks = np.flatnonzero(words.buf == 10)
+        # grows by one at each break and each text
+        line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[: len(starts)]) + words.text_of_word()
+        if wanted is not None and len(starts):
+            some = np.zeros(line[-1] + 1, bool)
+            some[line[wanted(hashes)]] = True
+            some = some[line]
+            hashes, starts, line = hashes[some], starts[some], line[some]
         # words are numbered in order of rarity, so that one sort of numbers orders the words of all lines
         known, number = np.unique(hashes, return_inverse=True)
         level = levels[known >> np.uint64(64 - SLOT_BITS)]
@@ -112,9 +127,9 @@ class Lines:
         of, which = both >> 32, order[both & 0xFFFFFFFF] if len(both) else both
         self.tokens, self.levels = known[which], level[which]
         self.first = first_of_runs(of)
-        place = words.starts[np.searchsorted(line, of[self.first])] if len(of) else of
+        place = starts[np.searchsorted(line, of[self.first])] if len(of) else of
         self.text = np.searchsorted(words.text_starts, place, "right") - 1
-        self.number = (breaks[place] - breaks[words.text_starts[self.text]]).astype(np.int64)
+        self.number = np.searchsorted(breaks, place) - np.searchsorted(breaks, words.text_starts[self.text])
         self.n = np.diff(np.append(self.first, len(of)))
         add = lambda x: np.add.reduceat(x, self.first) if len(x) else x
         self.low, self.high = add(mix(self.tokens)), add(mix(self.tokens ^ np.uint64(0xA0761D6478BD642F)))
@@ -164,11 +179,16 @@ class Entries:
 
     def __init__(self, token, prev, bits, more_bits, doc, line, n, pos, threshold: float):
         self.token, self.prev, self.bits, self.more_bits, self.doc, self.line, self.n = token, prev, bits, more_bits, doc, line, n
-        self.guest, self.rest = pos >= GUEST, (n - pos % GUEST).astype(np.int32)
+        self.guest, self.often, self.rest = pos & GUEST > 0, pos & OFTEN > 0, (n - pos % OFTEN).astype(np.int32)
         self.share, self.threshold = threshold / (1 + threshold), threshold
         self.key = token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
         self.low_key = token.astype(np.uint64) << np.uint64(32) | at_least(threshold, n).astype(np.uint64)
 
+    def named(self, i) -> np.ndarray:
+        """The word of i and, in the high half, the token under which its entries of this band stand."""
+        band = np.where(self.often[i], band_key(self.n[i], self.guest[i], self.threshold), np.uint64(0)) & LOW
+        return self.token[i].astype(np.uint64) << np.uint64(32) | self.token[i].astype(np.uint64) ^ band
+
     def need(self, i, j) -> np.ndarray:
         """Words that similar lines share at least."""
         return at_least(self.share, self.n[i] + self.n[j])
@@ -239,13 +259,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     n_buckets = n_buckets_for(docs, BUCKET_BYTES)
     levels = spark.sparkContext.broadcast(word_levels(docs))
-    step = np.log(1 / threshold)
 
     def prefixes(batches: Iterator[pa.RecordBatch], only=None) -> Iterator[pa.RecordBatch]:
         """Entries, digests and copies in a chunk; or entries alone, of words that may be in the filter `only`."""
         for serial, batch in enumerate(chunks(batches, "text", CHUNK_BYTES)):
             ids = batch.column(0).to_numpy()
-            lines = Lines(as_bytes(batch.column(1)), levels.value)
+            # lines that hold no word of the filter have no entries to send
+            wanted = None if only is None else lambda hashes: may_hold(only.value, hashes & LOW)
+            lines = Lines(as_bytes(batch.column(1)), levels.value, wanted)
             if not len(lines.n):
                 continue
             doc = ids[lines.text]
@@ -273,17 +294,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             prev = np.zeros(len(token), np.uint32)
             prev[1:] = np.where(of[1:] == of[:-1], token[:-1] % np.uint64(0xFFFFFFFF) + np.uint64(1), np.uint64(0))
             often = np.flatnonzero(level >= FREQUENT)
-            band = np.floor(np.log(lines.n[of[often]]) / step + 1e-9).astype(np.uint64)
-            home, guest = token.copy(), mix(token[often] ^ (band + np.uint64(2)))
-            home[often] = mix(token[often] ^ (band + np.uint64(1)))
-            token = np.append(home, guest)
+            mark = np.where(level >= FREQUENT, OFTEN, 0)
+            home, guest = (token[often] ^ band_key(lines.n[of[often]], np.full(len(often), x), threshold) for x in (0, 1))
+            token[often] = home
+            token, mark = np.append(token, guest), np.append(mark, np.full(len(often), GUEST | OFTEN))
             which = np.append(np.arange(len(of)), often)
-            of, pos, prev = of[which], pos[which] + np.where(np.arange(len(which)) < len(of), 0, GUEST), prev[which]
+            of, pos, prev = of[which], pos[which] + mark, prev[which]
             if only is not None:
-                some = may_hold(only.value, token & np.uint64(0xFFFFFFFF))
+                some = may_hold(only.value, token & LOW | BAND)
                 token, of, pos, prev = token[some], of[some], pos[some], prev[some]
             bucket = (token >> np.uint64(40)).astype(np.int64) % n_buckets
-            yield from _rows(bucket, [token & np.uint64(0xFFFFFFFF), prev, lines.low[of] & np.uint64(0xFFFFFFFF), lines.bits[of], lines.more_bits[of], doc[of], lines.number[of], lines.n[of], pos], _ENTRY)
+            yield from _rows(bucket, [token & LOW, prev, lines.low[of] & LOW, lines.bits[of], lines.more_bits[of], doc[of], lines.number[of], lines.n[of], pos], _ENTRY)
 
     def propose(later_docs=None):
         """later_docs: a filter of the documents whose lines seek all their partners; else all lines seek some."""
@@ -304,13 +325,19 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 return _sure(n_buckets, doc[copy], line[copy])
             token, prev, digest, bits, more_bits, doc, line, n, pos = _read(group, _ENTRY)
             # equal sets: the earliest stands for all, which go by their digests
-            order = np.lexsort((line, doc, digest, bits, n, token))
-            kept = order[first_of_runs(token[order], n[order], bits[order], more_bits[order], digest[order], pos[order])]
+            order = np.argsort(mix(mix(token.astype(np.uint64) << np.uint64(32) | digest) + bits))
+            begin = first_of_runs(*(x[order] for x in (token, n, bits, more_bits, digest, pos)))
+            size = np.diff(np.append(begin, len(order)))
+            many = np.flatnonzero(np.repeat(size, size) > 1)
+            member = order[many]
+            order[many] = member[np.lexsort((line[member], doc[member], np.repeat(np.arange(len(size)), size)[many]))]
+            kept = order[begin]
+            kept = kept[np.argsort(token[kept].astype(np.uint64) << np.uint64(32) | n[kept].astype(np.uint64))]
             e = Entries(*(x[kept] for x in (token, prev, bits, more_bits, doc, line, n, pos)), threshold)
             member, leader, d = (np.zeros(0, np.int64),) * 3 if every else e.near_leader()
             linked = ~may_hold(later_docs.value, e.doc) if every else np.zeros(len(e.key), bool)
             linked[member] = True
-            out = [(member, leader, d, e.token[member])]
+            out = [(member, leader, d, e.named(member))]
             parts = list(e.pairs(linked))
             if parts:
                 later, earlier, d = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -319,7 +346,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 begin = first_of_runs(later)
                 size = np.diff(np.append(begin, len(later)))
                 told = np.full(len(later), every) | (np.arange(len(later)) - np.repeat(begin, size) < PROPOSED)
-                more = np.where(np.repeat(size > PROPOSED, size) & (not every), e.token[later], 0)
+                more = np.where(np.repeat(size > PROPOSED, size) & (not every), e.named(later), 0)
                 out.append((later[told], earlier[told], d[told], more[told]))
             later, earlier, d, more = (np.concatenate(x) for x in zip(*out, strict=True))
             return _found(n_buckets, e.doc[later], e.line[later], e.doc[earlier], e.line[earlier], d, more)
@@ -340,7 +367,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             else:
                 rest = sorted(set(zip(a_doc[a:b].tolist(), a_line[a:b].tolist(), strict=True)) - {(int(a_doc[a]), int(a_line[a]))})
                 others.append([{"a_doc": x, "a_line": y} for x, y in rest])
-            words.append(np.unique(more[a:b][more[a:b] > 0]).tolist() if a_line[a] >= 0 else None)
+            words.append(np.unique(more[a:b][more[a:b] > 0]).view(np.int64).tolist() if a_line[a] >= 0 else None)
         kinds = (pa.list_(pa.struct([("a_doc", pa.int64()), ("a_line", pa.int32())])), pa.list_(pa.int64()))
         return pa.table({"b_doc": doc[begin], "b_line": line[begin], "a_doc": a_doc[begin], "a_line": a_line[begin], "others": pa.array(others, kinds[0]), "words": pa.array(words, kinds[1])})
 
@@ -373,7 +400,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         left = stored(failed.where("size(words) > 0"), "line-left")
         if not left.isEmpty():
             # every partner that these lines have by words of which not all were told
-            words, own = id_filter(left.select(F.explode("words").alias("word"))), id_filter(left.select("b_doc"))
+            open_words = left.select(F.explode("words").alias("word"))
+            words = id_filter(open_words.select(F.explode(F.array(F.expr("word & 4294967295"), F.expr("shiftrightunsigned(word, 32) | 4294967296"))).alias("word")))
+            own = id_filter(left.select("b_doc"))
             every = proposals(words, own).where("a_line >= 0").join(left.select("b_doc", "b_line"), ["b_doc", "b_line"], "left_semi")
             every = stored(every, "line-every")
             words.destroy()

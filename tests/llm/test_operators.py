@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gearfinch.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, registry, suffix_dedup, substring_dedup, token_counts, url_filters, warc
 from gearfinch.llm.induced_sort import suffix_array
+from gearfinch.llm.texts import Words
 
 from ..conftest import same
 
@@ -398,6 +400,26 @@ def test_lines_with_many_partners(spark, monkeypatch, limits):
     assert {(r["key"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == removed_by_brute_force(rows)
 
 
+def test_very_long_lines_of_many_rare_words(spark):
+    """The first word that two similar lines share stands behind 20,000 others in each."""
+    shared = " ".join(f"s{k}" for k in range(180_000))
+    docs = spark.createDataFrame([(d, f"{shared} " + " ".join(f"{d}u{k}" for k in range(20_000))) for d in (1, 2)], "key long, text string")
+    assert [tuple(r) for r in line_dedup.removed_lines(docs).collect()] == [(2, 0)]
+
+
+def test_only_lines_of_wanted_words_are_cut(spark):
+    """The exact last step makes word sets of lines that hold an open word alone, as they are among all lines."""
+    texts = [t.encode() for _, t in line_rows()] + [b"", b"\n\n q3 " + b"x" * 200, b"x" * 200 + b" y"]
+    levels = np.zeros(1 << line_dedup.SLOT_BITS, np.uint8)
+    for w in (b"q3", b"x" * 200, b"w1"):
+        word = Words([w]).piece_hashes()
+        every, some = line_dedup.Lines(texts, levels), line_dedup.Lines(texts, levels, lambda hashes, word=word: np.isin(hashes, word))
+        holds = [(k, i) for k, t in enumerate(texts) for i, line in enumerate(t.split(b"\n")) if w in line.split()]
+        assert list(zip(some.text.tolist(), some.number.tolist(), strict=True)) == holds
+        known = dict(zip(zip(every.text.tolist(), every.number.tolist(), strict=True), zip(every.low, every.high, every.bits, every.n, strict=True), strict=True))
+        assert [known[at] for at in holds] == list(zip(some.low, some.high, some.bits, some.n, strict=True))
+
+
 def test_lines_of_all_texts_of_an_id(spark):
     """Rows of one id with different texts are different documents; repeated rows are one."""
     lines = [" ".join(f"{c}{i}" for i in range(10)) for c in "abc"]
