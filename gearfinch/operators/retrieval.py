@@ -38,7 +38,7 @@ def fused(hydrated_hits: DataFrame) -> DataFrame:
     scored = evident.withColumn("structural_score", F.when(known, (F.col("requested_holes") == F.col("candidate_holes")).cast("double")))
     final = S.fused_score(F.col("similarity"), F.col("probe_consensus"), F.col("metadata_score"), F.col("metadata_available"), F.col("structural_score"), F.coalesce(F.col("structural_score") == 0, F.lit(False)).cast("int"))
     own = F.when(F.col("structural_score") == 0, F.array(F.lit("structural_conflict"))).otherwise(F.array().cast("array<string>"))
-    return scored.withColumns({"final_score": F.round(final, 6), "metadata_conflicts": F.col("conflicts"), "conflicts": own})
+    return scored.withColumns({"final_score": V.rounded(final), "metadata_conflicts": F.col("conflicts"), "conflicts": own})
 
 
 def pooled(scored: DataFrame, limit: int = 10) -> DataFrame:
