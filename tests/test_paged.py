@@ -56,3 +56,34 @@ def test_pages_end_short():
     batches = list(Pages("", 1).read(P.Range(0, 249)))
     assert sum(b.num_rows for b in batches) == 250 and Pages.asked == [-1, 99, 199]
     assert F is not None
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_each_group_is_read_once(spark, tmp_path, monkeypatch, ordered):
+    """Pages come from one sweep, and rows that share an ordinal across the end of a page are all found."""
+    rows = X.catalogue(spark, "/root/testdata/sf0.01").withColumn("ordinal", F.when(F.col("ordinal").between(95, 260), 95).otherwise(F.col("ordinal")))
+    path = f"file://{tmp_path}/rows"
+    if ordered:
+        monkeypatch.setattr(P, "GROUP", 300)
+        P.stored_rows(rows, path)
+    else:
+        rows.withColumn("search_text", F.lower("code")).select(*P._NAMES).repartition(7, "id").write.parquet(path)
+    reader = P.CatalogueReader(path, 3)
+    groups, read = reader._groups(), []
+
+    class Group:
+        def __init__(self, group):
+            self.group = group
+
+        def to_table(self, **how):
+            read.append(self)
+            return self.group.to_table(**how)
+
+    wrapped = [(a, b, Group(g)) for a, b, g in groups]
+    monkeypatch.setattr(P.CatalogueReader, "_groups", lambda self: wrapped)
+    assert len(groups) >= 7
+    batches = list(reader.read(P.Range(0, 1999)))
+    assert len(read) == len(set(map(id, read))) == len(groups)
+    assert [x for b in batches for x in b.column("ordinal").to_pylist()] == sorted(r["ordinal"] for r in rows.select("ordinal").collect())
+    found = sorted(r["id"] for r in P.paged(spark, path, 3).select("id").collect())
+    assert found == sorted(r["id"] for r in rows.select("id").collect())
